@@ -4,14 +4,16 @@ A document's set holds the distinct shingles of five words.  Two sets of sizes a
 Jaccard similarity of at least t differ in at most (a + b)(1 - t)/(1 + t) elements.  Size bands
 become levels of allowed difference K (a ladder with ratio sqrt 2): at a level the shingle domain
 is partitioned by hash into m > K parts, and as no more than K parts can hold a difference, two
-similar sets agree on at least m - K parts.  Each non-empty part of a set is one signature, so
-similar sets of neighbouring sizes share one.  Sets with so many empty parts that all agreement
-might be on empty ones also emit the smallest of their elements (a prefix longer than the
+similar sets agree on at least m - K parts.  Each non-empty part of a set is one signature, so a
+set shares at least ``need`` = m - K - (its empty parts) signatures with each similar set.  Sets
+whose need is not positive also emit the smallest of their elements (a prefix longer than the
 allowed difference); two sets that could miss each other both do so, and share one of those.
 
-Signatures are dealt by hash; sets that share one are compared with the least set of that
-signature, links are closed to components, and the signatures that still join different
-components are worked off pair by pair.  Equal sets are one class and emit once per batch.
+The need also keeps frequent passages cheap.  Signatures of few sets give pairs, with the count
+of signatures they share.  A set that has fewer signatures in frequent ones than its need meets
+every similar set among the pairs, often enough to tell by the count; frequent signatures are
+worked off only between the other sets: all against the least, then, once links are closed to
+components, what still lies in different components.  Equal sets are one class.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 PAIRS_AT_ONCE = 2_000_000
+FREQUENT = 20  # sets of one signature beyond which it counts as frequent
+PREFIX_LEVEL = 63
 
 
 def levels(size_limit: int = 2**31) -> np.ndarray:
@@ -43,7 +47,7 @@ def levels(size_limit: int = 2**31) -> np.ndarray:
 
 def parts_of(k: np.ndarray) -> np.ndarray:
     """Parts at a level: somewhat more than the differences, so that a non-empty part agrees."""
-    return (k * 115) // 100 + 3
+    return (k * 130) // 100 + 3
 
 
 def shingle_sets(piece: Piece, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +81,21 @@ def class_of(n_docs: int, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, n
     return size, mix(total + size.astype(np.uint64)).view(np.int64)
 
 
-def signatures(size: np.ndarray, doc: np.ndarray, s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of all texts; ``doc`` ascending."""
+def signatures(size: np.ndarray, doc: np.ndarray, s: np.ndarray, percent: int = PERCENT, needs_only: bool = False) -> tuple:
+    """(text, signature) of all texts, ``doc`` ascending; the level is in a signature's last six bits.
+
+    With ``needs_only``: (text, level, need).
+    """
     ladder = levels()
     lo, hi = 100 - percent, 100 + percent
     smallest, largest = -(-size * percent // 100), size * 100 // percent
     k_min, k_max = (size + smallest) * lo // hi, (size + largest) * lo // hi
-    first, last = np.searchsorted(ladder, np.maximum(k_min, 1)), np.searchsorted(ladder, np.maximum(k_max, 1))
+    level, last = np.searchsorted(ladder, np.maximum(k_min, 1)), np.searchsorted(ladder, np.maximum(k_max, 1))
     last[k_max < 1] = -1  # only an equal set is similar
-    begin = np.searchsorted(doc, np.arange(len(size)))
-    out_doc, out_sig = [], []
+    out_doc, out_sig, needs = [], [], []
     weight = mix(s ^ np.uint64(0xA7))
     place = mix(s ^ np.uint64(0x3C)) >> np.uint64(32)
-    level, risky = first.copy(), np.zeros(len(size), bool)
+    level, risky = level.copy(), np.zeros(len(size), bool)
     while True:
         live = level <= last
         if not live.any():
@@ -101,42 +107,54 @@ def signatures(size: np.ndarray, doc: np.ndarray, s: np.ndarray, percent: int =
         d = doc[own]
         at = base[d] + ((place[own] * m[d].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         held = np.bincount(at, minlength=base[-1]) > 0
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, weight[own])
-        owner = np.repeat(np.arange(len(size)), m)
-        part = np.arange(base[-1]) - base[owner]
-        tag = mix((level[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-        out_doc.append(owner[held])
-        out_sig.append(mix(total[held] ^ tag[held]))
-        empty = np.bincount(owner[~held], minlength=len(size))
-        risky |= live & (empty >= m - np.minimum(k, k_max))
+        filled = np.diff(np.concatenate([[0], np.cumsum(held)])[base])
+        need = filled - np.minimum(k, k_max)
+        risky |= live & (need <= 0)
+        if needs_only:
+            who = np.flatnonzero(live)
+            needs.append((who, level[who], need[who]))
+        else:
+            total = np.zeros(base[-1], np.uint64)
+            np.add.at(total, at, weight[own])
+            owner = np.repeat(np.arange(len(size)), m)
+            part = np.arange(base[-1]) - base[owner]
+            own_level = level[owner].astype(np.uint64)
+            sig = mix(total ^ mix((own_level << np.uint64(40)) + part.astype(np.uint64)))
+            out_doc.append(owner[held])
+            out_sig.append(((sig & ~np.uint64(63)) | own_level)[held])
         level += 1
-    risky &= size > 0
+    if needs_only:
+        return tuple(np.concatenate(x) for x in zip(*needs, strict=True)) if needs else (np.zeros(0, np.int64),) * 3
     if risky.any():
         # a similar set lacks at most size - ceil(size * percent / 100) of this one's elements
-        take = size - -(-size * percent // 100) + 1
+        take = size - smallest + 1
         own = risky[doc]
         d, e = doc[own], s[own]  # ascending by hash within a text
-        rank = np.flatnonzero(own) - begin[d]
+        rank = np.flatnonzero(own) - np.searchsorted(doc, np.arange(len(size)))[d]
         keep = rank < take[d]
         out_doc.append(d[keep])
-        out_sig.append(mix(e[keep] ^ np.uint64(0xE1E)))
+        out_sig.append(mix(e[keep] ^ np.uint64(0xE1E)) | np.uint64(PREFIX_LEVEL))
     if not out_doc:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
-def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every document."""
+def with_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, cls, needs) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b.column(1), lower=True):
-                size, cls = class_of(p.n_docs, *shingle_sets(p, words))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n_docs), pa.array(size), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
+                doc, s = shingle_sets(p, words)
+                size, cls = class_of(p.n_docs, doc, s)
+                who, level, need = signatures(size, doc, s, percent, needs_only=True)
+                order = np.argsort(who, kind="stable")
+                held = pa.StructArray.from_arrays([pa.array(level[order].astype(np.int32)), pa.array(need[order].astype(np.int32))], ["level", "need"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who[order], np.arange(p.n_docs + 1)).astype(np.int32)), held)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n_docs), pa.array(size), pa.array(cls), lists], ["doc_id", "n_shingles", "cls", "needs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, needs array<struct<level:int,need:int>>")
 
 
 def with_signatures(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -165,11 +183,20 @@ def with_signatures(docs: DataFrame, slices: int, words: int = WORDS, percent: i
 
 
 def shared_signatures(dealt: DataFrame) -> DataFrame:
-    """(sig, cls, lead) of the signatures that two classes or more have; lead is the least of them.
+    """What the signatures that two classes or more have say, as rows (frequent, a, b, level, n).
+
+    Not frequent: classes a < b share n signatures of the level, of those in one slice.
+    Frequent: class a has signature b.
 
     ``dealt`` has whole slices in its partitions.  A task holds the signatures of its own
     slices as two numpy columns: 16 bytes each, all signatures divided by the slices.
     """
+    names = ["frequent", "a", "b", "level", "n"]
+
+    def rows(frequent: bool, a: np.ndarray, b: np.ndarray, level: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 1 << 17):
+            to = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[to]), frequent)), pa.array(a[to]), pa.array(b[to]), pa.array(level[to].astype(np.int32)), pa.array(n[to].astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners = [], []
@@ -194,14 +221,25 @@ def shared_signatures(dealt: DataFrame) -> DataFrame:
         if not len(sig):
             return
         head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        many = np.diff(np.append(head, len(sig)))
-        lead = np.repeat(cls[head], many)
-        keep = np.repeat(many > 1, many)
-        for i in range(0, int(keep.sum()), 1 << 17):
-            at = np.flatnonzero(keep)[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(cls[at]), pa.array(lead[at])], ["sig", "cls", "lead"])
+        many = np.repeat(np.diff(np.append(head, len(sig))), np.diff(np.append(head, len(sig))))
+        hot = many > FREQUENT
+        yield from rows(True, cls[hot], sig[hot], sig[hot] & 63, many[hot])
+        sig, cls = sig[~hot], cls[~hot]
+        found = []
+        for gap in range(1, FREQUENT):
+            same = np.flatnonzero(sig[gap:] == sig[:-gap])
+            if not len(same):
+                break
+            found.append((cls[same], cls[same + gap], sig[same] & 63))
+        if not found:
+            return
+        a, b, level = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((level, b, a))
+        a, b, level = a[order], b[order], level[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (level[1:] != level[:-1])]))
+        yield from rows(False, a[head], b[head], level[head], np.diff(np.append(head, len(a))))
 
-    return dealt.mapInArrow(run, "sig bigint, cls bigint, lead bigint")
+    return dealt.mapInArrow(run, "frequent boolean, a bigint, b bigint, level int, n int")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -239,23 +277,41 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     slices = partitions(spark)
-    own = stored(with_sets(docs, words), "sets")
-    dealt = with_signatures(docs, slices, words, percent)
-    dealt = dealt.repartitionById(slices, F.col("slice")) if hasattr(dealt, "repartitionById") else dealt.repartition(slices, "slice")
-    members = stored(shared_signatures(dealt), "members")
-
-    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    wanted = classes.join(members.select("cls").distinct(), "cls").select(F.col("first").alias("doc_id"))
-    wanted = stored(wanted, "wanted")
+    own = stored(with_sets(docs, words, percent), "sets")
+    dealt = with_signatures(docs, slices, words, percent).repartitionById(slices, F.col("slice"))
+    shared = stored(shared_signatures(dealt), "shared")
+
+    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("needs").alias("needs"))
+    classes = stored(classes, "classes")
+    frequent = shared.filter("frequent")
+    rest = frequent.groupBy("a", "level").agg(F.count("*").alias("lost")).withColumnRenamed("a", "cls")
+    need = classes.select("cls", "size", F.explode("needs").alias("x")).select("cls", "size", F.col("x.level").alias("level"), F.col("x.need").alias("need"))
+    # what a set must share with a similar one outside the frequent signatures
+    need = need.join(rest, ["cls", "level"], "left").select("cls", "size", "level", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need"))
+    prefix = classes.select("cls", "size", F.lit(PREFIX_LEVEL).alias("level"), F.lit(0).cast("long").alias("need"))
+    need = stored(need.unionByName(prefix), "need")
+
+    pairs = shared.filter("not frequent").groupBy("a", "b", "level").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(need.selectExpr("cls a", "level", "size size_a", "need need_a"), ["a", "level"]).filter("n >= need_a")
+    pairs = pairs.join(need.selectExpr("cls b", "level", "size size_b", "need need_b"), ["b", "level"]).filter("n >= need_b")
+    pairs = pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+
+    members = frequent.selectExpr("b sig", "a cls", "level").join(need.filter("need <= 0").select("cls", "level"), ["cls", "level"])
+    members = stored(members.select("sig", "cls"), "members")
+    leads = members.groupBy("sig").agg(F.min("cls").alias("lead"))
+    star = members.join(leads, "sig").filter("cls <> lead").selectExpr("lead a", "cls b").distinct()
+    tested = stored(pairs.unionByName(star).distinct(), "tested")
+
+    wanted = tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(members.select("cls")).distinct()
+    wanted = stored(classes.join(wanted, "cls").select(F.col("first").alias("doc_id")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= PAIRS_AT_ONCE else wanted
     sets = stored(sets_of(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["cls"]), "elements")
 
-    star = members.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(similar(star, sets, percent).select("a", "b"), "star")
-    tested = star
+    links = stored(similar(tested, sets, percent).select("a", "b"), "linked")
+    found = components(links)
     while True:
-        found = components(links)
-        open_ = members.select("sig", "cls").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        open_ = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
         open_ = open_.withColumn("component", F.coalesce("component", "cls"))
         mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.max("cls").alias("pivot")).filter("c0 <> c1")
         mixed = stored(mixed, "mixed")
@@ -264,19 +320,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             break
         open_ = stored(open_.join(mixed.select("sig", "pivot"), "sig"), "open")
         if total <= PAIRS_AT_ONCE:
-            other = open_.select("sig", F.col("cls").alias("b"), F.col("component").alias("cb"))
-            pairs = open_.select("sig", F.col("cls").alias("a"), F.col("component").alias("ca")).join(other, "sig").filter("a < b and ca <> cb")
+            other = open_.selectExpr("sig", "cls b", "component cb")
+            pairs = open_.selectExpr("sig", "cls a", "component ca").join(other, "sig").filter("a < b and ca <> cb")
+            members = members.limit(0)
         else:
             # one more member of each signature against all others; it then leaves the signature
             lead = open_.filter("cls = pivot").select("sig", F.col("component").alias("ca"))
-            pairs = open_.filter("cls <> pivot").join(lead, "sig").filter("component <> ca").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
+            pairs = open_.filter("cls <> pivot").join(lead, "sig").filter("component <> ca")
+            pairs = pairs.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
             members = stored(open_.filter("cls <> pivot").select("sig", "cls"), "members")
         pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.unionByName(similar(pairs, sets, percent).select("a", "b")), "linked")
-        if total <= PAIRS_AT_ONCE:
-            found = components(links)
-            break
         tested = stored(tested.unionByName(pairs), "tested")
+        found = components(links)
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
