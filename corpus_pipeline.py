@@ -1,13 +1,56 @@
-"""Corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run``
+writes every stage's result as Parquet into the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.llm._store import stored
+from postloom.llm.decontaminate import clean_documents
+from postloom.llm.jaccard import jaccard_components
+from postloom.llm.mixing import mix_documents
+from postloom.llm.quality import quality_filter
+from postloom.llm.sharding import shard_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without boilerplate lines."""
+    return quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the least doc_id."""
+    kept = jaccard_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with the benchmark."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights ask for, repeats included."""
+    return mix_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their virtual slot and shard."""
+    return shard_documents(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None  # the near-duplicate join and the seeded choice of documents have no SQL form
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+ORACLE_SQL = None  # the closure of the near-duplicate links has no SQL form on whole tables
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
