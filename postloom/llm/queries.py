@@ -13,6 +13,8 @@ from .mixing import mixed
 from .oracles import ORACLES
 from .quality import judged
 from .sharding import sharded
+from .token_files import token_files
+from .urls import judge_urls, spam_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +42,26 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, spam_list(pages)).drop("canonical")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mixing": op3_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sharding": op7_sharding,
+    "op8_url_filters": op8_url_filters,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
