@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_text import extracted
 from .jaccard import jaccard_components
 from .mixing import mixed
 from .oracles import ORACLES
@@ -30,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, F.array("source")).drop("pattern")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("text_hash", "removed")
 
@@ -57,6 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sharding": op7_sharding,
