@@ -81,7 +81,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in INLINE:
             continue
         runs.append((-1, ""))
-        if tag in VOID or tag in ("html", "head", "title"):
+        if tag in VOID or tag in ("html", "head", "title", "body"):
             continue
         links = 0
         if closing:
