@@ -202,14 +202,19 @@ def count_page(page: str, counts: Counter) -> None:
             counts[f, own[i]] += 1
 
 
-def fitted(counts: dict[tuple[str, int], float], least: float = 0.5) -> Model:
-    """Smoothed log ratios: how much likelier a feature is with content than without."""
+def fitted(counts: dict[tuple[str, int], float], least: float = 0.05, share: float = 0.6) -> Model:
+    """Smoothed log ratios: how much likelier a feature is with content than without.
+
+    Features without a name repeat from node to node, so only a share of their log ratio counts.
+    """
     n = [counts.get(("all", k), 0) + 1.0 for k in (0, 1)]
     weight = {}
     for f in {f for f, _ in counts}:
         if f != "all" and not f.startswith("pair="):
             c = [counts.get((f, k), 0) + least for k in (0, 1)]
             weight[f] = math.log(c[1] / n[1]) - math.log(c[0] / n[0])
+            if not f.startswith("name=") and min(counts.get((f, k), 0) for k in (0, 1)) > 0:
+                weight[f] *= share
     pair = []
     for k in (0, 1):
         c = [counts.get((f"pair={k}", j), 0) + 1.0 for j in (0, 1)]
@@ -286,7 +291,7 @@ _MENU = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("home", "news", "sp
 #: pages with labelled parts: content inside data-label="content", all else not
 LABELLED = (
     f'<body><header class="site-header" id="masthead"><div class="logo branding">Daily</div><nav class="main-menu navbar"><ul>{_MENU}</ul></nav></header>'
-    f'<main id="main"><article class="post entry"><div class="entry-content article-body" data-label="content"><h1>Title of it</h1><p>{_WORDS}</p><p>{_SHORT}</p><h2>More</h2><p>{_WORDS * 2}</p><blockquote>{_WORDS}</blockquote><ul><li>{_SHORT}</li><li>{_WORDS}</li></ul></div></article></main>'
+    f'<main id="main"><article class="post entry" data-label="content"><div class="entry-content article-body"><h1>Title of it</h1><p>{_WORDS}</p><p>{_SHORT}</p><h2>More</h2><p>{_WORDS * 2}</p><blockquote>{_WORDS}</blockquote><ul><li>{_SHORT}</li><li>{_WORDS}</li></ul></div></article></main>'
     f'<aside class="sidebar widget-area"><div class="widget related recommended"><h3>Related</h3><ul>{_MENU}</ul></div><div class="newsletter subscribe signup"><form><p>{_SHORT}</p></form></div></aside>'
     f'<section id="comments" class="comments comment-list reader"><h3>Comments</h3><div class="comment reply"><p>{_WORDS}</p></div><div class="comment"><p>{_SHORT}</p></div></section>'
     f'<footer class="site-footer" id="footer"><p>Copyright {_SHORT}</p><div class="social share"><ul>{_MENU}</ul></div></footer></body>',
