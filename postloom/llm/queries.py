@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .html_text import extracted
+from .interpolated_lm import scored
 from .jaccard import jaccard_components
 from .mixing import mixed
 from .oracles import ORACLES
@@ -52,6 +53,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, spam_list(pages)).drop("canonical")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_files": op10_token_files,
 }
 
