@@ -13,7 +13,7 @@ The need also keeps frequent passages cheap.  Signatures of few sets give pairs,
 of signatures they share.  A set that has fewer signatures in frequent ones than its need meets
 every similar set among the pairs, often enough to tell by the count; frequent signatures are
 worked off only between the other sets: all against the least, then, once links are closed to
-components, what still lies in different components.  Equal sets are one class.
+components, block by block what still lies in different components.  Equal sets are one class.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ PERCENT = 75
 PAIRS_AT_ONCE = 2_000_000
 FREQUENT = 20  # sets of one signature beyond which it counts as frequent
 PREFIX_LEVEL = 63
+BLOCK = 256
 
 
 def levels(size_limit: int = 2**31) -> np.ndarray:
@@ -267,6 +268,49 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.filter(F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * percent).select("a", "b", "common")
 
 
+def _links(own: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar sets of different components of one pair of blocks."""
+    cls, component, side, size = (own[c].to_numpy() for c in ("cls", "component", "side", "size"))
+    lists = own["elements"].combine_chunks()
+    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    at = at - at[0]
+    # a bit for each of 4096 hash values: sets differ in at least as many elements as bits
+    bits = np.zeros((len(cls), 4096), bool)
+    bits[np.repeat(np.arange(len(cls)), np.diff(at)), flat & 4095] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block against itself
+    out_a, out_b = [], []
+    for i in left:
+        other = right[(component[right] != component[i]) & ((side[i] != 2) | (cls[right] > cls[i]))]
+        apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
+        for j in other[apart * (100 + percent) <= (size[other] + size[i]) * (100 - percent)]:
+            common = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
+            if common * 100 >= (size[i] + size[j] - common) * percent:
+                out_a.append(cls[i])
+                out_b.append(cls[j])
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def between_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of similar sets that lie in one family but in different components.
+
+    ``rows``: cls, component, family, size, elements.  A family is cut into blocks of about
+    BLOCK sets, and every two of its blocks meet in a task of their own; what a task holds does
+    not follow the family.
+    """
+    count = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(count, "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "cls", "component", "size", "elements")
+
+    def run(own: pa.Table) -> pa.Table:
+        a, b = _links(own, percent)
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "a bigint, b bigint")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked by Jaccard similarity of word shingles.
 
@@ -309,30 +353,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = stored(sets_of(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["cls"]), "elements")
 
     links = stored(similar(tested, sets, percent).select("a", "b"), "linked")
-    found = components(links)
-    while True:
-        open_ = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        open_ = open_.withColumn("component", F.coalesce("component", "cls"))
-        mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.max("cls").alias("pivot")).filter("c0 <> c1")
-        mixed = stored(mixed, "mixed")
-        total = mixed.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-        if not total:
-            break
-        open_ = stored(open_.join(mixed.select("sig", "pivot"), "sig"), "open")
-        if total <= PAIRS_AT_ONCE:
-            other = open_.selectExpr("sig", "cls b", "component cb")
-            pairs = open_.selectExpr("sig", "cls a", "component ca").join(other, "sig").filter("a < b and ca <> cb")
-            members = members.limit(0)
-        else:
-            # one more member of each signature against all others; it then leaves the signature
-            lead = open_.filter("cls = pivot").select("sig", F.col("component").alias("ca"))
-            pairs = open_.filter("cls <> pivot").join(lead, "sig").filter("component <> ca")
-            pairs = pairs.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
-            members = stored(open_.filter("cls <> pivot").select("sig", "cls"), "members")
-        pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(similar(pairs, sets, percent).select("a", "b")), "linked")
-        tested = stored(tested.unionByName(pairs), "tested")
-        found = components(links)
+    found = stored(components(links), "found")
+    open_ = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    open_ = open_.withColumn("component", F.coalesce("component", "cls"))
+    mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("cls").alias("lead")).filter("c0 <> c1")
+    open_ = stored(open_.join(mixed.select("sig", "lead"), "sig"), "open")
+    if not open_.isEmpty():
+        families = components(open_.selectExpr("lead a", "cls b").filter("a <> b").distinct()).withColumnRenamed("component", "family")
+        rest = open_.select("cls", "component").distinct().join(families.withColumnRenamed("node", "cls"), "cls")
+        more = between_components(rest.join(sets, "cls"), percent)
+        found = components(links.unionByName(stored(more, "more")))
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
