@@ -12,7 +12,7 @@ allowed difference); two sets that could miss each other both do so, and share o
 The need also keeps frequent passages cheap.  Signatures of few sets give pairs, with the count
 of signatures they share.  A set that has fewer signatures in frequent ones than its need meets
 every similar set among the pairs, often enough to tell by the count; frequent signatures are
-worked off only between the other sets: all against the least, then, once links are closed to
+worked off only between the other sets: each against the least one that it shares most with, then, once links are closed to
 components, block by block what still lies in different components.  Equal sets are one class.
 """
 
@@ -159,7 +159,10 @@ def with_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
 
 def with_signatures(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(slice, cls, sigs): the signatures of each class and slice, once per piece of a batch."""
+    """(slice, cls, counts, sigs): a piece's signatures of a slice, those of a class once.
+
+    ``cls`` and ``counts`` say how many of ``sigs`` belong to which class, in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,15 +175,22 @@ def with_signatures(docs: DataFrame, slices: int, words: int = WORDS, percent: i
                 d, sig = signatures(np.where(once, size, 0), doc, s, percent)
                 if not len(d):
                     continue
-                part = (sig % np.uint64(slices)).astype(np.int64)
-                key = d * slices + part
+                key = (sig % np.uint64(slices)).astype(np.int64) * p.n_docs + d
                 order = np.argsort(key)
                 key, sig = key[order], sig[order].view(np.int64)
                 new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)).astype(np.int32)), pa.array(sig))
-                yield pa.RecordBatch.from_arrays([pa.array((key[new] % slices).astype(np.int32)), pa.array(cls[key[new] // slices]), lists], ["slice", "cls", "sigs"])
+                cut = np.searchsorted(key[new] // p.n_docs, np.arange(slices + 1))
+                some = np.flatnonzero(np.diff(cut))
+                groups = pa.array(np.append(cut[some], len(new)).astype(np.int32))
+                columns = [
+                    pa.array(some.astype(np.int32)),
+                    pa.ListArray.from_arrays(groups, pa.array(cls[key[new] % p.n_docs])),
+                    pa.ListArray.from_arrays(groups, pa.array(np.diff(np.append(new, len(key))).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.append(new, len(key))[np.append(cut[some], len(new))].astype(np.int32)), pa.array(sig)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "cls", "counts", "sigs"])
 
-    return docs.select("text").mapInArrow(run, "slice int, cls bigint, sigs array<bigint>")
+    return docs.select("text").mapInArrow(run, "slice int, cls array<bigint>, counts array<int>, sigs array<bigint>")
 
 
 def shared_signatures(dealt: DataFrame) -> DataFrame:
@@ -202,9 +212,8 @@ def shared_signatures(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners = [], []
         for b in batches:
-            lists = b.column(2)
-            sigs.append(lists.flatten().to_numpy())
-            owners.append(np.repeat(b.column(1).to_numpy(), np.diff(lists.offsets.to_numpy())))
+            sigs.append(b.column(3).flatten().to_numpy())
+            owners.append(np.repeat(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()))
         if not sigs:
             return
         sig, cls = np.concatenate(sigs), np.concatenate(owners)
@@ -344,7 +353,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members = frequent.selectExpr("b sig", "a cls", "level").join(need.filter("need <= 0").select("cls", "level"), ["cls", "level"])
     members = stored(members.select("sig", "cls"), "members")
     leads = members.groupBy("sig").agg(F.min("cls").alias("lead"))
-    star = members.join(leads, "sig").filter("cls <> lead").selectExpr("lead a", "cls b").distinct()
+    star = members.join(leads, "sig").filter("cls <> lead").groupBy("lead", "cls").agg(F.count("*").alias("n"))
+    star = star.groupBy(F.col("cls").alias("b")).agg(F.max_by("lead", F.struct("n", "lead")).alias("a")).select("a", "b")
     tested = stored(pairs.unionByName(star).distinct(), "tested")
 
     wanted = tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(members.select("cls")).distinct()
