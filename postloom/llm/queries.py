@@ -13,6 +13,7 @@ from .interpolated_lm import scored
 from .jaccard import jaccard_components
 from .mixing import mixed
 from .oracles import ORACLES
+from .passages import repeated_passages
 from .quality import judged
 from .sharding import sharded
 from .token_files import token_files
@@ -27,6 +28,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixed(docs, F.array("source")).drop("pattern")
@@ -66,6 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_passages": op2_passages,
     "op3_mixing": op3_mixing,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
