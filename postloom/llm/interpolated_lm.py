@@ -28,6 +28,7 @@ from ._words import Piece, mix, pieces
 
 BEGIN, END, RARE, FIRST = 0, 1, 2, 3  # ids before those of words
 TRAIN, TUNE, HELD = 0, 1, 2
+SLICES_PER_PARTITION = 4  # keeps a task's share of the tokens small
 STEPS = 8  # likelihood ratios are told apart by eighths of a power of two when weights are learned
 
 
@@ -335,7 +336,7 @@ def scored(docs: DataFrame, lm: Lm = Lm()) -> DataFrame:
     estimate.  Further columns are left aside.
     """
     spark = docs.sparkSession
-    slices = partitions(spark)
+    slices = SLICES_PER_PARTITION * partitions(spark)
     words = stored(word_counts(docs, lm), "words")
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(lm.folds))
     n = docs.agg(F.count_if(fold != lm.held_fold).alias("train"), F.count_if((fold != lm.held_fold) & (fold != lm.tune_fold)).alias("without")).first()
