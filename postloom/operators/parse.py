@@ -18,6 +18,7 @@ def parse_address(df: DataFrame, raw: str = "raw") -> DataFrame:
     ties go to the longer and then to the earlier one.  Null counts as empty.
     """
     cleaned = T.trimmed(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\r", ""))
+    kept = df.columns
     df = df.withColumn("_text", cleaned)
     df = df.withColumn("_lines", F.filter(F.transform(F.split("_text", "\n"), T.trimmed), lambda x: x != ""))
     with_city = F.array_position(F.transform("_lines", lambda x: x.rlike(T.POSTCODE_CITY)), F.lit(True))
@@ -43,7 +44,9 @@ def parse_address(df: DataFrame, raw: str = "raw") -> DataFrame:
     df = df.withColumn("street", street).withColumn("houseNumber", house).withColumn("houseLetter", letter)
     lookup, match = T.keys(F.col("street"), F.col("houseNumber"), F.col("houseLetter"), F.col("postcode"))
     df = df.withColumn("lookupKey", lookup).withColumn("matchKey", match)
-    return df.drop("_text", "_lines", "_pc_city", "_pc_free", "_at", "_pc_line", "_best", "_segment")
+    # through a generator: filters on the keys would else be pushed below all that makes them, step within step
+    made = ["display", "street", "houseNumber", "houseLetter", "postcode", "city", "lookupKey", "matchKey"]
+    return df.select(*[c for c in kept if c not in made], F.inline(F.array(F.struct(*made))))
 
 
 def with_context(street_line, postcode, city):  # noqa: ANN001, ANN201
