@@ -18,8 +18,8 @@ from postloom.llm.sharding import shard_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without boilerplate lines."""
-    return quality_filter(docs)
+    """Documents that pass the rules, without boilerplate lines; n_chars follows the text."""
+    return quality_filter(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
