@@ -209,10 +209,57 @@ ORACLES |= {
       l0 AS ({length('gg', 'position')}), l1 AS ({length('gg', 'grouped')})
       SELECT gg.tour_id, id, CASE WHEN l1.m <= l0.m * CAST(1.12 AS DOUBLE) + 2000 THEN grouped ELSE position END AS position FROM gg JOIN l0 ON l0.tour_id = gg.tour_id JOIN l1 ON l1.tour_id = gg.tour_id""",
     "p24_validate_stops": f"""WITH {S.POINTS}, x AS (SELECT *, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS job, count(*) OVER (PARTITION BY tour_id) AS n, CASE WHEN custkey % 41 = 0 THEN 95.0 ELSE lat END AS la FROM points)
-      SELECT tour_id, job, CASE WHEN n > 48 THEN 'too many stops' WHEN la IS NULL OR la > 90 OR lng IS NULL THEN 'bad location' END AS reason, CASE WHEN custkey % 130 <= 100 THEN custkey % 130 END AS priority, city AS "group" FROM x""",
-    "s12_export_jobs": f"""WITH {S.POINTS} SELECT tour_id, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS job, id, CASE WHEN has_parcel THEN 100 END AS priority, postcode || '|' || lower(city) AS "group" FROM points WHERE lat IS NOT NULL""",
+      SELECT tour_id, job, CASE WHEN n > 48 THEN 'too many stops' WHEN la IS NULL OR la > 90 OR lng IS NULL THEN 'bad location' END AS reason, CASE WHEN custkey % 130 <= 100 THEN custkey % 130 ELSE -1 END AS priority, city AS "group" FROM x""",
+    "s12_export_jobs": f"""WITH {S.POINTS} SELECT tour_id, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS job, id, CASE WHEN has_parcel THEN 100 ELSE -1 END AS priority, postcode || '|' || lower(city) AS "group" FROM points WHERE lat IS NOT NULL""",
     "j12_stop_pairs": f"WITH {NODES} SELECT tour_id, n, i, j, CAST(round(meters) AS BIGINT) AS meters FROM pairs",
     "j13_fill_matrix": f"WITH {NODES} SELECT tour_id, count(*) AS n_pairs, CAST(round(sum(CASE WHEN (i + j) % 23 <> 0 THEN meters * (CAST(1.2 AS DOUBLE) + (i * 31 + j * 17) % 10 * CAST(0.03 AS DOUBLE)) ELSE meters END) / 1000) AS BIGINT) AS km FROM pairs GROUP BY tour_id",
     "t3_latest_status": f"WITH x AS (SELECT user_id AS item_id, {STATUS} AS status, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) SELECT item_id, status, CASE WHEN status <> 'pending' THEN ts END AS \"deliveredAt\" FROM x WHERE r = 1",
     "t4_status_counts": f"SELECT {STATUS} AS status, count(*) AS n FROM events GROUP BY 1",
 }
+
+SYSTEM = rf"(?i)^{T.SYSTEM_LINE}\b"
+COUNTER = r"\b\d{1,4}\s*/\s*\d{1,4}\b"
+
+
+def noise(x: str) -> str:
+    return (
+        rf"({x} = '' OR regexp_matches({x}, '{SYSTEM}') OR regexp_matches({x}, '^\s*\d{{1,3}}\s*[-–]\s*\d{{1,3}}\s*$') OR regexp_matches({x}, '(?i)^{T.DEVICE_WORDS}\b')"
+        rf" OR (regexp_matches({x}, '{COUNTER}') AND NOT regexp_matches(regexp_replace({x}, '{COUNTER}', '', 'g'), '[{T.LETTER}]')) OR regexp_matches({x}, '^\d{{1,2}}$') OR NOT regexp_matches({x}, '[{T.LETTER}0-9]'))"
+    )
+
+
+def strip_code(x: str) -> str:
+    return S.trimmed(rf"regexp_replace({x}, '^(.*\d+[a-zA-Z]?)\s+\d{{1,3}}\s*[-–]\s*\d{{1,3}}\s*$', '\1')")
+
+
+def start(x: str) -> str:
+    return rf"length(regexp_replace(regexp_extract({strip_code(x)}, '^(.+?)[\s.,]*\d+\s*[a-zA-Z]?$', 1), '[^{T.LETTER}]', '', 'g')) >= 2"
+
+
+def blocks(source: str, order: str) -> str:
+    """Address blocks of rows (photo_id, block_no, line)."""
+    return rf"""SELECT photo_id, block_no, raw FROM (
+      SELECT photo_id, block_no, string_agg(line, chr(10) ORDER BY {order}) AS raw, bool_or({score('line')} > 0) AS street, bool_and(regexp_matches(line, '{SYSTEM}')) AS chrome FROM {source} GROUP BY photo_id, block_no)
+      WHERE NOT chrome AND regexp_matches(raw, '[{T.LETTER}]') AND regexp_matches(raw, '\d') AND (street OR regexp_matches(raw, '{POSTCODE}'))"""
+
+
+def nav(navigator: str, front: str, back: str) -> str:
+    return f"SELECT '{navigator}' AS navigator, '{front}' || url_encode(label) || '{back}' AS url FROM labelled"
+
+
+ORACLES |= {
+    "p23_address_starts": f"WITH {S.LINES} SELECT photo_id, count(*) FILTER (WHERE {noise('text')}) AS n_noise, count(*) FILTER (WHERE {start('text')}) AS n_starts, count(*) AS n_lines FROM lines GROUP BY photo_id",
+    "g1_split_by_postcode": rf"""WITH {S.LINES}, x AS (SELECT photo_id, line_no, {S.trimmed('text')} AS line FROM lines WHERE line_no >= 0 AND text <> '81-11'),
+      y AS (SELECT *, CAST(coalesce(sum(CAST(regexp_matches(line, '{POSTCODE}') AS INT)) OVER (PARTITION BY photo_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_no FROM x WHERE line <> '' AND NOT regexp_matches(line, '{SYSTEM}'))
+      {blocks('y', 'line_no')}""",
+    "g3_device_cards": rf"""WITH {S.LINES}, x AS (SELECT *, {S.trimmed('text')} AS t, min("left") OVER w AS lo, max("left" + width) OVER w AS hi, max(width) OVER w > 0 AS wide FROM lines WHERE mode = 'device' AND {S.trimmed('text')} <> '' WINDOW w AS (PARTITION BY photo_id)),
+      y AS (SELECT photo_id, top, line_no, {strip_code('t')} AS line FROM x WHERE NOT (wide AND "left" > lo + (hi - lo) * CAST(0.62 AS DOUBLE) AND length(regexp_replace(t, '[^{T.LETTER}]', '', 'g')) < 3) AND NOT {noise('t')}),
+      z AS (SELECT *, CAST(sum(CAST({start('line')} AS INT)) OVER (PARTITION BY photo_id ORDER BY top, line_no) AS BIGINT) AS block_no FROM y), cards AS (SELECT * FROM z WHERE block_no > 0)
+      {blocks('cards', 'top, line_no')}""",
+    "s9_nav_links": f"""WITH {S.POINTS}, labelled AS (SELECT street || ' ' || "houseNumber" || ', ' || trim(postcode || ' ' || city) AS label FROM points),
+      urls AS ({nav('google', 'https://www.google.com/maps/dir/?api=1&destination=', '&travelmode=driving')} UNION ALL {nav('waze', 'https://waze.com/ul?q=', '&navigate=yes')} UNION ALL {nav('apple', 'https://maps.apple.com/?daddr=', '&dirflg=d')})
+      SELECT navigator, count(*) AS n, min(url) AS first_url, max(url) AS last_url FROM urls GROUP BY navigator""",
+    "s2_load_gazetteer": f"""WITH {S.GAZ}, k AS (SELECT *, CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT) AS ck FROM gaz),
+      r AS (SELECT ck * 2 + CASE WHEN starts_with(id, 'way') THEN 1 ELSE 0 END AS row_no, CASE WHEN ck % 2 = 0 THEN id ELSE 'node/' || ck END AS id0, "lookupKey" FROM k)
+      SELECT row_no, CASE WHEN row_number() OVER (PARTITION BY id0 ORDER BY row_no) > 1 THEN id0 || '#' || row_no ELSE id0 END AS id, "lookupKey", 'street' AS "addressKind" FROM r""",
+}

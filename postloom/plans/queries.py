@@ -302,13 +302,13 @@ def w6_consolidate_localities(spark: SparkSession, d: str) -> DataFrame:
 def p24_validate_stops(spark: SparkSession, d: str) -> DataFrame:
     own = V.points(spark, d).withColumn("job", F.row_number().over(Window.partitionBy("tour_id").orderBy("id")).cast("long"))
     own = own.select("tour_id", "job", F.when(F.col("custkey") % 41 == 0, 95.0).otherwise(F.col("lat")).alias("lat"), "lng", (F.col("custkey") % 130).alias("priority"), F.concat(F.lit(" "), "city").alias("group"))
-    return routes.validate_stops(own)
+    return routes.validate_stops(own).fillna(-1, ["priority"])
 
 
 @query
 def s12_export_jobs(spark: SparkSession, d: str) -> DataFrame:
     own = V.points(spark, d).withColumn("priority", F.col("has_parcel")).withColumn("group", pts.locality_group(F.col("postcode"), F.col("city")))
-    return routes.export_jobs(own).select("tour_id", "job", "id", "priority", "group")
+    return routes.export_jobs(own).select("tour_id", "job", "id", "priority", "group").fillna(-1, ["priority"])
 
 
 @query

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def con(sf):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
+    return sorted(tuple("NULL" if pd.isna(v) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", OWN)

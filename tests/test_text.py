@@ -54,10 +54,10 @@ def test_device_cards(spark):
 
 
 def test_blocks_end_at_postcodes_and_wide_gaps(spark):
-    rows = [("PAKETLISTE 30 Pakete", 0), ("Anna", 200), ("Hauptstr. 1", 220), ("Bert", 300), ("Ringweg 2", 320), ("Carl", 400), ("Seeweg 3", 420)]
+    rows = [("PAKETLISTE 30 Pakete", 0), ("Anna", 200), ("Hauptstr. 1", 220), ("Hof", 240), ("Bert", 320), ("Ringweg 2", 340), ("Hof", 360), ("Carl", 440), ("Seeweg 3", 460), ("Hof", 480)]
     lines = spark.createDataFrame([(1, i, x, float(t), 18.0) for i, (x, t) in enumerate(rows)], "photo_id int, line_no int, text string, top double, height double")
     got = [r["raw"] for r in parse.split_by_gap(lines, ["photo_id"]).orderBy("block_no").collect()]
-    assert got == ["Anna\nHauptstr. 1", "Bert\nRingweg 2", "Carl\nSeeweg 3"]
+    assert got == ["Anna\nHauptstr. 1\nHof", "Bert\nRingweg 2\nHof", "Carl\nSeeweg 3\nHof"]
 
 
 def test_receiver_is_not_the_sender(spark):
