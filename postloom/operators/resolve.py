@@ -142,3 +142,62 @@ def confidence(parsed: DataFrame, gaz: DataFrame, quality: DataFrame | None = No
     level = F.when(F.col("reason").isin("index", "exact"), "green").when(F.col("reason") == "unparsed", "red").otherwise("yellow")
     hint = F.when(F.col("reason") == "street-missing", F.col("suggestion"))
     return own.select(key, level.alias("confidence"), "reason", "canonicalId", (F.col("outcome") == "resolved").alias("resolved"), F.when(F.col("outcome") == "ambiguous", F.col("n")).otherwise(0).cast("long").alias("n_candidates"), hint.alias("suggestion"))
+
+
+def geocode_query_text(street: Column, house: Column, letter: Column, postcode: Column, city: Column, raw: Column) -> Column:
+    """The text to look an address up by; the raw text when nothing was parsed."""
+    line = F.trim(F.concat(street, F.lit(" "), house, letter))
+    text = F.trim(F.concat_ws(" ", F.nullif(F.when(street != "", line), F.lit("")), F.nullif(postcode, F.lit("")), F.nullif(city, F.lit(""))))
+    return F.when(text != "", text).otherwise(F.trim(raw))
+
+
+def geocode_fallback(scans: DataFrame, cache: DataFrame, area: P.Area | None = None, key: str = "scan_id") -> DataFrame:
+    """(key, is_cached, lat, lng): earlier look-ups of scans by matchKey; results without coordinates count too.
+
+    Only a scan without postcode is bound to the area.
+    """
+    from ..functions.geo import within_area
+
+    own = scans.select(key, "matchKey", "postcode").join(cache.select("matchKey", "lat", "lng", F.lit(True).alias("hit")), "matchKey", "left")
+    fits = (F.col("postcode") != "") | within_area(F.col("lat"), F.col("lng"), area)
+    at = lambda c: F.when(fits, F.col(c)).alias(c)
+    return own.select(key, F.coalesce("hit", F.lit(False)).alias("is_cached"), at("lat"), at("lng"))
+
+
+def committable(scans: DataFrame) -> DataFrame:
+    """Selected scans with an identity and no open candidates."""
+    return scans.filter((F.col("selected")) & ((F.coalesce("canonicalId", F.lit("")) != "") | (F.coalesce("matchKey", F.lit("")) != "")) & (F.col("n_candidates") == 0))
+
+
+def apply_choices(scans: DataFrame, choices: DataFrame, gaz: DataFrame, quality: DataFrame, key: str = "scan_id") -> DataFrame:
+    """Ambiguous scans closed by a chosen record: (key, canonicalId, postcode, city, matchKey, lat, lng, confidence)."""
+    record = gaz.select(F.col("id").alias("record_id"), "postcode", "city", "lat", "lng").join(quality.select(F.col("id").alias("record_id"), "suspicious"), "record_id", "left")
+    own = scans.select(key, "lookupKey").join(choices, key).join(record, "record_id")
+    match = F.when(F.col("postcode") != "", F.concat("lookupKey", F.lit("|"), "postcode")).otherwise(F.col("lookupKey"))
+    return own.select(key, F.concat(F.lit("index:"), "record_id").alias("canonicalId"), "postcode", "city", match.alias("matchKey"), "lat", "lng", F.when(F.coalesce("suspicious", F.lit(False)), "yellow").otherwise("green").alias("confidence"))
+
+
+def migrate_points(points: DataFrame, gaz: DataFrame) -> DataFrame:
+    """Points with their identity found again in the index and coordinates healed unless set by hand.
+
+    A point that the index does not know keeps a confirmed identity and else falls back to its key.
+    """
+    own = points.withColumn("_lookup", F.substring_index(F.coalesce("matchKey", F.lit("")), "|", 2))
+    scans = own.select(F.col("id").alias("scan_id"), F.col("_lookup").alias("lookupKey"), "matchKey", "postcode", "city")
+    found = resolve(scans, gaz).filter("outcome = 'resolved'").select(F.col("scan_id").alias("id"), F.col("canonicalId").alias("_c"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "record_matchKey", "record_postcode", "record_city")
+    own = own.join(found, "id", "left")
+    hit, manual = F.col("_c").isNotNull(), F.coalesce("coordinateManual", F.lit(False))
+    pick = lambda new, old: F.when(hit & (F.coalesce(F.col(new), F.lit("")) != ""), F.col(new)).otherwise(F.col(old))
+    heal = lambda new, old: F.when(hit & ~manual & F.col("_lat").isNotNull(), F.col(new)).otherwise(F.col(old))
+    confirmed = F.coalesce("canonicalResolved", F.lit(False))
+    fallback = F.when(F.coalesce("matchKey", F.lit("")) != "", F.col("matchKey")).otherwise(F.col("_lookup"))
+    made = {
+        "canonicalId": F.when(hit, F.col("_c")).when(confirmed, F.col("canonicalId")).otherwise(fallback),
+        "canonicalResolved": hit | confirmed,
+        "matchKey": pick("record_matchKey", "matchKey"),
+        "postcode": pick("record_postcode", "postcode"),
+        "city": pick("record_city", "city"),
+        "lat": heal("_lat", "lat"),
+        "lng": heal("_lng", "lng"),
+    }
+    return own.select(*[made.get(c, F.col(c)).alias(c) for c in points.columns])

@@ -263,3 +263,43 @@ ORACLES |= {
       r AS (SELECT ck * 2 + CASE WHEN starts_with(id, 'way') THEN 1 ELSE 0 END AS row_no, CASE WHEN ck % 2 = 0 THEN id ELSE 'node/' || ck END AS id0, "lookupKey" FROM k)
       SELECT row_no, CASE WHEN row_number() OVER (PARTITION BY id0 ORDER BY row_no) > 1 THEN id0 || '#' || row_no ELSE id0 END AS id, "lookupKey", 'street' AS "addressKind" FROM r""",
 }
+
+
+POINT_IDS = f"""{S.POINTS},
+{GAZ_ONLY},
+{KEPT},
+cand AS (SELECT s.id AS pid, s."matchKey", p.id AS record_id, p.n_raw, coalesce(s.postcode <> '' AND p.postcode = s.postcode, false) AS is_pc, coalesce(p.city_norm = {S.norm_city('s.city')}, false) AS is_city
+  FROM points s LEFT JOIN pool p ON p."lookupKey" = s."lookupKey"),
+counted AS (SELECT *, count(record_id) OVER w AS n_pool, sum(CAST(is_pc AS INT)) OVER w AS n_pc, sum(CAST(is_city AS INT)) OVER w AS n_city, sum(CAST(is_pc AND is_city AS INT)) OVER w AS n_agree FROM cand WINDOW w AS (PARTITION BY pid)),
+narrowed AS (
+  SELECT *, n_raw > 1 AND n_pool > 1 AS several, n_pc > 0 AND n_city > 0 AND n_agree = 0 AS conflict FROM counted
+  WHERE CASE WHEN record_id IS NULL OR NOT (n_raw > 1 AND n_pool > 1) THEN true WHEN n_pc > 0 AND n_city > 0 AND n_agree = 0 THEN is_pc OR is_city
+    WHEN n_agree > 0 THEN is_pc AND is_city WHEN n_pc > 0 THEN is_pc WHEN n_city > 0 THEN is_city ELSE true END),
+hit AS (SELECT pid, record_id FROM (SELECT *, count(record_id) OVER (PARTITION BY pid) AS n_kept FROM narrowed) WHERE n_pool > 0 AND (NOT several OR (n_kept = 1 AND NOT conflict)))"""
+
+CACHE = f"""cache0 AS (SELECT s_suppkey AS s, {S.norm_street(S._list(S.STREETS) + "[s_suppkey % 12 + 1]")} || '|' || (s_suppkey % 20 + 501) AS "matchKey", CASE WHEN s_suppkey % 7 <> 0 THEN CAST(53.0 AS DOUBLE) + s_suppkey * CAST(0.01 AS DOUBLE) END AS lat, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(12.9 AS DOUBLE) + s_suppkey * CAST(0.01 AS DOUBLE) END AS lng FROM supplier),
+cache AS (SELECT "matchKey", lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY "matchKey" ORDER BY s) AS r FROM cache0) WHERE r = 1)"""
+INSIDE = "abs(lat - 53.6) <= 40.0 / 111 AND abs(lng - 13.3) <= 40.0 / (111 * greatest(CAST(0.2 AS DOUBLE), cos(radians(CAST(53.6 AS DOUBLE)))))"
+PLACE = """CASE WHEN resolved THEN "canonicalId" WHEN "lookupKey" <> '' THEN "lookupKey" || '#' || postcode END"""
+SIGNED = f"SELECT tour_id, '{int(BASE_LAT * 100000 + 0.5)},{int(BASE_LNG * 100000 + 0.5)}#' || string_agg(id || ':' || {five('lat', 'lng')}, '|' ORDER BY position) AS signature FROM ordered GROUP BY tour_id"
+
+ORACLES |= {
+    "j6_geocode_fallback": f"""WITH {PARSED}, {CACHE}, x AS (SELECT c."matchKey" IS NOT NULL AS is_cached, lat IS NOT NULL AND (p.postcode <> '' OR ({INSIDE})) AS located FROM parsed p LEFT JOIN cache c ON c."matchKey" = p."matchKey")
+      SELECT is_cached, located, count(*) AS n_scans FROM x GROUP BY ALL""",
+    "p32_geocode_query_text": f"""WITH {PARSED} SELECT scan_id, trim(regexp_replace(street || ' ' || "houseNumber" || "houseLetter" || ' ' || postcode || ' ' || city, ' +', ' ', 'g')) AS query FROM parsed""",
+    "p19_point_label": f"""WITH {S.POINTS} SELECT id, street || ' ' || "houseNumber" || ', ' || trim(postcode || ' ' || city) AS label, postcode || '|' || lower(city) AS locality FROM points""",
+    "j14_skip_known": f"WITH {SCAN_IDS}, k AS (SELECT *, {PLACE} AS k FROM ids) SELECT scan_id FROM k WHERE scan_id % 2 = 0 AND (k IS NULL OR k NOT IN (SELECT k FROM k WHERE scan_id % 2 = 1 AND k IS NOT NULL))",
+    "j9_migrate_points": f"""WITH {POINT_IDS} SELECT p.id, CASE WHEN hit.pid IS NOT NULL THEN 'index:' || record_id ELSE p."matchKey" END AS "canonicalId", hit.pid IS NOT NULL AS "canonicalResolved" FROM points p LEFT JOIN hit ON hit.pid = p.id""",
+    "r7_provider_ladder": f"WITH {S.POINTS}, x AS (SELECT tour_id, count(*) AS n FROM points GROUP BY 1) SELECT tour_id, CASE WHEN tour_id % 3 = 0 AND n <= 48 THEN 'ors' WHEN tour_id % 2 = 0 AND n <= 100 THEN 'osrm' WHEN tour_id % 5 = 0 THEN 'trip' ELSE 'straight' END AS provider FROM x",
+    "r6_apply_external_order": f"""WITH {S.POINTS}, j AS (SELECT tour_id, id, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS job FROM points WHERE lat IS NOT NULL)
+      SELECT tour_id, id, row_number() OVER (PARTITION BY tour_id ORDER BY job DESC) AS position, tour_id % 4 <> 0 AS complete FROM j WHERE NOT (tour_id % 4 = 0 AND job = 1)""",
+    "w7_stale_routes": f"""WITH {ORDERED}, s AS ({SIGNED}), l AS ({length('ordered', 'position')}), x AS (SELECT s.tour_id, coalesce(m, 0) AS m, s.tour_id % 2 = 0 AND s.tour_id % 5 <> 0 AS holds FROM s LEFT JOIN l ON l.tour_id = s.tour_id)
+      SELECT tour_id, CAST(round(CASE WHEN holds THEN tour_id + 1000 ELSE m END) AS BIGINT) AS meters, NOT holds AS stale FROM x""",
+    "r10_push_route": f"""WITH {S.POINTS}, t AS (SELECT DISTINCT tour_id FROM points),
+      st AS (SELECT tour_id, 'straight' AS provider, 2 AS version, 'current' AS slot FROM t WHERE tour_id % 2 = 0 UNION ALL SELECT tour_id, 'osrm', 1, 'previous' FROM t WHERE tour_id % 2 = 0
+        UNION ALL SELECT tour_id, 'osrm', 1, 'current' FROM t WHERE tour_id % 2 = 1 UNION ALL SELECT tour_id, 'ors', 0, 'previous' FROM t WHERE tour_id % 2 = 1 AND tour_id % 3 = 0)
+      SELECT tour_id, provider, version, CASE WHEN bool_or(slot = 'previous') OVER (PARTITION BY tour_id) THEN CASE slot WHEN 'current' THEN 'previous' ELSE 'current' END ELSE slot END AS slot FROM st""",
+    "o5_legacy_order": f"WITH {S.POINTS} SELECT tour_id, string_agg(id, ',' ORDER BY custkey % 7, id) AS ids FROM points WHERE custkey % 4 <> 0 AND tour_id % 2 = 1 GROUP BY tour_id",
+    "t2_stream_dedupe": f"WITH {SCAN_IDS} SELECT DISTINCT tour_id, coalesce({PLACE}, 'row:' || scan_id) AS place FROM ids",
+    "t3_stream_status": ORACLES["t3_latest_status"],
+}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.parse import parse_address
 from ..operators.points import dedupe_key
@@ -44,5 +45,5 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     query.awaitTermination()
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
