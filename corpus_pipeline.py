@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm._store import stored
+from postloom.llm._store import small_enough, stored
 from postloom.llm.decontaminate import clean_documents
 from postloom.llm.jaccard import jaccard_components
 from postloom.llm.mixing import mix_documents
@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the least doc_id."""
-    kept = jaccard_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    copies = jaccard_components(docs).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    copies = small_enough(stored(copies, "copies"), 16)
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["copy_id"]), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import BROADCAST_BYTES, ascii_lower
+from ._store import BROADCAST_BYTES, ascii_lower, small_enough, stored
 
 WINDOW = 10
 GRAM = 5
@@ -113,5 +113,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit word, all columns as they are (rows with a null doc_id too)."""
-    dirty = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
+    dirty = small_enough(stored(contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct(), "dirty"), 16)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import stored
+from ._store import small_enough, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -36,11 +36,14 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
-    """Each source's quota: its weight's share of all, at most ``max_passes`` times its size."""
+def targets(sizes: dict[str | None, int], mix: Mix, total: int | None = None) -> dict[str | None, float]:
+    """Each source's quota: its weight's share of all, at most ``max_passes`` times its size.
+
+    ``total``: words of all documents, less than the sum of the sizes where sources overlap.
+    """
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
-    left = sum(sizes.values()) * mix.share_percent / 100
+    left = (sum(sizes.values()) if total is None else total) * mix.share_percent / 100
     out, open_ = {}, sorted(names, key=lambda s: mix.max_passes * sizes[s] / weight[s])
     while open_:
         s = open_[0]
@@ -146,8 +149,7 @@ def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
     for p, size in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + size
-    own_total = sum(patterns.values())
-    quotas = targets(sizes, mix) if len(patterns) == len(sizes) else _scaled(sizes, own_total, mix)
+    quotas = targets(sizes, mix, sum(patterns.values()))
     flow = route(patterns, quotas, mix.max_passes)
     rows = []
     for r in found:
@@ -163,17 +165,9 @@ def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
     return out.select("doc_id", "pattern", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).cast("long").alias("taken"))
 
 
-def _scaled(sizes: dict, total: int, mix: Mix) -> dict:
-    """Quotas of overlapping sources: their shares count against the documents' own total."""
-    quotas = targets(sizes, mix)
-    all_ = sum(quotas.values())
-    scale = min(1.0, total * mix.share_percent / 100 / all_) if all_ else 1.0
-    return {s: q * scale for s, q in quotas.items()}
-
-
 def mix_documents(docs: DataFrame, source: str = "source", mix: Mix = Mix()) -> DataFrame:
     """The documents that the mix takes, once for each time, all columns as they are."""
     plan = mixed(docs, F.array(F.col(source)), mix).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    plan = plan.dropDuplicates(["taken_id"])
+    plan = small_enough(stored(plan.dropDuplicates(["taken_id"]), "taken"), 24)
     both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["taken_id"]))
     return both.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

@@ -154,9 +154,14 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def quality_filter(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The kept documents; boilerplate lines are cut out of their texts, all other columns stay."""
-    verdict = judged(docs, host, rules).filter("kept").select(F.col("doc_id").alias("kept_id"), "removed").dropDuplicates(["kept_id"])
-    both = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["kept_id"]))
-    changed = F.size("removed") > 0
-    text = F.when(changed, without_lines(F.when(changed, F.col("text")).otherwise(""), F.col("removed"))).otherwise(F.col("text"))
+    """The kept documents; boilerplate lines are cut out of their texts, all other columns stay.
+
+    Only rejected and cut documents are joined back, so the others' texts need not move.
+    """
+    verdict = judged(docs, host, rules).filter(~F.col("kept") | (F.size("removed") > 0)).select(F.col("doc_id").alias("judged_id"), "kept", "removed", F.lit(True).alias("judged"))
+    verdict = small_enough(stored(verdict.dropDuplicates(["judged_id"]), "verdict"), 200)
+    both = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["judged_id"]), "left").filter(F.coalesce("kept", F.lit(True)))
+    changed = F.col("judged").isNotNull()
+    none = F.array().cast("array<bigint>")
+    text = F.when(changed, without_lines(F.when(changed, F.col("text")).otherwise(""), F.coalesce("removed", none))).otherwise(F.col("text"))
     return both.withColumn("text", text).select(*docs.columns)
