@@ -28,7 +28,9 @@ from ._words import Piece, mix, pieces
 
 BEGIN, END, RARE, FIRST = 0, 1, 2, 3  # ids before those of words
 TRAIN, TUNE, HELD = 0, 1, 2
-SLICES_PER_PARTITION = 4  # keeps a task's share of the tokens small
+SLICES_PER_PARTITION = 2  # keeps a task's share of the tokens small
+ID_BITS = 20  # a bigram is two ids in five bytes
+ID_MASK = (1 << ID_BITS) - 1
 STEPS = 8  # likelihood ratios are told apart by eighths of a power of two when weights are learned
 
 
@@ -37,7 +39,7 @@ class Lm:
     folds: int = 7
     held_fold: int = 2  # never learned from
     tune_fold: int = 3  # of the training documents, those whose counts the weights are fitted to
-    vocabulary: int = 1 << 20
+    vocabulary: int = (1 << ID_BITS) - FIRST  # at most
     rounds: int = 30
 
 
@@ -128,6 +130,8 @@ class Vocabulary:
 
 def vocabulary(words: DataFrame, docs: tuple[int, int], lm: Lm) -> Vocabulary:
     """``docs``: training documents, and those without the tuning part."""
+    if lm.vocabulary > (1 << ID_BITS) - FIRST:
+        raise ValueError(f"ids have {ID_BITS} bits")
     by_count = words.groupBy("n").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.sum("n_train").alias("train"))
     rows = sorted(((r["n"], r["types"], r["tokens"], r["train"]) for r in by_count.collect()), reverse=True)  # one row a count: few
     held, least = 0, None
@@ -145,7 +149,7 @@ def vocabulary(words: DataFrame, docs: tuple[int, int], lm: Lm) -> Vocabulary:
 
 
 def _bigrams(p: Piece, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, context << 32 | word) of every token, ends included."""
+    """(text, context and word in one number) of every token, ends included."""
     n = p.n_words
     at = np.arange(len(ids)) + p.doc
     flow = np.full(len(ids) + p.n_docs, END, np.int64)
@@ -153,17 +157,20 @@ def _bigrams(p: Piece, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.empty_like(flow)
     before[1:] = flow[:-1]
     before[np.concatenate([[0], np.cumsum(n + 1)[:-1]])] = BEGIN
-    return np.repeat(np.arange(p.n_docs), n + 1), before << 32 | flow
+    return np.repeat(np.arange(p.n_docs), n + 1), before << ID_BITS | flow
 
 
 def _slice_of(bigram: np.ndarray, slices: int) -> np.ndarray:
     """Slice of each bigram: all its occurrences share one, and no context is too large for any."""
-    context, word = (bigram >> 32).astype(np.uint64), (bigram & 0xFFFFFFFF).astype(np.uint64)
+    context, word = (bigram >> ID_BITS).astype(np.uint64), (bigram & ID_MASK).astype(np.uint64)
     return (mix(mix(context) + word) % np.uint64(slices)).astype(np.int64)
 
 
 def dealt_bigrams(docs: DataFrame, words, slices: int, lm: Lm, by_document: bool) -> DataFrame:  # noqa: ANN001
-    """(slice, docs, parts, counts, bigrams): each piece's tokens of a slice; whole slices meet in a partition."""
+    """(slice, docs, counts, bigrams): each piece's tokens of a slice; whole slices meet in a partition.
+
+    A document's key has its part in the last two bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.value
@@ -173,49 +180,52 @@ def dealt_bigrams(docs: DataFrame, words, slices: int, lm: Lm, by_document: bool
                 h = p.hashes()
                 doc, bigram = _bigrams(p, v.ids(h))
                 own = part[p.first : p.first + p.n_docs]
-                keys = keys_of(p, rows.column(0).slice(p.first, p.n_docs), h) if by_document else own
+                keys = keys_of(p, rows.column(0).slice(p.first, p.n_docs), h) & ~3 | own if by_document else own
                 if not by_document:  # documents do not matter: two groups, without what is held out
                     learn = own[doc] != HELD
                     doc, bigram = own[doc[learn]], bigram[learn]
+                    keys = np.arange(3)
                 group = _slice_of(bigram, slices) * (p.n_docs + 3) + doc
                 order = np.argsort(group)
                 group, bigram = group[order], bigram[order]
                 new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
                 where, who = group[new] // (p.n_docs + 3), group[new] % (p.n_docs + 3)
-                counts = np.diff(np.append(new, len(group)))
+                ends = np.append(new, len(group))
                 cut = np.searchsorted(where, np.arange(slices + 1))
                 some = np.flatnonzero(np.diff(cut))
-                lists = pa.array(np.append(cut[some], len(where)).astype(np.int32))
-                edges = np.append(new, len(group))[np.append(cut[some], len(where))]
+                edges = np.append(cut[some], len(where))
+                lists = pa.array(edges.astype(np.int32))
+                packed = bigram.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 columns = [
                     pa.array(some.astype(np.int32)),
-                    pa.ListArray.from_arrays(lists, pa.array(keys[who] if by_document else who)),
-                    pa.ListArray.from_arrays(lists, pa.array((own[who] if by_document else who).astype(np.int8))),
-                    pa.ListArray.from_arrays(lists, pa.array(counts.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(bigram)),
+                    pa.ListArray.from_arrays(lists, pa.array(keys[who])),
+                    pa.ListArray.from_arrays(lists, pa.array(np.diff(ends).astype(np.int32))),
+                    pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends[edges] * 5).astype(np.int32).tobytes()), pa.py_buffer(packed)]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "docs", "parts", "counts", "bigrams"])
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "docs", "counts", "bigrams"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "slice int, docs array<bigint>, parts array<tinyint>, counts array<int>, bigrams array<bigint>")
+    out = docs.select("doc_id", "text").mapInArrow(run, "slice int, docs array<bigint>, counts array<int>, bigrams binary")
     return out.repartitionById(slices, F.col("slice"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, part, bigram) of every token of a task's slices."""
-    docs, parts, bigrams = [], [], []
+    docs, bigrams = [], []
     for b in batches:
-        counts = b.column(3).flatten().to_numpy()
-        docs.append(np.repeat(b.column(1).flatten().to_numpy(), counts))
-        parts.append(np.repeat(b.column(2).flatten().to_numpy(), counts))
-        bigrams.append(b.column(4).flatten().to_numpy())
+        docs.append(np.repeat(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()))
+        raw = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        bigrams.append(wide.view("<i8").reshape(-1))
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(parts), np.concatenate(bigrams)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.concatenate(docs)
+    return doc, doc & 3, np.concatenate(bigrams)
 
 
 def _estimates(bigram: np.ndarray, n_pair: np.ndarray, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of the context, P(w | h), P(w)) of each bigram."""
-    of_context, of_word = n[bigram >> 32], n[bigram & 0xFFFFFFFF]
+    of_context, of_word = n[bigram >> ID_BITS], n[bigram & ID_MASK]
     bucket = np.where(of_context > 0, np.log2(np.maximum(of_context, 1)).astype(np.int64) + 1, 0)
     return bucket, n_pair / np.maximum(of_context, 1), of_word / max(total, 1)
 
@@ -282,7 +292,7 @@ def bigram_scores(dealt: DataFrame, words, weights: np.ndarray) -> DataFrame:  #
         bucket, p2, p1 = _estimates(bigram, pair, v.n, v.total)
         w = weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (len(v.n) - 1)
-        p = np.where((bigram & 0xFFFFFFFF) == RARE, p / (v.rare_types + 1), p)
+        p = np.where((bigram & ID_MASK) == RARE, p / (v.rare_types + 1), p)
         score = np.repeat(np.log10(p), many)
         order = np.argsort(doc)
         doc, score = doc[order], score[order]
@@ -313,7 +323,7 @@ def base_parts(docs: DataFrame, words, lm: Lm) -> DataFrame:  # noqa: ANN001
                 own = rows.column(0).slice(p.first, p.n_docs)
                 columns = [
                     own,
-                    pa.array(keys_of(p, own, h)),
+                    pa.array(keys_of(p, own, h) & ~3 | part[p.first : p.first + p.n_docs]),
                     pa.array(part[p.first : p.first + p.n_docs] == HELD),
                     pa.array(p.n_words + 1),
                     pa.array(np.bincount(p.doc[known], minlength=p.n_docs) + int(v.n[END] > 0)),
