@@ -278,8 +278,9 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def _links(own: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similar sets of different components of one pair of blocks."""
+    """Links that join the components of one pair of blocks: as many as it takes, not all there are."""
     cls, component, side, size = (own[c].to_numpy() for c in ("cls", "component", "side", "size"))
+    component = component.copy()
     lists = own["elements"].combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     at = at - at[0]
@@ -293,15 +294,18 @@ def _links(own: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         other = right[(component[right] != component[i]) & ((side[i] != 2) | (cls[right] > cls[i]))]
         apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
         for j in other[apart * (100 + percent) <= (size[other] + size[i]) * (100 - percent)]:
+            if component[j] == component[i]:
+                continue
             common = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
             if common * 100 >= (size[i] + size[j] - common) * percent:
                 out_a.append(cls[i])
                 out_b.append(cls[j])
+                component[component == component[j]] = component[i]
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def between_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of similar sets that lie in one family but in different components.
+    """(a, b) of similar sets that join the components of each family.
 
     ``rows``: cls, component, family, size, elements.  A family is cut into blocks of about
     BLOCK sets, and every two of its blocks meet in a task of their own; what a task holds does
