@@ -370,11 +370,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = stored(components(links), "found")
     open_ = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
     open_ = open_.withColumn("component", F.coalesce("component", "cls"))
-    mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("cls").alias("lead")).filter("c0 <> c1")
-    open_ = stored(open_.join(mixed.select("sig", "lead"), "sig"), "open")
+    mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    open_ = stored(open_.join(mixed.select("sig", "c0"), "sig"), "open")
     if not open_.isEmpty():
-        families = components(open_.selectExpr("lead a", "cls b").filter("a <> b").distinct()).withColumnRenamed("component", "family")
-        rest = open_.select("cls", "component").distinct().join(families.withColumnRenamed("node", "cls"), "cls")
+        # components, not sets, are tied by a shared signature: far fewer edges for the same families
+        families = components(open_.selectExpr("c0 a", "component b").filter("a <> b").distinct())
+        rest = open_.select("cls", "component").distinct().join(families.selectExpr("node component", "component family"), "component")
         more = between_components(rest.join(sets, "cls"), percent)
         found = components(links.unionByName(stored(more, "more")))
 
