@@ -164,6 +164,29 @@ def test_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_two_passages_of_one_pair(spark):
+    r = random.Random(10)
+    fill = lambda k: [f"u{r.randrange(10**6)}" for _ in range(k)]
+    one, two = fill(60), fill(60)
+    rows = [(i, " ".join(fill(20) + one + fill(60) + two + fill(20))) for i in (1, 2)]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["start"], x["end"], x["rep_start"], x["rep_end"], x["identity"]) for x in out) == [(20, 80, 20, 80, 1.0), (140, 200, 140, 200, 1.0)]
+
+
+def test_long_gap_is_aligned():
+    r = random.Random(11)
+    for n in (0, 1, 30, 300):
+        x, y = ([r.randrange(20) for _ in range(n)] for _ in range(2))
+        row = [0] * (n + 1)
+        for w in x:
+            old = row[:]
+            for j in range(n):
+                row[j + 1] = old[j] + 1 if w == y[j] else max(old[j + 1], row[j])
+        assert passages._common(np.array(x), np.array(y)) == row[n]
+    x = np.arange(400)
+    assert passages._common(x, np.insert(x, 200, 999)) == 400
+
+
 def test_chaining_equals_quadratic():
     r = random.Random(4)
     p = passages.Passages()
