@@ -173,6 +173,30 @@ def test_two_passages_of_one_pair(spark):
     assert sorted((x["start"], x["end"], x["rep_start"], x["rep_end"], x["identity"]) for x in out) == [(20, 80, 20, 80, 1.0), (140, 200, 140, 200, 1.0)]
 
 
+def test_passages_whose_lines_occur_alone_before(spark):
+    r = random.Random(12)
+    fill = lambda k: [f"u{r.randrange(10**6)}" for _ in range(k)]
+    lines = [fill(10) for _ in range(6)]
+    shared = [w for x in lines for w in x]
+    rows = [(i + 1, " ".join(fill(30) + lines[i] + fill(30))) for i in range(6)]
+    rows += [(i, " ".join(fill(20) + shared + fill(i))) for i in (10, 11, 12)]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["start"], x["end"], x["rep_doc_id"], x["rep_start"], x["rep_end"]) for x in out) == [(11, 20, 80, 10, 20, 80), (12, 20, 80, 10, 20, 80)]
+
+
+def test_passages_with_one_word_in_ten_changed(spark):
+    r = random.Random(13)
+    fill = lambda k: [f"u{r.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for i in range(20):
+        shared = fill(100)
+        other = [f"c{i}" if j % 10 == 9 else w for j, w in enumerate(shared)]
+        rows += [(2 * i, " ".join(fill(30) + shared + fill(30))), (2 * i + 1, " ".join(fill(10) + other + fill(10)))]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["rep_doc_id"], x["start"]) for x in out) == [(2 * i + 1, 2 * i, 10) for i in range(20)]
+    assert all(x["n_words"] >= 98 for x in out)
+
+
 def test_long_gap_is_aligned():
     r = random.Random(11)
     for n in (0, 1, 30, 300):
