@@ -24,9 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the least doc_id."""
-    copies = jaccard_components(docs).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    copies = small_enough(stored(copies, "copies"), 16)
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["copy_id"]), "left_anti")
+    # rows without an id, or with one that repeats, are told apart by their text; an id goes before none
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("version"))
+    copies = jaccard_components(docs.select(key.alias("doc_id"), "text")).filter("not doc_id <=> component_id")
+    copies = copies.select(F.col("doc_id.doc_id").alias("copy_id"), F.col("doc_id.version").alias("copy_version")).distinct()
+    copies = small_enough(stored(copies, "copies"), 24)
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["copy_version"]), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     empty result.  A null item_id is no item.  Rows that repeat both doc_id and text come back
     once; rows that share a doc_id but not the text stay apart.  Further columns are left aside.
     """
+    return hits(docs, benchmark, window, gram).drop("version")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``contamination`` with the version of each text: rows that repeat a doc_id (or have none) are kept apart."""
     benchmark = benchmark.filter("item_id is not null").select("item_id", "text")
     count = F.size(words_of(F.col("text")))
     known = benchmark.agg(F.collect_set(F.when((count > 0) & (count < window), count)).alias("short"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
@@ -103,6 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     by_doc = by_doc.withColumn("items", items).withColumn("n_hit", F.size(covered).cast("long"))
     return by_doc.select(
         "doc_id",
+        "version",
         F.col("n_words").cast("long").alias("n_words"),
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -113,5 +119,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit word, all columns as they are (rows with a null doc_id too)."""
-    dirty = small_enough(stored(contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct(), "dirty"), 16)
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    dirty = hits(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("dirty_id"), F.col("version").alias("dirty_version")).distinct()
+    dirty = small_enough(stored(dirty, "dirty"), 24)
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(docs["text"]) == dirty["dirty_version"]), "left_anti")

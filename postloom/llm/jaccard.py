@@ -362,9 +362,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tested = stored(pairs.unionByName(star).distinct(), "tested")
 
     wanted = tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(members.select("cls")).distinct()
-    wanted = stored(classes.join(wanted, "cls").select(F.col("first").alias("doc_id")), "wanted")
+    wanted = stored(classes.join(wanted, "cls").select(F.col("first").alias("wanted_id")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= PAIRS_AT_ONCE else wanted
-    sets = stored(sets_of(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["cls"]), "elements")
+    sets = stored(sets_of(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi"), words).dropDuplicates(["cls"]), "elements")
 
     links = stored(similar(tested, sets, percent).select("a", "b"), "linked")
     found = stored(components(links), "found")

@@ -167,7 +167,8 @@ def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
 
 def mix_documents(docs: DataFrame, source: str = "source", mix: Mix = Mix()) -> DataFrame:
     """The documents that the mix takes, once for each time, all columns as they are."""
-    plan = mixed(docs, F.array(F.col(source)), mix).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    plan = small_enough(stored(plan.dropDuplicates(["taken_id"]), "taken"), 24)
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["taken_id"]))
+    plan = mixed(docs, F.array(F.col(source)), mix).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.from_json("pattern", "sources array<string>")["sources"][0].alias("taken_source"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    plan = small_enough(stored(plan.dropDuplicates(["taken_id", "taken_source"]), "taken"), 24)
+    same = docs["doc_id"].eqNullSafe(plan["taken_id"]) & docs[source].eqNullSafe(plan["taken_source"])
+    both = docs.filter(size_of(F.col("text")) > 0).join(plan, same)
     return both.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

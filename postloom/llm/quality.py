@@ -96,13 +96,14 @@ def measured(docs: DataFrame, host: str, rules: Rules) -> DataFrame:
                     pa.array(_repeat_words(p, rules.repeat_window)),
                     pa.ListArray.from_arrays(where, pa.array([k for x in lines for k in x[1]], pa.int64())),
                     pa.ListArray.from_arrays(where, pa.array([k for x in lines for k in x[2]], pa.int64())),
+                    b.column(3).slice(p.first, p.n_docs),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), docs.schema[host].dataType.simpleString(), *["bigint"] * 6, *["array<bigint>"] * 2]
+    names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "version"]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), docs.schema[host].dataType.simpleString(), *["bigint"] * 6, *["array<bigint>"] * 2, "bigint"]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return docs.select("doc_id", F.col(host), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.col(host), "text", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def frequent_lines(each: DataFrame, rules: Rules) -> DataFrame:
@@ -116,7 +117,7 @@ def frequent_lines(each: DataFrame, rules: Rules) -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, text_hash, base counts, n_removed_words, removed lines, base_failed, kept), one row per document.
+    """(doc_id, host, version, text_hash, base counts, n_removed_words, removed lines, base_failed, kept), one row per document.
 
     Null, empty and blank texts have no words and fail the base rules.  A null host is a host of
     its own.  Rows that repeat are judged alike, each in its row; the verdict depends on counts
@@ -136,7 +137,7 @@ def judged(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> Dat
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     depleted = (F.col("n_removed_words") > 0) & ((left < rules.min_words) | (left * 100 < F.col("n_words") * rules.left_percent))
-    return each.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", F.col("out.lines").alias("removed"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return each.select("doc_id", "host", "version", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", F.col("out.lines").alias("removed"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -156,11 +157,13 @@ def without_lines(text: Column, removed: Column) -> Column:
 def quality_filter(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The kept documents; boilerplate lines are cut out of their texts, all other columns stay.
 
-    Only rejected and cut documents are joined back, so the others' texts need not move.
+    Only rejected and cut documents are joined back, so the others' texts need not move;
+    a row's verdict is that of its id, host and text.
     """
-    verdict = judged(docs, host, rules).filter(~F.col("kept") | (F.size("removed") > 0)).select(F.col("doc_id").alias("judged_id"), "kept", "removed", F.lit(True).alias("judged"))
-    verdict = small_enough(stored(verdict.dropDuplicates(["judged_id"]), "verdict"), 200)
-    both = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["judged_id"]), "left").filter(F.coalesce("kept", F.lit(True)))
+    verdict = judged(docs, host, rules).filter(~F.col("kept") | (F.size("removed") > 0)).select(F.col("doc_id").alias("judged_id"), F.col("host").alias("judged_host"), F.col("version").alias("judged_version"), "kept", "removed", F.lit(True).alias("judged"))
+    verdict = small_enough(stored(verdict.dropDuplicates(["judged_id", "judged_host", "judged_version"]), "verdict"), 200)
+    same = docs["doc_id"].eqNullSafe(verdict["judged_id"]) & docs[host].eqNullSafe(verdict["judged_host"]) & (F.xxhash64(docs["text"]) == verdict["judged_version"])
+    both = docs.join(verdict, same, "left").filter(F.coalesce("kept", F.lit(True)))
     changed = F.col("judged").isNotNull()
     none = F.array().cast("array<bigint>")
     text = F.when(changed, without_lines(F.when(changed, F.col("text")).otherwise(""), F.coalesce("removed", none))).otherwise(F.col("text"))

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from postloom.llm import decontaminate, jaccard, quality
 from postloom.llm.queries import ORACLE_SQL, QUERIES
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +41,21 @@ def test_pipeline_stages(spark, sf):
     assert out.count() == docs.count() and set(docs.columns) < set(out.columns)
 
 
+def test_rows_without_id_are_judged_apart(spark):
+    words = lambda a, n=40: " ".join(f"{a}word{i}" for i in range(n))
+    rows = [(None, "few words", "s"), (None, words("a"), "s"), (None, words("b"), "s"), (None, words("c"), "s"), (5, words("a"), "s"), (6, words("d"), "s"), (6, "short", "s"), (6, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    kept = quality.quality_filter(docs)
+    assert out(kept) == sorted((i or 0, t) for i, t, _ in rows if len(t.split()) > 9)
+    one = corpus_pipeline.near_duplicates(spark, kept, "")
+    assert out(one) == sorted([(0, words("b")), (0, words("c")), (5, words("a")), (6, words("d"))])
+    bench = spark.createDataFrame([(1, words("b"))], "item_id long, text string")
+    assert out(decontaminate.clean_documents(one, bench)) == sorted([(0, words("c")), (5, words("a")), (6, words("d"))])
+    near = spark.createDataFrame([(None, words("a")), (None, words("a") + " more"), (7, words("e"))], "doc_id long, text string")
+    assert jaccard.jaccard_components(near).count() == 3
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
