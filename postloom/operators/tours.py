@@ -33,13 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float) -> DataFrame:
+def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float, most: int | None = P.MAX_OWN_STOPS) -> DataFrame:
     """(tour_id, n, i, j, meters): straight distances between all nodes of a tour; node 0 is the base.
 
-    ``stops``: tour_id, id, lat, lng.  Tours are small: at most P.MAX_OWN_STOPS stops, larger ones are left out.
+    ``stops``: tour_id, id, lat, lng.  Tours of more than ``most`` stops, the limit of online routing, are left out; None takes all.
     """
     w = Window.partitionBy("tour_id")
-    own = stops.withColumn("n", F.count("*").over(w) + 1).filter(F.col("n") <= P.MAX_OWN_STOPS + 1)
+    own = stops.withColumn("n", F.count("*").over(w) + 1)
+    own = own.filter(F.col("n") <= most + 1) if most is not None else own
     own = own.select("tour_id", "n", F.row_number().over(w.orderBy("id")).cast("long").alias("i"), "lat", "lng")
     base = own.select("tour_id", "n").distinct().select("tour_id", "n", F.lit(0).cast("long").alias("i"), F.lit(base_lat).alias("lat"), F.lit(base_lng).alias("lng"))
     nodes = own.unionByName(base)
@@ -200,7 +201,7 @@ def plan_tours(stops: DataFrame, base_lat: float, base_lng: float, roads: DataFr
     ``stops``: tour_id, id, lat, lng, priority; stops without coordinates are left out.
     """
     usable = stops.filter("lat is not null and lng is not null")
-    pairs = stop_pairs(usable, base_lat, base_lng)
+    pairs = stop_pairs(usable, base_lat, base_lng, None)
     pairs = fill_matrix(pairs, roads) if roads is not None else pairs
     node = F.row_number().over(Window.partitionBy("tour_id").orderBy("id")).cast("int")
     nodes = usable.withColumn("node", node)

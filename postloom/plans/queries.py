@@ -327,7 +327,7 @@ def j13_fill_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r1_seed_tours(spark: SparkSession, d: str) -> DataFrame:
-    own = tours.matrices(tours.stop_pairs(V.points(spark, d).filter("lat is not null"), V.BASE_LAT, V.BASE_LNG))
+    own = tours.matrices(tours.stop_pairs(V.points(spark, d).filter("lat is not null"), V.BASE_LAT, V.BASE_LNG, None))
     own = tours.seed_tours(own)
     return own.select("tour_id", "n", F.round(tours.tour_length(F.col("ord"))).cast("long").alias("meters"))
 
@@ -335,7 +335,7 @@ def r1_seed_tours(spark: SparkSession, d: str) -> DataFrame:
 @query
 def r5_plan_tours(spark: SparkSession, d: str) -> DataFrame:
     stops = routes.prepare_stops(V.points(spark, d))
-    own = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG, restarts=2)
+    own = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG)
     return own.groupBy("tour_id").agg(F.count("*").alias("n_stops"), F.round(F.first("meters")).cast("long").alias("meters"))
 
 

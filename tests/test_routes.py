@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from postloom.operators import points, routes, tours
+from postloom.plans import queries
 
 
 def matrix(n, seed):
@@ -32,6 +33,27 @@ def test_priority_goes_first_only_when_it_costs_little(spark):
     assert out == {1: [0, 2, 1, 3], 2: [0, 1, 2, 3]}
 
 
+def test_tours_above_a_hundred_stops_are_planned(spark):
+    rows = [(1, i, 53.9 + i / 1000, 13.0, False) for i in range(1, 102)]
+    out = tours.plan_tours(spark.createDataFrame(rows, "tour_id long, id long, lat double, lng double, priority boolean"), 53.9, 13.0, restarts=0)
+    assert [r["position"] for r in out.orderBy("id").collect()] == list(range(1, 102))
+
+
+def test_r5_takes_the_restarts_of_the_reference(monkeypatch):
+    asked = []
+
+    class Plan:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    monkeypatch.setattr(queries.V, "points", lambda *a: None)
+    monkeypatch.setattr(queries.routes, "prepare_stops", lambda x: x)
+    monkeypatch.setattr(queries.tours, "plan_tours", lambda *a, restarts=None: (asked.append(restarts), Plan())[1])
+    monkeypatch.setattr(queries, "F", Plan())
+    queries.r5_plan_tours(None, "")
+    assert asked == [None]
+
+
 def test_localities_stay_together_unless_far(spark):
     rows = [(1, "a", 53.90, 13.0, "x", 1), (1, "b", 53.91, 13.0, "x", 2), (1, "c", 53.912, 13.0, "y", 3), (1, "d", 53.913, 13.0, "x", 4)]
     out = routes.consolidate_localities(spark.createDataFrame(rows, "tour_id long, id string, lat double, lng double, group string, position long"), 53.9, 13.0)
