@@ -176,9 +176,8 @@ def test_two_passages_of_one_pair(spark):
 def test_passages_whose_lines_occur_alone_before(spark):
     r = random.Random(12)
     fill = lambda k: [f"u{r.randrange(10**6)}" for _ in range(k)]
-    lines = [fill(10) for _ in range(6)]
-    shared = [w for x in lines for w in x]
-    rows = [(i + 1, " ".join(fill(30) + lines[i] + fill(30))) for i in range(6)]
+    shared = fill(60)  # every run of eight words is in a lesser document too
+    rows = [(i + 1, " ".join(fill(30) + shared[10 * i : 10 * i + 18] + fill(30))) for i in range(6)]
     rows += [(i, " ".join(fill(20) + shared + fill(i))) for i in (10, 11, 12)]
     out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x["doc_id"], x["start"], x["end"], x["rep_doc_id"], x["rep_start"], x["rep_end"]) for x in out) == [(11, 20, 80, 10, 20, 80), (12, 20, 80, 10, 20, 80)]
