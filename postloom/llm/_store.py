@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,10 @@ BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new local folder where none is set (tests)."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at
 
 
@@ -26,17 +24,57 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
-    path = new_path(df.sparkSession, name)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator; ``close`` removes them once its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark, name), []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex[:8]}")
+
+    def bucketed(self, df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+        """``df`` as a table of buckets: groups and joins by ``by`` read it without a shuffle."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, by).option("path", f"{self.path}/{table}").option("compression", "zstd").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
+    def remove(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self, result: DataFrame, name: str) -> DataFrame:
+        """``result`` stored by itself; all else goes."""
+        out = stored(result, name)
+        self.remove()
+        return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit the limit, else as it is."""
+    """``df`` with a broadcast hint if its counted rows, of ``row_bytes`` at most, fit the limit, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 

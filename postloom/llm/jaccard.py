@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import partitions, stored
+from ._store import Scratch, partitions, small_enough
 from ._words import Piece, by_text, mix, pieces, windows
 from .components import components
 
@@ -34,7 +34,8 @@ PERCENT = 75
 PAIRS_AT_ONCE = 2_000_000
 FREQUENT = 20  # sets of one signature beyond which it counts as frequent
 PREFIX_LEVEL = 63
-BLOCK = 256
+BLOCK = 1024  # sets of a block, about
+BLOCK_ELEMENTS = 2_000_000  # and their elements
 
 
 def levels(size_limit: int = 2**31) -> np.ndarray:
@@ -141,21 +142,21 @@ def signatures(size: np.ndarray, doc: np.ndarray, s: np.ndarray, percent: int =
 
 
 def with_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, cls, needs) of every document."""
+    """(doc_id, version, n_shingles, cls, needs) of every document; version is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in pieces(b.column(1), lower=True):
+            for p in pieces(b.column(2), lower=True):
                 doc, s = shingle_sets(p, words)
                 size, cls = class_of(p.n_docs, doc, s)
                 who, level, need = signatures(size, doc, s, percent, needs_only=True)
                 order = np.argsort(who, kind="stable")
                 held = pa.StructArray.from_arrays([pa.array(level[order].astype(np.int32)), pa.array(need[order].astype(np.int32))], ["level", "need"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who[order], np.arange(p.n_docs + 1)).astype(np.int32)), held)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n_docs), pa.array(size), pa.array(cls), lists], ["doc_id", "n_shingles", "cls", "needs"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(p.first, p.n_docs) for i in (0, 1)), pa.array(size), pa.array(cls), lists], ["doc_id", "version", "n_shingles", "cls", "needs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, needs array<struct<level:int,need:int>>")
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(run, f"doc_id {kind}, version bigint, n_shingles bigint, cls bigint, needs array<struct<level:int,need:int>>")
 
 
 def with_signatures(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -308,10 +309,10 @@ def between_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of similar sets that join the components of each family.
 
     ``rows``: cls, component, family, size, elements.  A family is cut into blocks of about
-    BLOCK sets, and every two of its blocks meet in a task of their own; what a task holds does
-    not follow the family.
+    BLOCK sets or BLOCK_ELEMENTS elements, and every two of its blocks meet in a task of their
+    own; what a task holds does not follow the family.
     """
-    count = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    count = rows.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     rows = rows.join(count, "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -329,58 +330,63 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     Words are runs without white space, A-Z lower-cased; a text of fewer words is one shingle.
     Null, empty and blank texts have no shingle and link with nothing: they keep their own id.
-    Rows that repeat a doc_id come back once each; the component is the least doc_id, so ties do
-    not matter.  An empty table gives an empty one; further columns are left aside.
+    Rows that repeat a doc_id come back once each, whatever their texts; the component is the
+    least doc_id, so ties do not matter.  Rows with a null doc_id link like all others and get the
+    least id they reach, null if none has one.  An empty table gives an empty one; further columns
+    are left aside.  Sets are told apart by a hash of 64 bits: among 10^10 different sets some
+    three pairs are expected to be taken as equal.
     """
     spark = docs.sparkSession
-    slices = partitions(spark)
-    own = stored(with_sets(docs, words, percent), "sets")
+    slices, scratch = partitions(spark), Scratch(spark, "jaccard")
+    own = scratch.stored(with_sets(docs, words, percent), "sets")
     dealt = with_signatures(docs, slices, words, percent).repartitionById(slices, F.col("slice"))
-    shared = stored(shared_signatures(dealt), "shared")
+    shared = scratch.stored(shared_signatures(dealt), "shared")
 
-    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("needs").alias("needs"))
-    classes = stored(classes, "classes")
+    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("version").alias("version"), F.first("n_shingles").alias("size"), F.first("needs").alias("needs"))
+    classes = scratch.stored(classes, "classes")
     frequent = shared.filter("frequent")
     rest = frequent.groupBy("a", "level").agg(F.count("*").alias("lost")).withColumnRenamed("a", "cls")
     need = classes.select("cls", "size", F.explode("needs").alias("x")).select("cls", "size", F.col("x.level").alias("level"), F.col("x.need").alias("need"))
     # what a set must share with a similar one outside the frequent signatures
     need = need.join(rest, ["cls", "level"], "left").select("cls", "size", "level", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need"))
     prefix = classes.select("cls", "size", F.lit(PREFIX_LEVEL).alias("level"), F.lit(0).cast("long").alias("need"))
-    need = stored(need.unionByName(prefix), "need")
+    need = scratch.stored(need.unionByName(prefix), "need")
 
     pairs = shared.filter("not frequent").groupBy("a", "b", "level").agg(F.sum("n").alias("n"))
     pairs = pairs.join(need.selectExpr("cls a", "level", "size size_a", "need need_a"), ["a", "level"]).filter("n >= need_a")
     pairs = pairs.join(need.selectExpr("cls b", "level", "size size_b", "need need_b"), ["b", "level"]).filter("n >= need_b")
     pairs = pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    pairs = scratch.stored(pairs.select("a", "b").distinct(), "pairs")
 
     members = frequent.selectExpr("b sig", "a cls", "level").join(need.filter("need <= 0").select("cls", "level"), ["cls", "level"])
-    members = stored(members.select("sig", "cls"), "members")
+    members = scratch.stored(members.select("sig", "cls"), "members")
     leads = members.groupBy("sig").agg(F.min("cls").alias("lead"))
     star = members.join(leads, "sig").filter("cls <> lead").groupBy("lead", "cls").agg(F.count("*").alias("n"))
     star = star.groupBy(F.col("cls").alias("b")).agg(F.max_by("lead", F.struct("n", "lead")).alias("a")).select("a", "b")
-    tested = stored(pairs.unionByName(star).distinct(), "tested")
+    tested = scratch.stored(pairs.unionByName(star).distinct(), "tested")
 
     wanted = tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(members.select("cls")).distinct()
-    wanted = stored(classes.join(wanted, "cls").select(F.col("first").alias("wanted_id")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= PAIRS_AT_ONCE else wanted
-    sets = stored(sets_of(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi"), words).dropDuplicates(["cls"]), "elements")
+    wanted = small_enough(scratch.stored(classes.join(wanted, "cls").select(F.col("version").alias("wanted")), "wanted"), 16)
+    # one text of each class; should two texts share a version, their sets still go by class
+    sets = sets_of(docs.join(wanted, F.xxhash64(docs["text"]) == F.col("wanted"), "left_semi").select("text"), words)
+    sets = scratch.stored(sets.dropDuplicates(["cls"]), "elements")
 
-    links = stored(similar(tested, sets, percent).select("a", "b"), "linked")
-    found = stored(components(links), "found")
+    links = scratch.stored(similar(tested, sets, percent).select("a", "b"), "linked")
+    found = scratch.stored(components(links, scratch), "found")
     open_ = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
     open_ = open_.withColumn("component", F.coalesce("component", "cls"))
     mixed = open_.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    open_ = stored(open_.join(mixed.select("sig", "c0"), "sig"), "open")
+    open_ = scratch.stored(open_.join(mixed.select("sig", "c0"), "sig"), "open")
     if not open_.isEmpty():
         # components, not sets, are tied by a shared signature: far fewer edges for the same families
-        families = components(open_.selectExpr("c0 a", "component b").filter("a <> b").distinct())
+        families = components(open_.selectExpr("c0 a", "component b").filter("a <> b").distinct(), scratch)
         rest = open_.select("cls", "component").distinct().join(families.selectExpr("node component", "component family"), "component")
         more = between_components(rest.join(sets, "cls"), percent)
-        found = components(links.unionByName(stored(more, "more")))
+        found = components(links.unionByName(scratch.stored(more, "more")), scratch)
 
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "component").select("cls", "component_id")
     out = own.join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return scratch.close(out, "components")

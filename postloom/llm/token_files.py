@@ -1,8 +1,9 @@
 """Token ids in binary files (operator 10).
 
-Format of a block (little-endian): magic ``TKS1``, number of documents and of ids, bytes of the
-data stream; document ids (int64), ids of each document (uint32); one control byte for every four
-ids, two bits each for a length of one to four bytes; the data bytes.  Ids are ranks by frequency
+Format of a block (little-endian): magic ``TKS2``, number of documents and of ids, bytes of the
+data stream; document ids (int64), a byte each that says whether the id is null, ids of each
+document (uint32); one control byte for every four ids, two bits each for a length of one to four
+bytes; the data bytes.  Ids are ranks by frequency
 over the whole corpus, so frequent tokens take one byte.  Blocks lie one after the other, each
 closed by a newline, in files named in the order of their doc_ids.
 
@@ -12,6 +13,8 @@ format works in any store that Spark can use, with its commit protocol for lost
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,14 +26,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import new_path, stored
-from ._words import pieces
+from ._store import Scratch, new_path, stored
+from ._words import Piece, pieces, word_hashes
 
-MAGIC = b"TKS1"
+MAGIC = b"TKS2"
 HEAD = struct.Struct("<4sIQQ")
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000  # words whose ids a worker process keeps
+CHUNK = 100  # words encoded together
+
+# Fixed value: how a tokenizer must cut text for its words to be encoded one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+WHITE, LETTER, SYMBOL, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[:128] = SYMBOL
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[[0x20, *range(0x09, 0x0E)]] = WHITE
 
 
 @lru_cache(maxsize=2)
@@ -40,51 +53,142 @@ def _tokenizer(path: str):  # noqa: ANN202
     return Tokenizer.from_file(path)
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer cuts text by WORD_PATTERN and ends each part with a marked token."""
+    own = json.loads(_tokenizer(path).to_str())
+    splits = [x for x in (own.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    cut = len(splits) == 1 and splits[0]["pattern"] == {"Regex": WORD_PATTERN} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+    marks = [x["content"] for x in own.get("added_tokens", [])]
+    return bool(cut and own["model"].get("end_of_word_suffix") and not any(c.isspace() for m in marks for c in m))
+
+
+def cut_words(p: Piece, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the parts of a piece's words that are encoded by themselves.
+
+    Words are cut between an ASCII letter and another ASCII sign, either way, but not behind an
+    apostrophe: WORD_PATTERN never matches across such a place, so the ids of the parts are the
+    ids of the word.  Words that hold one of ``whole``, the tokenizer's own marks, stay whole.
+    """
+    kind = KIND[p.data]
+    before, after = kind[:-1], kind[1:]
+    cut = (before == LETTER) & (after == SYMBOL) | (before == SYMBOL) & (after == LETTER) & (p.data[:-1] != 0x27)
+    inner = np.flatnonzero(cut) + 1
+    word = np.searchsorted(p.start, inner, "right") - 1
+    keep = (word >= 0) & (p.start[word] < inner) & (inner < p.end[word])
+    raw = p.data.tobytes()
+    marked = [m.start() for mark in whole if mark in raw for m in re.finditer(re.escape(mark), raw)]
+    keep &= ~np.isin(word, np.searchsorted(p.start, marked, "right") - 1)
+    inner = inner[keep]
+    return np.sort(np.concatenate([p.start, inner])), np.sort(np.concatenate([p.end, inner]))
+
+
 class WordCoder:
-    """Ids of white-space separated words: each distinct word is encoded once and kept, up to a number of words.
+    """Ids of words: each distinct word is encoded once and kept, up to a number of words.
 
-    Right for tokenizers that drop white space and never join across it.
+    Words lie in two sorted tables, a large one and one of what came since; a full coder forgets all.
     """
 
     def __init__(self, path: str) -> None:
-        self.tok = _tokenizer(path)
+        self.tok, self.words = _tokenizer(path), by_words(path)
+        vocabulary = self.tok.get_vocab()
+        self.marks = [x["content"].encode() for x in json.loads(self.tok.to_str()).get("added_tokens", [])]
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.words:
+            suffix = json.loads(self.tok.to_str())["model"]["end_of_word_suffix"]
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, key: np.ndarray, words: list[str]) -> None:
-        got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, np.uint32)
-        n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, ids])
-        key, at, n = np.concatenate([self.key, key]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(key)
-        self.key, self.at, self.n = key[order], at[order], n[order]
+        empty = lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.tables = [empty(), empty()]
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, key: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """``key`` is ascending."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        new = key, self.used + np.cumsum(n) - n, n.astype(np.int32)
+        self.used += len(ids)
+        merged = lambda x, y: (lambda at: tuple(np.insert(a, at, b) for a, b in zip(x, y, strict=True)))(np.searchsorted(x[0], y[0]))
+        self.tables[1] = merged(self.tables[1], new)
+        if len(self.tables[1][0]) * 4 > len(self.tables[0][0]):
+            self.tables = [merged(*self.tables), (key[:0], new[1][:0], new[2][:0])]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word).  Words of letters have one end token each, which tells them apart in a text of many."""
+        plain = np.array([w.isalpha() for w in words], bool)
+        order = np.argsort(~plain, kind="stable")
+        out: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        some = [words[i] for i in order[: int(plain.sum())]]
+        chunks = [some[i : i + CHUNK] for i in range(0, len(some), CHUNK)]
+        odd: list[tuple[int, list[str]]] = [(-1, [words[i] for i in order[len(some) :]])]
+        for k, (chunk, got) in enumerate(zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True)):
+            ids = np.array(got.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            out.append(ids)
+            counts.append(np.diff(last, prepend=-1))
+            if len(last) != len(chunk):  # a letter that its lower-casing takes apart
+                odd.append((k, chunk))
+        for k, chunk in odd:
+            got = self.tok.encode(chunk, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(chunk)) if len(ids) else np.zeros(len(chunk), np.int64)
+            if k < 0:
+                out.append(ids)
+                counts.append(n)
+            else:
+                out[k], counts[k] = ids, n
+        ids, n = np.concatenate(out), np.concatenate(counts)
+        at = np.cumsum(n) - n
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        n, at = n[back], at[back]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return ids[np.repeat(at, n) + step], n
+
+    def _found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each word; place -1 where it is not known."""
+        at, n = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        for keys, where, many in self.tables:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[i] == key
+                at[hit], n[hit] = where[i[hit]], many[i[hit]]
+        return at, n
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids, ids of each text) of each piece."""
         for p in pieces(texts):
-            key, first, back = np.unique(p.hashes(), return_index=True, return_inverse=True)
-            if len(self.key) > CACHE_WORDS:
+            if not self.words:
+                raw = [p.data[s:e].tobytes().decode() for s, e in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True)]
+                got = [x.ids for x in self.tok.encode_batch_fast(raw, add_special_tokens=False)]
+                yield p.first, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+                continue
+            start, end = cut_words(p, self.marks)
+            key, first, back = np.unique(word_hashes(p.data, start, end), return_index=True, return_inverse=True)
+            if len(self.tables[0][0]) + len(self.tables[1][0]) > CACHE_WORDS:
                 self.clear()
-            i = np.searchsorted(self.key, key)
-            new = np.ones(len(key), bool)
-            inside = i < len(self.key)
-            new[inside] = self.key[i[inside]] != key[inside]
-            if new.any():
-                w = first[new]
+            at, n = self._found(key)
+            new = np.flatnonzero(at < 0)
+            if len(new):
                 raw = p.data.tobytes()
-                self.learn(key[new], [raw[s:e].decode() for s, e in zip(p.start[w].tolist(), p.end[w].tolist(), strict=True)])
-            i = np.searchsorted(self.key, key)[back] if len(key) else np.zeros(0, np.int64)
-            n, at = self.n[i], self.at[i]
-            total = int(n.sum())
-            step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+                ids, many = self._encode([raw[s:e].decode() for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+                at[new], n[new] = self.used + np.cumsum(many) - many, many
+                self._add(key[new], many, ids)
+            n, at = n[back], at[back]
+            total = np.cumsum(n)
+            step = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - n, n)
             ids = self.ids[np.repeat(at, n) + step]
-            sums = np.concatenate([[0], np.cumsum(n)])
-            yield p.first, ids, np.diff(sums[p.bounds])
+            sums = np.concatenate([[0], total])
+            yield p.first, ids, np.diff(sums[np.searchsorted(start, p.offsets)])
+
+
+@lru_cache(maxsize=1)
+def _coder(path: str) -> WordCoder:
+    """A worker process keeps its coder from task to task."""
+    return WordCoder(path)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -93,7 +197,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     kind = np.dtype("<u4") if wide else np.dtype("<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(tokenizer)
+        coder = _coder(tokenizer)
         for b in batches:
             for first, ids, n in coder.encode(b.column(1)):
                 where = np.concatenate([[0], np.cumsum(n + 1)])
@@ -161,13 +265,15 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def block(doc_ids: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
+def block(doc_ids: list[int | None], counts: np.ndarray, values: np.ndarray) -> bytes:
     control, data = pack(values)
     head = HEAD.pack(MAGIC, len(doc_ids), len(values), len(data))
-    return head + doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + control + data
+    none = np.array([d is None for d in doc_ids], np.uint8)
+    ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    return head + ids.tobytes() + none.tobytes() + counts.astype("<u4").tobytes() + control + data
 
 
-def blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(raw: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, ids of each, all values) of every block of a file."""
     at = 0
     while at < len(raw):
@@ -175,9 +281,9 @@ def blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if magic != MAGIC:
             raise ValueError("not a token file")
         at += HEAD.size
-        ids = np.frombuffer(raw, "<i8", docs, at)
-        counts = np.frombuffer(raw, "<u4", docs, at + 8 * docs)
-        at += 12 * docs
+        ids = pa.array(np.frombuffer(raw, "<i8", docs, at), mask=np.frombuffer(raw, np.uint8, docs, at + 8 * docs) > 0)
+        counts = np.frombuffer(raw, "<u4", docs, at + 9 * docs)
+        at += 13 * docs
         control = np.frombuffer(raw, np.uint8, -(-n // 4), at)
         at += len(control)
         yield ids, counts, unpack(control, np.frombuffer(raw, np.uint8, size, at), n)
@@ -187,12 +293,15 @@ def blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> np.ndarray:
     """Writes the ids of all documents in ascending doc_id order; returns the id of each rank.
 
-    Null texts count as empty: their only id is the end.  A null doc_id is refused by the format;
-    rows that repeat a doc_id are written one after the other.  An empty table gives no blocks.
+    Null texts count as empty: their only id is the end.  Null doc_ids come first.  Rows that
+    repeat a doc_id (or have none) are written one after the other, in the order of a hash of
+    their ids, which also deals them out, so that many of them do not meet in one file.  An empty
+    table gives no blocks.
     """
     vocabulary = max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1)
     kind = "<u4" if _tokenizer(tokenizer).get_vocab_size() > 1 << 16 else "<u2"
-    ids = stored(encoded(docs, tokenizer, end_id), "ids")
+    scratch = Scratch(docs.sparkSession, "encoded")
+    ids = scratch.stored(encoded(docs, tokenizer, end_id).withColumn("tie", F.xxhash64("ids")), "ids")
     rank_of, id_of = ranks(id_counts(ids, vocabulary), vocabulary)
     total = ids.agg(F.sum("n_tokens")).first()[0] or 0
 
@@ -201,7 +310,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_i
 
         def flush() -> pa.RecordBatch:
             counts = np.array([len(x) for x in parts])
-            return pa.RecordBatch.from_arrays([pa.array([block(np.array(who), counts, rank_of[np.concatenate(parts)])], pa.binary())], ["block"])
+            return pa.RecordBatch.from_arrays([pa.array([block(who, counts, rank_of[np.concatenate(parts)])], pa.binary())], ["block"])
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -215,13 +324,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_i
             yield flush()
 
     files = max(1, -(-total // file_ids))
-    dealt = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "ids")
+    dealt = ids.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.text(path)
+    scratch.remove()
     return id_of
 
 
 def read_tokens(spark: SparkSession, path: str, id_of: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``.
+
+    ``start`` counts the ids of all documents before it: files follow one another by name, as
+    Spark names them by partition.  A folder without blocks gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,19 +346,25 @@ def read_tokens(spark: SparkSession, path: str, id_of: np.ndarray) -> DataFrame:
                     ends = np.cumsum(counts.astype(np.int64))
                     starts = ends - counts
                     crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), pa.array(docs), pa.array(starts + seen), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), docs, pa.array(starts + seen), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
                     seen += len(values)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.substring_index("path", "/", -1).alias("path"), "content")
     each = stored(files.mapInArrow(run, "file string, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"), "read")
-    sizes = each.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"))  # a row a file
-    before = F.sum("n").over(Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row a file
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     out = each.join(F.broadcast(sizes), "file")
     return out.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that its ids are written to.
+
+    Null and empty texts have the end id only; very long texts are encoded whole.  Null doc_ids
+    come before all others, rows that repeat a doc_id come back once each.  An empty table gives
+    an empty result; further columns are left aside.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     id_of = write_tokens(docs, path, tokenizer, end_id)
