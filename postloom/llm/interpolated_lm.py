@@ -5,11 +5,11 @@ word counts, and 1 / |vocabulary|.  The mixture weights depend on the frequency
 in buckets of powers of two, and are learned by expectation-maximisation: counts from most of the
 training documents predict the counts held out in the rest.  Scoring then uses the counts of both.
 
-Counts cover all training documents.  The model's own vocabulary is the most frequent words, at
-most ``Lm.vocabulary`` of them, whose ids and counts every task holds; rarer and unknown words are
-one class, within which all words are alike.  Bigrams are dealt by hash into slices, in packed
-rows: a task meets all occurrences of its bigrams, counts them, and sums log probabilities by
-document.  Base scores need the exact count of every word: those of rare words come by a join.
+Counts cover all words and bigrams of all training documents.  Each piece of documents sends its
+distinct words and bigrams, with their counts, to slices by hash; a slice sums them over the
+corpus and answers every piece in the order in which it asked.  The piece then has all that its
+documents' scores need.  Words are told apart by 64 bits; bigrams by the slice and 40 bits, so that
+about one in a million shares its counts with another one.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import partitions, stored
-from ._words import Piece, mix, pieces
+from ._packed import Packed, binaries, by_piece, by_slice, key_bytes, keys_of, pack_ints, store_pieces, unpack_ints, unpacked
+from ._store import Scratch, partitions
+from ._words import mix
 
-BEGIN, END, RARE, FIRST = 0, 1, 2, 3  # ids before those of words
 TRAIN, TUNE, HELD = 0, 1, 2
-SLICES_PER_PARTITION = 2  # keeps a task's share of the tokens small
-ID_BITS = 20  # a bigram is two ids in five bytes
-ID_MASK = (1 << ID_BITS) - 1
+END_HASH, BEGIN_HASH = np.uint64(0x0E11D), np.uint64(0x0BE6)
+SLICES_PER_PARTITION = 2  # keeps a slice's share of the bigrams small
+PAIR_BYTES = 5
 STEPS = 8  # likelihood ratios are told apart by eighths of a power of two when weights are learned
+COUNTS = ("word_train", "word_tune", "pair_train", "pair_tune")
 
 
 @dataclass(frozen=True)
@@ -39,219 +40,134 @@ class Lm:
     folds: int = 7
     held_fold: int = 2  # never learned from
     tune_fold: int = 3  # of the training documents, those whose counts the weights are fitted to
-    vocabulary: int = (1 << ID_BITS) - FIRST  # at most
     rounds: int = 30
 
 
 def parts_of(doc_ids: pa.Array, lm: Lm) -> np.ndarray:
-    """TRAIN, TUNE or HELD of each document."""
+    """TRAIN, TUNE or HELD of each document; a null id counts as empty text."""
     fold = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % lm.folds for d in doc_ids.to_pylist()], np.int64)
     return np.where(fold == lm.held_fold, HELD, np.where(fold == lm.tune_fold, TUNE, TRAIN))
 
 
-def keys_of(piece: Piece, doc_ids: pa.Array, h: np.ndarray) -> np.ndarray:
-    """A key for each row, from its id and words; only rows alike in both share one."""
-    own = np.array([zlib.crc32(b"null" if d is None else str(d).encode()) for d in doc_ids.to_pylist()], np.uint64)
-    number = np.array([0 if d is None else int(d) & (2**63 - 1) for d in doc_ids.to_pylist()], np.uint64)
-    at = np.arange(len(h), dtype=np.uint64) - piece.bounds[piece.doc].astype(np.uint64)
-    total = np.zeros(piece.n_docs, np.uint64)
-    np.add.at(total, piece.doc, mix(h + mix(at)))
-    return mix(mix(total + own) + number).view(np.int64)
+class Tokens:
+    """A piece's tokens: words and an end for each document; its distinct words and bigrams slice by slice."""
 
+    def __init__(self, p: Packed, slices: int) -> None:
+        self.end, self.begin = len(p.vocab), len(p.vocab) + 1  # as words of the piece
+        self.vocab = np.concatenate([p.vocab, [END_HASH]])
+        self.doc = np.repeat(np.arange(p.n_docs), p.n_words + 1)
+        self.word = np.full(len(self.doc), self.end, np.int64)
+        self.word[np.arange(len(p.ids)) + p.doc] = p.ids
+        context = np.empty_like(self.word)
+        context[1:] = self.word[:-1]
+        context[np.cumsum(p.n_words + 1) - (p.n_words + 1)] = self.begin
+        pair, self.pair = np.unique(context * (self.begin + 1) + self.word, return_inverse=True)
+        self.pair_context, self.pair_word = pair // (self.begin + 1), pair % (self.begin + 1)
+        self.pair_hash = mix(mix(np.append(self.vocab, BEGIN_HASH)[self.pair_context]) + self.vocab[self.pair_word])
+        self.word_order, self.word_edges = by_slice(self.vocab, slices)
+        self.pair_order, self.pair_edges = by_slice(self.pair_hash, slices)
 
-def word_counts(docs: DataFrame, lm: Lm) -> DataFrame:
-    """(word, n, n_train): hash of every training word, its count, and the count without the tuning part."""
+    def counts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each distinct word and bigram is among the chosen tokens, slice by slice."""
+        words = np.bincount(self.word[tokens], minlength=len(self.vocab))
+        pairs = np.bincount(self.pair[tokens], minlength=len(self.pair_word))
+        return words[self.word_order], pairs[self.pair_order]
 
-    def packed(h: list, a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key = np.concatenate(h)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[new], *(np.add.reduceat(np.concatenate(x)[order], new) if len(new) else np.zeros(0, np.int64) for x in (a, b))
 
-    def batch(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(h), 1 << 17):
-            to = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(h[to].view(np.int64)), pa.array(a[to]), pa.array(b[to])], ["word", "n", "n_train"])
+def asked(pieces: DataFrame, slices: int, lm: Lm) -> DataFrame:
+    """What each piece has of each slice's words and bigrams; whole slices meet in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, a, b, held, limit = [], [], [], 0, 1 << 20
         for rows in batches:
-            part = parts_of(rows.column(0), lm)
-            for p in pieces(rows.column(1), lower=True):
-                own = part[p.first + p.doc]
-                learn = own != HELD
-                got = packed([p.hashes()[learn]], [np.ones(int(learn.sum()), np.int64)], [(own[learn] == TRAIN).astype(np.int64)])
-                for x, y in zip((h, a, b), got, strict=True):
-                    x.append(y)
-                held += len(got[0])
-                if held > limit:
-                    h, a, b = ([x] for x in packed(h, a, b))
-                    held = len(h[0])
-                    if held > limit // 2:
-                        yield from batch(h[0], a[0], b[0])
-                        h, a, b, held = [], [], [], 0
-        if h:
-            yield from batch(*packed(h, a, b))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "word bigint, n bigint, n_train bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
-
-
-@dataclass
-class Vocabulary:
-    """The frequent words: sorted hashes; counts by id, those of BEGIN, END and RARE first."""
-
-    word: np.ndarray
-    n: np.ndarray
-    n_train: np.ndarray
-    rare_types: int
-    total: int  # training tokens
-    types: int  # distinct training tokens
-
-    def __post_init__(self) -> None:
-        self.bits = np.uint64(64 - min(22, max(1, int(np.log2(len(self.word) + 1)) + 2)))
-        top = (self.word >> self.bits).astype(np.int64)
-        self.first = np.searchsorted(top, np.arange((1 << int(64 - self.bits)) + 1)).astype(np.int32)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Id of each word hash; RARE for all others."""
-        out = np.full(len(h), RARE, np.int64)
-        top = (h >> self.bits).astype(np.int64)
-        at, end = self.first[top].astype(np.int64), self.first[top + 1]
-        live = np.flatnonzero(at < end)
-        while len(live):
-            same = self.word[at[live]] == h[live]
-            out[live[same]] = at[live[same]] + FIRST
-            live = live[~same]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        return out
-
-
-def vocabulary(words: DataFrame, docs: tuple[int, int], lm: Lm) -> Vocabulary:
-    """``docs``: training documents, and those without the tuning part."""
-    if lm.vocabulary > (1 << ID_BITS) - FIRST:
-        raise ValueError(f"ids have {ID_BITS} bits")
-    by_count = words.groupBy("n").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.sum("n_train").alias("train"))
-    rows = sorted(((r["n"], r["types"], r["tokens"], r["train"]) for r in by_count.collect()), reverse=True)  # one row a count: few
-    held, least = 0, None
-    for n, types, _, _ in rows:
-        if held + types > lm.vocabulary:
-            break
-        held, least = held + types, n
-    rare = [r for r in rows if least is None or r[0] < least]
-    head = words.filter(F.col("n") >= (least if least is not None else 1 << 62)).select("word", "n", "n_train").toArrow()
-    word = head["word"].to_numpy().view(np.uint64)
-    order = np.argsort(word)
-    n = np.concatenate([[docs[0], docs[0], sum(r[2] for r in rare)], head["n"].to_numpy()[order]])
-    n_train = np.concatenate([[docs[1], docs[1], sum(r[3] for r in rare)], head["n_train"].to_numpy()[order]])
-    return Vocabulary(word[order], n, n_train, sum(r[1] for r in rare), sum(r[2] for r in rows) + docs[0], sum(r[1] for r in rows) + (docs[0] > 0))
-
-
-def _bigrams(p: Piece, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, context and word in one number) of every token, ends included."""
-    n = p.n_words
-    at = np.arange(len(ids)) + p.doc
-    flow = np.full(len(ids) + p.n_docs, END, np.int64)
-    flow[at] = ids
-    before = np.empty_like(flow)
-    before[1:] = flow[:-1]
-    before[np.concatenate([[0], np.cumsum(n + 1)[:-1]])] = BEGIN
-    return np.repeat(np.arange(p.n_docs), n + 1), before << ID_BITS | flow
-
-
-def _slice_of(bigram: np.ndarray, slices: int) -> np.ndarray:
-    """Slice of each bigram: all its occurrences share one, and no context is too large for any."""
-    context, word = (bigram >> ID_BITS).astype(np.uint64), (bigram & ID_MASK).astype(np.uint64)
-    return (mix(mix(context) + word) % np.uint64(slices)).astype(np.int64)
-
-
-def dealt_bigrams(docs: DataFrame, words, slices: int, lm: Lm, by_document: bool) -> DataFrame:  # noqa: ANN001
-    """(slice, docs, counts, bigrams): each piece's tokens of a slice; whole slices meet in a partition.
-
-    A document's key has its part in the last two bits.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = words.value
-        for rows in batches:
-            part = parts_of(rows.column(0), lm)
-            for p in pieces(rows.column(1), lower=True):
-                h = p.hashes()
-                doc, bigram = _bigrams(p, v.ids(h))
-                own = part[p.first : p.first + p.n_docs]
-                keys = keys_of(p, rows.column(0).slice(p.first, p.n_docs), h) & ~3 | own if by_document else own
-                if not by_document:  # documents do not matter: two groups, without what is held out
-                    learn = own[doc] != HELD
-                    doc, bigram = own[doc[learn]], bigram[learn]
-                    keys = np.arange(3)
-                group = _slice_of(bigram, slices) * (p.n_docs + 3) + doc
-                order = np.argsort(group)
-                group, bigram = group[order], bigram[order]
-                new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-                where, who = group[new] // (p.n_docs + 3), group[new] % (p.n_docs + 3)
-                ends = np.append(new, len(group))
-                cut = np.searchsorted(where, np.arange(slices + 1))
-                some = np.flatnonzero(np.diff(cut))
-                edges = np.append(cut[some], len(where))
-                lists = pa.array(edges.astype(np.int32))
-                packed = bigram.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            for i in range(len(rows)):
+                p = unpacked(rows, i)
+                t, part = Tokens(p, slices), parts_of(p.doc_ids, lm)[:, None]
+                (w0, p0), (w1, p1) = (t.counts((part == x)[t.doc, 0]) for x in (TRAIN, TUNE))
+                words, pairs = t.vocab[t.word_order].tobytes(), key_bytes(t.pair_hash[t.pair_order], PAIR_BYTES).tobytes()
+                we, pe = t.word_edges.tolist(), t.pair_edges.tolist()
+                some = np.flatnonzero(np.diff(t.word_edges) + np.diff(t.pair_edges)).tolist()
+                cut = lambda x, e: binaries([pack_ints(x[e[s] : e[s + 1]]) for s in some])
                 columns = [
-                    pa.array(some.astype(np.int32)),
-                    pa.ListArray.from_arrays(lists, pa.array(keys[who])),
-                    pa.ListArray.from_arrays(lists, pa.array(np.diff(ends).astype(np.int32))),
-                    pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends[edges] * 5).astype(np.int32).tobytes()), pa.py_buffer(packed)]),
+                    pa.array(some, pa.int32()),
+                    pa.array([p.piece] * len(some), pa.int64()),
+                    binaries([words[8 * we[s] : 8 * we[s + 1]] for s in some]),
+                    binaries([pairs[PAIR_BYTES * pe[s] : PAIR_BYTES * pe[s + 1]] for s in some]),
+                    *(cut(x, e) for x, e in ((w0, we), (w1, we), (p0, pe), (p1, pe))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "docs", "counts", "bigrams"])
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "piece", "words", "pairs", *COUNTS])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "slice int, docs array<bigint>, counts array<int>, bigrams binary")
+    out = pieces.mapInArrow(run, f"slice int, piece bigint, words binary, pairs binary, {', '.join(f'{c} binary' for c in COUNTS)}")
     return out.repartitionById(slices, F.col("slice"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, part, bigram) of every token of a task's slices."""
-    docs, bigrams = [], []
-    for b in batches:
-        docs.append(np.repeat(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()))
-        raw = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        bigrams.append(wide.view("<i8").reshape(-1))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.concatenate(docs)
-    return doc, doc & 3, np.concatenate(bigrams)
-
-
-def _estimates(bigram: np.ndarray, n_pair: np.ndarray, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of the context, P(w | h), P(w)) of each bigram."""
-    of_context, of_word = n[bigram >> ID_BITS], n[bigram & ID_MASK]
-    bucket = np.where(of_context > 0, np.log2(np.maximum(of_context, 1)).astype(np.int64) + 1, 0)
-    return bucket, n_pair / np.maximum(of_context, 1), of_word / max(total, 1)
+def answers(questions: DataFrame) -> DataFrame:
+    """The corpus counts of all that was asked, in the same order, and each slice's totals in one of its rows.
 
+    A task holds the words and bigrams that the pieces sent to its slices: 8 bytes each and their counts.
+    """
+    from ._packed import GROUP_PIECES
 
-def tuning_counts(dealt: DataFrame, words) -> DataFrame:  # noqa: ANN001
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[tuple]] = {}
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by.setdefault(row[0], []).append(row)
+        for slice_, rows in by.items():
+            out, totals = [], []
+            for column, width in ((2, 8), (3, PAIR_BYTES)):
+                keys = np.concatenate([keys_of(r[column], width) for r in rows])
+                edges = np.cumsum([len(r[column]) // width for r in rows])[:-1]
+                _, back = np.unique(keys, return_inverse=True)
+                sums = [np.bincount(back, np.concatenate([unpack_ints(r[2 * column + j]) for r in rows])).astype(np.int64) for j in (0, 1)]
+                totals.append(sums)
+                out += [np.split(x[back] if len(back) else back, edges) for x in sums]
+            train, tune = totals[0]
+            first = np.zeros((len(rows), 3), np.int64)
+            first[0] = int((train + tune > 0).sum()), int((train + tune).sum()), int(train.sum())
+            piece = np.array([r[1] for r in rows], np.int64)
+            columns = [pa.array(piece // GROUP_PIECES), pa.array(piece), pa.array([slice_] * len(rows), pa.int32()), *(binaries([pack_ints(x) for x in o]) for o in out), *(pa.array(first[:, j]) for j in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "piece", "slice", *COUNTS, "types", "tokens", "train_tokens"])
+
+    return questions.mapInArrow(run, f"grp bigint, piece bigint, slice int, {', '.join(f'{c} binary' for c in COUNTS)}, types bigint, tokens bigint, train_tokens bigint")
+
+
+def _answered(left: pa.Table, right: pa.Table, slices: int) -> Iterator[tuple[Packed, Tokens, list[np.ndarray]]]:
+    """Each piece with its tokens and the corpus counts of its distinct words and bigrams."""
+    rows = by_piece(right, "slice")
+    for i in range(len(left)):
+        p = unpacked(left, i)
+        t, counts = Tokens(p, slices), []
+        for c in COUNTS:
+            got = [unpack_ints(right.column(c)[j].as_py()) for j in rows[p.piece]]
+            own = np.zeros(sum(map(len, got)), np.int64)
+            own[t.word_order if c.startswith("word") else t.pair_order] = np.concatenate(got)
+            counts.append(own)
+        yield p, t, counts
+
+
+def _estimates(t: Tokens, words: np.ndarray, pairs: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of the context, P(w | h), P(w)) of each distinct bigram."""
+    context = np.append(words, words[t.end])[t.pair_context]  # as many beginnings as ends
+    bucket = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
+    return bucket, pairs / np.maximum(context, 1), words[t.pair_word] / max(total, 1)
+
+
+def tuning_counts(pieces: DataFrame, replies: DataFrame, slices: int, lm: Lm, types: int, train_tokens: int) -> DataFrame:
     """(bucket, r2, r1, n): tuning tokens by context bucket and by how far each estimate is above the uniform one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = words.value
-        _, part, bigram = _gathered(batches)
-        order = np.argsort(bigram)
-        bigram, part = bigram[order], part[order]
-        new = np.flatnonzero(np.concatenate([[True], bigram[1:] != bigram[:-1]])) if len(bigram) else np.zeros(0, np.int64)
-        train = np.add.reduceat((part == TRAIN).astype(np.int64), new) if len(new) else new
-        tune = np.add.reduceat((part == TUNE).astype(np.int64), new) if len(new) else new
-        some = tune > 0
-        bucket, p2, p1 = _estimates(bigram[new][some], train[some], v.n_train, int(v.n_train[END:].sum()))
-        uniform = 1.0 / (len(v.n) - 1)
-        r = [np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300) / uniform) * STEPS), -9999).astype(np.int64) for p in (p2, p1)]
-        key = (bucket * 20_000 + r[0] + 10_000) * 20_000 + r[1] + 10_000
-        key, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, tune[some], len(key)).astype(np.int64)
-        columns = [key // 400_000_000, key // 20_000 % 20_000 - 10_000, key % 20_000 - 10_000, n]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "r2", "r1", "n"])
-
-    return dealt.mapInArrow(run, "bucket bigint, r2 bigint, r1 bigint, n bigint").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for p, t, (w_train, _, p_train, _) in _answered(left, right, slices):
+            n = np.bincount(t.pair[(parts_of(p.doc_ids, lm) == TUNE)[t.doc]], minlength=len(t.pair_word))
+            bucket, p2, p1 = (x[n > 0] for x in _estimates(t, w_train, p_train, train_tokens))
+            r = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300) * (types + 1)) * STEPS), -9999).astype(np.int64) for x in (p2, p1)]
+            key, back = np.unique((bucket * 20_000 + r[0] + 10_000) * 20_000 + r[1] + 10_000, return_inverse=True)
+            found.append((key, np.bincount(back, n[n > 0], len(key)).astype(np.int64)))
+        key, n = (np.concatenate([f[j] for f in found] or [np.zeros(0, np.int64)]) for j in (0, 1))
+        return pa.table({"bucket": key // 400_000_000, "r2": key // 20_000 % 20_000 - 10_000, "r1": key % 20_000 - 10_000, "n": n})
+
+    both = pieces.groupBy("grp").cogroup(replies.groupBy("grp"))
+    return both.applyInArrow(run, "bucket bigint, r2 bigint, r1 bigint, n bigint").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
 
 
 def mixture_weights(bucket: np.ndarray, r2: np.ndarray, r1: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
@@ -275,101 +191,47 @@ def mixture_weights(bucket: np.ndarray, r2: np.ndarray, r1: np.ndarray, n: np.nd
     return out
 
 
-def bigram_scores(dealt: DataFrame, words, weights: np.ndarray) -> DataFrame:  # noqa: ANN001
-    """(key, part_score): log10 probability of each document's tokens in one task's slices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = words.value
-        doc, part, bigram = _gathered(batches)
-        if not len(doc):
-            return
-        order = np.argsort(bigram)
-        doc, part, bigram = doc[order], part[order], bigram[order]
-        new = np.flatnonzero(np.concatenate([[True], bigram[1:] != bigram[:-1]]))
-        pair = np.add.reduceat((part != HELD).astype(np.int64), new)
-        many = np.diff(np.append(new, len(bigram)))
-        bigram = bigram[new]
-        bucket, p2, p1 = _estimates(bigram, pair, v.n, v.total)
-        w = weights[bucket]
-        p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (len(v.n) - 1)
-        p = np.where((bigram & ID_MASK) == RARE, p / (v.rare_types + 1), p)
-        score = np.repeat(np.log10(p), many)
-        order = np.argsort(doc)
-        doc, score = doc[order], score[order]
-        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        total = np.add.reduceat(score, new)
-        doc = doc[new]
-        for i in range(0, len(doc), 1 << 17):
-            to = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(total[to])], ["key", "part_score"])
-
-    return dealt.mapInArrow(run, "key bigint, part_score double")
-
-
-def base_parts(docs: DataFrame, words, lm: Lm) -> DataFrame:  # noqa: ANN001
-    """(doc_id, key, held_out, n_tokens, n_known, logs, rare): sums over frequent words, and the others' hashes."""
+def scores(pieces: DataFrame, replies: DataFrame, slices: int, lm: Lm, types: int, tokens: int, weights: np.ndarray) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of every row."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    kind = pieces.schema["ids"].dataType.elementType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = words.value
-        logs = np.log10(v.n + 1.0)
-        for rows in batches:
-            part = parts_of(rows.column(0), lm)
-            for p in pieces(rows.column(1), lower=True):
-                h = p.hashes()
-                ids = v.ids(h)
-                known = ids != RARE
-                rare = p.doc[~known]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(p.n_docs + 1)).astype(np.int32)), pa.array(h[~known].view(np.int64)))
-                own = rows.column(0).slice(p.first, p.n_docs)
-                columns = [
-                    own,
-                    pa.array(keys_of(p, own, h) & ~3 | part[p.first : p.first + p.n_docs]),
-                    pa.array(part[p.first : p.first + p.n_docs] == HELD),
-                    pa.array(p.n_words + 1),
-                    pa.array(np.bincount(p.doc[known], minlength=p.n_docs) + int(v.n[END] > 0)),
-                    pa.array(np.bincount(p.doc[known], logs[ids[known]], p.n_docs) + logs[END]),
-                    lists,
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for p, t, (w_train, w_tune, p_train, p_tune) in _answered(left, right, slices):
+            words = w_train + w_tune
+            bucket, p2, p1 = _estimates(t, words, p_train + p_tune, tokens)
+            w = weights[bucket]
+            score = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1))
+            base = np.log10((words + 1.0) / (tokens + types + 1))
+            per = lambda values: np.bincount(t.doc, values, p.n_docs)
+            held = parts_of(p.doc_ids, lm) == HELD
+            columns = [p.doc_ids, pa.array(held), pa.array(p.n_words + 1), pa.array(per((words > 0)[t.word]).astype(np.int64)), pa.array(per(base[t.word])), pa.array(per(score[t.pair]))]
+            out.append(pa.RecordBatch.from_arrays(columns, names))
+        return pa.Table.from_batches(out)
 
-    names = ["doc_id", "key", "held_out", "n_tokens", "n_known", "logs", "rare"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, rare array<bigint>")
+    both = pieces.groupBy("grp").cogroup(replies.groupBy("grp"))
+    return both.applyInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def scored(docs: DataFrame, lm: Lm = Lm()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
     Null, empty and blank texts have the end token only.  A null doc_id counts as empty text when
-    folds are dealt.  Rows alike in id and words get the same score, each its own row; an empty
-    table gives an empty result, and a table without training documents scores by the uniform
-    estimate.  Further columns are left aside.
+    folds are dealt.  Rows that repeat are scored each by itself, alike; an empty table gives an
+    empty result, and a table without training documents scores by the uniform estimate.  Further
+    columns are left aside.
     """
     spark = docs.sparkSession
-    slices = SLICES_PER_PARTITION * partitions(spark)
-    words = stored(word_counts(docs, lm), "words")
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(lm.folds))
-    n = docs.agg(F.count_if(fold != lm.held_fold).alias("train"), F.count_if((fold != lm.held_fold) & (fold != lm.tune_fold)).alias("without")).first()
-    v = vocabulary(words, (n["train"], n["without"]), lm)
-    held = spark.sparkContext.broadcast(v)
-    tuning = tuning_counts(dealt_bigrams(docs, held, slices, lm, by_document=False), held).toArrow()
+    slices, scratch = SLICES_PER_PARTITION * partitions(spark), Scratch(spark, "lm")
+    pieces = store_pieces(docs, scratch)
+    replies = scratch.stored(answers(asked(pieces, slices, lm)), "replies")
+    total = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "train_tokens")]).first()
+    types, tokens = total["types"], total["tokens"]
+    tuning = tuning_counts(pieces, replies, slices, lm, types, total["train_tokens"]).toArrow()  # as many rows as steps, not as tokens
     weights = mixture_weights(*(tuning[c].to_numpy() for c in ("bucket", "r2", "r1", "n")), lm.rounds)
-    score = bigram_scores(dealt_bigrams(docs, held, slices, lm, by_document=True), held, weights).groupBy("key").agg(F.sum("part_score").alias("score"))
-
-    base = stored(base_parts(docs, held, lm), "base")
-    tail = base.select("key", F.explode("rare").alias("word")).join(words.select("word", "n"), "word")
-    tail = tail.groupBy("key").agg(F.sum(F.log10(F.col("n") + 1)).alias("tail_logs"), F.count("*").alias("tail_known"))
-    alike = base.groupBy("key").agg(F.count("*").alias("rows"))
-    by_key = alike.join(score, "key").join(tail, "key", "left")
-    by_key = by_key.select("key", (F.col("score") / F.col("rows")).alias("score"), (F.coalesce("tail_logs", F.lit(0.0)) / F.col("rows")).alias("tail_logs"), F.expr("coalesce(tail_known, 0) div rows").alias("tail_known"))
-    out = base.drop("rare").join(by_key, "key")
-    floor = float(np.log10(v.total + v.types + 1))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("tail_known")).alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("tail_logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
-    )
+    if not tokens:
+        weights[:] = (0.0, 0.0, 1.0)
+    out = scores(pieces, replies, slices, lm, types, tokens, weights)
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scratch.close(out, "scores")

@@ -317,23 +317,83 @@ def test_urls(spark):
 
 
 def test_language_model(docs, empty):
-    rows = docs.dropDuplicates(["doc_id"])
-    got = by_id(interpolated_lm.scored(rows, interpolated_lm.Lm(vocabulary=8)))
-    tokens = {r["doc_id"]: [*low(r["text"]).encode().split(), None] for r in rows.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    count = Counter(t for i, ts in tokens.items() if not held[i] for t in ts)
-    total, types = sum(count.values()), len(count)
-    for i, ts in tokens.items():
-        g = got[i]
-        want = sum(math.log10((count[t] + 1) / (total + types + 1)) for t in ts)
-        assert (g["n_tokens"], g["n_known"], g["train_tokens"], g["held_out"]) == (len(ts), sum(count[t] > 0 for t in ts), total, held[i])
-        assert abs(g["base_score"] - want) < 1e-6 * max(1, abs(want)) and g["score"] < 0
-    full = by_id(interpolated_lm.scored(rows))
-    own = [i for i in tokens if held[i]]
-    assert sum(full[i]["score"] for i in own) > sum(full[i]["base_score"] for i in own)
+    lm = interpolated_lm.Lm()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(None, "alpha beta new words"), (None, None), (7, "another text under one id")]
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    got = interpolated_lm.scored(table, lm).collect()
+    tokens = [(i, [*low(t).encode().split(), None]) for i, t in rows]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    part = {i: "held" if fold(i) == 2 else "tune" if fold(i) == 3 else "train" for i, _ in tokens}
+
+    def counted(*kinds):
+        words, pairs = Counter(), Counter()
+        for i, ts in tokens:
+            if part[i] in kinds:
+                words.update(ts)
+                pairs.update(zip(["begin", *ts[:-1]], ts))
+        words["begin"] = words[None]
+        return words, pairs
+
+    words, pairs = counted("train", "tune")
+    total, types = sum(n for w, n in words.items() if w != "begin"), len(words) - 1
+    bucket = lambda n: int(math.log2(n)) + 1 if n else 0
+
+    # deleted interpolation by itself: estimates of the train part, weights fitted to the tuning part
+    w0, p0 = counted("train")
+    n0 = sum(n for w, n in w0.items() if w != "begin")
+    seen = defaultdict(list)
+    for (h, w), n in counted("tune")[1].items():
+        seen[bucket(w0[h])].append((p0[h, w] / max(w0[h], 1), w0[w] / n0, 1 / (types + 1), n))
+    weights = {0: (0.0, 0.9, 0.1)}
+    for b in range(1, 40):
+        weights[b] = weights.get(b - 1, (1 / 3,) * 3) if b > 1 and seen.keys() & set(range(b)) else (1 / 3,) * 3
+        if b in seen or b == 0:
+            w = np.full(3, 1 / 3)
+            ratio = np.array([x[:3] for x in seen[b]]).T * (types + 1)
+            for _ in range(lm.rounds):
+                share = w[:, None] * ratio
+                w = (share / share.sum(0) * np.array([x[3] for x in seen[b]])).sum(1) + 1e-3
+                w /= w.sum()
+            weights[b] = tuple(w)
+    if 0 in seen:
+        ratio = np.array([x[:3] for x in seen[0]]).T * (types + 1)
+        w = np.full(3, 1 / 3)
+        for _ in range(lm.rounds):
+            share = w[:, None] * ratio
+            w = (share / share.sum(0) * np.array([x[3] for x in seen[0]])).sum(1) + 1e-3
+            w /= w.sum()
+        weights[0] = tuple(w)
+
+    def scored(ts):
+        base = sum(math.log10((words[t] + 1) / (total + types + 1)) for t in ts)
+        score = 0.0
+        for h, w in zip(["begin", *ts[:-1]], ts):
+            x = weights[bucket(words[h])]
+            score += math.log10(x[0] * pairs[h, w] / max(words[h], 1) + x[1] * words[w] / total + x[2] / (types + 1))
+        return base, score
+
+    want = sorted((i if i is not None else -1, part[i] == "held", len(ts), sum(words[t] > 0 for t in ts), total, *scored(ts)) for i, ts in tokens)
+    have = sorted((g["doc_id"] if g["doc_id"] is not None else -1, g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], g["base_score"], g["score"]) for g in got)
+    assert [x[:5] for x in have] == [x[:5] for x in want]
+    for g, w in zip(have, want):
+        assert abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5]))
+        assert abs(g[6] - w[6]) < 0.01 * max(1, abs(w[6]))  # ratios are rounded to eighths of a power of two when weights are fitted
+    assert sum(g[6] for g in have if g[1]) > sum(g[5] for g in have if g[1])
     assert interpolated_lm.scored(empty).count() == 0
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**40), max_size=300), st.integers(0, 3))
+def test_packed_numbers(values, kind):
+    from postloom.llm import _packed
+
+    v = np.array(values, np.int64) % (1 << (8, 16, 32, 40)[kind])
+    assert _packed.unpack_ints(_packed.pack_ints(v)).tolist() == v.tolist()
+    vocab, ids = _packed.unpack_words(_packed.pack_words(v.astype(np.uint64)))
+    assert vocab[ids].tolist() == v.tolist() if len(v) else not len(ids)
+
+
 def test_mixture_weights_find_the_source():
     r = np.random.default_rng(0)
     bucket = np.full(400, 3)
