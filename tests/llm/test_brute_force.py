@@ -196,6 +196,74 @@ def test_passages_with_one_word_in_ten_changed(spark):
     assert all(x["n_words"] >= 98 for x in out)
 
 
+def test_equal_passages_against_exact_search(spark):
+    """Every run of 50 equal words of two texts is covered by a passage of each; nothing else is found but fuzzy passages."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    stock = [r.choices(words, k=r.randint(12, 90)) for _ in range(40)]
+    rows = []
+    for i in range(120):
+        t = []
+        for _ in range(r.randint(1, 6)):
+            t += r.choice(stock) if r.random() < 0.6 else r.choices(words, k=r.randint(5, 80))
+        rows.append((None if i % 17 == 0 else i % 90, " ".join(t)))  # ids repeat and are missing
+    rows += rows[5:9] + [(200, None), (201, ""), (202, rows[3][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    where = defaultdict(set)
+    texts = [low(t).split() for _, t in rows]
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            where[tuple(t[j : j + 50])].add(i)
+    found = passages.repeated_passages(docs).collect()
+    covered = defaultdict(set)
+    linked = defaultdict(set)
+    for x in found:
+        assert x["n_words"] == x["end"] - x["start"] >= 50 and x["identity"] >= 0.8
+        covered[x["doc_id"]] |= set(range(x["start"], x["end"]))
+        covered[x["rep_doc_id"]] |= set(range(x["rep_start"], x["rep_end"]))
+        linked[x["doc_id"]].add(x["rep_doc_id"])
+        linked[x["rep_doc_id"]].add(x["doc_id"])
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        return seen
+
+    shared = [(run, who) for run, who in where.items() if len(who) > 1]
+    assert len(shared) > 300
+    for run, who in shared:
+        ids = {rows[i][0] for i in who}
+        assert ids <= reach(next(iter(ids)))
+        for i in who:
+            t = texts[i]
+            spots = [j for j in range(len(t) - 49) if tuple(t[j : j + 50]) == run]
+            assert any(j + 25 in covered[rows[i][0]] for j in spots)
+
+
+def test_copies_and_odd_ids_of_passages(spark):
+    r = random.Random(22)
+    fill = lambda k: " ".join(f"u{r.randrange(10**6)}" for _ in range(k))
+    one, shared = fill(60), fill(55)
+    rows = [(1, one, "x"), (2, one, "x"), (2, fill(30) + " " + shared, "x"), (None, shared + " " + fill(9), "x"), (None, fill(70), "x"), (3, one.upper(), "x"), (3, one.upper(), "x")]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, start string")).collect()
+    key = lambda t: tuple(-1 if x is None else x for x in t)
+    assert sorted(key((x["doc_id"], x["start"], x["end"], x["rep_doc_id"], x["rep_start"], x["rep_end"])) for x in out) == sorted([(2, 0, 60, 1, 0, 60), (3, 0, 60, 1, 0, 60), (3, 0, 60, 1, 0, 60), (-1, 0, 55, 2, 30, 85)])
+
+
+def test_chains_that_reach_far_are_aligned_again(spark):
+    r = random.Random(23)
+    words = [f"u{r.randrange(10**6)}" for _ in range(400)]
+    other = [w if i < 30 or i % 4 else f"c{i}" for i, w in enumerate(words)]  # beyond 30 words no run of nine is equal
+    other = [w if j < 300 else f"d{j}" for j, w in enumerate(other)]
+    rows = [(1, " ".join(words)), (2, " ".join(other))]
+    p = passages.Passages(min_identity=0.7)
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), p, margin=16).collect()
+    assert [(x["start"], x["rep_start"]) for x in out] == [(0, 0)] and 295 <= out[0]["end"] <= 300
+
+
 def test_long_gap_is_aligned():
     r = random.Random(11)
     for n in (0, 1, 30, 300):
