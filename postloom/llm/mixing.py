@@ -11,13 +11,14 @@ documents of a pattern.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import small_enough, stored
+from ._store import free_name, small_enough, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -61,46 +62,61 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], passes: i
 
     Arcs run from the origin to a pattern once for each pass (capacity its size, cost the number
     of passes before), from a pattern to its sources and from a source to the end (its quota).
-    Successive cheapest augmenting paths; all paths of one cost level are those of one pass, as
-    only the pass arcs cost something and an augmentation never gives up a cheaper one.
+    All cheapest augmenting paths of one cost level are those of one pass, as only the pass arcs
+    cost something and an augmentation never gives up a cheaper one.
+
+    A path is searched over sources: one source leads to another by a pattern that has both and
+    sends words to the first.  Sources from which no quota can be reached stay so, and are left
+    aside from then on, so a search that finds nothing happens at most once for each source.
     """
     quota = {s: int(q) for s, q in quotas.items()}
     flow: dict[tuple, dict] = {p: {} for p in patterns}
-    for _ in range(passes):
-        open_cap = dict(patterns)
-        for p in sorted(patterns, key=lambda p: (len(p), [(s is None, s or "") for s in p])):
-            while open_cap[p]:
-                # breadth-first over patterns; a source's flow may be moved to another source of its pattern
-                came: dict = {("p", p): None}
-                queue, end = [("p", p)], None
-                while queue and end is None:
-                    kind, x = node = queue.pop(0)
-                    nexts = [("s", s) for s in x] if kind == "p" else [("p", q) for q in patterns if flow[q].get(x, 0) > 0]
-                    for n in nexts:
-                        if n not in came:
-                            came[n] = node
-                            queue.append(n)
-                            if n[0] == "s" and quota[n[1]] > 0:
-                                end = n
-                                break
-                if end is None:
-                    break
-                path, at = [end], end
-                while came[at] is not None:
-                    at = came[at]
-                    path.append(at)
-                path.reverse()
-                amount = min(open_cap[p], quota[end[1]])
-                for u, v in zip(path, path[1:], strict=False):
-                    if u[0] == "s":
-                        amount = min(amount, flow[v[1]][u[1]])
-                for u, v in zip(path, path[1:], strict=False):
-                    if u[0] == "p":
-                        flow[u[1]][v[1]] = flow[u[1]].get(v[1], 0) + amount
+    by: dict = {}  # by[s][t]: patterns of both s and t that send words to s
+    dead: set = set()
+
+    def add(p: tuple, s: str | None, words: int) -> None:
+        old = flow[p].get(s, 0)
+        flow[p][s] = old + words
+        if (old > 0) != (old + words > 0):
+            for t in p:
+                if t != s:
+                    own = by.setdefault(s, {}).setdefault(t, {})
+                    if old + words > 0:
+                        own[p] = None
                     else:
-                        flow[v[1]][u[1]] -= amount
-                quota[end[1]] -= amount
-                open_cap[p] -= amount
+                        own.pop(p, None)
+
+    def path(p: tuple) -> list | None:
+        """Sources from one of ``p`` to one with a quota left, and the patterns between them."""
+        came: dict = {s: None for s in p if s not in dead}
+        queue = deque(came)
+        while queue:
+            s = queue.popleft()
+            if quota[s] > 0:
+                out = [s]
+                while came[out[-1]] is not None:
+                    out.append(came[out[-1]])
+                return out[::-1]
+            for t, own in by.get(s, {}).items():
+                if own and t not in came and t not in dead:
+                    came[t] = s
+                    queue.append(t)
+        dead.update(came)
+        return None
+
+    order = sorted(patterns, key=lambda p: (len(p), [(s is None, s or "") for s in p]))
+    for _ in range(passes):
+        for p in order:
+            left = patterns[p]
+            while left and (found := path(p)) is not None:
+                hops = [(s, t, next(iter(by[s][t]))) for s, t in zip(found, found[1:], strict=False)]
+                amount = min([left, quota[found[-1]], *(flow[q][s] for s, _, q in hops)])
+                add(p, found[0], amount)
+                for s, t, q in hops:
+                    add(q, s, -amount)
+                    add(q, t, amount)
+                quota[found[-1]] -= amount
+                left -= amount
     return {p: sum(f.values()) for p, f in flow.items()}
 
 
@@ -166,9 +182,16 @@ def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, source: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """The documents that the mix takes, once for each time, all columns as they are."""
-    plan = mixed(docs, F.array(F.col(source)), mix).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.from_json("pattern", "sources array<string>")["sources"][0].alias("taken_source"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    plan = small_enough(stored(plan.dropDuplicates(["taken_id", "taken_source"]), "taken"), 24)
-    same = docs["doc_id"].eqNullSafe(plan["taken_id"]) & docs[source].eqNullSafe(plan["taken_source"])
+    """The documents that the mix takes, once for each time, all columns as they are.
+
+    Rows that share id and source are taken equally often; null ids and null sources are values
+    like others.  Texts without words are never taken.  An empty table gives an empty one; columns
+    of any name stay as they are.
+    """
+    id_, source_, times, number = (free_name(docs, n) for n in ("taken_id", "taken_source", "times", "pass"))
+    own = F.from_json("pattern", "sources array<string>")["sources"][0]
+    plan = mixed(docs, F.array(F.col(source)), mix).filter("taken > 0").select(F.col("doc_id").alias(id_), own.alias(source_), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    plan = small_enough(stored(plan.dropDuplicates([id_, source_]), "taken"), 24)
+    same = docs["doc_id"].eqNullSafe(plan[id_]) & docs[source].eqNullSafe(plan[source_])
     both = docs.filter(size_of(F.col("text")) > 0).join(plan, same)
-    return both.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return both.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_enough, stored
+from ._store import free_name, small_enough, stored
 from ._words import IS_POINT, IS_WORD, Piece, by_text, pieces, windows
 
 
@@ -33,6 +33,7 @@ class Rules:
     left_percent: int = 25
 
 
+ASCII_SPACE = " \t\n\r\v\f"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -147,7 +148,7 @@ def without_lines(text: Column, removed: Column) -> Column:
     def cut(texts, keys):  # noqa: ANN001, ANN202
         def one(t: str, bad: np.ndarray) -> str:
             bad = set(bad.tolist())
-            return "\n".join(x for x in t.split("\n") if not x.strip() or line_key(x.encode()) not in bad)
+            return "\n".join(x for x in t.split("\n") if not x.strip(ASCII_SPACE) or line_key(x.encode()) not in bad)
 
         return texts.combine(keys, one)
 
@@ -157,14 +158,18 @@ def without_lines(text: Column, removed: Column) -> Column:
 def quality_filter(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The kept documents; boilerplate lines are cut out of their texts, all other columns stay.
 
-    Only rejected and cut documents are joined back, so the others' texts need not move;
-    a row's verdict is that of its id, host and text.
+    Only rejected and cut documents are joined back, so the others' texts need not move; a row's
+    verdict is that of its id, host and text, so null and repeated ids do no harm and rows that
+    repeat stay or go together.  Null, empty and blank texts are rejected.  An empty table gives
+    an empty one; columns of any name stay as they are.
     """
-    verdict = judged(docs, host, rules).filter(~F.col("kept") | (F.size("removed") > 0)).select(F.col("doc_id").alias("judged_id"), F.col("host").alias("judged_host"), F.col("version").alias("judged_version"), "kept", "removed", F.lit(True).alias("judged"))
-    verdict = small_enough(stored(verdict.dropDuplicates(["judged_id", "judged_host", "judged_version"]), "verdict"), 200)
-    same = docs["doc_id"].eqNullSafe(verdict["judged_id"]) & docs[host].eqNullSafe(verdict["judged_host"]) & (F.xxhash64(docs["text"]) == verdict["judged_version"])
-    both = docs.join(verdict, same, "left").filter(F.coalesce("kept", F.lit(True)))
-    changed = F.col("judged").isNotNull()
+    id_, host_, version, kept, removed, changed = (free_name(docs, n) for n in ("judged_id", "judged_host", "judged_version", "kept", "removed", "judged"))
+    own = judged(docs, host, rules).filter(~F.col("kept") | (F.size("removed") > 0))
+    verdict = own.select(F.col("doc_id").alias(id_), F.col("host").alias(host_), F.col("version").alias(version), F.col("kept").alias(kept), F.col("removed").alias(removed), F.lit(True).alias(changed))
+    verdict = small_enough(stored(verdict.dropDuplicates([id_, host_, version]), "verdict"), 200)
+    same = docs["doc_id"].eqNullSafe(verdict[id_]) & docs[host].eqNullSafe(verdict[host_]) & (F.xxhash64(docs["text"]) == verdict[version])
+    both = docs.join(verdict, same, "left").filter(F.coalesce(kept, F.lit(True)))
+    cut = F.col(changed).isNotNull()
     none = F.array().cast("array<bigint>")
-    text = F.when(changed, without_lines(F.when(changed, F.col("text")).otherwise(""), F.coalesce("removed", none))).otherwise(F.col("text"))
+    text = F.when(cut, without_lines(F.when(cut, F.col("text")).otherwise(""), F.coalesce(removed, none))).otherwise(F.col("text"))
     return both.withColumn("text", text).select(*docs.columns)

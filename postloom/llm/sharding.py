@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import stored
+from ._store import free_name, stored
 
 SLOTS = 4096  # fixed: changing it moves every record
 SHARDS = 8
@@ -45,8 +45,8 @@ class SlotMap:
 
 
 def slot_of(doc_id: Column, crc: Column) -> Column:
-    """Virtual slot of a record; a null id hashes by its text."""
-    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), crc.cast("string")))
+    """Virtual slot of a record, by its id and text: rows that share an id, or have none, are spread by their texts."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), crc.cast("string"))
     return F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(SLOTS)).cast("int")
 
 
@@ -106,8 +106,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: SlotMap | None = No
 
     Law ``bytes``: the shards' sizes are near equal.  ``slot`` numbers the records of a shard from
     0 without gaps, by virtual slot and then by doc_id and text.  Null texts have no bytes and the
-    CRC of no bytes; rows with null ids are hashed by their text.  Rows that repeat go to one
-    shard and get slots of their own, which of them first makes no difference.  Empty tables give
+    CRC of no bytes; rows that share an id, or have none, are spread by their texts.  Rows that
+    repeat id and text go to one shard and get slots of their own, which of them first makes no
+    difference.  Empty tables give
     empty results; further columns are left aside.
     """
     spark = docs.sparkSession
@@ -133,9 +134,15 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: SlotMap | None = No
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All documents and columns, with their shard; the map is balanced by their bytes."""
+    """All documents and columns, with their virtual_slot and shard; the map is balanced by their bytes.
+
+    Null texts have no bytes, null and repeated ids are spread by their texts.  An empty table
+    gives an empty one.  Where ``docs`` has columns of these names, they stay, and the new ones get
+    an underscore before theirs.
+    """
     spark = docs.sparkSession
+    slot_name, shard_name, key = free_name(docs, "virtual_slot"), free_name(docs, "shard"), free_name(docs, "map_slot")
     text = F.coalesce(F.col("text"), F.lit(""))
     slot = slot_of(docs["doc_id"], F.crc32(text.cast("binary")))
-    owner = F.broadcast(balanced(slot_loads(records(docs)), shards).frame(spark).select("virtual_slot", "shard"))
-    return docs.withColumn("virtual_slot", slot).join(owner, "virtual_slot").select(*docs.columns, "virtual_slot", "shard")
+    owner = F.broadcast(balanced(slot_loads(records(docs)), shards).frame(spark).select(F.col("virtual_slot").alias(key), F.col("shard").alias(shard_name)))
+    return docs.withColumn(slot_name, slot).join(owner, F.col(slot_name) == F.col(key)).select(*docs.columns, slot_name, shard_name)

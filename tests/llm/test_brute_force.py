@@ -77,6 +77,9 @@ def test_jaccard_components(docs, empty):
     assert {i: r["component_id"] for i, r in got.items()} == label
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert jaccard.jaccard_components(empty).count() == 0
+    near = docs.sparkSession.createDataFrame([(None, "a b c d e f g h i j k l"), (7, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j k l m"), (9, "z"), (None, "y"), (None, None)], "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"]) for r in jaccard.jaccard_components(near).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 7), (-1, 7), (7, 7), (9, 9)]
 
 
 def test_jaccard_family_larger_than_a_block(spark, monkeypatch):
@@ -318,10 +321,53 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(empty, F.array("source")).count() == 0
 
 
+def most_and_cheapest(patterns, quotas, passes):
+    """(largest flow, fewest words of each later pass) by enumeration of cuts: max-flow equals the least cut over sets of sources."""
+    from itertools import combinations
+
+    names = sorted(quotas)
+    flows = []
+    for k in range(1, passes + 1):  # the largest flow that k passes allow
+        best = None
+        for r in range(len(names) + 1):
+            for cut in combinations(names, r):  # quotas cut off; patterns with another source are cut at their size
+                cost = sum(int(quotas[s]) for s in cut) + sum(k * n for p, n in patterns.items() if set(p) - set(cut))
+                best = cost if best is None else min(best, cost)
+        flows.append(best)
+    return flows
+
+
 def test_overlapping_sources_flow():
-    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 2}, {"a": 18.0, "b": 8.0}, 2)
-    assert flow == {("a",): 14, ("a", "b"): 10, ("b",): 2} or (sum(flow.values()) == 26 and flow["a", "b"] >= 10 and flow[("b",)] >= 2)
-    assert sum(mixing.route({("a", "b"): 5}, {"a": 3.0, "b": 9.0}, 2).values()) == 10
+    r = random.Random(6)
+    for _ in range(300):
+        names = "abcd"[: r.randint(1, 4)]
+        patterns = {}
+        for _ in range(r.randint(1, 8)):
+            patterns[tuple(sorted(r.sample(names, r.randint(1, len(names)))))] = r.randint(0, 20)
+        quotas = {s: float(r.randint(0, 40)) for s in names}
+        for passes in (1, 2, 3):
+            flow = mixing.route(patterns, quotas, passes)
+            most = most_and_cheapest(patterns, quotas, passes)
+            assert sum(flow.values()) == most[-1]  # as much as possible
+            assert all(0 <= flow[p] <= passes * n for p, n in patterns.items())
+            # and as few repeats as possible: what exceeds k passes is what k passes cannot carry
+            for k in range(1, passes):
+                assert sum(max(0, flow[p] - k * n) for p, n in patterns.items()) <= most[-1] - most[k - 1]
+
+
+def test_flow_over_many_patterns():
+    import time
+
+    r = random.Random(7)
+    names = [f"s{i:02d}" for i in range(40)]
+    patterns = {}
+    while len(patterns) < 20_000:
+        patterns[tuple(sorted(r.sample(names, r.randint(1, 6))))] = r.randint(1, 1000)
+    total = sum(patterns.values())
+    quotas = {s: 1.5 * total * r.uniform(0.2, 2) / len(names) for s in names}
+    began = time.time()
+    flow = mixing.route(patterns, quotas, 2)
+    assert time.time() - began < 30 and abs(sum(flow.values()) - min(2 * total, sum(map(int, quotas.values())))) <= 0.05 * total
 
 
 def test_quality(docs, empty):
@@ -353,6 +399,11 @@ def test_sharding(docs, empty, spark, tmp_path):
         loads[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    many = docs.sparkSession.createDataFrame([(i % 3 or None, f"text {i} " * (i % 40 + 1)) for i in range(6000)], "doc_id long, text string")
+    held = Counter()
+    for r in sharding.sharded(many).collect():  # three ids only: still near equal
+        held[r["shard"]] += r["size"]
+    assert len(held) == 8 and max(held.values()) <= 1.02 * min(held.values())
     text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     assert all((r["size"], r["text_crc32"]) == (len(text[r["doc_id"]]) + 1, zlib.crc32(text[r["doc_id"]])) for r in rows)
     assert sharding.sharded(empty).count() == 0
@@ -472,14 +523,20 @@ def test_mixture_weights_find_the_source():
 def test_token_files_round_trip(docs, empty, spark):
     tokenizers = pytest.importorskip("tokenizers")
     tok = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-    rows = docs.dropDuplicates(["doc_id"])
-    got = by_id(token_files.token_files(rows, tok, 2))
-    own, start = tokenizers.Tokenizer.from_file(tok), 0
-    for r in sorted(rows.collect(), key=lambda r: r["doc_id"]):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(None, "no id"), (None, "no id"), (None, "another"), (5, "again"), (300, "don't rock'n'roll 3rd 2's l'été“x”-—a İstanbul, ǅ x'RE (word) a-b_c 12ab34 'tis <|endoftext|>a naïve's")]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(token_files.token_files(rows, tok, 2).collect(), key=lambda g: g["start"])
+    own, start, left = tokenizers.Tokenizer.from_file(tok), 0, Counter()
+    for r in rows.collect():
         ids = [*own.encode(r["text"] or "", add_special_tokens=False).ids, 2]
-        g = got[r["doc_id"]]
-        assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+        left[r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert [-1 if g["doc_id"] is None else g["doc_id"] for g in got] == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows.collect())
+    for g in got:
+        assert g["start"] == start
+        start += g["n_tokens"]
+        left[g["doc_id"], g["n_tokens"], g["ids_crc32"]] -= 1
+    assert not any(left.values())
     assert token_files.token_files(empty, tok, 2).count() == 0
 
 

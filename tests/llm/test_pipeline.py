@@ -59,3 +59,29 @@ def test_rows_without_id_are_judged_apart(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Nulls in any column, repeats, one id with two texts, long texts and columns named as the stages name their own."""
+    words = lambda a, n=40: " ".join(f"{a}word{i}" for i in range(n))
+    more = ["kept", "removed", "judged", "times", "pass", "shard", "virtual_slot", "n", "odd_id", "taken_id", "copy", "dirty_id", "map_slot"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)
+    rows = [(1, words("a")), (1, words("b")), (2, words("c")), (2, words("c")), (None, words("d")), (None, words("d")), (None, None), (3, None), (4, ""), (5, "short"), (6, words("e", 30_000)), (7, words("a"))]
+    full = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None, *[f"{c}{k}" for c in more]) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, schema)
+    left = {"quality_rules": {(1, "a"), (1, "b"), (2, "c"), (-1, "d"), (6, "e"), (7, "a")}, "ngram_jaccard": {(1, "a"), (1, "b"), (2, "c"), (-1, "d"), (6, "e")}}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0 and set(docs.columns) <= set(empty.columns)
+        before = docs
+        docs = stage(spark, docs, sf)
+        if name != "sharding":
+            assert docs.columns == before.columns
+        got = docs.collect()
+        if name in left:
+            assert {(-1 if r["doc_id"] is None else r["doc_id"], r["text"][0]) for r in got} == left[name]
+        if name == "ngram_jaccard":
+            assert len(got) == 5  # of rows that repeat one stays
+        by_text = {r[1]: r for r in full}
+        assert all(r["lang"] in (None, "en") and r["kept"].startswith("kept") and r["pass"].startswith("pass") and r["text"] in by_text for r in got)
+    assert {"_shard", "_virtual_slot"} <= set(docs.columns)
