@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from postloom.llm._store import small_enough, stored
+from postloom.llm._store import free_name, small_enough, stored
 from postloom.llm.decontaminate import clean_documents
 from postloom.llm.jaccard import jaccard_components
 from postloom.llm.mixing import mix_documents
@@ -23,13 +24,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the least doc_id."""
-    # rows without an id, or with one that repeats, are told apart by their text; an id goes before none
+    """One document of each group of linked documents: the one with the least doc_id.
+
+    Rows without an id, or with one that repeats, are told apart by their text; an id goes before
+    none.  Of rows alike in both, one stays.  Texts without words link with nothing.
+    """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("version"))
-    copies = jaccard_components(docs.select(key.alias("doc_id"), "text")).filter("not doc_id <=> component_id")
-    copies = copies.select(F.col("doc_id.doc_id").alias("copy_id"), F.col("doc_id.version").alias("copy_version")).distinct()
-    copies = small_enough(stored(copies, "copies"), 24)
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["copy_version"]), "left_anti")
+    linked = jaccard_components(docs.select(key.alias("doc_id"), "text"))
+    seen = linked.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n"))
+    odd = seen.filter("copy or n > 1").select(F.col("doc_id.doc_id").alias("odd_id"), F.col("doc_id.version").alias("odd_version"), "copy")
+    odd = small_enough(stored(odd, "copies"), 32)
+    same = docs["doc_id"].eqNullSafe(odd["odd_id"]) & (F.xxhash64(docs["text"]) == odd["odd_version"])
+    alone = docs.join(odd, same, "left_anti")
+    repeats = docs.join(odd.filter("not copy"), same, "left_semi")
+    # rows that repeat may differ in other columns: the least of them stays
+    number = free_name(docs, "n")
+    by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    return alone.unionByName(repeats.withColumn(number, F.row_number().over(by)).filter(F.col(number) == 1).drop(number))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
