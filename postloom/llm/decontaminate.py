@@ -94,18 +94,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
     own = docs.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))
     marked = fingerprints(own, short, window, gram)
-    each = marked.select("doc_id", "version", "n_words", "words", F.posexplode_outer("marks").alias("j", "mark"))
-    each = each.select("doc_id", "version", "n_words", "words", "j", F.col("mark.fp").alias("fp"), F.col("mark.at").alias("at"), F.col("mark.stop").alias("stop"), F.col("mark.n").alias("n"))
+    each = marked.select("doc_id", "version", "n_words", F.posexplode_outer("marks").alias("j", "mark"))
+    each = each.select("doc_id", "version", "n_words", "j", F.col("mark.fp").alias("fp"), F.struct("mark.at", "mark.stop", "mark.n").alias("span"))
     hit = each.join(fps.withColumn("known", F.lit(True)), "fp", "left").filter("known or j is null or j = 0")
     # every document keeps its first row, so that clean ones come out too
-    windows = hit.withColumn("i", F.explode_outer(F.when(F.col("known"), _span(F.col("at"), F.col("stop") - F.col("at")))))
-    windows = windows.select("doc_id", "version", "n_words", "i", "n", F.expr("case when i is not null then array_join(slice(words, i + 1, n), ' ') end").alias("content"))
-    found = windows.join(content, "content", "left")
-    spot = F.when(F.col("items").isNotNull(), F.struct("i", "n"))
-    by_doc = found.groupBy("doc_id", "version", "n_words").agg(F.collect_set(spot).alias("spots"), F.collect_set("items").alias("item_sets"))
+    by_doc = hit.groupBy("doc_id", "version", "n_words").agg(F.collect_set(F.when(F.col("known"), F.col("span"))).alias("spans"))
+    by_doc = stored(by_doc, "spans")
+
+    # only texts with a known fingerprint are read again, and only their windows move on
+    possible = by_doc.filter(F.size("spans") > 0).select(F.col("doc_id").alias("own_id"), F.col("version").alias("own_version"), "spans")
+    size = possible.agg(F.coalesce(F.sum(F.size("spans") * 24 + 80), F.lit(0))).first()[0]
+    possible = F.broadcast(possible) if size <= BROADCAST_BYTES else possible
+    same = docs["doc_id"].eqNullSafe(possible["own_id"]) & (F.xxhash64(docs["text"]) == possible["own_version"])
+    texts = docs.join(possible, same).select("own_id", "own_version", "spans", words_of(docs["text"]).alias("words"))
+    window_at = lambda s, i: F.struct(i.alias("i"), s["n"].alias("n"), F.array_join(F.slice("words", i + 1, s["n"]), " ").alias("content"))
+    all_ = F.flatten(F.transform("spans", lambda s: F.transform(_span(s["at"], s["stop"] - s["at"]), lambda i: window_at(s, i))))
+    windows = texts.select("own_id", "own_version", F.explode_outer(all_).alias("w")).select("own_id", "own_version", "w.i", "w.n", "w.content")
+    found = windows.join(content, "content")
+    found = found.groupBy("own_id", "own_version").agg(F.collect_set(F.struct("i", "n")).alias("spots"), F.collect_set("items").alias("item_sets"))
     covered = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1))))
-    items = F.sort_array(F.array_distinct(F.flatten("item_sets")))
-    by_doc = by_doc.withColumn("items", items).withColumn("n_hit", F.size(covered).cast("long"))
+    found = found.select("own_id", "own_version", F.size(covered).cast("long").alias("hit_words"), F.sort_array(F.array_distinct(F.flatten("item_sets"))).alias("found_items"))
+    same = by_doc["doc_id"].eqNullSafe(found["own_id"]) & (by_doc["version"] == found["own_version"])
+    by_doc = by_doc.join(found, same, "left").withColumn("n_hit", F.coalesce("hit_words", F.lit(0)).cast("long")).withColumn("items", F.coalesce("found_items", F.array().cast("array<string>")))
     return by_doc.select(
         "doc_id",
         "version",

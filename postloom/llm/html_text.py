@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 2000  # at most about so many of the table's own pages are used for training
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
+#: what lies in these is not text of the page
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")}
 NAMED = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,14 +47,55 @@ class Node:
     label: str = ""
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag in one pass; comments, declarations and raw elements have no name.
+
+    A tag ends at the first > outside quotes; from the first tag whose quotes never close, at the
+    first > of all.  A tag that never ends takes the rest of the page.
+    """
+    at, quotes = 0, True
+    while (at := page.find("<", at)) >= 0:
+        start = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+            continue
+        head = NAME.match(page, at)
+        if not head:
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+                yield start, at, False, "", ""
+            else:
+                at += 1  # a bare < is text
+            continue
+        whole = ATTRIBUTES.match(page, head.end()) if quotes else None
+        if whole:
+            at = whole.end()
+        else:
+            quotes = False
+            end = page.find(">", head.end())
+            at = end + 1 if end >= 0 else len(page)
+        name, attributes = head[2].lower(), page[head.end() : at - 1]
+        if name in RAW and not head[1]:
+            close = RAW[name].search(page, at)
+            at = close.end() if close else len(page)
+            name = ""
+        yield start, at, bool(head[1]), name, attributes
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order, and the text runs: (node, text); a run of node -1 is a break."""
-    nodes, runs = [Node("#root", -1)], []
-    stack, links, at = [0], 0, 0
-    in_head = False
+    """Block nodes in page order, and the text runs: (node, text); a run of node -1 is a break.
+
+    Node 0 holds the page, node 1 is its body, there or not.
+    """
+    nodes, runs = [Node("#root", -1), Node("body", 0, ["tag=body"])], []
+    stack, links, at = [0, 1], 0, 0
+    open_: Counter = Counter()
 
     def text(raw: str) -> None:
-        if raw and not in_head:
+        if raw:
             raw = html.unescape(raw)
             node = nodes[stack[-1]]
             runs.append((stack[-1], raw))
@@ -64,39 +104,35 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 node.linked += n
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, closing, tag, attributes in tags(page):
+        text(page[at:start])
+        at = end
         if not tag:
             continue
-        closing = bool(m[2])
-        if tag == "head":
-            in_head = not closing
-        elif tag == "body":
-            in_head = False
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
             continue
         runs.append((-1, ""))
-        if tag in VOID or tag in ("html", "head", "title", "body"):
+        if tag == "body" and not closing:
+            names, nodes[1].label = _names(attributes)
+            nodes[1].features += [f"name={n}" for n in names]
+        if tag in VOID or tag in ("html", "head", "body"):
             continue
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if open_[tag]:
+                while nodes[stack[-1]].tag != tag:
+                    open_[nodes[stack.pop()].tag] -= 1
+                open_[nodes[stack.pop()].tag] -= 1
             continue
         if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-            stack.pop()
+            open_[nodes[stack.pop()].tag] -= 1
         if tag in SAME_CLOSES and nodes[stack[-1]].tag in SAME_CLOSES[tag].split():
-            stack.pop()
-        names, label = _names(m[4])
-        own = Node(tag, stack[-1], [f"tag={tag}", *(f"name={n}" for n in names)], label=label)
-        nodes.append(own)
+            open_[nodes[stack.pop()].tag] -= 1
+        names, label = _names(attributes)
+        nodes.append(Node(tag, stack[-1], [f"tag={tag}", *(f"name={n}" for n in names)], label=label))
+        open_[tag] += 1
         stack.append(len(nodes) - 1)
     text(page[at:])
     return nodes, runs
@@ -119,15 +155,29 @@ def _band(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
+PARTS = frozenset("div section article main nav header footer aside form fieldset center td".split())
+
+
 def add_shape(nodes: list[Node]) -> None:
-    """Adds features of size and link share, over each node's whole subtree."""
+    """Adds features of size and link share, over each node's whole subtree, of its own words, and
+    for the body of how many of the page's words lie in no part of it."""
     words, linked = [n.words for n in nodes], [n.linked for n in nodes]
+    loose = sum(n.words for n, apart in zip(nodes, _in_part(nodes), strict=True) if not apart)
     for i in range(len(nodes) - 1, 0, -1):
         words[nodes[i].parent] += words[i]
         linked[nodes[i].parent] += linked[i]
     for n, w, k in zip(nodes, words, linked, strict=True):
         share = _band(100 * k // w, (1, 30, 70)) if w else 4
-        n.features += [f"links={share}", f"size={_band(w, (1, 5, 15, 50))}"]
+        n.features += [f"links={share}", f"size={_band(w, (1, 5, 15, 50))}", f"own={_band(n.words, (1, 15, 50))}"]
+    nodes[1].features.append(f"loose={_band(100 * loose // max(words[1], 1), (10, 30, 50))}")
+
+
+def _in_part(nodes: list[Node]) -> list[bool]:
+    """Whether each node lies in a part of the body, such as a div, or is one."""
+    out = [False] * len(nodes)
+    for i in range(2, len(nodes)):
+        out[i] = nodes[i].tag in PARTS or out[nodes[i].parent]
+    return out
 
 
 @dataclass
@@ -267,7 +317,8 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Null and empty html gives an empty text, as does a page without content nodes.  Very long
-    pages are read whole, in linear time.  Repeated rows come back as often as they came in;
+    pages are read whole, in one pass.  Text that lies in no part of the body, with or without
+    tags for head and body, is the body's own.  Repeated rows come back as often as they came in;
     empty tables are fine; further columns are left aside.
     """
     model = model or trained(pages)
@@ -301,4 +352,13 @@ LABELLED = (
     f'<body><div class="page"><div class="article post-body" data-label="content"><p>{_WORDS}</p><p>{_WORDS}</p><h3>Point</h3><p>{_SHORT}</p><ol><li>{_WORDS}</li></ol></div><div class="share social tags meta"><p>{_SHORT}</p></div><div class="author bio"><p>{_SHORT}</p></div><div class="pagination pager"><a href="/2">next</a></div><div class="comments-area comment"><div class="comment-body"><p>{_WORDS * 2}</p></div></div></div><aside><p>{_WORDS}</p></aside><div class="sponsor banner ad"><div>{_WORDS}</div></div><div class="disclaimer notice"><p>{_WORDS}</p></div></body>',
     f'<body><nav><div><p>{_SHORT}</p></div></nav><article data-label="content"><p>{_WORDS}</p><p>{_SHORT}</p><ul><li>{_WORDS}</li></ul><div><p>{_WORDS}</p></div></article><aside><div><p>{_WORDS * 2}</p><p>{_SHORT}</p></div><section><h3>{_SHORT}</h3><p>{_WORDS}</p></section></aside><form><div><p>{_WORDS}</p></div><fieldset><div><p>{_SHORT}</p></div></fieldset></form><section class="comments"><ol><li><div><p>{_WORDS}</p><p>{_WORDS}</p></div></li><li><p>{_SHORT}</p></li></ol></section><footer><div><p>{_WORDS}</p></div></footer></body>',
     f'<body><header><div><h1>Site</h1><p>{_WORDS}</p></div></header><div class="cookie"><div><p>{_WORDS}</p><p>{_SHORT}</p></div></div><div class="main"><article data-label="content"><h1>Title of it</h1><div><p>{_WORDS}</p><p>{_WORDS}</p><p>{_SHORT}</p></div></article><aside class="sidebar"><ul><li>{_WORDS}</li><li><p>{_SHORT}</p></li></ul><p>{_WORDS}</p></aside></div><div class="newsletter"><form><p>{_WORDS}</p><div>{_SHORT}</div></form></div><div id="comments"><ul><li><p>{_WORDS}</p></li><li><div>{_WORDS}</div></li></ul></div></body>',
+    f'<body data-label="content"><h1>Title of it</h1><p>{_WORDS}</p><p>{_WORDS * 2}</p><ul><li>{_SHORT}</li><li>{_WORDS}</li></ul><p>{_SHORT}</p></body>',
+    f'<body data-label="content"><p>{_WORDS}</p><p>{_SHORT}</p></body>',
+    f'<body data-label="content">{_WORDS * 3}<br>{_WORDS}<b>{_SHORT}</b></body>',
+    f'<body data-label="content">{_WORDS * 5}</body>',
+    f'<body data-label="content"><nav data-label="no"><ul>{_MENU}</ul></nav><h1>Title of it</h1><p>{_WORDS * 2}</p><p>{_WORDS}</p><div class="ad" data-label="no">{_SHORT}</div><p>{_SHORT}</p><footer data-label="no"><p>{_SHORT}</p></footer></body>',
+    f'<body data-label="content"><div class="menu" data-label="no"><a href="/">home</a> <a href="/b">news</a></div>{_WORDS * 2}<p>{_WORDS}</p><div class="comments" data-label="no"><p>{_WORDS}</p></div></body>',
+    f'<body><div id="main" data-label="content"><p>{_WORDS}</p><p>{_WORDS * 2}</p></div><aside><div><p>{_WORDS}</p><p>{_WORDS}</p></div></aside><footer><div><p>{_WORDS}</p><p>{_SHORT}</p></div></footer></body>',
+    f'<body><nav><div><ul>{_MENU}</ul><p>{_SHORT}</p></div></nav><div data-label="content"><h1>Title of it</h1><p>{_WORDS * 2}</p><p>{_WORDS}</p></div><aside><div><h3>{_SHORT}</h3><p>{_WORDS}</p><div><p>{_WORDS}</p></div></div></aside><section class="comments"><div><p>{_WORDS}</p></div><div><p>{_SHORT}</p><p>{_WORDS}</p></div></section></body>',
+    f'<body><header><div><p>{_WORDS}</p></div></header><div class="story" data-label="content"><div><p>{_WORDS}</p><p>{_WORDS}</p></div></div><form><div><p>{_WORDS}</p><p>{_WORDS}</p></div></form><div class="sidebar"><div><p>{_WORDS}</p></div></div><div class="ad"><div><p>{_WORDS}</p></div></div></body>',
 )

@@ -120,7 +120,7 @@ def test_similar_sets_share_a_signature(n, seed):
 
 
 def test_contamination(spark, docs, empty):
-    long = docs.filter("length(text) > 400").first()["text"].split()
+    long = docs.filter("size(split(text, ' ')) between 60 and 200").first()["text"].split()
     items = [(1, " ".join(long[3:30])), (2, "Beta gamma"), (3, None), (4, "!!"), (5, "zeta"), (6, " ".join(long[3:14]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,6 +147,22 @@ def test_contamination(spark, docs, empty):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, g in got.items() if not g["contaminated"]}
 
 
+def test_contamination_without_broadcast(spark, docs, monkeypatch):
+    long = docs.filter("size(split(text, ' ')) between 60 and 200").first()["text"].split()
+    bench = spark.createDataFrame([(1, " ".join(long[3:30])), (2, "Beta gamma"), (5, "zeta")], "item_id long, text string")
+    key = lambda r: (r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"])
+    want = sorted(map(key, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(key, decontaminate.contamination(docs, bench).collect())) == want
+        wide = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60_000)) + " " + " ".join(long[3:30]))], "doc_id long, text string")
+        assert decontaminate.contamination(wide, bench).first()["n_hit"] >= 27
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_decontamination_has_no_python(docs, spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     plan = decontaminate.contamination(docs, bench)._jdf.queryExecution().toString()

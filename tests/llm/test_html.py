@@ -50,3 +50,38 @@ def test_text_of_a_page(spark):
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] == out[3]["text"] == ""
     assert out[5]["text"].count("word1 ") == 20000
     assert H.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_without_the_usual_frame():
+    m = model()
+    one, two = (" ".join(f"{a}{i}" for i in range(80)) for a in "wv")
+    pages = [
+        f"<body>{one}<p>{two}",
+        f"<body><p>{one}</p><p>{two}</p></body>",
+        f"{one}<br>{two}",
+        f"<html><head><title>not this</title><p>{one}</p>{two}",
+        f'<body><nav><ul><li><a href="/">menu</a></li></ul></nav><p>{one}</p><p>{two}</p><footer>foot</footer></body>',
+        f"<body></div>{one}</section><p>{two}</p></div></body>",
+        f"<p>{one}</p><script>unclosed( < here",
+        f"<body><div><div><p>{one}</p><p>{two}</p></div></div>",
+        f'<body><div id="main"><p>{one}</p></div><aside><p>{two}</p></aside></body>',
+    ]
+    for i, page in enumerate(pages):
+        assert H.main_text(page, m) == (one if i in (6, 8) else f"{one} {two}"), page
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    m = model()
+    for part in ("<a ", '<a "', "<div>", "</p><div>", "<!--", "<script>", "<", "<a b='", "</div>", "&lt;"):
+        began = time.time()
+        H.main_text("<body>" + part * (1_000_000 // len(part)), m)
+        assert time.time() - began < 20, part
+
+
+def test_repeats_and_clashing_columns(spark):
+    page = "<body><p>" + " ".join(f"w{i}" for i in range(60)) + "</p></body>"
+    rows = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (None, None, None, None, None)]
+    out = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")).collect()
+    assert sorted((r["page_id"] or 0, len(r["text"].split())) for r in out) == [(0, 0), (1, 60), (1, 60)] and out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
