@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from ._store import Scratch, partitions
 from ._words import pieces
 
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 5_000_000
 GROUP_PIECES = 4
 DIGEST = 16
 HEAD = struct.Struct("<BI")

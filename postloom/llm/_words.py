@@ -1,7 +1,7 @@
 """Word splitting and hashing of whole Arrow string columns with numpy.
 
 Spark deals the documents out; these helpers turn one Arrow batch of texts into flat word
-arrays.  They work on pieces of a few megabytes, so that memory does not follow the batch.
+arrays.  They work on pieces of a megabyte or a few, so that memory does not follow the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 LONG_WORD = 1024
 SEED, MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 WHITE = [0x20, *range(0x09, 0x0E)]

@@ -144,13 +144,15 @@ def judged(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> Dat
 def without_lines(text: Column, removed: Column) -> Column:
     """The text without its lines whose key is in ``removed``; others stay as they are."""
 
-    @F.pandas_udf("string")
-    def cut(texts, keys):  # noqa: ANN001, ANN202
-        def one(t: str, bad: np.ndarray) -> str:
-            bad = set(bad.tolist())
-            return "\n".join(x for x in t.split("\n") if not x.strip(ASCII_SPACE) or line_key(x.encode()) not in bad)
-
-        return texts.combine(keys, one)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        def one(t: str | None, bad: list[int] | None) -> str | None:
+            if not t or not bad:
+                return t
+            gone = set(bad)
+            return "\n".join(x for x in t.split("\n") if not x.strip(ASCII_SPACE) or line_key(x.encode()) not in gone)
+
+        return pa.array([one(t.as_py(), k.as_py()) for t, k in zip(texts, keys, strict=True)], pa.string())
 
     return cut(text, removed)
 
