@@ -2,51 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 
+def _made(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, through a generator: what uses them reads them instead of computing them again."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_address(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds display, street, houseNumber, houseLetter, postcode, city, lookupKey, matchKey.
 
     All steps are array functions over a row's own lines, so nothing is shuffled.  The postcode
     comes from the first line with postcode and city, else from the first with a free-standing
     five-digit group.  The street line is the best-scoring other line with a letter and a digit;
-    ties go to the longer and then to the earlier one.  Null counts as empty.
+    ties go to the longer and then to the earlier one; a line without a rival needs no score.
+    Null counts as empty.
     """
-    cleaned = T.trimmed(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\r", ""))
-    kept = df.columns
-    df = df.withColumn("_text", cleaned)
-    df = df.withColumn("_lines", F.filter(F.transform(F.split("_text", "\n"), T.trimmed), lambda x: x != ""))
-    with_city = F.array_position(F.transform("_lines", lambda x: x.rlike(T.POSTCODE_CITY)), F.lit(True))
-    free = F.array_position(F.transform("_lines", lambda x: x.rlike(T.POSTCODE)), F.lit(True))
-    df = df.withColumn("_pc_city", with_city).withColumn("_pc_free", free)
+    made = ["display", "street", "houseNumber", "houseLetter", "postcode", "city", "lookupKey", "matchKey"]
+    kept = [c for c in df.columns if c not in made]
+    own = _made(df, kept, _text=T.trimmed(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\r", "")))
+    own = _made(own, [*kept, "_text"], _lines=F.filter(F.transform(F.split("_text", "\n"), T.trimmed), lambda x: x != ""))
+    has_digits = F.col("_text").rlike(r"\d{5}")
+    with_city = F.when(has_digits, F.array_position(F.transform("_lines", lambda x: x.rlike(T.POSTCODE_CITY)), F.lit(True))).otherwise(0)
+    free = F.when(has_digits, F.array_position(F.transform("_lines", lambda x: x.rlike(T.POSTCODE)), F.lit(True))).otherwise(0)
+    own = _made(own, [*kept, "_text", "_lines"], _pc_city=with_city.cast("int"), _pc_free=free.cast("int"))
     at = F.when(F.col("_pc_city") > 0, F.col("_pc_city")).otherwise(F.col("_pc_free"))
-    df = df.withColumn("_at", at.cast("int"))
-    df = df.withColumn("_pc_line", F.coalesce(F.get("_lines", F.col("_at") - 1), F.lit("")))
+    could = F.filter("_lines", lambda x, i: (i + 1 != at) & x.rlike(f"[{T.LETTER}]") & x.rlike(r"\d"))
+    own = _made(own, [*kept, "_text", "_lines", "_pc_city"], _pc_line=F.coalesce(F.get("_lines", at - 1), F.lit("")), _could=could)
+    rank = F.transform("_could", lambda x, i: F.struct(T.score_street_line(x).alias("score"), F.length(x).alias("length"), (-i).alias("back"), x.alias("line")))
+    best = F.when(F.size("_could") > 1, F.array_max(rank)["line"]).otherwise(F.get("_could", F.lit(0)))
     tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[.,]", " "), r"\s+", " "))
     between = F.coalesce(F.get(F.split("_pc_line", T.EDGE_L + r"\d{5}" + T.EDGE_R), F.lit(1)), F.lit(""))
-    df = df.withColumn("postcode", F.when(F.col("_pc_city") > 0, F.regexp_extract("_pc_line", T.POSTCODE_CITY, 1)).otherwise(T.extract_postcode(F.col("_pc_line"))))
-    df = df.withColumn("city", F.when(F.col("_pc_city") > 0, tidy(F.regexp_extract("_pc_line", T.POSTCODE_CITY, 2))).otherwise(tidy(between)))
-    rank = F.transform("_lines", lambda x, i: F.struct(T.score_street_line(x).alias("score"), F.length(x).alias("length"), (-i).alias("back"), x.alias("line")))
-    could = F.filter(rank, lambda s: (s["back"] != 1 - F.col("_at")) & s["line"].rlike(f"[{T.LETTER}]") & s["line"].rlike(r"\d"))
-    df = df.withColumn("_best", F.array_max(could))
+    postcode = F.when(F.col("_pc_line") == "", "").when(F.col("_pc_city") > 0, F.regexp_extract("_pc_line", T.POSTCODE_CITY, 1)).otherwise(T.extract_postcode(F.col("_pc_line")))
+    city = F.when(F.col("_pc_line") == "", "").when(F.col("_pc_city") > 0, tidy(F.regexp_extract("_pc_line", T.POSTCODE_CITY, 2))).otherwise(tidy(between))
+    own = _made(own, [*kept, "_text", "_lines"], postcode=postcode, city=city, _best=best)
     before = F.when((F.col("postcode") != "") & (F.instr("_text", F.col("postcode")) > 1), F.substring("_text", F.lit(1), F.instr("_text", F.col("postcode")) - 1))
-    segment = F.coalesce("_best.line", before, F.when(F.col("_text").contains(","), F.substring_index("_text", ",", 1)), F.get("_lines", F.lit(0)), F.col("_text"))
+    segment = F.coalesce("_best", before, F.when(F.col("_text").contains(","), F.substring_index("_text", ",", 1)), F.get("_lines", F.lit(0)), F.col("_text"))
     segment = F.regexp_replace(segment, "\n", " ")
     segment = F.regexp_replace(F.regexp_replace(segment, "^[^0-9A-Za-zÄÖÜäöüß]+", ""), r"[,;]+\s*$", "")
-    df = df.withColumn("_segment", F.trim(F.regexp_replace(segment, r"\s+", " ")))
+    own = _made(own, [*kept, "_text", "postcode", "city"], _segment=F.trim(F.regexp_replace(segment, r"\s+", " ")))
     street, house, letter = T.split_house(F.col("_segment"))
-    df = df.withColumn("display", F.when(F.col("_segment") != "", F.col("_segment")).otherwise(F.col("_text")))
-    df = df.withColumn("street", street).withColumn("houseNumber", house).withColumn("houseLetter", letter)
-    lookup, match = T.keys(F.col("street"), F.col("houseNumber"), F.col("houseLetter"), F.col("postcode"))
-    df = df.withColumn("lookupKey", lookup).withColumn("matchKey", match)
-    # through a generator: filters on the keys would else be pushed below all that makes them, step within step
-    made = ["display", "street", "houseNumber", "houseLetter", "postcode", "city", "lookupKey", "matchKey"]
-    return df.select(*[c for c in kept if c not in made], F.inline(F.array(F.struct(*made))))
+    display = F.when(F.col("_segment") != "", F.col("_segment")).otherwise(F.col("_text"))
+    own = _made(own, [*kept, "postcode", "city"], display=display, street=street, houseNumber=house, houseLetter=letter)
+    own = _made(own, [*kept, *made[:6]], _norm=T.normalize_street(F.col("street")))
+    lookup = F.when(F.col("_norm") == "", "").otherwise(F.concat("_norm", F.lit("|"), "houseNumber", "houseLetter"))
+    own = _made(own, [*kept, *made[:6]], lookupKey=lookup)
+    match = F.when((F.col("lookupKey") != "") & (F.col("postcode") != ""), F.concat("lookupKey", F.lit("|"), "postcode")).otherwise(F.col("lookupKey"))
+    return _made(own, [*kept, *made[:7]], matchKey=match)
 
 
 def with_context(street_line, postcode, city):  # noqa: ANN001, ANN201

@@ -12,22 +12,24 @@ from ..functions.text import normalize_city, normalize_street
 
 
 def collapse_geometry(gaz: DataFrame) -> DataFrame:
-    """The gazetteer without second geometries of one house.
+    """The gazetteer without second geometries of one house; n_raw counts a lookupKey's records before that.
 
     Within a lookupKey, in id order, a record goes when a kept one has the same postcode and city
     and lies within 150 m.  The fold is greedy and depends on the order, so it runs over the sorted
-    records of a key; records without coordinates stay.
+    records of a key, postcode and city; records without coordinates stay.
     """
-    record = F.struct("id", "street", "houseNumber", "postcode", "city", "lat", "lng", "matchKey", normalize_city(F.col("city")).alias("city_norm"))
-    own = gaz.groupBy("lookupKey").agg(F.array_sort(F.collect_list(record)).alias("all"))
+    record = F.struct("id", "street", "houseNumber", "postcode", "city", "lat", "lng", "matchKey")
+    count = gaz.groupBy("lookupKey").agg(F.count("*").cast("int").alias("n_raw"))
+    place = gaz.withColumn("city_norm", normalize_city(F.col("city"))).withColumn("_pc", F.coalesce("postcode", F.lit("")))
+    own = place.groupBy("lookupKey", "_pc", "city_norm").agg(F.array_sort(F.collect_list(record)).alias("all"))
 
     def step(kept: Column, r: Column) -> Column:
-        twin = F.exists(kept, lambda p: has_coords(p["lat"], p["lng"]) & (F.coalesce(p["postcode"], F.lit("")) == F.coalesce(r["postcode"], F.lit(""))) & (p["city_norm"] == r["city_norm"]) & (haversine_km(p["lat"], p["lng"], r["lat"], r["lng"]) <= P.DUPLICATE_KM))
+        twin = F.exists(kept, lambda p: has_coords(p["lat"], p["lng"]) & (haversine_km(p["lat"], p["lng"], r["lat"], r["lng"]) <= P.DUPLICATE_KM))
         return F.when(has_coords(r["lat"], r["lng"]) & twin, kept).otherwise(F.concat(kept, F.array(r)))
 
-    kept = F.aggregate("all", F.slice("all", 1, 0), step)
-    own = own.select("lookupKey", F.size("all").alias("n_raw"), F.explode(kept).alias("r"))
-    return own.select("lookupKey", "n_raw", "r.*")
+    kept = F.when(F.size("all") > 1, F.aggregate("all", F.slice("all", 1, 0), step)).otherwise(F.col("all"))
+    own = own.select("lookupKey", "city_norm", F.explode(kept).alias("r"))
+    return own.join(count, "lookupKey").select("lookupKey", "n_raw", "r.*", "city_norm")
 
 
 def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame:
@@ -37,16 +39,20 @@ def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame
     (one row without a record).  A single raw match is taken whatever its locality; several are
     narrowed by postcode and city, else postcode, else city; a postcode and a city of different
     towns leave the union of both open.
+
+    Scans with one lookupKey, postcode and city share their answer, so it is found once for each
+    of these and joined back; a key of very many scans meets its candidates once.
     """
     pool = collapse_geometry(gaz).withColumnRenamed("matchKey", "record_matchKey")
     pool = pool.select("lookupKey", "n_raw", F.col("id").alias("record_id"), F.col("postcode").alias("record_postcode"), F.col("city").alias("record_city"), "lat", "lng", "record_matchKey", "city_norm")
-    own = scans.select(key, "lookupKey", "matchKey", "postcode", "city")
-    both = own.join(pool, "lookupKey", "left")
-    city = normalize_city(F.col("city"))
-    by_pc = (F.col("postcode") != "") & (F.col("record_postcode") == F.col("postcode"))
-    by_city = (city != "") & (F.col("city_norm") == city)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = scans.select(key, text("lookupKey").alias("lookupKey"), "matchKey", text("postcode").alias("_pc"), normalize_city(F.col("city")).alias("_city"))
+    place = ["lookupKey", "_pc", "_city"]
+    both = own.select(place).distinct().join(pool, "lookupKey", "left")
+    by_pc = (F.col("_pc") != "") & (F.col("record_postcode") == F.col("_pc"))
+    by_city = (F.col("_city") != "") & (F.col("city_norm") == F.col("_city"))
     both = both.withColumn("is_pc", F.coalesce(by_pc, F.lit(False))).withColumn("is_city", F.coalesce(by_city, F.lit(False)))
-    w = Window.partitionBy(key)
+    w = Window.partitionBy(place)
     both = both.withColumn("n_pool", F.count("record_id").over(w))
     for name, c in (("n_pc", F.col("is_pc")), ("n_city", F.col("is_city")), ("n_agree", F.col("is_pc") & F.col("is_city"))):
         both = both.withColumn(name, F.count_if(c).over(w))
@@ -63,35 +69,42 @@ def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame
     both = both.filter(keep).withColumn("n_kept", F.count("record_id").over(w))
     single = ~several | ((F.col("n_kept") == 1) & ~conflict)
     outcome = F.when(F.col("n_pool") == 0, "unknown").when(single, "resolved").otherwise("ambiguous")
-    both = both.withColumn("outcome", outcome)
+    answer = both.select(*place, outcome.alias("outcome"), "record_id", "record_postcode", "record_city", "lat", "lng", "record_matchKey")
+    out = own.join(answer, place)
     fallback = F.when(F.col("matchKey") != "", F.col("matchKey")).otherwise(F.col("lookupKey"))
     canonical = F.when(F.col("outcome") == "resolved", F.concat(F.lit("index:"), F.col("record_id"))).when(F.col("outcome") == "unknown", fallback).otherwise("")
-    return both.select(key, "lookupKey", "outcome", canonical.alias("canonicalId"), "record_id", "record_postcode", "record_city", "lat", "lng", "record_matchKey")
+    return out.select(key, "lookupKey", "outcome", canonical.alias("canonicalId"), "record_id", "record_postcode", "record_city", "lat", "lng", "record_matchKey")
 
 
-def outliers(gaz: DataFrame) -> DataFrame:
-    """(id, suspicious, nearest_m, threshold_m): records far off the other houses of their street.
+def same_street_pairs(gaz: DataFrame) -> DataFrame:
+    """(id, lat, lng, house, o): each record with the other houses of its street and locality, the first record of each.
 
-    Needs four other houses of the same street and locality; the nearest of them must be farther
-    than 250 m and than five times the median of what they have between each other.
+    Records of one locality share a postcode or a city, so they meet by street and postcode, and
+    those of other postcodes by street and city; a street name of a whole country never meets itself.
     """
     house = F.regexp_replace(F.lower("houseNumber"), r"\s+", "")
     own = gaz.select("id", F.substring_index("lookupKey", "|", 1).alias("street_key"), house.alias("house"), F.coalesce("postcode", F.lit("")).alias("pc"), normalize_city(F.col("city")).alias("cn"), "lat", "lng")
     own = own.filter(has_coords(F.col("lat"), F.col("lng")) & (F.col("street_key") != "") & (F.col("house") != ""))
     a, b = own.alias("a"), own.alias("b")
-    local = lambda x, y: (
-        ((F.col(f"{x}.pc") == "") | (F.col(f"{y}.pc") == "") | (F.col(f"{x}.pc") == F.col(f"{y}.pc")))
-        & ((F.col(f"{x}.cn") == "") | (F.col(f"{y}.cn") == "") | (F.col(f"{x}.cn") == F.col(f"{y}.cn")))
-        & (((F.col(f"{x}.pc") != "") & (F.col(f"{x}.pc") == F.col(f"{y}.pc"))) | ((F.col(f"{x}.cn") != "") & (F.col(f"{x}.cn") == F.col(f"{y}.cn"))))
-    )
-    pairs = a.join(b, (F.col("a.street_key") == F.col("b.street_key")) & (F.col("a.house") != F.col("b.house")) & local("a", "b"))
-    # one record for each other house: the first by id
-    pairs = pairs.groupBy(F.col("a.id").alias("id"), F.col("a.lat").alias("lat"), F.col("a.lng").alias("lng"), F.col("b.house").alias("house")).agg(F.min_by(F.struct("b.lat", "b.lng"), F.col("b.id")).alias("o"))
-    around = pairs.groupBy("id", "lat", "lng").agg(F.collect_list("o").alias("others"))
+    col = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    (pa_, pb), (ca, cb), (ha, hb), (sa, sb) = col("pc"), col("cn"), col("house"), col("street_key")
+    by_pc = a.join(b, (sa == sb) & (pa_ == pb) & (pa_ != "") & (ha != hb) & ((ca == "") | (cb == "") | (ca == cb)))
+    by_city = a.join(b, (sa == sb) & (ca == cb) & (ca != "") & (ha != hb) & ((pa_ == "") | (pb == "")))
+    pairs = [x.select("a.id", "a.lat", "a.lng", hb.alias("house"), F.col("b.id").alias("other"), F.col("b.lat").alias("o_lat"), F.col("b.lng").alias("o_lng")) for x in (by_pc, by_city)]
+    return pairs[0].unionByName(pairs[1]).groupBy("id", "lat", "lng", "house").agg(F.min_by(F.struct(F.col("o_lat").alias("lat"), F.col("o_lng").alias("lng")), "other").alias("o"))
+
+
+def outliers(gaz: DataFrame) -> DataFrame:
+    """(id, suspicious, nearest_m, threshold_m): records far off the other houses of their street.
+
+    Needs four other houses of the same street and locality; the nearest of them must be farther
+    than 250 m and than five times the median of what they have between each other.
+    """
+    around = same_street_pairs(gaz).groupBy("id", "lat", "lng").agg(F.collect_list("o").alias("others"))
     around = around.filter(F.size("others") >= P.OUTLIER_HOUSES)
     nearest = F.array_min(F.transform("others", lambda o: haversine_km(F.col("lat"), F.col("lng"), o["lat"], o["lng"])))
     own_nearest = F.transform("others", lambda x, i: F.array_min(F.transform(F.filter("others", lambda y, j: j != i), lambda y: haversine_km(x["lat"], x["lng"], y["lat"], y["lng"]))))
-    around = around.withColumn("nearest", nearest).withColumn("spacings", F.sort_array(own_nearest))
+    around = around.select("id", F.inline(F.array(F.struct(nearest.alias("nearest"), F.sort_array(own_nearest).alias("spacings")))))
     n = F.size("spacings")
     middle = (F.get("spacings", F.floor((n - 1) / 2).cast("int")) + F.get("spacings", F.floor(n / 2).cast("int"))) / 2
     around = around.withColumn("threshold", F.greatest(F.lit(P.OUTLIER_KM), middle * P.OUTLIER_FACTOR))
@@ -125,16 +138,17 @@ def confidence(parsed: DataFrame, gaz: DataFrame, quality: DataFrame | None = No
     marked = found.join(quality.select(F.col("id").alias("record_id"), "suspicious"), "record_id", "left")
     per = marked.groupBy(key).agg(F.first("outcome").alias("outcome"), F.first("canonicalId").alias("canonicalId"), F.count("record_id").alias("n"), F.bool_or(F.coalesce("suspicious", F.lit(False))).alias("suspicious"))
     exact = gaz.select("matchKey").distinct().withColumn("exact", F.lit(True))
-    loaded = F.lit(not gaz.isEmpty())
+    loaded = gaz.agg((F.count("*") > 0).alias("loaded")).withColumn("_one", F.lit(1))  # one row
     hints = street_suggestions(parsed, gaz)
     own = parsed.select(key, "street", "matchKey", "postcode", "city").join(per, key).join(exact, "matchKey", "left").join(hints.select("street", "known", "suggestion"), "street", "left")
+    own = own.withColumn("_one", F.lit(1)).join(F.broadcast(loaded), "_one")
     reason = (
         F.when((F.col("outcome") == "resolved") & F.col("suspicious"), "index-coordinate-outlier")
         .when(F.col("outcome") == "resolved", "index")
         .when(F.col("outcome") == "ambiguous", "ambiguous")
         .when(F.col("matchKey") == "", "unparsed")
         .when(F.col("exact"), "exact")
-        .when(~loaded, "no-index")
+        .when(~F.col("loaded"), "no-index")
         .when(F.col("known"), "house-missing")
         .otherwise("street-missing")
     )

@@ -7,7 +7,6 @@ A round is a narrow projection; rounds end when no tour changes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,17 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{at.rstrip('/')}/tours-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float, most: int | None = P.MAX_OWN_STOPS) -> DataFrame:
+def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float, most: int | None = None) -> DataFrame:
     """(tour_id, n, i, j, meters): straight distances between all nodes of a tour; node 0 is the base.
 
-    ``stops``: tour_id, id, lat, lng.  Tours of more than ``most`` stops, the limit of online routing, are left out; None takes all.
+    ``stops``: tour_id, id, lat, lng.  ``most``: a limit of stops, such as that of online routing, beyond which tours are left out; there is none otherwise.
     """
     w = Window.partitionBy("tour_id")
     own = stops.withColumn("n", F.count("*").over(w) + 1)

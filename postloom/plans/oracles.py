@@ -121,8 +121,8 @@ def five(lat: str, lng: str) -> str:
 NODES = f"""{S.POINTS},
 seen AS (SELECT *, count(*) OVER (PARTITION BY tour_id) + 1 AS n FROM points WHERE lat IS NOT NULL),
 nodes AS (
-  SELECT tour_id, n, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS i, lat, lng FROM seen WHERE n <= 101
-  UNION ALL SELECT DISTINCT tour_id, n, 0, CAST({BASE_LAT} AS DOUBLE), CAST({BASE_LNG} AS DOUBLE) FROM seen WHERE n <= 101),
+  SELECT tour_id, n, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS i, lat, lng FROM seen
+  UNION ALL SELECT DISTINCT tour_id, n, 0, CAST({BASE_LAT} AS DOUBLE), CAST({BASE_LNG} AS DOUBLE) FROM seen),
 pairs AS (
   SELECT a.tour_id, a.n, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 0.0 ELSE {S.km('a', 'b', '6371000.0')} END AS meters FROM nodes a JOIN nodes b ON a.tour_id = b.tour_id)"""
 

@@ -31,8 +31,10 @@ def _document_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_address(V.scans(spark, d))
+def _parsed(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
+    """The parsed scans; ``again``: stored, for queries that read them more than once."""
+    own = parse.parse_address(V.scans(spark, d))
+    return tours.checkpointed(own) if again else own
 
 
 def _half_up(c: Column, digits: int = 3) -> Column:
@@ -171,12 +173,12 @@ def j5_nearest_street(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p17_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return res.confidence(_parsed(spark, d), V.gazetteer(spark, d))
+    return res.confidence(_parsed(spark, d, True), V.gazetteer(spark, d))
 
 
 @query
 def a11_confidence_summary(spark: SparkSession, d: str) -> DataFrame:
-    own = res.confidence(_parsed(spark, d), V.gazetteer(spark, d))
+    own = res.confidence(_parsed(spark, d, True), V.gazetteer(spark, d))
     return own.groupBy("confidence", "reason").agg(F.count("*").alias("n_scans"), F.count_if((F.col("confidence") != "red") & (F.col("n_candidates") == 0)).alias("n_selected"))
 
 
@@ -207,7 +209,7 @@ def g5_extract_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved_scans(spark: SparkSession, d: str) -> DataFrame:
-    own = _parsed(spark, d)
+    own = _parsed(spark, d, True)
     got = res.resolve(own, V.gazetteer(spark, d)).groupBy("scan_id").agg(F.first("canonicalId").alias("canonicalId"), F.bool_or(F.col("outcome") == "resolved").alias("resolved"), F.max(F.when(F.col("outcome") == "resolved", F.col("lat"))).alias("lat"), F.max(F.when(F.col("outcome") == "resolved", F.col("lng"))).alias("lng"))
     return own.join(got, "scan_id")
 
@@ -341,7 +343,7 @@ def r5_plan_tours(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w3_resolve_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    own = _parsed(spark, d)
+    own = _parsed(spark, d, True)
     found = tours.checkpointed(res.resolve(own, V.gazetteer(spark, d)))
     place = own.select("scan_id", "tour_id", "seq")
     sure = found.filter("outcome = 'resolved'").select("scan_id", "lat", "lng", "record_id")

@@ -21,6 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, should its files make fewer partitions than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: tuple[str, ...], i: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), i.cast("int"))
 
@@ -32,7 +38,7 @@ def _d(x: float) -> Column:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each customer: custkey, street, house, postcode, city, lat, lng."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    return read(spark, sf_dir, "customer").select(
+    return spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(
         k.alias("custkey"),
         n.cast("long").alias("nation"),
         _pick(STREETS, k % 12).alias("street"),
@@ -67,7 +73,8 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned addresses: scan_id, tour_id, seq, photo_id, mode, raw, status, createdAt, custkey."""
     o = F.col("o_orderkey")
-    own = read(spark, sf_dir, "orders").join(places(spark, sf_dir), F.col("o_custkey") == F.col("custkey"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    own = spread(orders).join(places(spark, sf_dir), F.col("o_custkey") == F.col("custkey"))
     street = (
         F.when(o % 17 == 0, "Nirgendwoweg")
         .when(o % 13 == 0, F.concat(F.lit("X"), F.col("street")))
