@@ -135,10 +135,11 @@ def point_label(display: Column, postcode: Column, city: Column) -> Column:
 
 
 def nav_links(points: DataFrame) -> DataFrame:
-    """(id, navigator, url): by postal address when there is one, else by coordinates."""
+    """(id, navigator, url): by postal address when there is one, unless the place was set by hand; else by coordinates."""
     label = point_label(F.concat_ws(" ", "street", "houseNumber"), F.col("postcode"), F.col("city"))
     own = points.withColumn("_label", F.replace(F.url_encode(label), F.lit("+"), F.lit("%20")))
-    postal = (F.trim("street") != "") & (F.trim("houseNumber") != "")
+    manual = F.coalesce(F.col("coordinateManual"), F.lit(False)) if "coordinateManual" in points.columns else F.lit(False)
+    postal = (F.trim("street") != "") & (F.trim("houseNumber") != "") & ~manual
     at = F.concat(F.coalesce(F.col("lat"), F.lit(0.0)).cast("string"), F.lit(","), F.coalesce(F.col("lng"), F.lit(0.0)).cast("string"))
     where = F.when(postal, F.col("_label")).otherwise(at)
     urls = {

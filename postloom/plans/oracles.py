@@ -202,7 +202,7 @@ ORACLES |= {
     "o1_order_by_route": f"WITH {ORDERED} SELECT tour_id, id, position FROM ordered",
     "o2_reorder_from_saved": f'WITH {S.ORDER} SELECT p.tour_id, p.id, row_number() OVER (PARTITION BY p.tour_id ORDER BY s.rank ASC NULLS LAST, "createdAt", p.id) AS position FROM points p LEFT JOIN saved s ON s.tour_id = p.tour_id AND s.id = p.id WHERE lat IS NOT NULL AND NOT done',
     "a10_loop_length": f"WITH {ORDERED}, l AS ({length('ordered', 'position')}) SELECT t.tour_id, coalesce(CAST(round(m) AS BIGINT), 0) AS meters FROM (SELECT DISTINCT tour_id FROM ordered) t LEFT JOIN l ON l.tour_id = t.tour_id",
-    "a12_tour_summary": f"WITH {S.POINTS} SELECT tour_id, count(*) FILTER (WHERE lat IS NOT NULL AND NOT done) AS stops, count(*) FILTER (WHERE lat IS NULL AND NOT done) AS skipped, count(*) FILTER (WHERE lat IS NOT NULL AND done) AS delivered FROM points GROUP BY tour_id",
+    "a12_tour_summary": f"WITH {ORDERED}, l AS ({length('ordered', 'position')}), c AS (SELECT tour_id, count(*) FILTER (WHERE lat IS NOT NULL AND NOT done) AS stops, count(*) FILTER (WHERE lat IS NULL AND NOT done) AS skipped, count(*) FILTER (WHERE lat IS NOT NULL AND done) AS delivered FROM ordered GROUP BY tour_id) SELECT c.*, round(coalesce(m, 0) / 1000, 1) AS km FROM c LEFT JOIN l ON l.tour_id = c.tour_id",
     "p28_route_signature": f"WITH {ORDERED} SELECT tour_id, md5('{int(BASE_LAT * 100000 + 0.5)},{int(BASE_LNG * 100000 + 0.5)}#' || string_agg(id || ':' || {five('lat', 'lng')}, '|' ORDER BY position)) AS signature_md5 FROM ordered GROUP BY tour_id",
     "w6_consolidate_localities": f"""WITH {ORDERED}, s AS (SELECT tour_id, id, lat, lng, position, postcode || '|' || lower(city) AS g FROM ordered WHERE lat IS NOT NULL),
       f AS (SELECT *, min(position) OVER (PARTITION BY tour_id, g) AS fp FROM s), gg AS (SELECT *, row_number() OVER (PARTITION BY tour_id ORDER BY fp, position) AS grouped FROM f),
@@ -214,7 +214,6 @@ ORACLES |= {
     "j12_stop_pairs": f"WITH {NODES} SELECT tour_id, n, i, j, CAST(round(meters) AS BIGINT) AS meters FROM pairs",
     "j13_fill_matrix": f"WITH {NODES} SELECT tour_id, count(*) AS n_pairs, CAST(round(sum(CASE WHEN (i + j) % 23 <> 0 THEN meters * (CAST(1.2 AS DOUBLE) + (i * 31 + j * 17) % 10 * CAST(0.03 AS DOUBLE)) ELSE meters END) / 1000) AS BIGINT) AS km FROM pairs GROUP BY tour_id",
     "t3_latest_status": f"WITH x AS (SELECT user_id AS item_id, {STATUS} AS status, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) SELECT item_id, status, CASE WHEN status <> 'pending' THEN ts END AS \"deliveredAt\" FROM x WHERE r = 1",
-    "t4_status_counts": f"SELECT {STATUS} AS status, count(*) AS n FROM events GROUP BY 1",
 }
 
 SYSTEM = rf"(?i)^{T.SYSTEM_LINE}\b"
@@ -243,8 +242,8 @@ def blocks(source: str, order: str) -> str:
       WHERE NOT chrome AND regexp_matches(raw, '[{T.LETTER}]') AND regexp_matches(raw, '\d') AND (street OR regexp_matches(raw, '{POSTCODE}'))"""
 
 
-def nav(navigator: str, front: str, back: str) -> str:
-    return f"SELECT '{navigator}' AS navigator, '{front}' || url_encode(label) || '{back}' AS url FROM labelled"
+def nav(navigator: str, postal: str, place: str) -> str:
+    return f"SELECT id, '{navigator}' AS navigator, CASE WHEN manual THEN {place} ELSE {postal} END AS url FROM labelled"
 
 
 ORACLES |= {
@@ -256,9 +255,11 @@ ORACLES |= {
       y AS (SELECT photo_id, top, line_no, {strip_code('t')} AS line FROM x WHERE NOT (wide AND "left" > lo + (hi - lo) * CAST(0.62 AS DOUBLE) AND length(regexp_replace(t, '[^{T.LETTER}]', '', 'g')) < 3) AND NOT {noise('t')}),
       z AS (SELECT *, CAST(sum(CAST({start('line')} AS INT)) OVER (PARTITION BY photo_id ORDER BY top, line_no) AS BIGINT) AS block_no FROM y), cards AS (SELECT * FROM z WHERE block_no > 0)
       {blocks('cards', 'top, line_no')}""",
-    "s9_nav_links": f"""WITH {S.POINTS}, labelled AS (SELECT street || ' ' || "houseNumber" || ', ' || trim(postcode || ' ' || city) AS label FROM points),
-      urls AS ({nav('google', 'https://www.google.com/maps/dir/?api=1&destination=', '&travelmode=driving')} UNION ALL {nav('waze', 'https://waze.com/ul?q=', '&navigate=yes')} UNION ALL {nav('apple', 'https://maps.apple.com/?daddr=', '&dirflg=d')})
-      SELECT navigator, count(*) AS n, min(url) AS first_url, max(url) AS last_url FROM urls GROUP BY navigator""",
+    "s9_nav_links": f"""WITH {S.POINTS}, labelled AS (SELECT id, custkey % 37 = 0 AS manual, url_encode(street || ' ' || "houseNumber" || ', ' || trim(postcode || ' ' || city)) AS label, CAST(round(coalesce(lat, 0), 4) AS VARCHAR) || ',' || CAST(round(coalesce(lng, 0), 4) AS VARCHAR) AS spot FROM points)
+      {nav('google', "'https://www.google.com/maps/dir/?api=1&destination=' || label || '&travelmode=driving'", "'https://www.google.com/maps/dir/?api=1&destination=' || spot || '&travelmode=driving'")}
+      UNION ALL {nav('waze', "'https://waze.com/ul?q=' || label || '&navigate=yes'", "'https://waze.com/ul?ll=' || spot || '&navigate=yes'")}
+      UNION ALL {nav('geo', "'geo:0,0?q=' || label", "'geo:' || spot || '?q=' || spot || '(' || label || ')'")}
+      UNION ALL {nav('apple', "'https://maps.apple.com/?daddr=' || label || '&dirflg=d'", "'https://maps.apple.com/?daddr=' || spot || '&dirflg=d'")}""",
     "s2_load_gazetteer": f"""WITH {S.GAZ}, k AS (SELECT *, CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT) AS ck FROM gaz),
       r AS (SELECT ck * 2 + CASE WHEN starts_with(id, 'way') THEN 1 ELSE 0 END AS row_no, CASE WHEN ck % 2 = 0 THEN id ELSE 'node/' || ck END AS id0, "lookupKey" FROM k)
       SELECT row_no, CASE WHEN row_number() OVER (PARTITION BY id0 ORDER BY row_no) > 1 THEN id0 || '#' || row_no ELSE id0 END AS id, "lookupKey", 'street' AS "addressKind" FROM r""",

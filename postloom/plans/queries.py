@@ -256,7 +256,8 @@ def a4_merge_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s9_nav_links(spark: SparkSession, d: str) -> DataFrame:
-    return pts.nav_links(V.points(spark, d)).filter("navigator in ('google', 'waze', 'apple')").groupBy("navigator").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
+    own = V.points(spark, d).withColumn("coordinateManual", F.col("custkey") % 37 == 0)
+    return pts.nav_links(own.withColumn("lat", F.round("lat", 4)).withColumn("lng", F.round("lng", 4)))
 
 
 # --- routes -----------------------------------------------------------------------------------
@@ -286,7 +287,7 @@ def a10_loop_length(spark: SparkSession, d: str) -> DataFrame:
 @query
 def a12_tour_summary(spark: SparkSession, d: str) -> DataFrame:
     own = _ordered(spark, d)
-    return routes.tour_summary(own, routes.loop_length(own, V.BASE_LAT, V.BASE_LNG)).drop("km")
+    return routes.tour_summary(own, routes.loop_length(own, V.BASE_LAT, V.BASE_LNG))
 
 
 @query
@@ -360,11 +361,6 @@ def t3_latest_status(spark: SparkSession, d: str) -> DataFrame:
     return streams.latest_status(V.read(spark, d, "events"))
 
 
-@query
-def t4_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streams.status_counts(V.read(spark, d, "events"))
-
-
 @query
 def p14_haversine(spark: SparkSession, d: str) -> DataFrame:
     return V.points(spark, d).filter("lat is not null").select("id", F.round(haversine_m(F.col("lat"), F.col("lng"), F.lit(V.BASE_LAT), F.lit(V.BASE_LNG))).cast("long").alias("meters"))
