@@ -84,17 +84,20 @@ def _upper_median(values):  # noqa: ANN001, ANN202
 def split_by_gap(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks of positioned lines: they end at a postcode or before a gap that is wide for the photo.
 
-    Gaps count only on lists of six lines or more.  Lines with equal top keep their order.
+    Gaps count only on lists of six lines or more.  Lines with equal top keep their order.  A photo
+    with fewer than two positioned lines (top not null) is split by postcode alone, in line order.
     """
     own = lines.select(*keys, F.col("line_no"), "top", "height", T.trimmed(F.col("text")).alias("line")).filter(F.col("line") != "").filter(~T.is_system_line(F.col("line")))
-    w = Window.partitionBy(*keys).orderBy("top", "line_no")
-    gap = F.greatest(F.lit(0.0), F.lead("top").over(w) - (F.col("top") + F.col("height")))
-    own = own.withColumn("gap", gap).withColumn("ord", F.row_number().over(w))
     all_ = Window.partitionBy(*keys)
+    own = own.withColumn("placed", F.count("top").over(all_) >= 2).filter(~F.col("placed") | F.col("top").isNotNull())
+    own = own.withColumn("at", F.when(F.col("placed"), F.col("top")))
+    w = Window.partitionBy(*keys).orderBy("at", "line_no")
+    gap = F.greatest(F.lit(0.0), F.lead("at").over(w) - (F.col("at") + F.coalesce("height", F.lit(0.0))))
+    own = own.withColumn("gap", gap).withColumn("ord", F.row_number().over(w))
     own = own.withColumn("n", F.count("*").over(all_)).withColumn("gaps", F.collect_list("gap").over(all_)).withColumn("heights", F.collect_list("height").over(all_))
     limit = F.greatest(_upper_median(F.col("gaps")) * 1.8, _upper_median(F.col("heights")) * 0.8)
     own = own.withColumn("limit", limit)
-    wide = (F.col("n") >= 6) & (F.col("limit") > 0) & (F.coalesce("gap", F.lit(0.0)) > F.col("limit"))
+    wide = F.col("placed") & (F.col("n") >= 6) & (F.col("limit") > 0) & (F.coalesce("gap", F.lit(0.0)) > F.col("limit"))
     ends = (F.col("line").rlike(T.POSTCODE) | wide).cast("int")
     own = own.withColumn("block_no", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     return _joined(own, keys)

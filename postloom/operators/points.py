@@ -53,6 +53,14 @@ def aggregate_counts(points: DataFrame, items: DataFrame) -> DataFrame:
     return own.select("tour_id", *[zero(c).alias(c) for c in ("parcel", "magazine", "letter", "delivered")], (zero("magazine") + zero("letter")).alias("mail"), (zero("parcel") + zero("magazine") + zero("letter")).alias("items"), zero("stops").alias("stops"), zero("stops").alias("total"))
 
 
+def rollup_counts(points: DataFrame, items: DataFrame, regions: DataFrame) -> DataFrame:
+    """Totals of each tour, of each region (tour_id null) and of the fleet (both null).  ``regions``: tour_id, region."""
+    own = aggregate_counts(points, items).join(regions, "tour_id", "left")
+    sums = ("parcel", "magazine", "letter", "delivered", "mail", "items", "stops", "total")
+    level = F.grouping_id().alias("_level")
+    return own.rollup("region", "tour_id").agg(level, *[F.sum(c).alias(c) for c in sums]).select(F.when(F.col("_level") == 0, "tour").when(F.col("_level") == 1, "region").otherwise("fleet").alias("level"), "region", "tour_id", *sums)
+
+
 def merge_points(points: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points, items) with points of one canonicalId merged.
 

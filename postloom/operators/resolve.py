@@ -178,6 +178,29 @@ def geocode_fallback(scans: DataFrame, cache: DataFrame, area: P.Area | None = N
     return own.select(key, F.coalesce("hit", F.lit(False)).alias("is_cached"), at("lat"), at("lng"))
 
 
+def confidence_online(offline: DataFrame, scans: DataFrame, cache: DataFrame, area: P.Area | None = None, key: str = "scan_id") -> DataFrame:
+    """``offline`` (the rows of ``confidence``) after looking up the scans that the index does not have; adds lat and lng.
+
+    A place found is green when the scan names a postcode or a city, else yellow; an address looked
+    up in vain is red; one that ``cache`` does not hold was not looked up and stays as it was.
+    """
+    looked = geocode_fallback(scans, cache, area, key).join(scans.select(key, "matchKey", "city", "postcode"), key)
+    own = offline.join(looked, key)
+    open_ = ~F.col("resolved") & (F.col("n_candidates") == 0) & (F.col("reason") != "exact") & (F.col("matchKey") != "") & F.col("is_cached")
+    found, anchored = F.col("lat").isNotNull(), (F.coalesce("postcode", F.lit("")) != "") | (F.coalesce("city", F.lit("")) != "")
+    level = F.when(~open_, F.col("confidence")).when(found & anchored, "green").when(found, "yellow").otherwise("red")
+    return own.select(*[level.alias(c) if c == "confidence" else F.col(c) for c in offline.columns], F.when(open_, F.col("lat")).alias("lat"), F.when(open_, F.col("lng")).alias("lng"))
+
+
+def attach_quality(found: DataFrame, quality: DataFrame) -> DataFrame:
+    """The rows of ``resolve`` with suspicious, distance_m and the record's own coordinates as original_lat, original_lng.
+
+    A suspicious coordinate is reported, not moved.  Rows without a record have false, 0 and nulls.
+    """
+    own = found.join(quality.select(F.col("id").alias("record_id"), "suspicious", F.col("nearest_m").alias("distance_m")), "record_id", "left")
+    return own.select(*found.columns, F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("distance_m", F.lit(0)).alias("distance_m"), F.col("lat").alias("original_lat"), F.col("lng").alias("original_lng"))
+
+
 def committable(scans: DataFrame) -> DataFrame:
     """Selected scans with an identity and no open candidates."""
     return scans.filter((F.col("selected")) & ((F.coalesce("canonicalId", F.lit("")) != "") | (F.coalesce("matchKey", F.lit("")) != "")) & (F.col("n_candidates") == 0))

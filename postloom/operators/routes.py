@@ -118,6 +118,31 @@ def export_jobs(stops: DataFrame, priority: bool = True) -> DataFrame:
     return usable.select("tour_id", job.cast("long").alias("job"), "id", F.array("lng", "lat").alias("location"), first.alias("priority"), F.nullif("group", F.lit("")).alias("group"))
 
 
+def export_requests(stops: DataFrame, base_lat: float, base_lng: float, priority: bool = True) -> DataFrame:
+    """(tour_id, request, skipped): the request in JSON, jobs and one vehicle from base to base, and the ids without coordinates.
+
+    A tour without a usable stop has no request.
+    """
+    jobs = export_jobs(stops, priority)
+    job = F.struct(F.col("job").alias("id"), "location", "priority", "group")
+    base = F.array(F.lit(base_lng), F.lit(base_lat))
+    vehicle = F.struct(F.lit(1).alias("id"), F.lit("driving-car").alias("profile"), base.alias("start"), base.alias("end"))
+    made = jobs.groupBy("tour_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(job)).alias("jobs"), F.array(vehicle).alias("vehicles"))).alias("request"))
+    out = F.when(F.col("lat").isNull() | F.col("lng").isNull(), F.col("id"))
+    skipped = stops.groupBy("tour_id").agg(F.array_sort(F.collect_list(out)).alias("skipped"))
+    return skipped.join(made, "tour_id", "left").select("tour_id", "request", "skipped")
+
+
+def external_or_planned(external: DataFrame, planned: DataFrame) -> DataFrame:
+    """(tour_id, id, position, provider): a complete order from outside, else the planned one.
+
+    ``external``: rows of ``apply_external_order``; one with missing or unassigned stops is refused whole.
+    """
+    good = external.filter("complete").select("tour_id", "id", "position", F.lit("ors").alias("provider"))
+    rest = planned.join(good.select("tour_id").distinct(), "tour_id", "left_anti")
+    return good.unionByName(rest.select("tour_id", "id", "position", "provider"))
+
+
 def apply_external_order(stops: DataFrame, steps: DataFrame) -> DataFrame:
     """(tour_id, id, position, complete): a provider's order of job numbers; complete if no stop is missing.
 

@@ -202,7 +202,7 @@ def g3_device_cards(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g5_extract_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return parse.extract_blocks(V.lines(spark, d), ["photo_id"]).groupBy("photo_id").agg(F.count("*").alias("n_blocks"))
+    return parse.extract_blocks(V.lines(spark, d), ["photo_id"])
 
 
 # --- points -----------------------------------------------------------------------------------
@@ -224,14 +224,6 @@ def j7_match_point(spark: SparkSession, d: str) -> DataFrame:
     return pts.match_points(_resolved_scans(spark, d), V.points(spark, d))
 
 
-@query
-def j8_add_items(spark: SparkSession, d: str) -> DataFrame:
-    known = V.points(spark, d).filter("custkey % 3 = 0").select("id", "matchKey", "canonicalId", "lookupKey", "postcode", "city", "lat", "lng", "createdAt")
-    known = known.withColumn("_n", F.row_number().over(Window.partitionBy("canonicalId").orderBy("id"))).filter("_n = 1").drop("_n")
-    _, placed = pts.add_items(_resolved_scans(spark, d), known)
-    return placed.groupBy("point_id").agg(F.count("*").alias("n_items")).select(F.substring("point_id", 1, 1).alias("kind"), "n_items").groupBy("kind", "n_items").agg(F.count("*").alias("n_points"))
-
-
 @query
 def a1_aggregate_counts(spark: SparkSession, d: str) -> DataFrame:
     return pts.aggregate_counts(V.points(spark, d), V.items(spark, d))

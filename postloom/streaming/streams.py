@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.parse import parse_address
-from ..operators.points import dedupe_key
+from ..operators.points import add_items, dedupe_key
 from ..operators.resolve import resolve
+from ..operators.tours import checkpointed
 
 
 def deduped(scans: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -38,6 +39,37 @@ def ingest(batch: DataFrame, gaz: DataFrame) -> DataFrame:
     return resolve(parse_address(batch), gaz).select("scan_id", "canonicalId", "outcome").distinct()
 
 
+def commit(gaz: DataFrame, start: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink that parses and resolves each batch of scans and adds its items to the points.
+
+    Batch i reads the points that the latest earlier batch left (``start`` at first) and writes
+    ``points/batch=i`` and ``placed/batch=i`` under ``folder``.  Ids follow from the scans, so a
+    batch that runs again after a failure overwrites its own result with the same rows.
+    ``gaz`` and ``start`` are read in each batch; give tables, not long plans.  Scans: scan_id,
+    seq, raw, createdAt.
+    """
+
+    def sink(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        before = start if i == 0 else spark.read.schema(start.schema).parquet(f"{folder}/points/batch={i - 1}")
+        own = checkpointed(parse_address(batch))
+        found = resolve(own, gaz)
+        sure = lambda c: F.max(F.when(F.col("outcome") == "resolved", F.col(c))).alias(c)
+        per = found.groupBy("scan_id").agg(F.max("canonicalId").alias("canonicalId"), F.bool_or(F.col("outcome") == "resolved").alias("resolved"), sure("lat"), sure("lng"))
+        points, placed = add_items(checkpointed(own.join(per, "scan_id")), before)
+        points.select(start.columns).write.mode("overwrite").parquet(f"{folder}/points/batch={i}")
+        placed.write.mode("overwrite").parquet(f"{folder}/placed/batch={i}")
+
+    return sink
+
+
+def committed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(points, placed) after the last batch."""
+    points = spark.read.parquet(f"{folder}/points")
+    last = points.agg(F.max("batch").alias("batch"))  # one row
+    return points.join(F.broadcast(last), "batch").drop("batch"), spark.read.parquet(f"{folder}/placed").drop("batch")
+
+
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what its source holds, a micro-batch at a time."""
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
