@@ -15,17 +15,23 @@ def neighbour_anchors(rows: DataFrame) -> DataFrame:
     """(tour_id, seq, lat, lng): mean of the three resolved rows nearest on the list, for each open row.
 
     ``rows``: tour_id, seq, lat, lng (null while open).  A row needs to look at three resolved
-    rows on either side only, so those are carried along the list by windows, without a join.
+    rows on either side only, so each resolved row carries the two before it in that direction,
+    and an open row takes over what the last resolved one carries; work is linear in the tour.
     """
-    seen = F.when(F.col("lat").isNotNull(), F.struct("seq", "lat", "lng"))
-    w = Window.partitionBy("tour_id").orderBy("seq")
-    # the last three resolved rows before a row, and the first three behind it
-    own = rows.withColumn("before", F.filter(F.collect_list(seen).over(w.rowsBetween(Window.unboundedPreceding, -1)), lambda x: x.isNotNull()))
-    own = own.withColumn("behind", F.filter(F.collect_list(seen).over(w.rowsBetween(1, Window.unboundedFollowing)), lambda x: x.isNotNull()))
-    tail = F.when(F.size("before") > P.NEIGHBOURS, F.slice("before", -P.NEIGHBOURS, P.NEIGHBOURS)).otherwise(F.col("before"))
-    near = F.concat(tail, F.slice("behind", 1, P.NEIGHBOURS))
+    here = F.when(F.col("lat").isNotNull(), F.struct("seq", "lat", "lng"))
+    none = F.array().cast("array<struct<seq: bigint, lat: double, lng: double>>")
+    own = rows.withColumn("seq", F.col("seq").cast("long")).withColumn("here", here).withColumn("open", F.col("lat").isNull())
+    sides = []
+    for name, order in (("before", F.col("seq").asc()), ("behind", F.col("seq").desc())):
+        alike = Window.partitionBy("tour_id", "open").orderBy(order)
+        carried = F.array_compact(F.array("here", *[F.lag("here", k).over(alike) for k in range(1, P.NEIGHBOURS)]))
+        own = own.withColumn(name, F.when(~F.col("open"), carried))
+        past = Window.partitionBy("tour_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        own = own.withColumn(name, F.last(name, ignorenulls=True).over(past))
+        sides.append(F.coalesce(name, none))
+    near = F.concat(*sides)
     ranked = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.abs(x["seq"] - F.col("seq")).alias("d"), x["seq"].alias("s"), x["lat"].alias("lat"), x["lng"].alias("lng")))), 1, P.NEIGHBOURS)
-    own = own.filter("lat is null").withColumn("near", ranked).filter(F.size("near") > 0)
+    own = own.filter("open").withColumn("near", ranked).filter(F.size("near") > 0)
     mean = lambda c: F.aggregate(F.transform("near", lambda x: x[c]), F.lit(0.0), lambda a, x: a + x) / F.size("near")
     return own.select("tour_id", "seq", mean("lat").alias("lat"), mean("lng").alias("lng"))
 
