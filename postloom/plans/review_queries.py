@@ -120,14 +120,14 @@ def s12_export_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r6_external_or_planned(spark: SparkSession, d: str) -> DataFrame:
-    """Orders from outside, of which every fourth lacks a stop; those tours are planned here."""
-    points = V.points(spark, d)
+    """Orders from outside of the stops still to visit, of which every fourth lacks a stop; those tours are planned here."""
+    points = V.points(spark, d).filter("not done")
     jobs = checkpointed(routes.export_jobs(points.withColumn("priority", F.lit(False)).withColumn("group", F.lit(""))).select("tour_id", "job", "id"))
     step = F.row_number().over(Window.partitionBy("tour_id").orderBy(F.col("job").desc()))
     steps = jobs.filter("not (tour_id % 4 = 0 and job = 1)").select("tour_id", step.alias("step"), F.lit("job").alias("type"), "job")
     external = checkpointed(routes.apply_external_order(jobs, steps))
     bad = jobs.select("tour_id").distinct().join(external.filter("complete").select("tour_id").distinct(), "tour_id", "left_anti")
-    planned = tours.plan_tours(routes.prepare_stops(points.withColumn("done", F.lit(False)).join(bad, "tour_id", "left_semi")), V.BASE_LAT, V.BASE_LNG)
+    planned = tours.plan_tours(routes.prepare_stops(points.join(bad, "tour_id", "left_semi")), V.BASE_LAT, V.BASE_LNG)
     return routes.external_or_planned(external, planned).groupBy("tour_id", "provider").agg(F.count("*").alias("n_stops"), F.max("position").alias("last"), F.countDistinct("id").alias("n_ids"))
 
 
@@ -258,7 +258,7 @@ ORACLES |= {
       legs AS (SELECT tour_id, n, ord[k] AS i, ord[k % n + 1] AS j FROM walk, unnest(range(1, n + 1)) AS u(k) WHERE len(ord) = n)
       SELECT l.tour_id, CAST(l.n AS INT) AS n, CAST(round(sum(meters)) AS BIGINT) AS meters FROM legs l JOIN pairs p ON p.tour_id = l.tour_id AND p.i = l.i AND p.j = l.j GROUP BY ALL""",
     "r5_tour_checks": f"WITH {S.POINTS} SELECT tour_id, count(*) AS n_stops, count(*) AS n_ids, count(*) AS n_places, count(*) AS last, true AS no_longer FROM points WHERE lat IS NOT NULL AND NOT done GROUP BY tour_id",
-    "r6_external_or_planned": f"WITH {S.POINTS} SELECT tour_id, CASE WHEN tour_id % 4 = 0 THEN 'straight' ELSE 'ors' END AS provider, count(*) AS n_stops, count(*) AS last, count(*) AS n_ids FROM points WHERE lat IS NOT NULL GROUP BY tour_id",
+    "r6_external_or_planned": f"WITH {S.POINTS} SELECT tour_id, CASE WHEN tour_id % 4 = 0 THEN 'straight' ELSE 'ors' END AS provider, count(*) AS n_stops, count(*) AS last, count(*) AS n_ids FROM points WHERE lat IS NOT NULL AND NOT done GROUP BY tour_id",
     "j18_apply_corrections": f"""WITH {PARSED}, {GAZ_ONLY}, {KEPT},
       fixed AS (SELECT p.scan_id, g."lookupKey", p.postcode, p.city, g."lookupKey" || CASE WHEN p.postcode <> '' THEN '|' || p.postcode ELSE '' END AS "matchKey"
         FROM parsed p JOIN scans s ON s.scan_id = p.scan_id JOIN gaz g ON g.id = 'node/' || s.custkey WHERE p.scan_id % 13 = 0 AND p.scan_id % 17 <> 0),
