@@ -7,14 +7,13 @@ A round is a narrow projection; rounds end when no tour changes.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.geo import haversine_m
+from ..sources.shared import new_path
 
 ACCEPT = 1e-6
 MAX_ROUNDS = 200
@@ -22,13 +21,9 @@ MAX_ROUNDS = 200
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder, its lineage cut."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{at.rstrip('/')}/tours-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "tours")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float, most: int | None = None) -> DataFrame:

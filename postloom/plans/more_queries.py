@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +11,7 @@ from ..operators import points as pts
 from ..operators import resolve as res
 from ..operators import routes, tours
 from ..sources import views as V
+from ..sources.shared import new_path
 from ..streaming import streams
 from .queries import AREA, _ordered, _parsed, _resolved_scans, query
 
@@ -97,17 +96,10 @@ def o5_legacy_order(spark: SparkSession, d: str) -> DataFrame:
     return routes.legacy_order(own, state).select("tour_id", F.array_join("order", ",").alias("ids"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def t2_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The scans as files through the stream; the kept places."""
-    source, out, mark = (_folder(spark, f"t2-{x}") for x in ("in", "out", "mark"))
+    source, out, mark = (new_path(spark, f"t2-{x}") for x in ("in", "out", "mark"))
     rows = _resolved_scans(spark, d).select("scan_id", "tour_id", "resolved", "canonicalId", "lookupKey", "postcode", F.col("createdAt").cast("timestamp").alias("ts"))
     rows.repartition(4).write.parquet(source)
     kept = streams.deduped(streams.file_stream(spark, source, rows.schema), "36500 days")
@@ -118,7 +110,7 @@ def t2_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query
 def t3_stream_status(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream; each item's state after the last one."""
-    source, out, mark = (_folder(spark, f"t3-{x}") for x in ("in", "out", "mark"))
+    source, out, mark = (new_path(spark, f"t3-{x}") for x in ("in", "out", "mark"))
     rows = V.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     rows.repartition(4).write.parquet(source)
     last = streams.latest_status(streams.file_stream(spark, source, rows.schema, 2), "36500 days")

@@ -15,8 +15,9 @@ from ..operators.review import accumulate_photos
 from ..operators.tours import checkpointed
 from ..sources import views as V
 from ..sources import views_sql as S
+from ..sources.shared import new_path
 from ..streaming import streams
-from .more_queries import _cache, _folder
+from .more_queries import _cache
 from .oracles import BASE_LAT, BASE_LNG, CACHE, CONFIDENCE, GAZ_ONLY, INSIDE, KEPT, NODES, ORACLES, ORDERED, OUTLIERS_ONLY, PARSED, POINT_IDS, POINTS_ONLY, POSTCODE, RESOLVED, SCAN_IDS, SYSTEM, blocks, noise, start, strip_code
 from .queries import AREA, _ordered, _parsed, _resolved_scans, query
 
@@ -144,7 +145,7 @@ def r5_tour_checks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def t1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The scans as files through the stream, batch by batch into the points; the items of every point."""
-    source, out, mark = (_folder(spark, f"t1-{x}") for x in ("in", "out", "mark"))
+    source, out, mark = (new_path(spark, f"t1-{x}") for x in ("in", "out", "mark"))
     rows = V.scans(spark, d).select("scan_id", F.col("scan_id").alias("seq"), "raw", "createdAt")
     rows.repartitionByRange(4, "scan_id").write.parquet(source)
     known = V.points(spark, d).select("id", "matchKey", "canonicalId", "lookupKey", "postcode", "city", "lat", "lng", "createdAt").limit(0)

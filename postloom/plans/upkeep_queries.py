@@ -12,8 +12,9 @@ from ..operators.parse import with_context
 from ..operators.tours import checkpointed
 from ..sources import views as V
 from ..sources import views_sql as S
+from ..sources.shared import new_path
 from ..streaming import streams
-from .more_queries import _cache, _folder
+from .more_queries import _cache
 from .oracles import CACHE, INSIDE, ORACLES, OUTLIERS_ONLY, RESOLVED, STATUS
 from .queries import AREA, _ordered, _parsed, query
 
@@ -85,7 +86,7 @@ def r10_manual_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s8_route_state(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "routes")
+    path = new_path(spark, "routes")
     upkeep.write_route_state(_route_state(spark, d).filter("tour_id % 4 <> 0"), path)
     back = upkeep.read_route_state(spark.read.parquet(path), V.points(spark, d))
     return back.select("tour_id", "slot", F.md5("order").alias("order_md5"), "manual")
@@ -94,7 +95,7 @@ def s8_route_state(spark: SparkSession, d: str) -> DataFrame:
 @query
 def t4_stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream; after each batch, items by the state that their last event left."""
-    source, out, mark = (_folder(spark, f"t4-{x}") for x in ("in", "out", "mark"))
+    source, out, mark = (new_path(spark, f"t4-{x}") for x in ("in", "out", "mark"))
     rows = V.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     rows.repartition(4).write.parquet(source)
     last = streams.latest_status(streams.file_stream(spark, source, rows.schema, 2))
