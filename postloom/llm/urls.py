@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ascii_lower, small_enough, stored
+from ._store import BROADCAST_BYTES, ascii_lower, small_enough, stored
 
 WORDS = 8  # a block is eight 64-bit words; a key sets one bit in each
 KEYS_PER_BLOCK = 40
-MAX_BLOCKS = 1 << 17  # the filter has at most 131072 rows of 72 bytes; a fuller one only lets more rows on to the exact join
+BLOCK_BYTES = 80  # of a filter row: its number and its words
 
 
 @dataclass(frozen=True)
@@ -79,12 +79,16 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def listed_flags(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """``rows`` with a boolean ``listed``: whether ``key`` is among the keys of ``listed`` (key).
 
-    The filter lets through every listed key and few others; only those meet the exact join.
+    The filter lets through every listed key and few others; only those meet the exact join.  It
+    has a block for every 40 keys: one that a broadcast holds goes to the rows, for a larger one
+    the rows go to their blocks.
     """
-    listed = listed.filter("key is not null").distinct()
-    blocks = max(1, min(MAX_BLOCKS, -(-listed.count() // KEYS_PER_BLOCK)))
+    listed = stored(listed.filter("key is not null").distinct(), "listed")
+    blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
+    held = bloom(listed, blocks)
+    held = F.broadcast(held) if blocks * BLOCK_BYTES <= BROADCAST_BYTES else held
     block, bits = _place(F.col(key), blocks)
-    probe = rows.withColumn("block", block).join(F.broadcast(bloom(listed, blocks)), "block", "left")
+    probe = rows.withColumn("block", block).join(held, "block", "left")
     passes = F.coalesce(F.col("w0").bitwiseAND(bits[0]) == bits[0], F.lit(False))
     for i in range(1, WORDS):
         passes = passes & F.coalesce(F.col(f"w{i}").bitwiseAND(bits[i]) == bits[i], F.lit(False))
