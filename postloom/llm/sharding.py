@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import free_name, stored
+from ._store import free_name, new_path, stored
 
 SLOTS = 4096  # fixed: changing it moves every record
 SHARDS = 8
@@ -86,6 +86,24 @@ def rebalanced(old: SlotMap, loads: list[int], shards: int | None = None, slack_
     return SlotMap(old.version + 1, shards, tuple(owner))
 
 
+def current_map(spark: SparkSession, loads: list[int], shards: int = SHARDS, path: str | None = None) -> SlotMap:
+    """The newest version in the map table at ``path``, a further one added first where loads or shards ask for it.
+
+    Without a table there version 1 is made; without a path, in a table of this run's own.
+    """
+    path = path or new_path(spark, "slot_map")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        old = SlotMap.load(spark, path)
+        new = rebalanced(old, loads, shards)
+        if (new.shards, new.owner) == (old.shards, old.owner):
+            return old
+    else:
+        new = balanced(loads, shards)
+    new.save(spark, path)
+    return SlotMap.load(spark, path)
+
+
 def records(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -101,19 +119,19 @@ def slot_loads(own: DataFrame) -> list[int]:
     return loads
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: SlotMap | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: SlotMap | None = None, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) of every row.
 
     Law ``bytes``: the shards' sizes are near equal.  ``slot`` numbers the records of a shard from
     0 without gaps, by virtual slot and then by doc_id and text.  Null texts have no bytes and the
     CRC of no bytes; rows that share an id, or have none, are spread by their texts.  Rows that
     repeat id and text go to one shard and get slots of their own, which of them first makes no
-    difference.  Empty tables give
-    empty results; further columns are left aside.
+    difference.  The map is the given one or that of the table at ``map_path``, edited where the
+    shards ask for it.  Empty tables give empty results; further columns are left aside.
     """
     spark = docs.sparkSession
     own = stored(records(docs), "records")
-    slot_map = slot_map or balanced(slot_loads(own), shards)
+    slot_map = slot_map or current_map(spark, slot_loads(own), shards, map_path)
     owner = F.broadcast(slot_map.frame(spark).select("virtual_slot", "shard", F.col("version").alias("map_version")))
     count = own.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(owner, "virtual_slot")
     w = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,8 +151,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: SlotMap | None = No
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All documents and columns, with their virtual_slot and shard; the map is balanced by their bytes.
+def shard_documents(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
+    """All documents and columns, with their virtual_slot and shard, by the map of the table at ``map_path``.
 
     Null texts have no bytes, null and repeated ids are spread by their texts.  An empty table
     gives an empty one.  Where ``docs`` has columns of these names, they stay, and the new ones get
@@ -144,5 +162,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slot_name, shard_name, key = free_name(docs, "virtual_slot"), free_name(docs, "shard"), free_name(docs, "map_slot")
     text = F.coalesce(F.col("text"), F.lit(""))
     slot = slot_of(docs["doc_id"], F.crc32(text.cast("binary")))
-    owner = F.broadcast(balanced(slot_loads(records(docs)), shards).frame(spark).select(F.col("virtual_slot").alias(key), F.col("shard").alias(shard_name)))
+    owner = F.broadcast(current_map(spark, slot_loads(records(docs)), shards, map_path).frame(spark).select(F.col("virtual_slot").alias(key), F.col("shard").alias(shard_name)))
     return docs.withColumn(slot_name, slot).join(owner, F.col(slot_name) == F.col(key)).select(*docs.columns, slot_name, shard_name)

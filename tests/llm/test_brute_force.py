@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postloom.llm import decontaminate, interpolated_lm, jaccard, mixing, passages, quality, sharding, token_files, urls
 
@@ -439,6 +440,19 @@ def test_sharding(docs, empty, spark, tmp_path):
     assert sharding.SlotMap.load(spark, path) == grown and sharding.SlotMap.load(spark, path, 1) == first
 
 
+def test_stored_slot_map_is_edited(docs, spark, tmp_path):
+    path = str(tmp_path / "kept")
+    at = lambda shards: {(r["doc_id"], r["text_crc32"]): (r["map_version"], r["shard"]) for r in sharding.sharded(docs, shards, map_path=path).collect()}
+    first = at(8)
+    assert {v for v, _ in first.values()} == {1}
+    assert max(sharding.SlotMap.load(spark, path, 1).owner) == 7
+    grown = at(9)
+    assert {v for v, _ in grown.values()} == {2} and sharding.SlotMap.load(spark, path).shards == 9
+    assert all(grown[k][1] in (8, first[k][1]) for k in first)
+    kept = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 9, path).collect()}
+    assert kept == {k[0]: s for k, (_, s) in grown.items()}
+
+
 def test_urls(spark):
     rows = [(1, "http://www.Bad.example.com/a/index.html?utm_source=x#y"), (2, "https://bad.example.com/a/index"), (3, "https://good.example.com/a"), (4, None), (5, "no-scheme"), (6, "http://x.example.org/es/1"), (7, "http://x.example.org/en/2"), (8, "http://shop.com/de/x"), (9, "http://notcom/de/x"), (10, "http://com")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -449,6 +463,18 @@ def test_urls(spark):
     many = spark.range(3000).selectExpr("concat('k', id) key")
     flags = urls.listed_flags(spark.range(6000).selectExpr("concat('k', id) k"), "k", many).groupBy("listed").count().collect()
     assert {r["listed"]: r["count"] for r in flags} == {True: 3000, False: 3000}
+    assert urls.judge_urls(pages.limit(0), listed).count() == 0
+    odd = pages.unionByName(pages).withColumn("key", F.lit("x")).withColumn("listed", F.lit("y")).withColumn("verdict", F.lit(None))
+    again = urls.judge_urls(odd, listed.limit(0)).collect()
+    assert len(again) == 20 and [r["verdict"] for r in again if r["page_id"] < 4] == ["allow"] * 6
+
+
+def test_filter_above_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    listed = spark.range(3000).selectExpr("concat('k', id) key")
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 'k1', concat('k', id)) k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    got = {r["listed"]: r["count"] for r in urls.listed_flags(rows, "k", listed).groupBy("listed").count().collect()}
+    assert got == {True: 4000, False: 2001}
 
 
 def test_language_model(docs, empty):
