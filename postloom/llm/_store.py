@@ -68,6 +68,17 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Size of the rows as text, the longest values included, plus eight bytes a column."""
+    own = F.octet_length(F.to_json(F.struct("*"))) + 8 * len(df.columns)
+    return df.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a stored table, as measured, may be broadcast."""
+    return bytes_of(df) <= limit
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import Lines
 from .mixing import Mix
 from .quality import Rules
 from .urls import RULES, SPAM_LABELS
@@ -9,7 +10,7 @@ from .urls import RULES, SPAM_LABELS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-MIX, QUALITY = Mix(), Rules()
+MIX, QUALITY, LINES = Mix(), Rules(), Lines()
 
 
 def low(x: str) -> str:
@@ -87,10 +88,20 @@ v AS (SELECT *, canonical IN (SELECT key FROM listed) AS listed, CASE {name} END
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM v"""
 
 
+LINE_DEDUP = f"""
+WITH l AS (SELECT doc_id, row_no, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS pos FROM (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS t FROM documents)),
+k AS (SELECT *, {low("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= {LINES.min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {LINES.min_docs}),
+v AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last_id AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM v GROUP BY doc_id, row_no"""
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
     "op3_mixing": MIXING,
     "op5_quality_rules": QUALITY_RULES,
     "op6_ngram_jaccard": JACCARD,
     "op8_url_filters": _url_filters(),
+    "op13_line_dedup": LINE_DEDUP,
 }

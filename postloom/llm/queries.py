@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .html_text import extracted
 from .interpolated_lm import scored
 from .jaccard import jaccard_components
+from .line_dedup import line_digest
 from .mixing import mixed
 from .oracles import ORACLES
 from .passages import repeated_passages
@@ -69,6 +70,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_passages": op2_passages,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_files": op10_token_files,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
