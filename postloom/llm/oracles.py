@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .filter_audit import LETTERS, SYMBOLS, Limits
 from .line_dedup import Lines
 from .mixing import Mix
 from .quality import Rules
@@ -10,7 +11,7 @@ from .urls import RULES, SPAM_LABELS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-MIX, QUALITY, LINES = Mix(), Rules(), Lines()
+MIX, QUALITY, LINES, LIMITS = Mix(), Rules(), Lines(), Limits()
 
 
 def low(x: str) -> str:
@@ -88,6 +89,30 @@ v AS (SELECT *, canonical IN (SELECT key FROM listed) AS listed, CASE {name} END
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM v"""
 
 
+_BITS = [f"((m >> {i}) & 1)" for i in range(len(LETTERS))]
+FILTER_AUDIT = rf"""
+WITH d0 AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < {LIMITS.words} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < {LIMITS.distinct_percent} * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {LIMITS.capital_percent} * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[{SYMBOLS.decode()}]') THEN 8 ELSE 0 END + CASE WHEN d0.doc_id > min(d0.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM d0 LEFT JOIN lab ON lab.doc_id = d0.doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM d GROUP BY part, m),
+f AS (SELECT unnest(range(0, {len(LETTERS)})) AS f),
+o AS (
+  SELECT a.f AS f1, b.f AS f2, c.f AS f3, d.f AS f4, e.f AS f5 FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT array_to_string(list_transform([f1, f2, f3, f4, f5], lambda i: '{LETTERS}'[i + 1]), '') AS filter_order, step, [f1, f2, f3, f4, f5][step] AS own, list_sum(list_transform([f1, f2, f3, f4, f5][1 : step - 1], lambda i: 1 << i)) AS before FROM o, unnest(range(1, 6)) AS u(step)),
+v AS (SELECT part, filter_order, step, 1 << own AS bit, CAST(coalesce(before, 0) AS BIGINT) AS before, c.* EXCLUDE (part), {" + ".join(_BITS)} AS bits FROM c, s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER ((m & (before | bit)) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER ((m & bit) <> 0 AND (m & before) = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER ((m & bit) <> 0 AND (m & before) <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (m = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER ((m & bit) <> 0 AND (m & before) = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER ((m & bit) <> 0 AND (m & before) = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(bits, 1))) FILTER ((m & bit) <> 0), 0) AS BIGINT) AS shapley
+FROM v GROUP BY part, filter_order, step"""
+
 LINE_DEDUP = f"""
 WITH l AS (SELECT doc_id, row_no, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS pos FROM (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS t FROM documents)),
 k AS (SELECT *, {low("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
@@ -103,5 +128,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY_RULES,
     "op6_ngram_jaccard": JACCARD,
     "op8_url_filters": _url_filters(),
+    "op11_filter_audit": FILTER_AUDIT,
     "op13_line_dedup": LINE_DEDUP,
 }
