@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.geo import haversine_km
-from .tours import checkpointed
+from .rounds import checkpointed
 
 
 def neighbour_anchors(rows: DataFrame) -> DataFrame:

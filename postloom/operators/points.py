@@ -25,6 +25,54 @@ def skip_known(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.withColumn("_key", dedupe_key()).join(keys, F.col("_key") == F.col("_known"), "left_anti").drop("_key")
 
 
+def item_type_of_mode(mode: Column) -> Column:
+    """What a scan's mode makes of its items: a device scans parcels, any other mode names its own type."""
+    return F.when(mode == "device", "parcel").otherwise(mode)
+
+
+def make_items(scans: DataFrame) -> DataFrame:
+    """(scan_id, item_id, type, source, status, rawText, note, addedAt, deliveredAt): a new item for each scan, pending.
+
+    ``scans``: scan_id, mode, raw, addedAt; source and note where they have them.  The id follows
+    from the scan, so that making items again makes the same ones.
+    """
+    have = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in scans.columns else F.lit(other)
+    item_id = F.concat(F.lit("i"), F.sha2(F.col("scan_id").cast("string"), 256).substr(1, 16))
+    return scans.select("scan_id", item_id.alias("item_id"), item_type_of_mode(F.col("mode")).alias("type"), have("source", "manual").alias("source"), F.lit("pending").alias("status"), F.coalesce("raw", F.lit("")).alias("rawText"), have("note", "").alias("note"), "addedAt", F.lit(None).cast("timestamp").alias("deliveredAt"))
+
+
+def make_points(parsed: DataFrame) -> DataFrame:
+    """New points of parsed addresses, with what a point has before anything is known of it.
+
+    ``parsed``: scan_id, the columns of parse_address, createdAt; canonicalId, resolved, lat, lng,
+    verified where they are known.  The identity is the canonicalId, else the matchKey, else the
+    lookupKey, else empty; the id follows from it.
+    """
+    have = lambda c, other: F.coalesce(F.col(c), other) if c in parsed.columns else other
+    none = F.lit(None).cast("double")
+    own = parsed.withColumn("canonicalId", have("canonicalId", F.lit("")))
+    identity = F.coalesce(F.nullif("canonicalId", F.lit("")), F.nullif("matchKey", F.lit("")), F.nullif("lookupKey", F.lit("")), F.lit(""))
+    address = ("street", "houseNumber", "houseLetter", "postcode", "city", "raw")
+    known = have("lat", none).isNotNull() & have("lng", none).isNotNull()
+    return own.select(
+        new_point_id().alias("id"),
+        "matchKey",
+        "lookupKey",
+        identity.alias("canonicalId"),
+        have("resolved", F.lit(False)).alias("canonicalResolved"),
+        *address,
+        have("lat", none).alias("lat"),
+        have("lng", none).alias("lng"),
+        F.lit(False).alias("coordinateSuspicious"),
+        F.lit(0).alias("coordinateDistanceM"),
+        F.lit(False).alias("coordinateManual"),
+        F.when(known, "matched").otherwise("notfound").alias("geocodeStatus"),
+        have("verified", F.lit(False)).alias("verified"),
+        F.lit(None).cast("long").alias("routeOrder"),
+        "createdAt",
+    )
+
+
 def item_counts(items: DataFrame) -> DataFrame:
     """Parcels, magazines and letters of each point; other types do not count."""
     kinds = ("parcel", "magazine", "letter")
@@ -87,6 +135,16 @@ def match_points(scans: DataFrame, points: DataFrame, key: str = "scan_id") -> D
     return scans.select(key, "canonicalId", "matchKey").join(by_id, "canonicalId", "left").join(by_key, "matchKey", "left").select(key, F.coalesce("p1", "p2").alias("point_id"))
 
 
+def new_point_id() -> Column:
+    """Id of the point that a scan of an unknown place makes: scans of one identity make one point."""
+    return F.concat(F.lit("n"), F.sha2(_identity(), 256).substr(1, 16))
+
+
+def _identity() -> Column:
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    return F.coalesce(text("canonicalId"), text("matchKey"), text("lookupKey"), F.concat(F.lit("scan:"), F.col("scan_id").cast("string")))
+
+
 def add_items(scans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points, placed): points after a batch of scans, and (scan_id, point_id) of every scan.
 
@@ -97,9 +155,7 @@ def add_items(scans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame
     """
     found = match_points(scans, points)
     own = scans.join(found, "scan_id")
-    identity = F.coalesce(F.nullif("canonicalId", F.lit("")), F.nullif("matchKey", F.lit("")), F.nullif("lookupKey", F.lit("")), F.concat(F.lit("scan:"), F.col("scan_id").cast("string")))
-    own = own.withColumn("_id", F.coalesce("point_id", F.concat(F.lit("n"), F.sha2(identity, 256).substr(1, 16))))
-    own = own.withColumn("_identity", identity).withColumn("_point", F.struct("lat", "lng"))
+    own = own.withColumn("_id", F.coalesce("point_id", new_point_id())).withColumn("_point", F.struct("lat", "lng"))
     first = F.struct("canonicalId", "resolved", "matchKey", "lookupKey", "postcode", "city", "createdAt")
     has = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     per = own.groupBy("_id").agg(

@@ -9,19 +9,31 @@ from pyspark.sql.window import Window
 from .. import params as P
 from ..functions.geo import has_coords, haversine_km
 from ..functions.text import normalize_city, normalize_street
+from .names import nearest_names
+from .patches import keep_first_of_patches
+from .rounds import checkpointed
+from .spacing import outliers
+
+
+FEW = 64  # records of one key, postcode and city that are folded in a row
 
 
 def collapse_geometry(gaz: DataFrame) -> DataFrame:
     """The gazetteer without second geometries of one house; n_raw counts a lookupKey's records before that.
 
-    Within a lookupKey, in id order, a record goes when a kept one has the same postcode and city
-    and lies within 150 m.  The fold is greedy and depends on the order, so it runs over the sorted
-    records of a key, postcode and city; records without coordinates stay.
+    Within a lookupKey, postcode and city, in id order, a record goes when a kept one lies within
+    150 m; records without coordinates stay.  The few records that such a group mostly has are
+    folded in a row; groups of more are settled by cells (see ``keep_first_of_patches``).
     """
+    group = ["lookupKey", "_pc", "city_norm"]
     record = F.struct("id", "street", "houseNumber", "postcode", "city", "lat", "lng", "matchKey")
-    count = gaz.groupBy("lookupKey").agg(F.count("*").cast("int").alias("n_raw"))
     place = gaz.withColumn("city_norm", normalize_city(F.col("city"))).withColumn("_pc", F.coalesce("postcode", F.lit("")))
-    own = place.groupBy("lookupKey", "_pc", "city_norm").agg(F.array_sort(F.collect_list(record)).alias("all"))
+    sizes = place.groupBy(group).agg(F.count("*").alias("n"))
+    count = sizes.groupBy("lookupKey").agg(F.sum("n").cast("int").alias("n_raw"))
+    large = checkpointed(sizes.filter(F.col("n") > FEW).drop("n"))
+    some = not large.isEmpty()
+    few = place.join(large, group, "left_anti") if some else place
+    own = few.groupBy(group).agg(F.array_sort(F.collect_list(record)).alias("all"))
 
     def step(kept: Column, r: Column) -> Column:
         twin = F.exists(kept, lambda p: has_coords(p["lat"], p["lng"]) & (haversine_km(p["lat"], p["lng"], r["lat"], r["lng"]) <= P.DUPLICATE_KM))
@@ -29,10 +41,18 @@ def collapse_geometry(gaz: DataFrame) -> DataFrame:
 
     kept = F.when(F.size("all") > 1, F.aggregate("all", F.slice("all", 1, 0), step)).otherwise(F.col("all"))
     own = own.select("lookupKey", "city_norm", F.explode(kept).alias("r"))
+    if some:
+        many = keep_first_of_patches(checkpointed(place.join(large, group, "left_semi").select(*group, record.alias("r"), "id", "lat", "lng")), group)
+        own = own.unionByName(many.select("lookupKey", "city_norm", "r"))
     return own.join(count, "lookupKey").select("lookupKey", "n_raw", "r.*", "city_norm")
 
 
 def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame:
+    """What ``resolve_among`` says of the scans among the records of a gazetteer, second geometries collapsed."""
+    return resolve_among(scans, collapse_geometry(gaz), key)
+
+
+def resolve_among(scans: DataFrame, pool: DataFrame, key: str = "scan_id") -> DataFrame:
     """(key, candidate fields, outcome, canonicalId): each scan with the records that it may mean.
 
     outcome is resolved (one row, its record), ambiguous (a row for each candidate) or unknown
@@ -41,9 +61,10 @@ def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame
     towns leave the union of both open.
 
     Scans with one lookupKey, postcode and city share their answer, so it is found once for each
-    of these and joined back; a key of very many scans meets its candidates once.
+    of these and joined back; a key of very many scans meets its candidates once.  ``pool`` are the
+    rows of ``collapse_geometry``, all of those of the scans' keys at least.
     """
-    pool = collapse_geometry(gaz).withColumnRenamed("matchKey", "record_matchKey")
+    pool = pool.withColumnRenamed("matchKey", "record_matchKey")
     pool = pool.select("lookupKey", "n_raw", F.col("id").alias("record_id"), F.col("postcode").alias("record_postcode"), F.col("city").alias("record_city"), "lat", "lng", "record_matchKey", "city_norm")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     own = scans.select(key, text("lookupKey").alias("lookupKey"), "matchKey", text("postcode").alias("_pc"), normalize_city(F.col("city")).alias("_city"))
@@ -76,47 +97,11 @@ def resolve(scans: DataFrame, gaz: DataFrame, key: str = "scan_id") -> DataFrame
     return out.select(key, "lookupKey", "outcome", canonical.alias("canonicalId"), "record_id", "record_postcode", "record_city", "lat", "lng", "record_matchKey")
 
 
-def same_street_pairs(gaz: DataFrame) -> DataFrame:
-    """(id, lat, lng, house, o): each record with the other houses of its street and locality, the first record of each.
-
-    Records of one locality share a postcode or a city, so they meet by street and postcode, and
-    those of other postcodes by street and city; a street name of a whole country never meets itself.
-    """
-    house = F.regexp_replace(F.lower("houseNumber"), r"\s+", "")
-    own = gaz.select("id", F.substring_index("lookupKey", "|", 1).alias("street_key"), house.alias("house"), F.coalesce("postcode", F.lit("")).alias("pc"), normalize_city(F.col("city")).alias("cn"), "lat", "lng")
-    own = own.filter(has_coords(F.col("lat"), F.col("lng")) & (F.col("street_key") != "") & (F.col("house") != ""))
-    a, b = own.alias("a"), own.alias("b")
-    col = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
-    (pa_, pb), (ca, cb), (ha, hb), (sa, sb) = col("pc"), col("cn"), col("house"), col("street_key")
-    by_pc = a.join(b, (sa == sb) & (pa_ == pb) & (pa_ != "") & (ha != hb) & ((ca == "") | (cb == "") | (ca == cb)))
-    by_city = a.join(b, (sa == sb) & (ca == cb) & (ca != "") & (ha != hb) & ((pa_ == "") | (pb == "")))
-    pairs = [x.select("a.id", "a.lat", "a.lng", hb.alias("house"), F.col("b.id").alias("other"), F.col("b.lat").alias("o_lat"), F.col("b.lng").alias("o_lng")) for x in (by_pc, by_city)]
-    return pairs[0].unionByName(pairs[1]).groupBy("id", "lat", "lng", "house").agg(F.min_by(F.struct(F.col("o_lat").alias("lat"), F.col("o_lng").alias("lng")), "other").alias("o"))
-
-
-def outliers(gaz: DataFrame) -> DataFrame:
-    """(id, suspicious, nearest_m, threshold_m): records far off the other houses of their street.
-
-    Needs four other houses of the same street and locality; the nearest of them must be farther
-    than 250 m and than five times the median of what they have between each other.
-    """
-    around = same_street_pairs(gaz).groupBy("id", "lat", "lng").agg(F.collect_list("o").alias("others"))
-    around = around.filter(F.size("others") >= P.OUTLIER_HOUSES)
-    nearest = F.array_min(F.transform("others", lambda o: haversine_km(F.col("lat"), F.col("lng"), o["lat"], o["lng"])))
-    own_nearest = F.transform("others", lambda x, i: F.array_min(F.transform(F.filter("others", lambda y, j: j != i), lambda y: haversine_km(x["lat"], x["lng"], y["lat"], y["lng"]))))
-    around = around.select("id", F.inline(F.array(F.struct(nearest.alias("nearest"), F.sort_array(own_nearest).alias("spacings")))))
-    n = F.size("spacings")
-    middle = (F.get("spacings", F.floor((n - 1) / 2).cast("int")) + F.get("spacings", F.floor(n / 2).cast("int"))) / 2
-    around = around.withColumn("threshold", F.greatest(F.lit(P.OUTLIER_KM), middle * P.OUTLIER_FACTOR))
-    found = around.select("id", (F.col("nearest") > F.col("threshold")).alias("suspicious"), F.round(F.col("nearest") * 1000).cast("long").alias("nearest_m"), F.round(F.col("threshold") * 1000).cast("long").alias("threshold_m"))
-    return gaz.select("id").join(found, "id", "left").select("id", F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("nearest_m", F.lit(0)).alias("nearest_m"), F.coalesce("threshold_m", F.lit(0)).alias("threshold_m"))
-
-
 def street_suggestions(scans: DataFrame, gaz: DataFrame) -> DataFrame:
     """(street, street_norm, known, suggestion) of every distinct scanned street.
 
-    Unknown streets meet the known ones of all lengths that the allowed distance can bridge.
-    The nearest within max(2, 30 % of its length) is suggested, the first by name in a tie.
+    The nearest known one within max(2, 30 % of its length) edits is suggested, that of the lowest
+    record id in a tie (see ``nearest_names``).
     """
     streets = gaz.select(F.col("street").alias("known_street"), F.col("id")).groupBy("known_street").agg(F.min("id").alias("first_id")).withColumn("known_norm", normalize_street(F.col("known_street")))
     own = scans.select("street").distinct().withColumn("street_norm", normalize_street(F.col("street")))
@@ -124,10 +109,7 @@ def street_suggestions(scans: DataFrame, gaz: DataFrame) -> DataFrame:
     own = own.join(known, "street_norm", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     most = F.greatest(F.lit(2), F.floor(F.length("street_norm") * 0.3)).cast("int")
     open_ = own.filter(~F.col("known")).select("street_norm", most.alias("most")).distinct()
-    # every distance from 0 to most is allowed, so lengths differ by most at the most: joined by length
-    lengths = open_.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("street_norm") - F.col("most")), F.length("street_norm") + F.col("most"))))
-    near = lengths.join(streets.withColumn("len", F.length("known_norm")), "len").withColumn("d", F.levenshtein("street_norm", "known_norm"))
-    best = near.filter(F.col("d") <= F.col("most")).groupBy("street_norm").agg(F.min_by("known_street", F.struct("d", "first_id")).alias("suggestion"))
+    best = nearest_names(open_, streets).withColumnRenamed("known_street", "suggestion")
     return own.join(best, "street_norm", "left").select("street", "street_norm", "known", "suggestion")
 
 

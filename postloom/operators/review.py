@@ -10,7 +10,7 @@ from .neighbours import resolve_by_neighbours
 from .parse import parse_address
 from .points import dedupe_scans
 from .resolve import resolve
-from .tours import checkpointed
+from .rounds import checkpointed
 
 
 def accumulate_photos(blocks: DataFrame, gaz: DataFrame) -> DataFrame:

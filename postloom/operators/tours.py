@@ -1,29 +1,26 @@
-"""Closed tours, improved for all tours at once by rounds of array functions.
+"""Closed tours, planned for all tours at once.
 
-A tour table has a row for each tour and restart: ``mat`` is the flat directed distance matrix of
-its n nodes (index i * n + j, node 0 the base) and ``ord`` the order of the nodes, base first.
-A round is a narrow projection; rounds end when no tour changes.
+Distances stand in a table of matrices, a row for each tour: ``mat`` is the flat directed distance
+matrix of its n nodes (index i * n + j, node 0 the base).  Orders (``ord``, the nodes, base first)
+stand in a table of their own, a row for each tour and start; both meet once, in the step that
+improves every order until nothing does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.geo import haversine_m
-from ..sources.shared import new_path
+from .rounds import checkpointed
 
 ACCEPT = 1e-6
-MAX_ROUNDS = 200
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder, its lineage cut."""
-    path = new_path(df.sparkSession, "tours")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stop_pairs(stops: DataFrame, base_lat: float, base_lng: float, most: int | None = None) -> DataFrame:
@@ -75,94 +72,119 @@ def seed_tours(tours: DataFrame) -> DataFrame:
     return tours.withColumn("ord", F.aggregate(F.slice(nodes, 2, F.greatest(F.col("n") - 1, F.lit(0))), F.array(F.lit(0)), step))
 
 
-def _best_move(df: DataFrame, moves: Column) -> DataFrame:
-    return df.withColumn("move", F.array_min(moves))
-
-
-def reverse_round(df: DataFrame) -> DataFrame:
-    """Each tour's best reversal of a stretch i..k, if it shortens the directed tour."""
-    n = F.col("n")
-    at = lambda i: F.get("ord", i)
-    steps = F.sequence(F.lit(0), n - 2)
-    running = lambda leg: F.aggregate(F.transform(steps, leg), F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    df = df.withColumn("fwd", running(lambda i: _d(at(i), at(i + 1)))).withColumn("bwd", running(lambda i: _d(at(i + 1), at(i))))
-
-    def delta(i: Column, k: Column) -> Column:
-        a, b, c, d = at(i - 1), at(i), at(k), at((k + 1) % n)
-        inner = lambda name: F.get(name, k) - F.get(name, i)
-        return _d(a, c) + inner("bwd") + _d(b, d) - _d(a, b) - inner("fwd") - _d(c, d)
-
-    rows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda k: F.struct(delta(i, k).alias("gain"), i.alias("i"), k.alias("k"))))
-    df = _best_move(df, F.flatten(rows)).drop("fwd", "bwd")
-    i, k = F.col("move.i"), F.col("move.k")
-    turned = F.concat(F.slice("ord", F.lit(1), i), F.reverse(F.slice("ord", i + 1, k - i + 1)), F.slice("ord", k + 2, n))
-    return _applied(df, turned)
-
-
-def move_round(df: DataFrame) -> DataFrame:
-    """Each tour's best move of one stop to another place, if it shortens the tour."""
-    n = F.col("n")
-    at = lambda i: F.get("ord", i)
-
-    def delta(i: Column, j: Column) -> Column:
-        prev, node, nxt, p, q = at(i - 1), at(i), at((i + 1) % n), at(j), at((j + 1) % n)
-        return _d(p, node) + _d(node, q) - _d(p, q) - _d(prev, node) - _d(node, nxt) + _d(prev, nxt)
-
-    places = lambda i: F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j != i) & (j != i - 1))
-    rows = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(places(i), lambda j: F.struct(delta(i, j).alias("gain"), i.alias("i"), j.alias("k"))))
-    df = _best_move(df, F.flatten(rows))
-    node, after = at(F.col("move.i")), at(F.col("move.k"))
-    df = df.withColumn("node", node).withColumn("after", after)
-    without = F.filter("ord", lambda x: x != F.col("node"))
-    moved = F.flatten(F.transform(without, lambda x: F.when(x == F.col("after"), F.array(x, F.col("node"))).otherwise(F.array(x))))
-    return _applied(df, moved).drop("node", "after")
-
-
-def _applied(df: DataFrame, order: Column) -> DataFrame:
-    better = F.coalesce(F.col("move.gain") < -ACCEPT, F.lit(False))
-    return df.withColumn("changed", better).withColumn("ord", F.when(better, order).otherwise(F.col("ord"))).drop("move")
-
-
-def _until_still(df: DataFrame, step, enough: Column) -> DataFrame:  # noqa: ANN001
-    """Rounds of ``step`` on the tours that still change; small ones are passed through."""
-    columns = df.columns
-    done, open_ = df.filter(~enough), df.filter(enough)
-    for _ in range(MAX_ROUNDS):
-        after = checkpointed(step(open_))
-        done = done.unionByName(after.filter("not changed").select(columns))
-        open_ = after.filter("changed").select(columns)
-        if open_.isEmpty():
+def _apart(edges: list[list[int]], n: int) -> list[int]:
+    """Which of the moves, the best first, may be made together: no two of them touch one edge of the tour."""
+    used, chosen = np.zeros(n, bool), []
+    for i, own in enumerate(edges):
+        if not used[own].any():
+            used[own] = True
+            chosen.append(i)
+    return chosen
+
+
+def _best_per_row(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best move of each row that shortens the tour, the best rows first."""
+    column = gain.argmin(1)
+    best = gain[np.arange(len(gain)), column]
+    rows = np.flatnonzero(best < -ACCEPT)
+    rows = rows[np.argsort(best[rows], kind="stable")]
+    return rows, column[rows]
+
+
+def reverse_moves(m: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The order after a round of reversals of stretches i..k, each of which shortens the directed tour."""
+    n = len(order)
+    nxt = np.roll(order, -1)
+    ahead, back = m[order, nxt], m[nxt, order]
+    ahead_sum, back_sum = (np.concatenate([[0.0], np.cumsum(x[:-1])]) for x in (ahead, back))
+    i, k = np.arange(1, n - 1), np.arange(n)
+    gain = m[order[i - 1][:, None], order] + m[order[i][:, None], nxt] - ahead[i - 1][:, None] - ahead + (back_sum - back_sum[i][:, None]) - (ahead_sum - ahead_sum[i][:, None])
+    gain[k <= i[:, None]] = np.inf
+    rows, last = _best_per_row(gain)
+    first = i[rows]
+    out = order.copy()
+    for j in _apart([list(range(f - 1, e + 1)) for f, e in zip(first.tolist(), last.tolist(), strict=True)], n):
+        out[first[j] : last[j] + 1] = order[first[j] : last[j] + 1][::-1]
+    return out
+
+
+def stop_moves(m: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The order after a round of moves of single stops, each of which shortens the tour."""
+    n = len(order)
+    nxt, prev = np.roll(order, -1), np.roll(order, 1)
+    ahead = m[order, nxt]
+    i = np.arange(1, n)
+    without = m[prev, nxt][i] - ahead[i - 1] - ahead[i]
+    gain = m[order, order[i][:, None]] + m[order[i][:, None], nxt] - ahead + without[:, None]
+    gain[np.arange(n - 1), i] = gain[np.arange(n - 1), i - 1] = np.inf
+    rows, after = _best_per_row(gain)
+    stop = i[rows]
+    place = np.arange(n, dtype=float)
+    for j in _apart([[s - 1, s, a] for s, a in zip(stop.tolist(), after.tolist(), strict=True)], n):
+        place[stop[j]] = after[j] + 0.5
+    return order[np.argsort(place, kind="stable")]
+
+
+def _length(m: np.ndarray, order: np.ndarray) -> float:
+    return float(m[order, np.roll(order, -1)].sum())
+
+
+def _until_still(m: np.ndarray, order: np.ndarray, moves: Callable) -> np.ndarray:
+    """Rounds of moves until none shortens the tour; every round but the last makes it shorter."""
+    while len(order) >= 4:
+        after = moves(m, order)
+        if _length(m, after) >= _length(m, order) - ACCEPT / 2:
             break
-    else:
-        done = done.unionByName(open_)
-    return checkpointed(done)
+        order = after
+    return order
 
 
-def improve_reverse(df: DataFrame) -> DataFrame:
-    return _until_still(df, reverse_round, F.col("n") >= 4)
+def _improved(orders: DataFrame, tours: DataFrame, phases: Sequence[Callable]) -> DataFrame:
+    """``orders`` (tour_id, restart, ord) after the phases, and meters."""
+    kind = orders.schema["tour_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, meters = [], []
+            for n, mat, order in zip(b.column("n").to_pylist(), b.column("mat"), b.column("ord"), strict=True):
+                m, own = mat.values.to_numpy(zero_copy_only=False).reshape(n, n), order.values.to_numpy(zero_copy_only=False)
+                for moves in phases:
+                    own = _until_still(m, own, moves)
+                out.append(own.astype(np.int32))
+                meters.append(_length(m, own))
+            yield pa.RecordBatch.from_arrays([b.column("tour_id"), b.column("restart"), pa.array(out, pa.list_(pa.int32())), pa.array(meters, pa.float64())], ["tour_id", "restart", "ord", "meters"])
 
-def improve_move(df: DataFrame) -> DataFrame:
-    return _until_still(df, move_round, F.col("n") >= 4)
+    both = orders.join(tours.select("tour_id", "n", "mat"), "tour_id").select("tour_id", "restart", "n", "mat", "ord")
+    return both.mapInArrow(run, f"tour_id {kind}, restart int, ord array<int>, meters double")
 
 
-def improve_tours(tours: DataFrame, restarts: int | None = None, seed: int = 7) -> DataFrame:
-    """(tour_id, n, mat, ord, meters): the best of a nearest-node seed and shuffled restarts, each improved.
+def starts(tours: DataFrame, restarts: int | None = None, seed: int = 7) -> DataFrame:
+    """(tour_id, restart, ord): the nearest-node tour as restart 0, and shuffled ones.
 
-    The number of restarts follows the tour's size: 40 to 12 nodes, 12 to 40, else 4.
+    Their number follows the tour's size unless given: 40 to 12 nodes, 12 to 40, else 4.
     """
-    own = seed_tours(tours).withColumn("restart", F.lit(0))
+    own = seed_tours(tours).select("tour_id", "n", "ord", F.lit(0).alias("restart"))
     many = F.lit(restarts) if restarts is not None else F.when(F.col("n") <= 12, 40).when(F.col("n") <= 40, 12).otherwise(4)
     again = own.withColumn("restart", F.explode(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))))
     key = lambda x: F.xxhash64(F.lit(seed), F.col("tour_id"), x, F.col("restart"))
     rest = F.array_sort(F.transform(F.slice("ord", 2, F.greatest(F.col("n") - 1, F.lit(0))), lambda x: F.struct(key(x).alias("h"), x.alias("x"))))
     again = again.withColumn("ord", F.concat(F.array(F.lit(0)), F.transform(rest, lambda s: s["x"])))
-    all_ = checkpointed(own.unionByName(again))
-    for step in (improve_reverse, improve_move, improve_reverse):
-        all_ = step(all_)
-    all_ = all_.withColumn("meters", tour_length(F.col("ord")))
-    best = all_.groupBy("tour_id").agg(F.min_by(F.struct("n", "mat", "ord", "meters"), F.struct(F.round("meters", 6).alias("m"), F.col("restart").alias("r"))).alias("b"))
-    return best.select("tour_id", "b.*")
+    return own.unionByName(again).select("tour_id", "restart", "ord")
+
+
+def improve_tours(tours: DataFrame, restarts: int | None = None, seed: int = 7) -> DataFrame:
+    """(tour_id, n, mat, ord, meters): the best of a nearest-node seed and shuffled restarts, each improved until nothing shortens it.
+
+    Reversals of stretches, moves of single stops, and reversals again.  A round makes all moves
+    that touch no common edge, so that their gains add up; the rounds of an order end when it has no
+    move left, however many they are.  Work of a round and memory of a task grow with a tour's
+    matrix; tours and their restarts are dealt over the tasks.
+    """
+    orders = checkpointed(starts(tours, restarts, seed))
+    parts = max(orders.sparkSession.sparkContext.defaultParallelism, orders.rdd.getNumPartitions())
+    done = _improved(orders.repartition(parts, "tour_id", "restart"), tours, (reverse_moves, stop_moves, reverse_moves))
+    best = done.groupBy("tour_id").agg(F.min_by(F.struct("ord", "meters"), F.struct(F.round("meters", 6).alias("m"), F.col("restart").alias("r"))).alias("b"))
+    return tours.select("tour_id", "n", "mat").join(best.select("tour_id", "b.*"), "tour_id")
 
 
 def priority_round(df: DataFrame) -> DataFrame:
@@ -185,13 +207,26 @@ def priority_round(df: DataFrame) -> DataFrame:
 
 
 def priority_reorder(df: DataFrame) -> DataFrame:
-    return _until_still(df, priority_round, F.col("n") >= 3)
+    """Passes of ``priority_round`` over the tours that still change; each swap brings a parcel stop ahead of another, so they end."""
+    columns, rounds = df.columns, []
+    open_ = df.filter("n >= 3")
+    while True:
+        after = checkpointed(priority_round(open_))
+        rounds.append(after.filter("not changed").select(columns))
+        open_ = after.filter("changed").select(columns)
+        if open_.isEmpty():
+            break
+    out = df.filter("n < 3")
+    for own in rounds:
+        out = out.unionByName(own)
+    return out
 
 
 def plan_tours(stops: DataFrame, base_lat: float, base_lng: float, roads: DataFrame | None = None, restarts: int | None = None) -> DataFrame:
-    """(tour_id, id, position, meters, provider): planned order of every tour's stops.
+    """(tour_id, id, position, meters, provider, skipped): planned order of every tour's stops.
 
-    ``stops``: tour_id, id, lat, lng, priority; stops without coordinates are left out.
+    ``stops``: tour_id, id, lat, lng, priority.  A stop without coordinates is skipped: it has no
+    position.  Tours whose stops are all skipped have 0 meters.
     """
     usable = stops.filter("lat is not null and lng is not null")
     pairs = stop_pairs(usable, base_lat, base_lng, None)
@@ -200,9 +235,12 @@ def plan_tours(stops: DataFrame, base_lat: float, base_lng: float, roads: DataFr
     nodes = usable.withColumn("node", node)
     first = nodes.groupBy("tour_id").agg(F.concat(F.array(F.lit(False)), F.transform(F.array_sort(F.collect_list(F.struct("node", "priority"))), lambda s: s["priority"])).alias("first"))
     own = improve_tours(checkpointed(matrices(pairs)), restarts).join(first, "tour_id")
-    own = priority_reorder(checkpointed(own)).withColumn("meters", tour_length(F.col("ord")))
+    own = checkpointed(priority_reorder(checkpointed(own)).withColumn("meters", tour_length(F.col("ord"))).select("tour_id", "ord", "meters"))
     order = own.select("tour_id", "meters", F.posexplode("ord").alias("position", "node")).filter("node > 0")
-    return order.join(nodes.select("tour_id", "node", "id"), ["tour_id", "node"]).select("tour_id", "id", F.col("position").cast("long").alias("position"), "meters", F.lit("straight" if roads is None else "osrm").alias("provider"))
+    placed = order.join(nodes.select("tour_id", "node", "id"), ["tour_id", "node"]).select("tour_id", "id", F.col("position").cast("long").alias("position"), "meters", F.lit(False).alias("skipped"))
+    left = stops.filter("lat is null or lng is null").select("tour_id", "id").join(own.select("tour_id", "meters"), "tour_id", "left")
+    left = left.select("tour_id", "id", F.lit(None).cast("long").alias("position"), F.coalesce("meters", F.lit(0.0)).alias("meters"), F.lit(True).alias("skipped"))
+    return placed.unionByName(left).withColumn("provider", F.lit("straight" if roads is None else "osrm"))
 
 
 def provider_ladder(tours: DataFrame) -> DataFrame:

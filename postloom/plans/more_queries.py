@@ -10,6 +10,7 @@ from ..functions.text import keys
 from ..operators import points as pts
 from ..operators import resolve as res
 from ..operators import routes, tours
+from ..operators.rounds import checkpointed
 from ..sources import views as V
 from ..sources.shared import new_path
 from ..streaming import streams
@@ -98,22 +99,32 @@ def o5_legacy_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def t2_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """The scans as files through the stream; the kept places."""
+    """The scans, a minute apart, as files through the stream; the kept places.  A tour's scans lie within the watermark."""
     source, out, mark = (new_path(spark, f"t2-{x}") for x in ("in", "out", "mark"))
-    rows = _resolved_scans(spark, d).select("scan_id", "tour_id", "resolved", "canonicalId", "lookupKey", "postcode", F.col("createdAt").cast("timestamp").alias("ts"))
-    rows.repartition(4).write.parquet(source)
-    kept = streams.deduped(streams.file_stream(spark, source, rows.schema), "36500 days")
+    rows = _resolved_scans(spark, d).select("scan_id", "tour_id", "resolved", "canonicalId", "lookupKey", "postcode", F.timestamp_seconds(F.col("scan_id") * 60).alias("ts"))
+    streams.write_as_it_comes(checkpointed(rows), source)
+    kept = streams.deduped(streams.file_stream(spark, source, rows.schema, 1), "1 hour")
     streams.run_to_end(kept.select("tour_id", "place"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), mark)
     return spark.read.parquet(out).select("tour_id", "place")
 
 
+def streamed_status(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's state after all events went through the stream as they came."""
+    source, out, mark = (new_path(spark, f"t3-{x}") for x in ("in", "out", "mark"))
+    rows = V.read(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    streams.write_as_it_comes(rows, source)
+    changes = streams.status_changes(streams.file_stream(spark, source, rows.schema, 1))
+    streams.run_to_end(changes, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), mark, "update")
+    return streams.merged_status(spark.read.parquet(out))
+
+
 @query
 def t3_stream_status(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream; each item's state after the last one."""
-    source, out, mark = (new_path(spark, f"t3-{x}") for x in ("in", "out", "mark"))
-    rows = V.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows.repartition(4).write.parquet(source)
-    last = streams.latest_status(streams.file_stream(spark, source, rows.schema, 2), "36500 days")
-    streams.run_to_end(last, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), mark, "update")
-    w = Window.partitionBy("item_id").orderBy(F.col("batch").desc())
-    return spark.read.parquet(out).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("item_id", "status", F.col("deliveredAt").cast("timestamp_ntz").alias("deliveredAt"))
+    return streamed_status(spark, d).select("item_id", "status", F.col("deliveredAt").cast("timestamp_ntz").alias("deliveredAt"))
+
+
+@query
+def t4_live_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The totals of every tour with the states that the stream of events left."""
+    return streams.live_counts(V.points(spark, d), V.items(spark, d), streamed_status(spark, d))

@@ -213,7 +213,7 @@ ORACLES |= {
     "s12_export_jobs": f"""WITH {S.POINTS} SELECT tour_id, row_number() OVER (PARTITION BY tour_id ORDER BY id) AS job, id, CASE WHEN has_parcel THEN 100 ELSE -1 END AS priority, postcode || '|' || lower(city) AS "group" FROM points WHERE lat IS NOT NULL""",
     "j12_stop_pairs": f"WITH {NODES} SELECT tour_id, n, i, j, CAST(round(meters) AS BIGINT) AS meters FROM pairs",
     "j13_fill_matrix": f"WITH {NODES} SELECT tour_id, count(*) AS n_pairs, CAST(round(sum(CASE WHEN (i + j) % 23 <> 0 THEN meters * (CAST(1.2 AS DOUBLE) + (i * 31 + j * 17) % 10 * CAST(0.03 AS DOUBLE)) ELSE meters END) / 1000) AS BIGINT) AS km FROM pairs GROUP BY tour_id",
-    "t3_latest_status": f"WITH x AS (SELECT user_id AS item_id, {STATUS} AS status, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) SELECT item_id, status, CASE WHEN status <> 'pending' THEN ts END AS \"deliveredAt\" FROM x WHERE r = 1",
+    "t3_latest_status": f"WITH x AS (SELECT user_id AS item_id, {STATUS} AS status, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT item_id, status, CASE WHEN status <> 'pending' THEN ts END AS \"deliveredAt\" FROM x WHERE r = 1",
 }
 
 SYSTEM = rf"(?i)^{T.SYSTEM_LINE}\b"
@@ -303,4 +303,16 @@ ORACLES |= {
     "o5_legacy_order": f"WITH {S.POINTS} SELECT tour_id, string_agg(id, ',' ORDER BY custkey % 7, id) AS ids FROM points WHERE custkey % 4 <> 0 AND tour_id % 2 = 1 GROUP BY tour_id",
     "t2_stream_dedupe": f"WITH {SCAN_IDS} SELECT DISTINCT tour_id, coalesce({PLACE}, 'row:' || scan_id) AS place FROM ids",
     "t3_stream_status": ORACLES["t3_latest_status"],
+    "t4_live_totals": f"""WITH {S.ITEMS}, e AS (SELECT user_id AS item_id, {STATUS} AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+      i AS (SELECT items.* EXCLUDE (status), coalesce(now, status) AS status FROM items LEFT JOIN e ON e.item_id = items.item_id AND r = 1),
+      x AS (SELECT tour_id, count(*) FILTER (WHERE type = 'parcel') AS parcel, count(*) FILTER (WHERE type = 'magazine') AS magazine, count(*) FILTER (WHERE type = 'letter') AS letter, count(*) FILTER (WHERE status = 'delivered') AS delivered, count(DISTINCT point_id) AS stops FROM i GROUP BY tour_id)
+      SELECT tour_id, parcel, magazine, letter, delivered, magazine + letter AS mail, parcel + magazine + letter AS items, stops, stops AS total FROM x""",
+    "t1_ingest_checks": f"WITH {S.ITEMS} SELECT tour_id, count(*) FILTER (WHERE type = 'parcel') AS parcel, count(*) FILTER (WHERE type = 'magazine') AS magazine, count(*) FILTER (WHERE type = 'letter') AS letter, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_lost FROM items GROUP BY tour_id",
+    "s6_s7_point_store": f"""WITH {S.POINTS}, p AS (SELECT id, "canonicalId", city, "createdAt", (length(id) + ascii(right(id, 1))) % 4 AS k FROM points),
+      a AS (SELECT id, "canonicalId", "createdAt", k, CASE WHEN k = 0 THEN upper(city) ELSE city END AS city FROM p WHERE k <> 1),
+      b AS (SELECT *, row_number() OVER (PARTITION BY "canonicalId" ORDER BY "createdAt", id) AS n, count(*) OVER (PARTITION BY "canonicalId") AS many FROM a),
+      now AS (SELECT id, "canonicalId", k, CASE WHEN many > 1 THEN city || '+' ELSE city END AS city FROM b WHERE n = 1)
+      SELECT id, city, 'by id' AS view FROM now WHERE k = 2
+      UNION ALL SELECT id, city, 'by identity' FROM now WHERE "canonicalId" IN (SELECT "canonicalId" FROM p WHERE k = 3)
+      UNION ALL SELECT id, city, 'before' FROM p UNION ALL SELECT id, city, 'now' FROM now""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.geo import haversine_m, within_area
 from ..operators import neighbours, parse, points as pts, resolve as res, routes, tours
+from ..operators.rounds import checkpointed
 from ..params import Area
 from ..sources import views as V
 from ..sources.gazetteer import build_gazetteer, load_gazetteer
@@ -34,7 +35,7 @@ def _document_lines(spark: SparkSession, d: str) -> DataFrame:
 def _parsed(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
     """The parsed scans; ``again``: stored, for queries that read them more than once."""
     own = parse.parse_address(V.scans(spark, d))
-    return tours.checkpointed(own) if again else own
+    return checkpointed(own) if again else own
 
 
 def _half_up(c: Column, digits: int = 3) -> Column:
@@ -331,13 +332,13 @@ def r1_seed_tours(spark: SparkSession, d: str) -> DataFrame:
 def r5_plan_tours(spark: SparkSession, d: str) -> DataFrame:
     stops = routes.prepare_stops(V.points(spark, d))
     own = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG)
-    return own.groupBy("tour_id").agg(F.count("*").alias("n_stops"), F.round(F.first("meters")).cast("long").alias("meters"))
+    return own.groupBy("tour_id").agg(F.count_if(~F.col("skipped")).alias("n_stops"), F.count_if("skipped").alias("n_skipped"), F.round(F.max("meters")).cast("long").alias("meters"))
 
 
 @query
 def w3_resolve_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
     own = _parsed(spark, d, True)
-    found = tours.checkpointed(res.resolve(own, V.gazetteer(spark, d)))
+    found = checkpointed(res.resolve(own, V.gazetteer(spark, d)))
     place = own.select("scan_id", "tour_id", "seq")
     sure = found.filter("outcome = 'resolved'").select("scan_id", "lat", "lng", "record_id")
     rows = place.join(sure, "scan_id", "left").select("tour_id", "seq", "lat", "lng", "record_id")

@@ -12,9 +12,10 @@ from ..operators import parse, routes, tours
 from ..operators import points as pts
 from ..operators import resolve as res
 from ..operators.review import accumulate_photos
-from ..operators.tours import checkpointed
+from ..operators.rounds import checkpointed
 from ..sources import views as V
 from ..sources import views_sql as S
+from ..sources.point_store import PointStore
 from ..sources.shared import new_path
 from ..streaming import streams
 from .more_queries import _cache
@@ -128,36 +129,87 @@ def r6_external_or_planned(spark: SparkSession, d: str) -> DataFrame:
     steps = jobs.filter("not (tour_id % 4 = 0 and job = 1)").select("tour_id", step.alias("step"), F.lit("job").alias("type"), "job")
     external = checkpointed(routes.apply_external_order(jobs, steps))
     bad = jobs.select("tour_id").distinct().join(external.filter("complete").select("tour_id").distinct(), "tour_id", "left_anti")
-    planned = tours.plan_tours(routes.prepare_stops(points.join(bad, "tour_id", "left_semi")), V.BASE_LAT, V.BASE_LNG)
+    planned = tours.plan_tours(routes.prepare_stops(points.join(bad, "tour_id", "left_semi")), V.BASE_LAT, V.BASE_LNG).filter("not skipped").drop("skipped")
     return routes.external_or_planned(external, planned).groupBy("tour_id", "provider").agg(F.count("*").alias("n_stops"), F.max("position").alias("last"), F.countDistinct("id").alias("n_ids"))
 
 
 @query
 def r5_tour_checks(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of every planned tour: its stops once each, without gaps, no longer than the seed plus what parcels first may cost."""
-    stops = checkpointed(routes.prepare_stops(V.points(spark, d)))
-    plan = tours.plan_tours(stops.withColumn("priority", F.lit(False)), V.BASE_LAT, V.BASE_LNG)
-    seed = tours.seed_tours(tours.matrices(tours.stop_pairs(stops, V.BASE_LAT, V.BASE_LNG))).select("tour_id", tours.tour_length(F.col("ord")).alias("seed"))
-    own = plan.groupBy("tour_id").agg(F.count("*").alias("n_stops"), F.countDistinct("id").alias("n_ids"), F.countDistinct("position").alias("n_places"), F.max("position").alias("last"), F.first("meters").alias("meters"))
-    return own.join(seed, "tour_id").select("tour_id", "n_stops", "n_ids", "n_places", "last", (F.col("meters") <= F.col("seed") + 0.001).alias("no_longer"))
+    """What must hold of every planned tour: its stops once each, without gaps, those without coordinates skipped, no longer than the seed."""
+    stops = checkpointed(V.points(spark, d).filter("not done").select("tour_id", "id", "lat", "lng", F.lit(False).alias("priority")))
+    plan = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG)
+    seed = tours.seed_tours(tours.matrices(tours.stop_pairs(stops.filter("lat is not null"), V.BASE_LAT, V.BASE_LNG))).select("tour_id", tours.tour_length(F.col("ord")).alias("seed"))
+    own = plan.groupBy("tour_id").agg(F.count_if(~F.col("skipped")).alias("n_stops"), F.count_if("skipped").alias("n_skipped"), F.countDistinct("id").alias("n_ids"), F.countDistinct("position").alias("n_places"), F.max("position").alias("last"), F.max("meters").alias("meters"))
+    return own.join(seed, "tour_id").select("tour_id", "n_stops", "n_skipped", "n_ids", "n_places", "last", (F.col("meters") <= F.col("seed") + 0.001).alias("no_longer"))
 
 
 @query
-def t1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The scans as files through the stream, batch by batch into the points; the items of every point."""
+def w5_priority_reorder(spark: SparkSession, d: str) -> DataFrame:
+    """The stops of every tour by id, then parcels ahead where that costs little: ids in order."""
+    stops = V.points(spark, d).filter("lat is not null").select("tour_id", "id", "lat", "lng", "has_parcel")
+    own = tours.matrices(tours.stop_pairs(stops, V.BASE_LAT, V.BASE_LNG))
+    nodes = stops.groupBy("tour_id").agg(F.array_sort(F.collect_list(F.struct("id", "has_parcel"))).alias("s"))
+    own = own.join(nodes, "tour_id").withColumn("first", F.concat(F.array(F.lit(False)), F.transform("s", lambda x: x["has_parcel"]))).withColumn("ord", F.sequence(F.lit(0), F.col("n") - 1))
+    own = tours.priority_reorder(checkpointed(own))
+    return own.select("tour_id", F.array_join(F.transform(F.slice("ord", 2, F.col("n")), lambda i: F.get("s", i - 1)["id"]), ",").alias("ids"))
+
+
+def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(points, placed) after all scans went through the stream as files, batch by batch."""
     source, out, mark = (new_path(spark, f"t1-{x}") for x in ("in", "out", "mark"))
     rows = V.scans(spark, d).select("scan_id", F.col("scan_id").alias("seq"), "raw", "createdAt")
     rows.repartitionByRange(4, "scan_id").write.parquet(source)
-    known = V.points(spark, d).select("id", "matchKey", "canonicalId", "lookupKey", "postcode", "city", "lat", "lng", "createdAt").limit(0)
+    known = _known(spark, d).limit(0)
     sink = streams.commit(checkpointed(V.gazetteer(spark, d)), checkpointed(known), out)
     streams.run_to_end(streams.file_stream(spark, source, rows.schema, 2), sink, mark)
-    points, placed = streams.committed(spark, out)
+    return streams.committed(spark, out, known.schema)
+
+
+@query
+def t1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The scans through the stream; the items of every point."""
+    points, placed = _streamed(spark, d)
     return placed.groupBy(F.col("point_id").alias("id")).agg(F.count("*").alias("n_items"), F.min("scan_id").alias("first_scan")).join(points.select("id", "canonicalId"), "id")
 
 
+@query
+def t1_ingest_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the ingest stream however the batches fall: of each tour, the items placed by type, scans placed more than once, and scans whose point is not there."""
+    points, placed = _streamed(spark, d)
+    per = placed.groupBy("scan_id").agg(F.count("*").alias("times"), F.max("point_id").alias("id"))
+    per = per.join(points.select("id", F.lit(True).alias("known")), "id", "left")
+    own = V.items(spark, d).select("tour_id", "type", F.col("item_id").alias("scan_id")).join(per, "scan_id", "left")
+    kinds = [F.count_if((F.col("type") == k) & F.col("times").isNotNull()).alias(k) for k in ("parcel", "magazine", "letter")]
+    return own.groupBy("tour_id").agg(*kinds, F.count_if(F.col("times") != 1).alias("n_twice"), F.count_if(~F.coalesce("known", F.lit(False))).alias("n_lost"))
+
+
+@query
+def s6_s7_point_store(spark: SparkSession, d: str) -> DataFrame:
+    """Points written to a store, changed, deleted, merged and read again: by id, by canonicalId, whole, and as they were before."""
+    own = V.points(spark, d).select("id", "canonicalId", "matchKey", "city", "createdAt")
+    store = PointStore(spark, new_path(spark, "store"), own.schema, buckets=16)
+    first = store.write(own)
+    k = F.pmod(F.length("id") + F.ascii(F.reverse("id")), F.lit(4))
+    store.commit(put=own.filter(k == 0).withColumn("city", F.upper("city")))
+    store.commit(delete=own.filter(k == 1).select("id"))
+    now = store.read()
+    w = Window.partitionBy("canonicalId").orderBy("createdAt", "id")
+    group = now.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy("canonicalId"))).filter("_all > 1")
+    store.replace_merged(group.filter("_n = 1").withColumn("city", F.concat("city", F.lit("+"))).select(own.columns), group.filter("_n > 1").select("id"))
+    got = store.get(own.filter(k == 2).select("id")).select("id", "city", F.lit("by id").alias("view"))
+    found = store.find(own.filter(k == 3).select(F.col("canonicalId").alias("value"))).select("id", "city", F.lit("by identity").alias("view"))
+    old = store.read(first).select("id", "city", F.lit("before").alias("view"))
+    return got.unionByName(found).unionByName(old).unionByName(store.read().select("id", "city", F.lit("now").alias("view")))
+
+
 # --- SQL --------------------------------------------------------------------------------------
 
 
+def _leg(i: str, j: str) -> str:
+    """Metres between two nodes of the lists la and lo."""
+    return S.haversine(f"la[{i} + 1]", f"lo[{i} + 1]", f"la[{j} + 1]", f"lo[{j} + 1]", str(P.EARTH_M))
+
+
 def median(values: str) -> str:
     """The upper middle of the positive values of a list."""
     own = f"list_sort(list_filter({values}, lambda v: v > 0))"
@@ -258,7 +310,21 @@ ORACLES |= {
         UNION ALL SELECT w.tour_id, w.n, list_append(w.ord, arg_min(p.j, (p.meters, p.j))) FROM walk w JOIN pairs p ON p.tour_id = w.tour_id AND p.i = w.ord[-1] WHERE NOT list_contains(w.ord, p.j) GROUP BY w.tour_id, w.n, w.ord),
       legs AS (SELECT tour_id, n, ord[k] AS i, ord[k % n + 1] AS j FROM walk, unnest(range(1, n + 1)) AS u(k) WHERE len(ord) = n)
       SELECT l.tour_id, CAST(l.n AS INT) AS n, CAST(round(sum(meters)) AS BIGINT) AS meters FROM legs l JOIN pairs p ON p.tour_id = l.tour_id AND p.i = l.i AND p.j = l.j GROUP BY ALL""",
-    "r5_tour_checks": f"WITH {S.POINTS} SELECT tour_id, count(*) AS n_stops, count(*) AS n_ids, count(*) AS n_places, count(*) AS last, true AS no_longer FROM points WHERE lat IS NOT NULL AND NOT done GROUP BY tour_id",
+    "r5_tour_checks": f"WITH {S.POINTS} SELECT tour_id, count(lat) AS n_stops, count(*) - count(lat) AS n_skipped, count(*) AS n_ids, count(lat) AS n_places, count(lat) AS last, true AS no_longer FROM points WHERE NOT done GROUP BY tour_id HAVING count(lat) > 0",
+    "w5_priority_reorder": f"""WITH RECURSIVE {S.POINTS},
+      t AS (SELECT tour_id, list(id ORDER BY id) AS ids, [false] || list(has_parcel ORDER BY id) AS pri, [CAST({BASE_LAT} AS DOUBLE)] || list(lat ORDER BY id) AS la, [CAST({BASE_LNG} AS DOUBLE)] || list(lng ORDER BY id) AS lo FROM points WHERE lat IS NOT NULL GROUP BY tour_id),
+      s AS (
+        SELECT tour_id, range(0, len(ids) + 1) AS ord, CAST(1 AS BIGINT) AS p, false AS changed, CAST(0 AS BIGINT) AS step FROM t
+        UNION ALL
+        SELECT tour_id, CASE WHEN swap THEN list_concat(list_concat(ord[1 : p], [y, x]), ord[p + 3 : ]) ELSE ord END, CASE WHEN p < n - 2 THEN p + 1 ELSE 1 END, CASE WHEN p < n - 2 THEN changed OR swap ELSE false END, step + 1
+        FROM (
+          SELECT *, pri[y + 1] AND NOT pri[x + 1] AND ay - ax <= ax * {P.PRIORITY_TOLERANCE} AND ay + xb - ax - yb <= ax * {P.PRIORITY_TOLERANCE} AS swap
+          FROM (
+            SELECT *, {_leg('a', 'x')} AS ax, {_leg('a', 'y')} AS ay, {_leg('x', 'b')} AS xb, {_leg('y', 'b')} AS yb
+            FROM (SELECT s.tour_id, ord, p, changed, step, pri, la, lo, len(ord) AS n, ord[p] AS a, ord[p + 1] AS x, ord[p + 2] AS y, ord[(p + 2) % len(ord) + 1] AS b FROM s JOIN t ON t.tour_id = s.tour_id)))
+        WHERE n >= 3 AND (p < n - 2 OR changed OR swap))
+      SELECT t.tour_id, array_to_string(list_transform(ord[2 : ], lambda i: ids[i]), ',') AS ids
+      FROM (SELECT tour_id, arg_max(ord, step) AS ord FROM s GROUP BY tour_id) f JOIN t ON t.tour_id = f.tour_id""",
     "r6_external_or_planned": f"WITH {S.POINTS} SELECT tour_id, CASE WHEN tour_id % 4 = 0 THEN 'straight' ELSE 'ors' END AS provider, count(*) AS n_stops, count(*) AS last, count(*) AS n_ids FROM points WHERE lat IS NOT NULL AND NOT done GROUP BY tour_id",
     "j18_apply_corrections": f"""WITH {PARSED}, {GAZ_ONLY}, {KEPT},
       fixed AS (SELECT p.scan_id, g."lookupKey", p.postcode, p.city, g."lookupKey" || CASE WHEN p.postcode <> '' THEN '|' || p.postcode ELSE '' END AS "matchKey"

@@ -9,11 +9,11 @@ from ..operators import points as pts
 from ..operators import resolve as res
 from ..operators import upkeep
 from ..operators.parse import with_context
-from ..operators.tours import checkpointed
+from ..operators.rounds import checkpointed
 from ..sources import views as V
 from ..sources import views_sql as S
 from ..sources.shared import new_path
-from ..streaming import streams
+from .more_queries import streamed_status
 from .more_queries import _cache
 from .oracles import CACHE, INSIDE, ORACLES, OUTLIERS_ONLY, RESOLVED, STATUS
 from .queries import AREA, _ordered, _parsed, query
@@ -94,14 +94,8 @@ def s8_route_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def t4_stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream; after each batch, items by the state that their last event left."""
-    source, out, mark = (new_path(spark, f"t4-{x}") for x in ("in", "out", "mark"))
-    rows = V.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows.repartition(4).write.parquet(source)
-    last = streams.latest_status(streams.file_stream(spark, source, rows.schema, 2))
-    streams.run_to_end(last, lambda b, i: streams.state_counts(b).write.mode("overwrite").parquet(f"{out}/batch={i}"), mark, "complete")
-    counts = spark.read.parquet(out)
-    return counts.join(counts.agg(F.max("batch").alias("batch")), "batch").select("status", "n")
+    """Items by the state that their last event left, after all events went through the stream."""
+    return streamed_status(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query

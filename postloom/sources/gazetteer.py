@@ -56,6 +56,14 @@ def load_gazetteer(records: DataFrame, order: str = "row_no") -> DataFrame:
     return own.withColumn("_n", F.row_number().over(w)).withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("#"), F.col(order).cast("string"))).otherwise(F.col("id"))).drop("_n")
 
 
-def write_gazetteer(gaz: DataFrame, path: str) -> None:
-    """The finished index, records of one lookupKey in one file."""
-    gaz.repartition("lookupKey").write.mode("overwrite").parquet(path)
+def write_gazetteer(gaz: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> None:
+    """The finished index as a table, bucketed and sorted by lookupKey: joins on it read it without a shuffle.
+
+    ``path``: where its files lie, if not where the catalog puts them.
+    """
+    writer = gaz.write.format("parquet").mode("overwrite").bucketBy(buckets, "lookupKey").sortBy("lookupKey")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def read_gazetteer(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keys
+from ..operators.points import item_type_of_mode
 
 # The streets that the derived tables use.
 STREETS = ("Hauptstraße", "Dorfstraße", "Gartenstr.", "Goethestrasse", "Am Markt", "Kastanienallee", "Seestraße", "Müllerstr", "Ringstraße", "Clara-Zetkin-Straße", "Strandweg", "Kirchweg")
@@ -117,7 +118,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item for each scan: tour_id, point_id, item_id, type, status, addedAt."""
-    kind = F.when(F.col("mode") == "device", "parcel").otherwise(F.col("mode"))
+    kind = item_type_of_mode(F.col("mode"))
     return scans(spark, sf_dir).select("tour_id", F.concat(F.lit("p"), F.col("tour_id").cast("string"), F.lit("_"), F.col("custkey").cast("string")).alias("point_id"), "custkey", F.col("scan_id").alias("item_id"), kind.alias("type"), "status", F.col("createdAt").alias("addedAt"))
 
 

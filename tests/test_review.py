@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from postloom.operators import parse, points as pts, resolve as res, routes
 from postloom.operators.review import accumulate_photos
-from postloom.operators.tours import checkpointed
+from postloom.operators.rounds import checkpointed
 from postloom.sources import views as V
 from postloom.streaming import streams
 
@@ -72,11 +72,11 @@ def test_a_batch_that_runs_again_changes_nothing(spark, gaz, batches):
     sink = streams.commit(gaz, start, out)
     sink(batches[0], 0)
     sink(batches[1], 1)
-    state = lambda: [sorted(map(str, x.collect())) for x in streams.committed(spark, out)]
+    state = lambda: [sorted(map(str, x.collect())) for x in streams.committed(spark, out, start.schema)]
     before = state()
     sink(batches[1], 1)
     assert state() == before
-    points, placed = streams.committed(spark, out)
+    points, placed = streams.committed(spark, out, start.schema)
     assert placed.count() == placed.select("scan_id").distinct().count() == batches[0].count() + batches[1].count()
     assert placed.join(points, placed["point_id"] == points["id"], "left_anti").isEmpty()
     assert points.count() == points.select("id").distinct().count()
@@ -86,7 +86,7 @@ def test_one_batch_equals_adding_all(spark, sf, gaz, batches):
     start, out = spark.createDataFrame([], POINT), _folder(spark)
     everything = batches[0].unionByName(batches[1])
     streams.commit(gaz, start, out)(everything, 0)
-    got = {(r.scan_id, r.point_id) for r in streams.committed(spark, out)[1].collect()}
+    got = {(r.scan_id, r.point_id) for r in streams.committed(spark, out, start.schema)[1].collect()}
     own = parse.parse_address(everything)
     found = res.resolve(own, gaz).groupBy("scan_id").agg(F.max("canonicalId").alias("canonicalId"), F.bool_or(F.col("outcome") == "resolved").alias("resolved"), F.first("lat").alias("lat"), F.first("lng").alias("lng"))
     assert got == {(r.scan_id, r.point_id) for r in pts.add_items(own.join(found, "scan_id"), start)[1].collect()}
