@@ -2,7 +2,9 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to).  A flow
 network routes words from patterns to source quotas; a pattern's first pass over its documents is
-free and each further pass costs more, so the flow repeats as little as it can.  The flow into a
+free and each further pass costs more, so the flow repeats as little as it can.  Only sources that
+share documents with others need the network; the rest, of any number, stay a Spark table, in which
+a source's flow is its quota or what its passes hold.  The flow into a
 pattern says how often its documents are taken: all of them so many times, and a seeded part of
 them once more.  That part is the documents with the least md5 of seed and doc_id; its edge is
 found by two rounds of counting by md5 prefix and a sorted remainder, so no task ever holds the
@@ -18,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import free_name, small_enough, stored
+from ._store import fits, free_name, partitions, small_enough, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
-MAX_PATTERNS = 20_000  # flow network nodes; membership patterns beyond it are refused, not dropped
+MAX_PATTERNS = 200_000  # patterns of several sources in the flow network; more are refused, not dropped
 
 
 @dataclass(frozen=True)
@@ -37,24 +39,36 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], mix: Mix, total: int | None = None) -> dict[str | None, float]:
-    """Each source's quota: its weight's share of all, at most ``max_passes`` times its size.
+def source_quotas(by_source: DataFrame, total: int, mix: Mix) -> DataFrame:
+    """(source, source_size, target): each source's quota: its weight's share of all, at most ``max_passes`` times its size.
 
-    ``total``: words of all documents, less than the sum of the sizes where sources overlap.
+    ``by_source``: source, source_size, a row each.  ``total``: words of all documents, less than the
+    sum of the sizes where sources overlap.  Weights follow the order of the sources, nulls last:
+    they are ranked by sorted ranges.  The share of a weight rises from step to step, as sources
+    that it fills are left aside, until it fills no more; a step sums two columns.
     """
-    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
-    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
-    left = (sum(sizes.values()) if total is None else total) * mix.share_percent / 100
-    out, open_ = {}, sorted(names, key=lambda s: mix.max_passes * sizes[s] / weight[s])
+    spark = by_source.sparkSession
+    ordered = by_source.withColumn("none", F.col("source").isNull()).repartitionByRange(partitions(spark), "none", "source").withColumn("part", F.spark_partition_id())
+    ordered = stored(ordered, "sources")
+    before, seen = [], 0
+    for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
+        before.append((r["part"], seen))
+        seen += r["n"]
+    own = ordered.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("none", "source")) - 1
+    weight = F.get(F.lit(list(mix.weights)), (rank % len(mix.weights)).cast("int"))
+    own = stored(own.select("source", "source_size", weight.cast("long").alias("weight")), "weights")
+    full = F.col("source_size") * mix.max_passes
+    ratio = full.cast("double") / F.col("weight")
+    words, weights, filled = total * mix.share_percent / 100, own.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0], -1
+    left, open_ = words, weights
     while open_:
-        s = open_[0]
-        if mix.max_passes * sizes[s] / weight[s] >= left / sum(weight[x] for x in open_):
+        r = own.filter(ratio < left / open_).agg(F.count("*").alias("n"), F.coalesce(F.sum(full), F.lit(0)).alias("full"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+        if r["n"] == filled:
             break
-        out[s] = float(mix.max_passes * sizes[s])
-        left -= out[s]
-        open_ = open_[1:]
-    total = sum(weight[x] for x in open_)
-    return out | {s: left * weight[s] / total for s in open_}
+        filled, left, open_ = r["n"], words - r["full"], weights - r["weight"]
+    target = full.cast("double") if not open_ else F.when(ratio < left / open_, full.cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(open_))
+    return own.select("source", "source_size", target.alias("target"))
 
 
 def route(patterns: dict[tuple, int], quotas: dict[str | None, float], passes: int) -> dict[tuple, int]:
@@ -129,26 +143,62 @@ def seeded_edges(docs: DataFrame, parts: DataFrame) -> DataFrame:
     edge = parts.withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(""))
     for digits in (3, 6):
         bucket = F.substring("key", 1, digits)
-        own = docs.join(F.broadcast(edge), "pattern").filter(F.col("key").startswith(F.col("prefix")))
+        own = docs.join(_small(edge), "pattern").filter(F.col("key").startswith(F.col("prefix")))
         sums = own.groupBy("pattern", bucket.alias("bucket"), "extra", "before").agg(F.sum("size").alias("words"))
         w = Window.partitionBy("pattern").orderBy("bucket")
         sums = sums.withColumn("until", F.col("before") + F.sum("words").over(w))
         # the bucket in which the sum passes extra, else the last one
         sums = sums.withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy((F.col("until") < F.col("extra")), F.when(F.col("until") < F.col("extra"), -F.col("until")).otherwise(F.col("until")), "bucket")))
         edge = stored(sums.filter("rank = 1").select("pattern", "extra", (F.col("until") - F.col("words")).alias("before"), F.col("bucket").alias("prefix")), "edge")
-    own = docs.join(F.broadcast(edge), "pattern").filter(F.col("key").startswith(F.col("prefix")))
-    w = Window.partitionBy("pattern").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumn("until", F.col("before") + F.sum("size").over(w))
+    own = docs.join(_small(edge), "pattern").filter(F.col("key").startswith(F.col("prefix")))
+    # rows of one key, such as those without an id, are one row here, however many they are
+    own = own.groupBy("pattern", "key", "extra", "before").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
+    w = Window.partitionBy("pattern").orderBy("key")
+    own = own.withColumn("until", F.col("before") + F.sum("words").over(w))
     last = own.filter(F.col("until") * 2 - F.col("size") <= F.col("extra") * 2).groupBy("pattern").agg(F.max("key").alias("edge"))
     return edge.select("pattern", "prefix").join(last, "pattern", "left").select("pattern", F.coalesce("edge", "prefix").alias("edge"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits(df) else df
+
+
+def pattern_plan(patterns: DataFrame, mix: Mix) -> DataFrame:
+    """(pattern, source_size, target, passes, extra): how often each pattern's documents are taken, and how many words once more.
+
+    ``patterns``: pattern, sources, size, a row each.
+    """
+    spark = patterns.sparkSession
+    total = patterns.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    by_source = patterns.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    quotas = stored(source_quotas(by_source, total, mix), "quotas")
+    first = patterns.withColumn("source", F.col("sources")[0]).withColumn("many", F.size("sources"))
+    own = first.join(quotas.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("many") > 0), "left")
+    flow = F.when(F.col("many") > 0, F.least(F.col("size") * mix.max_passes, F.floor("target").cast("long"))).otherwise(0)
+    shared = patterns.filter(F.size("sources") > 1)
+    if not shared.isEmpty():
+        found = shared.limit(MAX_PATTERNS + 1).collect()
+        if len(found) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} patterns of several sources: aggregate sources first")
+        met = spark.createDataFrame([(x,) for x in {x for r in found for x in r["sources"]}], "_met string")
+        mine = quotas.join(F.broadcast(met), F.col("source").eqNullSafe(F.col("_met"))).collect()  # sources of the patterns found
+        alone = patterns.filter(F.size("sources") == 1).withColumn("source", F.col("sources")[0]).join(F.broadcast(met), F.col("source").eqNullSafe(F.col("_met"))).collect()
+        routed = route({tuple(r["sources"]): r["size"] for r in [*found, *alone]}, {r["source"]: r["target"] for r in mine}, mix.max_passes)
+        rows = [(r["pattern"], routed[tuple(r["sources"])]) for r in [*found, *alone]]
+        own = own.join(_small(spark.createDataFrame(rows, "pattern string, routed long")), "pattern", "left")
+        flow = F.coalesce("routed", flow)
+    own = own.withColumn("flow", flow)
+    passes = F.when(F.col("size") > 0, F.least(F.lit(mix.max_passes), F.floor(F.col("flow") / F.col("size")))).otherwise(0).cast("long")
+    return own.select("pattern", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), passes.alias("passes"), (F.col("flow") - passes * F.col("size")).cast("long").alias("extra"))
+
+
 def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, pattern, size, source_size, target, taken) of every document; ``sources``: its sources as an array.
 
     Sizes are words; null and blank texts have size 0 and are taken with 0 words.  A null source
-    is a source of its own.  Rows with equal doc_id have equal keys and are taken or left
-    together; empty tables give empty results.  source_size and target are those of the
+    is a source of its own.  Rows with equal doc_id, or without one, have equal keys and are taken or
+    left together, so a source of such rows may miss its target by their words; empty tables give
+    empty results.  source_size and target are those of the
     document's first source in code-point order.  Further columns are left aside.
     """
     spark = docs.sparkSession
@@ -157,25 +207,10 @@ def mixed(docs: DataFrame, sources: Column, mix: Mix = Mix()) -> DataFrame:
     key = F.md5(F.concat(F.lit(mix.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     each = each.withColumn("pattern", F.to_json(F.struct("sources"), {"ignoreNullFields": "false"})).withColumn("key", key)
     each = stored(each, "sizes")
-    found = each.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: aggregate sources first")
-    patterns = {tuple(r["sources"]): r["size"] for r in found}
-    sizes: dict[str | None, int] = {}
-    for p, size in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + size
-    quotas = targets(sizes, mix, sum(patterns.values()))
-    flow = route(patterns, quotas, mix.max_passes)
-    rows = []
-    for r in found:
-        p, size = tuple(r["sources"]), r["size"]
-        taken = flow[p]
-        passes = min(mix.max_passes, taken // size) if size else 0
-        rows.append((r["pattern"], sizes[p[0]] if p else 0, quotas[p[0]] if p else 0.0, int(passes), int(taken - passes * size)))
-    plan = spark.createDataFrame(rows, "pattern string, source_size long, target double, passes long, extra long")
+    patterns = stored(each.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")), "patterns")
+    plan = stored(pattern_plan(patterns, mix), "plan")
     edges = seeded_edges(each.select("pattern", "size", "key"), plan.filter("extra > 0").select("pattern", "extra"))
-    plan = F.broadcast(plan.join(F.broadcast(edges), "pattern", "left"))
+    plan = _small(stored(plan.join(_small(edges), "pattern", "left"), "taken_of"))
     out = each.join(plan, "pattern")
     more = F.when(F.col("edge").isNotNull() & (F.col("key") <= F.col("edge")), 1).otherwise(0)
     return out.select("doc_id", "pattern", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).cast("long").alias("taken"))

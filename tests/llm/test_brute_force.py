@@ -317,6 +317,23 @@ def test_chaining_equals_quadratic():
             assert all(xs[a] < xs[b] and ys[a] < ys[b] for a, b in zip(c, c[1:]))
 
 
+def filled_targets(sizes, mix, total=None):
+    """Sources filled one after the other, the one that fills first first."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
+    left = (sum(sizes.values()) if total is None else total) * mix.share_percent / 100
+    out, open_ = {}, sorted(names, key=lambda s: mix.max_passes * sizes[s] / weight[s])
+    while open_:
+        s = open_[0]
+        if mix.max_passes * sizes[s] / weight[s] >= left / sum(weight[x] for x in open_):
+            break
+        out[s] = float(mix.max_passes * sizes[s])
+        left -= out[s]
+        open_ = open_[1:]
+    total = sum(weight[x] for x in open_)
+    return out | {s: left * weight[s] / total for s in open_}
+
+
 def test_mixing(spark, docs, empty):
     from pyspark.sql import functions as F
 
@@ -325,7 +342,7 @@ def test_mixing(spark, docs, empty):
     rows = docs.collect()
     for r in rows:
         sizes[r["source"]] += len((r["text"] or "").encode().split())
-    want = mixing.targets(dict(sizes), mixing.Mix())
+    want = filled_targets(dict(sizes), mixing.Mix())
     assert abs(sum(want.values()) - 1.5 * sum(sizes.values())) < 1e-6
     source = {r["doc_id"]: r["source"] for r in rows}
     taken = defaultdict(int)
