@@ -1,6 +1,7 @@
 """HTML extraction with a tree-structured graphical model (operator 4).
 
-Each block-level element is a node with a hidden label, content or not.  Its features give it a
+Each block-level element, and each inline one that carries a name or is hidden, is a node with a
+hidden label, content or not.  Its features give it a
 potential of its own, and a table of label pairs ties it to its parent.  Sum-product messages go
 from the leaves to the root and back, which gives every node's exact content marginal; text
 directly inside nodes above one half is the page's main text.
@@ -16,7 +17,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,7 +30,10 @@ NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTES = re.compile(r"(?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
 #: what lies in these is not text of the page
 RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")}
-NAMED = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"(?<![\w-])(class|id|role|data-label|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BARE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,14 +89,16 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         yield start, at, bool(head[1]), name, attributes
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order, and the text runs: (node, text); a run of node -1 is a break.
+def parse(page: str, own: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Nodes in page order, and the text runs: (node, text); a run of node -1 is a break.
 
-    Node 0 holds the page, node 1 is its body, there or not.
+    Node 0 holds the page, node 1 is its body, there or not.  ``own``: a page of the module's set,
+    whose data-label says what a part is; elsewhere that attribute may mean anything.
     """
     nodes, runs = [Node("#root", -1), Node("body", 0, ["tag=body"])], []
     stack, links, at = [0, 1], 0, 0
     open_: Counter = Counter()
+    inline: dict[str, list[bool]] = {}  # of the open inline elements of each tag, which are nodes
 
     def text(raw: str) -> None:
         if raw:
@@ -104,6 +110,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 node.linked += n
 
+    def opened(tag: str, names: list[str], label: str) -> None:
+        nodes.append(Node(tag, stack[-1], [f"tag={tag}", *(f"name={n}" for n in names)], label=label))
+        open_[tag] += 1
+        stack.append(len(nodes) - 1)
+
+    def closed(tag: str) -> None:
+        if open_[tag]:
+            while nodes[stack[-1]].tag != tag:
+                open_[nodes[stack.pop()].tag] -= 1
+            open_[nodes[stack.pop()].tag] -= 1
+
     for start, end, closing, tag, attributes in tags(page):
         text(page[at:start])
         at = end
@@ -112,42 +129,62 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
+            if tag in VOID:
+                continue
+            if closing:
+                if inline.get(tag) and inline[tag].pop():
+                    closed(tag)
+            else:
+                names, label = _names(attributes, own)
+                inline.setdefault(tag, []).append(bool(names or label))
+                if names or label:
+                    opened(tag, names, label)
             continue
         runs.append((-1, ""))
         if tag == "body" and not closing:
-            names, nodes[1].label = _names(attributes)
+            names, nodes[1].label = _names(attributes, own)
             nodes[1].features += [f"name={n}" for n in names]
         if tag in VOID or tag in ("html", "head", "body"):
             continue
         links = 0
         if closing:
-            if open_[tag]:
-                while nodes[stack[-1]].tag != tag:
-                    open_[nodes[stack.pop()].tag] -= 1
-                open_[nodes[stack.pop()].tag] -= 1
+            closed(tag)
             continue
-        if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-            open_[nodes[stack.pop()].tag] -= 1
+        if tag in CLOSES_P and open_["p"] and nodes[block := _block(nodes, stack)].tag == "p":
+            while stack[-1] != block:
+                open_[nodes[stack.pop()].tag] -= 1
+            closed("p")
         if tag in SAME_CLOSES and nodes[stack[-1]].tag in SAME_CLOSES[tag].split():
             open_[nodes[stack.pop()].tag] -= 1
-        names, label = _names(attributes)
-        nodes.append(Node(tag, stack[-1], [f"tag={tag}", *(f"name={n}" for n in names)], label=label))
-        open_[tag] += 1
-        stack.append(len(nodes) - 1)
+        opened(tag, *_names(attributes, own))
     text(page[at:])
     return nodes, runs
 
 
-def _names(attrs: str) -> tuple[list[str], str]:
-    """Lower-cased word parts of class, id and role; the value of data-label."""
-    if "=" not in attrs:
-        return [], ""
+def _block(nodes: list[Node], stack: list[int]) -> int:
+    """The innermost open element that is not inline."""
+    i = len(stack) - 1
+    while nodes[stack[i]].tag in INLINE:
+        i -= 1
+    return stack[i]
+
+
+def _names(attrs: str, own: bool = False) -> tuple[list[str], str]:
+    """Lower-cased word parts of class, id and role, a sign of its own for what is hidden; the value of data-label in a page of the module's set."""
     names, label = [], ""
-    for key, a, b, c in NAMED.findall(attrs):
-        if key.lower() == "data-label":
-            label = a or b or c
-        else:
-            names += [x.lower() for x in LETTERS.findall(a or b or c)]
+    if "=" in attrs:
+        for key, a, b, c in NAMED.findall(attrs):
+            key, value = key.lower(), a or b or c
+            if key == "data-label":
+                label = value if own else ""
+            elif key == "style":
+                names += ["-hidden"] * bool(INVISIBLE.search(value))
+            elif key == "aria-hidden":
+                names += ["-hidden"] * (value.lower() == "true")
+            else:
+                names += [x.lower() for x in LETTERS.findall(value)]
+    if "idden" in attrs.lower() and BARE.search(QUOTED.sub('""', attrs)):
+        names.append("-hidden")
     return sorted(set(names)), label
 
 
@@ -182,10 +219,17 @@ def _in_part(nodes: list[Node]) -> list[bool]:
 
 @dataclass
 class Model:
-    """Log potentials; index 1 is content."""
+    """Log potentials; index 1 is content.
+
+    ``pair``: of parent and child, one table for children without a known name and one for those
+    with one, which more often are something else than their parent, such as an advert in an article.
+    """
 
     weight: dict[str, float]
-    pair: tuple[tuple[float, float], tuple[float, float]]
+    pair: Sequence[Sequence[Sequence[float]]]
+
+    def knows(self, node: Node) -> bool:
+        return any(f.startswith("name=") and f in self.weight for f in node.features)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability that each node is content."""
@@ -193,11 +237,12 @@ class Model:
         own = [0.0] * n
         for i in range(1, n):
             own[i] = max(-12.0, min(12.0, sum(self.weight.get(f, 0.0) for f in nodes[i].features)))
-        (a00, a01), (a10, a11) = ((math.exp(x) for x in row) for row in self.pair)
+        tables = [[math.exp(x) for row in table for x in row] for table in self.pair]
+        edge = [tables[self.knows(node)] for node in nodes]
         up0, up1 = [1.0] * n, [math.exp(x) for x in own]  # own potential times the children's messages
         to0, to1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
-            p = nodes[i].parent
+            p, (a00, a01, a10, a11) = nodes[i].parent, edge[i]
             m0, m1 = a00 * up0[i] + a01 * up1[i], a10 * up0[i] + a11 * up1[i]
             s = m0 + m1
             to0[i], to1[i] = m0 / s, m1 / s
@@ -210,7 +255,7 @@ class Model:
         down1[0] = 0.0  # the root holds the page, it is not content
         out = [0.0] * n
         for i in range(1, n):
-            p = nodes[i].parent
+            p, (a00, a01, a10, a11) = nodes[i].parent, edge[i]
             b0, b1 = down0[p] * up0[p] / max(to0[i], 1e-300), down1[p] * up1[p] / max(to1[i], 1e-300)
             d0, d1 = b0 * a00 + b1 * a10, b0 * a01 + b1 * a11
             s = d0 + d1 or 1.0
@@ -221,7 +266,7 @@ class Model:
 
 
 def labels(nodes: list[Node]) -> list[int] | None:
-    """Labels of a page that marks its parts (data-label), or its article by an element; else None."""
+    """Labels of a page that marks its parts (the module's set), or its article by an element; else None."""
     marked = any(n.label for n in nodes)
     if not marked and sum(n.tag == "article" for n in nodes) != 1:
         return None
@@ -239,17 +284,17 @@ def labels(nodes: list[Node]) -> list[int] | None:
     return out
 
 
-def count_page(page: str, counts: Counter) -> None:
-    nodes, _ = parse(page)
+def count_page(page: str, counts: Counter, own: bool = False) -> None:
+    nodes, _ = parse(page, own)
     add_shape(nodes)
-    own = labels(nodes)
-    if own is None:
+    content = labels(nodes)
+    if content is None:
         return
     for i in range(1, len(nodes)):
-        counts[f"pair={own[nodes[i].parent]}", own[i]] += 1
-        counts["all", own[i]] += 1
+        counts[f"pair={content[nodes[i].parent]}{'named' * any(f.startswith('name=') for f in nodes[i].features)}", content[i]] += 1
+        counts["all", content[i]] += 1
         for f in set(nodes[i].features):
-            counts[f, own[i]] += 1
+            counts[f, content[i]] += 1
 
 
 def fitted(counts: dict[tuple[str, int], float], least: float = 0.05, share: float = 0.6) -> Model:
@@ -266,10 +311,10 @@ def fitted(counts: dict[tuple[str, int], float], least: float = 0.05, share: flo
             if not f.startswith("name=") and min(counts.get((f, k), 0) for k in (0, 1)) > 0:
                 weight[f] *= share
     pair = []
-    for k in (0, 1):
-        c = [counts.get((f"pair={k}", j), 0) + 1.0 for j in (0, 1)]
-        pair.append(tuple(math.log(x / sum(c)) for x in c))
-    return Model(weight, tuple(pair))
+    for kind in ("", "named"):
+        seen = [[counts.get((f"pair={k}{kind}", j), 0) + 1.0 for j in (0, 1)] for k in (0, 1)]
+        pair.append([[math.log(x / sum(c)) for x in c] for c in seen])
+    return Model(weight, pair)
 
 
 def main_text(page: str, model: Model) -> str:
@@ -286,10 +331,13 @@ def main_text(page: str, model: Model) -> str:
 
 
 def trained(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
-    """Model from the labelled set and about ``most`` of the pages at most, chosen by a hash of page_id."""
+    """Model from the labelled set and about ``most`` of the pages at most, chosen by a hash of the whole row.
+
+    Rows alike are chosen all or none, and each counts as one page at most.
+    """
     total = pages.count()
     every = max(1, -(-total // most))
-    sample = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).filter("html is not null")
+    sample = pages.filter(F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(every)) == 0).filter("html is not null").select("html").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -303,7 +351,7 @@ def trained(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
     rows = sample.select("html").mapInArrow(run, "feature string, label int, n bigint").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     counts: Counter = Counter()
     for page in LABELLED:
-        count_page(page, counts)
+        count_page(page, counts, own=True)
     own = sum(counts["all", k] for k in (0, 1))
     seen = sum(r["n"] for r in rows if r["feature"] == "all")
     scale = min(1.0, 0.25 * own / seen) if seen else 0.0  # the table's pages, much alike, weigh a quarter of the labelled set
@@ -361,4 +409,7 @@ LABELLED = (
     f'<body><div id="main" data-label="content"><p>{_WORDS}</p><p>{_WORDS * 2}</p></div><aside><div><p>{_WORDS}</p><p>{_WORDS}</p></div></aside><footer><div><p>{_WORDS}</p><p>{_SHORT}</p></div></footer></body>',
     f'<body><nav><div><ul>{_MENU}</ul><p>{_SHORT}</p></div></nav><div data-label="content"><h1>Title of it</h1><p>{_WORDS * 2}</p><p>{_WORDS}</p></div><aside><div><h3>{_SHORT}</h3><p>{_WORDS}</p><div><p>{_WORDS}</p></div></div></aside><section class="comments"><div><p>{_WORDS}</p></div><div><p>{_SHORT}</p><p>{_WORDS}</p></div></section></body>',
     f'<body><header><div><p>{_WORDS}</p></div></header><div class="story" data-label="content"><div><p>{_WORDS}</p><p>{_WORDS}</p></div></div><form><div><p>{_WORDS}</p><p>{_WORDS}</p></div></form><div class="sidebar"><div><p>{_WORDS}</p></div></div><div class="ad"><div><p>{_WORDS}</p></div></div></body>',
+    f'<body><nav class="nav"><ul>{_MENU}</ul></nav><article data-label="content"><h1>Title of it</h1><p>{_WORDS} <a class="link external" href="/x">{_SHORT}</a> <span class="highlight term">river</span> {_SHORT}</p><p>{_WORDS} <a class="ref" href="/y">rain</a> <em class="stress">month</em></p><ul><li><a href="/1">{_WORDS}</a></li><li><a href="/2">{_WORDS}</a></li></ul><p><a href="/3">{_WORDS}</a></p><p>{_WORDS} <span class="ad advert sponsored" data-label="no">{_SHORT}</span></p><span class="ad promo" data-label="no">{_SHORT}</span></article><footer>{_SHORT}</footer></body>',
+    f'<body><article data-label="content"><p>{_WORDS}</p><div hidden data-label="no">{_WORDS}</div><p>{_WORDS}</p><p style="display:none" data-label="no">{_SHORT}</p><div aria-hidden="true" data-label="no"><p>{_WORDS}</p></div><p>{_SHORT} <span hidden data-label="no">{_SHORT}</span></p><ol><li><a href="/1">{_SHORT}</a></li><li><a href="/2">{_SHORT} {_SHORT}</a></li></ol><p>{_WORDS}</p></article><div class="menu"><ul>{_MENU}</ul></div></body>',
+    f'<body><div class="menu side"><a class="item link" href="/">home</a> <a class="item link" href="/b">news</a> <span class="badge label">new</span></div><main data-label="content"><p>{_WORDS} <a id="fn" href="/z">{_SHORT}</a></p><p><strong class="lead">{_WORDS}</strong></p><ul><li><a href="/1">{_WORDS}</a></li><li><a class="source" href="/2">{_SHORT}</a></li></ul></main><aside><ul><li><a class="item" href="/q">{_SHORT}</a></li></ul></aside></body>',
 )
