@@ -14,9 +14,10 @@ keeps its links as numbers into its own pairs.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from ._packed import pack_ints, unpack_ints
 from ._store import Scratch, partitions, stored
 
-UNIT_BYTES = 12_000_000
+UNIT_BYTES = 8_000_000
 CHUNK_BYTES = 1_000_000
+KEPT_PARTS = 300_000  # parts of texts whose ids a worker process keeps
 HALF = 1 << 32  # a pair is one number: A's id in the high half, B's in the low one
 SIDES = ("a", "b")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -57,6 +59,56 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def cut_at_spaces(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin that a byte-level tokenizer encodes by themselves.
+
+    ``starts``: where each text begins.  A text is cut before a lone space between two signs that
+    are no white space: the pattern that cuts text into words takes a space with what follows it,
+    and nothing else crosses such a place.  Signs are told by bytes, so only ASCII and the letters
+    of Latin-1 count as no white space; elsewhere parts are longer.
+    """
+    at = np.flatnonzero(data[2:-1] == 0x20) + 2
+    plain = (data > 0x20) & (data < 0x7F)
+    before = plain[at - 1] | (data[at - 2] == 0xC3) & (data[at - 1] >= 0x80)
+    after = plain[at + 1] | (data[at + 1] == 0xC3)
+    begins = np.zeros(len(data), bool)
+    begins[starts] = begins[at[before & after]] = True
+    return np.flatnonzero(begins)
+
+
+@dataclass
+class ByteLevel:
+    """A byte-level tokenizer that encodes each distinct part of texts once and keeps some of them."""
+
+    tokenizer: object
+    parts: bool  # whether it cuts text in the usual way
+    kept: dict[bytes, bytes] = field(default_factory=dict)
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        if not self.parts:
+            return pa.array([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], pa.list_(pa.int32()))
+        raw = pa.array(texts).cast(pa.binary())
+        edges = np.frombuffer(raw.buffers()[1], np.int32)[: len(texts) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[: edges[-1]]
+        starts = cut_at_spaces(data, edges[:-1]) if len(data) > 3 else edges[:-1]
+        where = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, where, pa.py_buffer(data)]).dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        new = [v for v in values if v not in self.kept]
+        if len(self.kept) + len(new) > KEPT_PARTS:
+            self.kept, new = {}, values
+        for first in range(0, len(new), 1000):
+            some = new[first : first + 1000]
+            for v, e in zip(some, self.tokenizer.encode_batch_fast([v.decode() for v in some], add_special_tokens=False), strict=True):
+                self.kept[v] = np.array(e.ids, np.int32).tobytes()
+        own = [self.kept[v] for v in values]
+        ends = np.cumsum([0, *map(len, own)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(own), np.int32)))
+        counts = np.diff(ends)[coded.indices.to_numpy()]
+        of_text = np.append(0, np.cumsum(counts))[np.searchsorted(starts, edges)]
+        return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pc.list_flatten(pc.take(lists, coded.indices)))
+
+
 @lru_cache(maxsize=2)
 def byte_level(path: str):  # noqa: ANN201
     """(encoder, Side) of a byte-level tokenizer file; marks inside texts are plain text."""
@@ -69,7 +121,10 @@ def byte_level(path: str):  # noqa: ANN201
     values = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         values[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], Side.of(values)
+    form = json.loads(tokenizer.to_str())
+    cut = form.get("pre_tokenizer") or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not form.get("normalizer") and all(t["special"] for t in form.get("added_tokens", []))
+    return ByteLevel(tokenizer, bool(usual)).encode, Side.of(values)
 
 
 @lru_cache(maxsize=2)
@@ -80,12 +135,12 @@ def sentence_piece(path: str):  # noqa: ANN201
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     values = [bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-    return lambda texts: model.encode(texts, num_threads=1), Side.of(values)
+    return lambda texts: pa.array(model.encode(texts, num_threads=1), pa.list_(pa.int32())), Side.of(values)
 
 
 def _encoded(encode, side: Side, texts: list[str], wanted: list[bytes]) -> tuple[pa.ListArray, np.ndarray]:  # noqa: ANN001
     """Id lists of the texts, and which of them stand for the wanted bytes."""
-    lists = pa.array(encode(texts), pa.list_(pa.int32()))
+    lists = encode(texts)
     joined = pc.take(side.token_bytes, lists.values)
     raw = joined.buffers()[2]
     raw = raw.to_pybytes() if raw is not None else b""

@@ -224,3 +224,16 @@ def test_alignment(spark, docs, empty, monkeypatch, unit_bytes):
     assert {(r["a_id"], r["b_id"]): (r["n"], r["best"]) for r in got.pairs.collect()} == {p: (k, k == most[p[1]]) for p, k in n.items()}
     none = alignment.align_tokenizers(empty, A_FILE, B_FILE)
     assert none.documents.count() == none.pairs.count() == 0
+
+
+def test_parts_are_encoded_like_whole_texts():
+    """Texts cut at lone spaces, with white space of all kinds around them."""
+    r = random.Random(11)
+    signs = ["a", "Wort", "é", "ß", "日本", "1", "22", "'s", "'", ".", "...", " ", " ", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x00", "😀", "_", "<|endoftext|>"]
+    own = ["".join(r.choices(signs, k=r.randint(1, 40))) for _ in range(3000)] + ["a", "", " ", "a b"]
+    encode, _ = alignment.byte_level(A_FILE)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(A_FILE)
+    whole.encode_special_tokens = True
+    assert encode([" " + t for t in own]).to_pylist() == [e.ids for e in whole.encode_batch([" " + t for t in own], add_special_tokens=False)]
