@@ -7,6 +7,9 @@ bytes; the data bytes.  Ids are ranks by frequency
 over the whole corpus, so frequent tokens take one byte.  Blocks lie one after the other, each
 closed by a newline, in files named in the order of their doc_ids.
 
+A folder of token ids holds those files under ``ids`` and, under ``ranks``, a Parquet table with the
+id of each rank, so that it can be read without anything else.
+
 Spark's text writer puts the blocks into files, and its binaryFile reader brings them back, so the
 format works in any store that Spark can use, with its commit protocol for lost executors.
 """
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._store import Scratch, new_path, stored
@@ -290,19 +294,32 @@ def blocks(raw: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         at += size + 1  # the writer's newline
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> np.ndarray:
-    """Writes the ids of all documents in ascending doc_id order; returns the id of each rank.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> None:
+    """Writes the ids of all documents in ascending doc_id order, and the table of their ranks.
 
-    Null texts count as empty: their only id is the end.  Null doc_ids come first.  Rows that
-    repeat a doc_id (or have none) are written one after the other, in the order of a hash of
-    their ids, which also deals them out, so that many of them do not meet in one file.  An empty
-    table gives no blocks.
+    The format holds doc_ids as 64-bit numbers; a table with others is refused.  Null texts count
+    as empty: their only id is the end.  Null doc_ids come first.  Rows that repeat a doc_id (or
+    have none) are written one after the other, in the order of a hash of their ids, which also
+    deals them out, so that many of them do not meet in one file.  An empty table gives no blocks.
     """
+    id_type = docs.schema["doc_id"].dataType
+    if not isinstance(id_type, T.IntegralType):
+        raise ValueError(f"doc_id must be a whole number to be stored in token files, not {id_type.simpleString()}")
     vocabulary = max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1)
     kind = "<u4" if _tokenizer(tokenizer).get_vocab_size() > 1 << 16 else "<u2"
-    scratch = Scratch(docs.sparkSession, "encoded")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "encoded")
+    try:
+        _write_blocks(docs, scratch, path, tokenizer, end_id, vocabulary, kind, file_ids)
+    finally:
+        scratch.remove()
+
+
+def _write_blocks(docs: DataFrame, scratch: Scratch, path: str, tokenizer: str, end_id: int, vocabulary: int, kind: str, file_ids: int) -> None:
     ids = scratch.stored(encoded(docs, tokenizer, end_id).withColumn("tie", F.xxhash64("ids")), "ids")
     rank_of, id_of = ranks(id_counts(ids, vocabulary), vocabulary)
+    table = pa.table({"rank": pa.array(np.arange(vocabulary)), "id": pa.array(id_of.astype(np.int64))})
+    docs.sparkSession.createDataFrame(table).coalesce(1).write.parquet(f"{path}/ranks")  # a row an id of the vocabulary
     total = ids.agg(F.sum("n_tokens")).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,18 +342,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_i
 
     files = max(1, -(-total // file_ids))
     dealt = ids.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.text(path)
-    scratch.remove()
-    return id_of
+    dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.text(f"{path}/ids")
 
 
-def read_tokens(spark: SparkSession, path: str, id_of: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``.
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the folder at ``path``, from its files alone.
 
     ``start`` counts the ids of all documents before it: files follow one another by name, as
     Spark names them by partition.  A folder without blocks gives an empty result.
     """
 
+    table = spark.read.parquet(f"{path}/ranks").toArrow()  # a row an id of the vocabulary
+    id_of = np.zeros(table.num_rows, np.uint32)
+    id_of[table["rank"].to_numpy()] = table["id"].to_numpy()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -349,7 +368,7 @@ def read_tokens(spark: SparkSession, path: str, id_of: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), docs, pa.array(starts + seen), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
                     seen += len(values)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.substring_index("path", "/", -1).alias("path"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").select(F.substring_index("path", "/", -1).alias("path"), "content")
     each = stored(files.mapInArrow(run, "file string, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"), "read")
     sizes = each.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row a file
     before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
@@ -362,10 +381,11 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that its ids are written to.
 
     Null and empty texts have the end id only; very long texts are encoded whole.  Null doc_ids
-    come before all others, rows that repeat a doc_id come back once each.  An empty table gives
+    come before all others, rows that repeat a doc_id come back once each.  A doc_id that is no whole
+    number is refused (ValueError).  An empty table gives
     an empty result; further columns are left aside.
     """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    id_of = write_tokens(docs, path, tokenizer, end_id)
-    return read_tokens(spark, path, id_of)
+    write_tokens(docs, path, tokenizer, end_id)
+    return read_tokens(spark, path)
