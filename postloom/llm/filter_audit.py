@@ -193,7 +193,7 @@ def filter_masks(docs: DataFrame, scratch: Scratch, limits: Limits = Limits()) -
     texts = rows.filter("text is not null").select("grp", "text", "size", "least")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = max(partitions(docs.sparkSession), -(-total // RANGE_BYTES))
-    first = scratch.stored(least_ids(with_prefix(texts, scratch, max(RANGE_BYTES // 4, total // (4 * ranges))), ranges), "least")
+    first = scratch.stored(least_ids(with_prefix(texts, scratch, total // (4 * ranges) + 1), ranges), "least")
     own = rows.select("grp", "doc_id", "part", "mask").join(first, "grp")
     copy = F.col("first_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("first_id") < F.col("doc_id")))
     return own.select("doc_id", "part", (F.col("mask") + F.when(copy, 1 << 4).otherwise(0)).alias("mask"))
