@@ -8,8 +8,7 @@ training documents predict the counts held out in the rest.  Scoring then uses t
 Counts cover all words and bigrams of all training documents.  Each piece of documents sends its
 distinct words and bigrams, with their counts, to slices by hash; a slice sums them over the
 corpus and answers every piece in the order in which it asked.  The piece then has all that its
-documents' scores need.  Words are told apart by 64 bits; bigrams by the slice and 40 bits, so that
-about one in a million shares its counts with another one.
+documents' scores need.  Words and bigrams are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from ._words import mix
 TRAIN, TUNE, HELD = 0, 1, 2
 END_HASH, BEGIN_HASH = np.uint64(0x0E11D), np.uint64(0x0BE6)
 SLICES_PER_PARTITION = 2  # keeps a slice's share of the bigrams small
-PAIR_BYTES = 5
+PAIR_BYTES = 8
 STEPS = 8  # likelihood ratios are told apart by eighths of a power of two when weights are learned
 COUNTS = ("word_train", "word_tune", "pair_train", "pair_tune")
 
