@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm._store import free_name, small_enough, stored
+from postloom.llm._store import fits, free_name, stored
 from postloom.llm.decontaminate import clean_documents
 from postloom.llm.jaccard import jaccard_components
 from postloom.llm.mixing import mix_documents
@@ -19,7 +19,11 @@ from postloom.llm.sharding import shard_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without boilerplate lines; n_chars follows the text."""
+    """Documents that pass the rules, without boilerplate lines; n_chars follows the text.
+
+    Null, empty and short texts fail.  Rows that repeat, share an id or have none are judged each by
+    itself, alike; a null source is a host of its own.  An empty table gives an empty one.
+    """
     return quality_filter(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -27,34 +31,50 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of linked documents: the one with the least doc_id.
 
     Rows without an id, or with one that repeats, are told apart by their text; an id goes before
-    none.  Of rows alike in both, one stays.  Texts without words link with nothing.
+    none.  Of rows alike in both, one stays.  Texts without words link with nothing, so all their
+    rows with ids of their own stay, as do null texts.  An empty table gives an empty one; columns
+    may be of any type.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("version"))
     linked = jaccard_components(docs.select(key.alias("doc_id"), "text"))
     seen = linked.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n"))
     odd = seen.filter("copy or n > 1").select(F.col("doc_id.doc_id").alias("odd_id"), F.col("doc_id.version").alias("odd_version"), "copy")
-    odd = small_enough(stored(odd, "copies"), 32)
+    odd = stored(odd, "copies")
+    odd = F.broadcast(odd) if fits(odd) else odd
     same = docs["doc_id"].eqNullSafe(odd["odd_id"]) & (F.xxhash64(docs["text"]) == odd["odd_version"])
     alone = docs.join(odd, same, "left_anti")
     repeats = docs.join(odd.filter("not copy"), same, "left_semi")
-    # rows that repeat may differ in other columns: the least of them stays
+    # rows that repeat may differ in other columns: the least of them, written as text, stays
     number = free_name(docs, "n")
-    by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])), "text")
     return alone.unionByName(repeats.withColumn(number, F.row_number().over(by)).filter(F.col(number) == 1).drop(number))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
+    """Documents that share no window with the benchmark.
+
+    Null and empty texts have no window and stay, rows without an id too; rows that repeat stay or
+    go together.  An empty table gives an empty one, an empty benchmark keeps all.
+    """
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights ask for, repeats included."""
+    """The documents that the target weights ask for, repeats included.
+
+    Texts without words, null ones too, are never taken.  Rows that share an id and source, or have
+    none, are taken equally often; a null source is a source of its own.  An empty table gives an
+    empty one.
+    """
     return mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their virtual slot and shard."""
+    """All documents with their virtual slot and shard.
+
+    A null text has no bytes; rows that share an id, or have none, are spread by their texts, rows
+    alike share a slot.  An empty table gives an empty one.
+    """
     return shard_documents(docs)
 
 
