@@ -101,7 +101,7 @@ def o5_legacy_order(spark: SparkSession, d: str) -> DataFrame:
 def t2_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The scans, a minute apart, as files through the stream; the kept places.  A tour's scans lie within the watermark."""
     source, out, mark = (new_path(spark, f"t2-{x}") for x in ("in", "out", "mark"))
-    rows = _resolved_scans(spark, d).select("scan_id", "tour_id", "resolved", "canonicalId", "lookupKey", "postcode", F.timestamp_seconds(F.col("scan_id") * 60).alias("ts"))
+    rows = _resolved_scans(spark, d).select("scan_id", "tour_id", "resolved", "canonicalId", "lookupKey", "postcode", F.timestamp_seconds(F.col("scan_id") * 60 + 1_700_000_000).alias("ts"))
     streams.write_as_it_comes(checkpointed(rows), source)
     kept = streams.deduped(streams.file_stream(spark, source, rows.schema, 1), "1 hour")
     streams.run_to_end(kept.select("tour_id", "place"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), mark)

@@ -99,7 +99,7 @@ def p25_error_messages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p26_make_points(spark: SparkSession, d: str) -> DataFrame:
     """A new point and a new item of every scan, with their defaults; every fifth is known to the index, every third has coordinates."""
-    own = _parsed(spark, d).join(V.scans(spark, d).select("scan_id", "mode", F.col("createdAt").alias("addedAt")), "scan_id")
+    own = _parsed(spark, d).drop("mode", "createdAt").join(V.scans(spark, d).select("scan_id", "mode", F.col("createdAt").alias("addedAt")), "scan_id")
     known, seen = F.col("scan_id") % 5 == 0, F.col("scan_id") % 3 == 0
     own = own.withColumn("canonicalId", F.when(known, F.concat(F.lit("index:node/"), F.col("scan_id").cast("string")))).withColumn("resolved", F.when(known, True))
     own = own.withColumn("lat", F.when(seen, 53.5)).withColumn("lng", F.when(seen, 13.5)).withColumn("createdAt", F.col("addedAt"))

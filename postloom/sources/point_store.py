@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .keyed import read_keyed, write_keyed
 
 GONE, VERSION = "_gone", "_version"
+FEW_ROWS = 20_000
 KEYS = T.StructType([T.StructField("value", T.StringType()), T.StructField("id", T.StringType())])
 
 
@@ -41,10 +42,11 @@ class Snapshot:
 class PointStore:
     """Points under ``root``.  ``lookups``: columns, besides the id, that points are found by.
 
-    ``fold``: deltas are folded into the base once they hold this share of its rows.
+    ``fold``: deltas are folded into the base once they hold this share of its rows, and FEW_ROWS at
+    least.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lookups: Sequence[str] = ("canonicalId", "matchKey"), buckets: int = 256, fold: float = 0.1) -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, lookups: Sequence[str] = ("canonicalId", "matchKey"), buckets: int = 64, fold: float = 0.1) -> None:
         self.spark, self.root, self.schema, self.lookups, self.buckets, self.fold = spark, root.rstrip("/"), schema, tuple(lookups), buckets, fold
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
@@ -178,7 +180,7 @@ class PointStore:
         n = self.spark.read.parquet(f"{self.root}/{name}").count()
         new = Snapshot(version, now.base, now.base_rows, (*now.deltas, name), now.delta_rows + n, tag or now.tag)
         self._publish(new)
-        return self.compact() if new.delta_rows > max(1000, self.fold * new.base_rows) else version
+        return self.compact() if new.delta_rows > max(FEW_ROWS, self.fold * new.base_rows) else version
 
     @staticmethod
     def _value_or_null(field: T.StructField) -> Column:

@@ -29,5 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+@cache
+def _session_dir(root: str, session: str) -> str:
+    return f"{root}/postloom-{session}-{uuid.uuid4().hex[:8]}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table, in a folder of this session that goes when the session's process ends."""
+    path = _session_dir(shared_dir(spark), spark.sparkContext.applicationId)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
