@@ -23,24 +23,30 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 class Scratch:
-    """Intermediate tables of one operator; ``close`` removes them once its result is stored."""
+    """Intermediate tables of one operator; ``close`` removes them once its result is stored.
+
+    Tables of buckets need names in the catalog: they stand in a database of their own, which goes too.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path, self.tables = spark, new_path(spark, name), []
+        self.spark, self.path, self.database = spark, new_path(spark, name), ""
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex[:8]}")
 
     def bucketed(self, df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
         """``df`` as a table of buckets: groups and joins by ``by`` read it without a shuffle."""
-        table = f"{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(buckets, by).option("path", f"{self.path}/{table}").option("compression", "zstd").saveAsTable(table)
-        self.tables.append(table)
+        if not self.database:
+            self.database = f"scratch_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}/{self.database}'")
+        table = f"{self.database}.{name}"
+        df.write.format("parquet").bucketBy(buckets, by).option("compression", "zstd").saveAsTable(table)
         return self.spark.table(table)
 
     def remove(self) -> None:
-        for table in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if self.database:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+            self.database = ""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._packed import Packed, binaries, by_piece, by_slice, key_bytes, keys_of, pack_ints, store_pieces, unpack_ints, unpacked
-from ._store import Scratch, partitions
+from ._store import Scratch, partitions, stored
 from ._words import mix
 
 TRAIN, TUNE, HELD = 0, 1, 2
@@ -221,8 +221,15 @@ def scored(docs: DataFrame, lm: Lm = Lm()) -> DataFrame:
     empty result, and a table without training documents scores by the uniform estimate.  Further
     columns are left aside.
     """
-    spark = docs.sparkSession
-    slices, scratch = SLICES_PER_PARTITION * partitions(spark), Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
+    try:
+        return stored(_scored(docs, lm, scratch), "scores")
+    finally:
+        scratch.remove()
+
+
+def _scored(docs: DataFrame, lm: Lm, scratch: Scratch) -> DataFrame:
+    slices = SLICES_PER_PARTITION * partitions(docs.sparkSession)
     pieces = store_pieces(docs, scratch)
     replies = scratch.stored(answers(asked(pieces, slices, lm)), "replies")
     total = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "train_tokens")]).first()
@@ -232,5 +239,4 @@ def scored(docs: DataFrame, lm: Lm = Lm()) -> DataFrame:
     if not tokens:
         weights[:] = (0.0, 0.0, 1.0)
     out = scores(pieces, replies, slices, lm, types, tokens, weights)
-    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    return scratch.close(out, "scores")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, partitions, small_enough
+from ._store import Scratch, partitions, small_enough, stored
 from ._words import Piece, by_text, mix, pieces, windows
 from .components import components
 
@@ -337,7 +337,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     three pairs are expected to be taken as equal.
     """
     spark = docs.sparkSession
-    slices, scratch = partitions(spark), Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard")
+    try:
+        return stored(_components(docs, words, percent, scratch), "components")
+    finally:
+        scratch.remove()
+
+
+def _components(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    slices = partitions(spark)
     own = scratch.stored(with_sets(docs, words, percent), "sets")
     dealt = with_signatures(docs, slices, words, percent).repartitionById(slices, F.col("slice"))
     shared = scratch.stored(shared_signatures(dealt), "shared")
@@ -389,4 +398,4 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = labelled.join(least, "component").select("cls", "component_id")
     out = own.join(named, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return scratch.close(out, "components")
+    return out
