@@ -15,6 +15,8 @@ DEVICE_WORDS = r"(q?\s*(search|suche)|stops|info(rmation)?|settings|einstellunge
 SENDER_WORDS = r"absender|abs\.?|retoure|r(ü|ue)cksende\w*|return(\s|-)?to|sender"
 RECIPIENT_WORDS = r"empf(ä|ae)nger|z\.?\s?h(d)?\.?|zu\s?h(ä|ae)nden|an:\s|herr(n)?|frau|familie|firma"
 LETTER = "a-zA-ZäöüÄÖÜß"
+# how a street's ending may be written, in order
+STREET_SPELLINGS = (("str$", "strasse"), ("stra(b|ss?)e$", "strasse"), (r"\s+strasse$", "strasse"))
 # (verdict, substrings) in order; the first that occurs decides
 ERROR_LADDER = (
     ("network", ("failed to fetch", "networkerror")),
@@ -47,9 +49,8 @@ def normalize_street(c: Column) -> Column:
     """The comparable form of a street name."""
     c = transliterate(trimmed(F.lower(c)))
     c = F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]+", " "), r"\s+", " "))
-    c = F.regexp_replace(c, "str$", "strasse")
-    c = F.regexp_replace(c, "stra(b|ss?)e$", "strasse")
-    c = F.regexp_replace(c, r"\s+strasse$", "strasse")
+    for written, meant in STREET_SPELLINGS:
+        c = F.regexp_replace(c, written, meant)
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 

@@ -22,6 +22,8 @@ def common_endings(known: DataFrame, least: int = 20, share: float = 0.01) -> di
     "strasse" is one, and neither "trasse" nor "rstrasse".
     """
     total = known.count()
+    if total * share < least:  # too few names for segments to be common
+        return {}
     own = known.select(F.explode(F.transform(F.sequence(F.lit(3), F.lit(10)), lambda n: F.when(F.char_length("known_norm") > n, F.substring("known_norm", -n, n)))).alias("ending"))
     found = own.filter("ending is not null").groupBy("ending").agg(F.count("*").alias("n")).filter(F.col("n") >= max(least, share * total)).collect()
     n = {r["ending"]: r["n"] for r in found}

@@ -12,7 +12,7 @@ from ..functions.text import normalize_city
 from .rounds import checkpointed
 
 PLACE = ["street_key", "pc", "cn"]
-FEW = 64  # a place of so many houses is compared whole, a larger one by cells
+FEW = 64  # a place of so many houses is compared in one row, a larger one by cells
 KM_PER_DEGREE = P.EARTH_KM * 3.141592653589793 / 180
 
 
@@ -54,26 +54,45 @@ def _distances(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(other, on).filter("house <> other").withColumn("d", haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))).drop("_lat", "_lng")
 
 
+def of_few_houses(records: DataFrame, houses: DataFrame) -> DataFrame:
+    """(id, nearest, median) of every record of a place with few houses: these stand in one row and are compared there."""
+    house = F.struct("house", "lat", "lng")
+    apart = lambda x, y: haversine_km(x["lat"], x["lng"], y["lat"], y["lng"])
+    others = lambda x: F.transform(F.filter("all", lambda y: y["house"] != x["house"]), lambda y: F.struct(apart(x, y).alias("d"), y["house"].alias("n")))
+    rows = houses.groupBy(*PLACE).agg(F.sort_array(F.collect_list(house)).alias("all"))
+    # each step behind a generator, which keeps the next one from repeating it
+    near = F.transform("all", lambda x: F.slice(F.sort_array(others(x)), 1, 2))
+    rows = rows.select(*PLACE, F.inline(F.array(F.struct("all", near.alias("near")))))
+
+    def median(x: Column) -> Column:
+        own = F.zip_with("all", "near", lambda y, two: F.when(y["house"] != x["house"], F.when(two[0]["n"] != x["house"], two[0]["d"]).otherwise(two[1]["d"])))
+        values = F.sort_array(F.filter(own, lambda d: d.isNotNull()))
+        n = F.size("all") - 1
+        # both middles at once: the values between them, one or two, by their mean
+        middles = F.slice(values, F.floor((n - 1) / 2).cast("int") + 1, F.floor(n / 2).cast("int") - F.floor((n - 1) / 2).cast("int") + 1)
+        return F.aggregate(middles, F.lit(0.0), lambda a, d: a + d, lambda a: a / (F.floor(n / 2) - F.floor((n - 1) / 2) + 1))
+
+    rows = rows.select(*PLACE, F.inline(F.array(F.struct("all", F.transform("all", median).alias("medians")))))
+    own = records.select("id", *PLACE, "house", "lat", "lng").join(rows, PLACE)
+    distances = F.transform(F.filter("all", lambda y: y["house"] != F.col("house")), lambda y: haversine_km(F.col("lat"), F.col("lng"), y["lat"], y["lng"]))
+    at = F.array_position(F.transform("all", lambda y: y["house"]), F.col("house")).cast("int")
+    return own.select("id", F.array_min(distances).alias("nearest"), F.element_at("medians", at).alias("median"))
+
+
 def two_nearest(records: DataFrame, houses: DataFrame) -> DataFrame:
     """(id, d1, n1, d2) of every record: its two nearest other houses of its place.
 
-    Places of few houses are compared whole.  In the others, cells of a size that fits the place
-    meet their eight neighbours, which is final for whatever has two houses within one cell's
-    width; what has not goes on with cells four times as wide, until they span the place.
+    Cells of a size that fits the place meet their eight neighbours, which is final for whatever
+    has two houses within one cell's width; what has not goes on with cells four times as wide,
+    until they span the place.
     """
-    size = houses.groupBy(*PLACE).agg(F.first("m").alias("m"), *[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("lat", "lng")])
-    own = records.join(size, PLACE)
-    few = _two(_distances(own.filter(F.col("m") <= FEW), houses, PLACE), ["id"])
-    many = size.filter(F.col("m") > FEW)
-    if many.isEmpty():
-        return few
+    many = houses.groupBy(*PLACE).agg(F.first("m").alias("m"), *[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("lat", "lng")])
     # kilometres to degrees, on the safe side all over the place
     shrink = F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("lo_lat"), F.abs("hi_lat"))))) * 0.99
     height, width = (F.col("hi_lat") - F.col("lo_lat")) * KM_PER_DEGREE, (F.col("hi_lng") - F.col("lo_lng")) * KM_PER_DEGREE
     span = F.greatest(height, width, F.lit(0.02))
     many = checkpointed(many.select(*PLACE, shrink.alias("shrink"), (span * 1.02).alias("span"), F.greatest(F.lit(0.01), F.sqrt(F.greatest(height, F.lit(0.01)) * F.greatest(width, F.lit(0.01)) / F.col("m")) * 1.5).alias("cell")))
-    targets = houses.join(many.select(PLACE), PLACE, "left_semi")
-    open_, done = checkpointed(records.join(many.select(PLACE), PLACE, "left_semi")), [few]
+    targets, open_, done = houses, records, []
     across = lambda c, scale: F.floor(F.col(c) * KM_PER_DEGREE * scale / F.col("cell")).cast("long")
     while True:
         sized = lambda df: df.join(many, PLACE).withColumn("x", across("lat", F.lit(0.999))).withColumn("y", across("lng", F.col("shrink")))
@@ -123,30 +142,36 @@ def spacing_medians(nearest: DataFrame) -> DataFrame:
     return own.select(*PLACE, "house", ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"))
 
 
+def of_many_houses(records: DataFrame, houses: DataFrame) -> DataFrame:
+    """(id, nearest, median) of every record, by joins that grow with the records: no row, task or group of pairs holds a place."""
+    # houses stand in two_nearest as records of their own, named by place and house
+    as_records = houses.select(_house_id().alias("id"), *PLACE, "house", "lat", "lng")
+    near = checkpointed(two_nearest(checkpointed(records.select(as_records.columns).unionByName(as_records)), houses))
+    spaced = houses.select(*PLACE, "house", _house_id().alias("id")).join(near, "id").select(*PLACE, "house", "d1", "n1", "d2")
+    own = records.select("id", *PLACE, "house").join(near, "id").join(spacing_medians(spaced), [*PLACE, "house"])
+    return own.select("id", F.col("d1").alias("nearest"), "median")
+
+
 def outliers(gaz: DataFrame) -> DataFrame:
     """(id, suspicious, nearest_m, threshold_m): records far off the other houses of their street.
 
     Needs four other houses of the same street and locality; the nearest of them must be farther
     than 250 m and than five times the median of what they have between each other.  Spacings are
-    found once for each place, not for each record; work and rows grow with the records.
+    found once for each place, not for each record, in a row where a place has few houses and by
+    joins where it has many.
     """
     records = street_records(gaz)
-    houses = street_houses(records).filter(F.col("m") > P.OUTLIER_HOUSES)
-    houses = checkpointed(houses)
-    near = checkpointed(two_nearest(records.select("id", *PLACE, "house", "lat", "lng").join(houses.select(PLACE).distinct(), PLACE, "left_semi").unionByName(_as_records(houses)), houses))
-    # houses stand in two_nearest as records of their own, named by place and house
-    spaced = houses.select(*PLACE, "house", _house_id().alias("id")).join(near, "id").select(*PLACE, "house", "d1", "n1", "d2")
-    medians = spacing_medians(spaced)
-    own = records.select("id", *PLACE, "house").join(near, "id").join(medians, [*PLACE, "house"])
+    houses = checkpointed(street_houses(records).filter(F.col("m") > P.OUTLIER_HOUSES))
+    own = of_few_houses(records, houses.filter(F.col("m") <= FEW))
+    many = houses.filter(F.col("m") > FEW)
+    if not many.isEmpty():
+        own = own.unionByName(of_many_houses(records.join(many.select(PLACE).distinct(), PLACE, "left_semi"), many))
     threshold = F.greatest(F.lit(P.OUTLIER_KM), F.col("median") * P.OUTLIER_FACTOR)
     meters = lambda c: F.round(c * 1000).cast("long")
-    found = own.select("id", (F.col("d1") > threshold).alias("suspicious"), meters(F.col("d1")).alias("nearest_m"), meters(threshold).alias("threshold_m"))
+    found = own.select("id", (F.col("nearest") > threshold).alias("suspicious"), meters(F.col("nearest")).alias("nearest_m"), meters(threshold).alias("threshold_m"))
     return gaz.select("id").join(found, "id", "left").select("id", F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("nearest_m", F.lit(0)).alias("nearest_m"), F.coalesce("threshold_m", F.lit(0)).alias("threshold_m"))
 
 
 def _house_id() -> Column:
     return F.concat(F.lit("house:"), F.sha2(F.to_json(F.array(*PLACE, "house")), 256))
 
-
-def _as_records(houses: DataFrame) -> DataFrame:
-    return houses.select(_house_id().alias("id"), *PLACE, "house", "lat", "lng")

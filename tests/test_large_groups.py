@@ -91,7 +91,8 @@ def edits(a, b):
     return row[-1]
 
 
-def test_nearest_names_equal_brute_force(spark):
+@pytest.mark.parametrize("share", [0.01, 0.1])
+def test_nearest_names_equal_brute_force(spark, monkeypatch, share):
     r = random.Random(8)
     word = lambda n: "".join(r.choices("abcde", k=n))
     known = sorted({word(r.randint(1, 16)) + r.choice(["strasse", "weg", ""]) for _ in range(80)})
@@ -112,7 +113,8 @@ def test_nearest_names_equal_brute_force(spark):
             want[n] = {k for k in known if (edits(n, k), first[k]) == best}
     names_ = spark.createDataFrame(sorted(most.items()), "street_norm string, most int")
     table = spark.createDataFrame([(k, k, first[k]) for k in known], "known_norm string, known_street string, first_id string")
-    assert set(names.common_endings(table)[7]) == {"strasse"}
+    assert names.common_endings(table) == {} and names.common_endings(table, 1, 0.1)[7] == ["strasse"]
+    monkeypatch.setattr(names.common_endings, "__defaults__", (1, share))
     got = {x["street_norm"]: x["known_street"] for x in names.nearest_names(names_, table).collect()}
     assert set(got) == set(want) and all(got[n] in want[n] for n in got)
 
