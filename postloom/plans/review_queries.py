@@ -23,6 +23,9 @@ from .oracles import BASE_LAT, BASE_LNG, CACHE, CONFIDENCE, GAZ_ONLY, INSIDE, KE
 from .queries import AREA, _ordered, _parsed, _resolved_scans, query
 
 
+FOLDERS = 8  # of the stores that these queries make
+
+
 @query
 def g2_split_by_gap(spark: SparkSession, d: str) -> DataFrame:
     """All photos; every seventh has lost its positions and is split by postcodes."""
@@ -160,9 +163,9 @@ def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = V.scans(spark, d).select("scan_id", F.col("scan_id").alias("seq"), "raw", "createdAt")
     rows.repartitionByRange(4, "scan_id").write.parquet(source)
     known = _known(spark, d).limit(0)
-    sink = streams.commit(checkpointed(V.gazetteer(spark, d)), checkpointed(known), out)
+    sink = streams.commit(checkpointed(V.gazetteer(spark, d)), checkpointed(known), out, FOLDERS)
     streams.run_to_end(streams.file_stream(spark, source, rows.schema, 2), sink, mark)
-    return streams.committed(spark, out, known.schema)
+    return streams.committed(spark, out, known.schema, FOLDERS)
 
 
 @query
@@ -187,7 +190,7 @@ def t1_ingest_checks(spark: SparkSession, d: str) -> DataFrame:
 def s6_s7_point_store(spark: SparkSession, d: str) -> DataFrame:
     """Points written to a store, changed, deleted, merged and read again: by id, by canonicalId, whole, and as they were before."""
     own = V.points(spark, d).select("id", "canonicalId", "matchKey", "city", "createdAt")
-    store = PointStore(spark, new_path(spark, "store"), own.schema, buckets=16)
+    store = PointStore(spark, new_path(spark, "store"), own.schema, buckets=FOLDERS)
     first = store.write(own)
     k = F.pmod(F.length("id") + F.ascii(F.reverse("id")), F.lit(4))
     store.commit(put=own.filter(k == 0).withColumn("city", F.upper("city")))

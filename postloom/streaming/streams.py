@@ -92,7 +92,7 @@ def touched(scans: DataFrame, store: PointStore) -> DataFrame:
     return store.get(ids)
 
 
-def commit(gaz: DataFrame, start: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+def commit(gaz: DataFrame, start: DataFrame, folder: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A sink that parses and resolves each batch of scans and adds its items to the points.
 
     The points are a ``PointStore`` under ``folder``, which begins with ``start``.  A batch reads
@@ -100,13 +100,14 @@ def commit(gaz: DataFrame, start: DataFrame, folder: str) -> Callable[[DataFrame
     as they lie on disk.  ``placed/batch=i`` is written before that, and the commit carries the
     batch's number, so a batch that runs again after a failure overwrites what it left or, once
     committed, changes nothing.  The gazetteer is collapsed once, when the sink is made.  Scans:
-    scan_id, seq, raw, createdAt.
+    scan_id, seq, raw, createdAt.  ``buckets``: folders of the store and of the gazetteer, the same
+    for as long as the store lasts.
     """
     spark = gaz.sparkSession
-    store = PointStore(spark, f"{folder}/points", start.schema)
+    store = PointStore(spark, f"{folder}/points", start.schema, buckets=buckets)
     if not store.versions():
         store.write(start)
-    index = Index(gaz, f"{folder}/gazetteer-{uuid.uuid4().hex}")
+    index = Index(gaz, f"{folder}/gazetteer-{uuid.uuid4().hex}", buckets)
 
     def sink(batch: DataFrame, i: int) -> None:
         tag = store.snapshot().tag
@@ -121,9 +122,9 @@ def commit(gaz: DataFrame, start: DataFrame, folder: str) -> Callable[[DataFrame
     return sink
 
 
-def committed(spark: SparkSession, folder: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def committed(spark: SparkSession, folder: str, schema: T.StructType, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """(points, placed) after the last batch."""
-    return PointStore(spark, f"{folder}/points", schema).read(), spark.read.parquet(f"{folder}/placed").drop("batch")
+    return PointStore(spark, f"{folder}/points", schema, buckets=buckets).read(), spark.read.parquet(f"{folder}/placed").drop("batch")
 
 
 @dataclass(frozen=True)
