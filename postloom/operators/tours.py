@@ -72,7 +72,7 @@ def seed_tours(tours: DataFrame) -> DataFrame:
     return tours.withColumn("ord", F.aggregate(F.slice(nodes, 2, F.greatest(F.col("n") - 1, F.lit(0))), F.array(F.lit(0)), step))
 
 
-def _apart(edges: list[list[int]], n: int) -> list[int]:
+def _apart(edges: Sequence[list[int] | slice], n: int) -> list[int]:
     """Which of the moves, the best first, may be made together: no two of them touch one edge of the tour."""
     used, chosen = np.zeros(n, bool), []
     for i, own in enumerate(edges):
@@ -103,7 +103,7 @@ def reverse_moves(m: np.ndarray, order: np.ndarray) -> np.ndarray:
     rows, last = _best_per_row(gain)
     first = i[rows]
     out = order.copy()
-    for j in _apart([list(range(f - 1, e + 1)) for f, e in zip(first.tolist(), last.tolist(), strict=True)], n):
+    for j in _apart([slice(f - 1, e + 1) for f, e in zip(first.tolist(), last.tolist(), strict=True)], n):
         out[first[j] : last[j] + 1] = order[first[j] : last[j] + 1][::-1]
     return out
 
