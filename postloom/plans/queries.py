@@ -332,7 +332,7 @@ def r1_seed_tours(spark: SparkSession, d: str) -> DataFrame:
 def r5_plan_tours(spark: SparkSession, d: str) -> DataFrame:
     stops = routes.prepare_stops(V.points(spark, d))
     own = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG)
-    return own.groupBy("tour_id").agg(F.count_if(~F.col("skipped")).alias("n_stops"), F.count_if("skipped").alias("n_skipped"), F.round(F.max("meters")).cast("long").alias("meters"))
+    return own.groupBy("tour_id").agg(F.count_if(F.expr("not skipped")).alias("n_stops"), F.count_if("skipped").alias("n_skipped"), F.round(F.max("meters")).cast("long").alias("meters"))
 
 
 @query
