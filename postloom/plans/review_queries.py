@@ -141,7 +141,7 @@ def r5_tour_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of every planned tour: its stops once each, without gaps, those without coordinates skipped, no longer than the seed."""
     stops = checkpointed(V.points(spark, d).filter("not done").select("tour_id", "id", "lat", "lng", F.lit(False).alias("priority")))
     plan = tours.plan_tours(stops, V.BASE_LAT, V.BASE_LNG)
-    seed = tours.seed_tours(tours.matrices(tours.stop_pairs(stops.filter("lat is not null"), V.BASE_LAT, V.BASE_LNG))).select("tour_id", tours.tour_length(F.col("ord")).alias("seed"))
+    seed = tours.seeded(tours.straight_matrices(tours.stop_lists(stops.filter("lat is not null")), V.BASE_LAT, V.BASE_LNG)).select("tour_id", F.col("meters").alias("seed"))
     own = plan.groupBy("tour_id").agg(F.count_if(~F.col("skipped")).alias("n_stops"), F.count_if("skipped").alias("n_skipped"), F.countDistinct("id").alias("n_ids"), F.countDistinct("position").alias("n_places"), F.max("position").alias("last"), F.max("meters").alias("meters"))
     return own.join(seed, "tour_id").select("tour_id", "n_stops", "n_skipped", "n_ids", "n_places", "last", (F.col("meters") <= F.col("seed") + 0.001).alias("no_longer"))
 
@@ -150,11 +150,10 @@ def r5_tour_checks(spark: SparkSession, d: str) -> DataFrame:
 def w5_priority_reorder(spark: SparkSession, d: str) -> DataFrame:
     """The stops of every tour by id, then parcels ahead where that costs little: ids in order."""
     stops = V.points(spark, d).filter("lat is not null").select("tour_id", "id", "lat", "lng", "has_parcel")
-    own = tours.matrices(tours.stop_pairs(stops, V.BASE_LAT, V.BASE_LNG))
-    nodes = stops.groupBy("tour_id").agg(F.array_sort(F.collect_list(F.struct("id", "has_parcel"))).alias("s"))
-    own = own.join(nodes, "tour_id").withColumn("first", F.concat(F.array(F.lit(False)), F.transform("s", lambda x: x["has_parcel"]))).withColumn("ord", F.sequence(F.lit(0), F.col("n") - 1))
-    own = tours.priority_reorder(checkpointed(own))
-    return own.select("tour_id", F.array_join(F.transform(F.slice("ord", 2, F.col("n")), lambda i: F.get("s", i - 1)["id"]), ",").alias("ids"))
+    own = tours.stop_lists(stops, "has_parcel").withColumn("first", F.concat(F.array(F.lit(False)), F.transform("s", lambda x: x["has_parcel"]))).withColumn("ord", F.sequence(F.lit(0), F.col("n") - 1))
+    own = tours.straight_matrices(own, V.BASE_LAT, V.BASE_LNG).withColumn("s", F.transform("s", lambda x: x["id"]))
+    own = tours.priority_reorder(own)
+    return own.select("tour_id", F.array_join(F.transform(F.slice("ord", 2, F.col("n")), lambda i: F.get("s", i - 1)), ",").alias("ids"))
 
 
 def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
