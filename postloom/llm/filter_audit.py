@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, fits, partitions, stored
+from ._store import Scratch, partitions, stored
 from ._words import IS_POINT, by_text, pieces
 
 RANGE_BYTES = 32_000_000
@@ -138,21 +138,29 @@ def batch_groups(docs: DataFrame, limits: Limits) -> DataFrame:
 
 
 def with_prefix(texts: DataFrame, scratch: Scratch, quota: int) -> DataFrame:
-    """Adds prefix: FIRST_PREFIX signs, and four times as many wherever the texts of a prefix hold more bytes than ``quota``."""
+    """Adds prefix: FIRST_PREFIX signs, and four times as many wherever the texts of a prefix hold more bytes than ``quota``.
+
+    The heavy prefixes, of which a length has no more than quotas fit into all bytes, are told by
+    their hashes; two of one hash are both lengthened, so texts that are equal keep equal prefixes.
+    A length is counted among the texts under heavy prefixes only, and the texts are joined with nothing.
+    """
     length = FIRST_PREFIX
-    out = texts.withColumn("prefix", F.substring("text", 1, length))
-    deep = out
+    deep, steps = texts, []
     while True:
-        heavy = deep.groupBy("prefix").agg(F.sum("size").alias("held")).filter(F.col("held") > quota).select(F.col("prefix").alias("heavy"))
-        heavy = scratch.stored(heavy, "heavy")
-        if heavy.isEmpty():
-            return out
-        heavy = F.broadcast(heavy) if fits(heavy) else heavy
+        prefix = F.substring("text", 1, length)
+        held = deep.select(prefix.alias("prefix"), "size").groupBy("prefix").agg(F.sum("size").alias("held"))
+        heavy = [r[0] for r in held.filter(F.col("held") > quota).select(F.xxhash64("prefix")).collect()]
+        if not heavy:
+            break
+        under = F.xxhash64(prefix).isin(heavy)
+        steps.append((prefix, under))
+        # a text that ends within its prefix has no longer one
+        deep = deep.filter(under & (F.char_length("text") > length))
         length *= 4
-        longer = F.when(F.col("heavy").isNotNull(), F.substring("text", 1, length)).otherwise(F.col("prefix"))
-        out = out.join(heavy, F.col("prefix") == F.col("heavy"), "left").withColumn("prefix", longer)
-        deep = out.filter(F.col("heavy").isNotNull() & (F.char_length("prefix") > length // 4))
-        out, deep = out.drop("heavy"), deep.drop("heavy")
+    out = F.substring("text", 1, length)
+    for prefix, under in reversed(steps):
+        out = F.when(under, out).otherwise(prefix)
+    return texts.withColumn("prefix", out)
 
 
 def least_ids(texts: DataFrame, ranges: int) -> DataFrame:
