@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .neighbours import resolve_by_neighbours
+from .neighbours import choose_by_neighbours
 from .parse import parse_address
 from .points import dedupe_scans
-from .resolve import resolve
+from .resolve import collapse_geometry, once_among, place_candidates
 from .rounds import checkpointed
 
 
@@ -25,12 +25,12 @@ def accumulate_photos(blocks: DataFrame, gaz: DataFrame) -> DataFrame:
     own = blocks.select("tour_id", "photo_id", "block_no", "raw").withColumn("seq", F.row_number().over(order).cast("long"))
     own = own.withColumn("row_id", F.concat_ws("_", "tour_id", "seq"))
     own = checkpointed(parse_address(own))
-    found = checkpointed(resolve(own, gaz, "row_id"))
-    place = own.select("row_id", "tour_id", "seq")
-    sure = found.filter("outcome = 'resolved'").select("row_id", "lat", "lng", "record_id")
-    open_ = found.filter("outcome = 'ambiguous'").join(place, "row_id").select("tour_id", "seq", "record_id", "lat", "lng")
-    chosen = resolve_by_neighbours(place.join(sure, "row_id", "left").select("tour_id", "seq", "lat", "lng", "record_id"), open_)
-    name = found.groupBy("row_id").agg(F.max("canonicalId").alias("canonicalId"), F.bool_or(F.col("outcome") == "ambiguous").alias("open"))
+    pool = checkpointed(collapse_geometry(gaz))
+    found = checkpointed(once_among(own, pool, "row_id"))
+    ambiguous = F.col("outcome") == "ambiguous"
+    place = own.select("row_id", "tour_id", "seq").join(found, "row_id").select("tour_id", "seq", "lat", "lng", "record_id", F.when(ambiguous, F.col("place")).alias("place"))
+    chosen = choose_by_neighbours(place, place_candidates(own, pool, "row_id"))
+    name = found.select("row_id", "canonicalId", ambiguous.alias("open"))
     rows = own.join(name, "row_id").join(chosen.select("tour_id", "seq", "record_id"), ["tour_id", "seq"])
     resolved = F.col("record_id").isNotNull()
     rows = rows.withColumn("canonicalId", F.when(resolved, F.concat(F.lit("index:"), F.col("record_id"))).otherwise(F.col("canonicalId"))).withColumn("resolved", resolved)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.parse import parse_address
 from ..operators.points import add_items, aggregate_counts, dedupe_key, new_point_id
-from ..operators.resolve import collapse_geometry, resolve_among
+from ..operators.resolve import collapse_geometry, once_among
 from ..operators.rounds import checkpointed
 from ..sources.keyed import read_keyed, write_keyed
 from ..sources.point_store import PointStore
@@ -80,9 +80,8 @@ class Index:
 def resolved_batch(batch: DataFrame, index: Index) -> DataFrame:
     """The parsed scans with canonicalId, resolved, lat and lng."""
     own = checkpointed(parse_address(batch))
-    sure = lambda c: F.max(F.when(F.col("outcome") == "resolved", F.col(c))).alias(c)
-    found = resolve_among(own, index.of(own)).groupBy("scan_id")
-    return own.join(found.agg(F.max("canonicalId").alias("canonicalId"), F.bool_or(F.col("outcome") == "resolved").alias("resolved"), sure("lat"), sure("lng")), "scan_id")
+    found = once_among(own, index.of(own))
+    return own.join(found.select("scan_id", "canonicalId", (F.col("outcome") == "resolved").alias("resolved"), "lat", "lng"), "scan_id")
 
 
 def touched(scans: DataFrame, store: PointStore) -> DataFrame:
