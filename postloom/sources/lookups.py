@@ -43,7 +43,8 @@ def tour_range(tour_id: Column) -> Column:
 def write_roads(edges: DataFrame, path: str) -> None:
     """Road distances (tour_id, i, j, road) in a folder for each range of tours; a null distance means that j cannot be reached from i."""
     own = edges.select("tour_id", "i", "j", "road", tour_range(F.col("tour_id")).alias("tour_range"))
-    own.repartition("tour_range", "tour_id").sortWithinPartitions("tour_range", "tour_id", "i", "j").write.partitionBy("tour_range").parquet(path)
+    # ranges of tours that follow one another, so that a folder gets one file or two, however many tasks write
+    own.repartitionByRange("tour_range", "tour_id").sortWithinPartitions("tour_range", "tour_id", "i", "j").write.partitionBy("tour_range").parquet(path)
 
 
 def read_roads(spark: SparkSession, path: str, tours: DataFrame | None = None) -> DataFrame:
