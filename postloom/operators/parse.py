@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+MADE = ["display", "street", "houseNumber", "houseLetter", "postcode", "city", "lookupKey", "matchKey"]
+
+
 def _made(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """``keep`` and new columns, through a generator: what uses them reads them instead of computing them again."""
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
@@ -23,7 +26,7 @@ def parse_address(df: DataFrame, raw: str = "raw") -> DataFrame:
     ties go to the longer and then to the earlier one; a line without a rival needs no score.
     Null counts as empty.
     """
-    made = ["display", "street", "houseNumber", "houseLetter", "postcode", "city", "lookupKey", "matchKey"]
+    made = MADE
     kept = [c for c in df.columns if c not in made]
     own = _made(df, kept, _text=T.trimmed(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\r", "")))
     own = _made(own, [*kept, "_text"], _lines=F.filter(F.transform(F.split("_text", "\n"), T.trimmed), lambda x: x != ""))
@@ -56,6 +59,19 @@ def parse_address(df: DataFrame, raw: str = "raw") -> DataFrame:
     return _made(own, [*kept, *made[:7]], matchKey=match)
 
 
+def parse_once(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """What ``parse_address`` gives, a text that many rows have parsed once.
+
+    Rows and texts are told to shuffle: files of repeated texts are small beside what they hold.
+    """
+    spark = df.sparkSession
+    kept = [c for c in df.columns if c not in MADE]
+    own = df.select(*kept, F.coalesce(F.col(raw), F.lit("")).alias("_raw"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = parse_address(own.select("_raw").distinct().repartition(tasks, "_raw"), "_raw")
+    return own.hint("merge").join(texts, "_raw").select(*kept, *MADE)
+
+
 def with_context(street_line, postcode, city):  # noqa: ANN001, ANN201
     """An edited street line with the locality that was known before."""
     tail = F.trim(F.concat_ws(" ", F.nullif(postcode, F.lit("")), F.nullif(city, F.lit(""))))

@@ -169,7 +169,7 @@ def outliers(gaz: DataFrame) -> DataFrame:
     threshold = F.greatest(F.lit(P.OUTLIER_KM), F.col("median") * P.OUTLIER_FACTOR)
     meters = lambda c: F.round(c * 1000).cast("long")
     found = own.select("id", (F.col("nearest") > threshold).alias("suspicious"), meters(F.col("nearest")).alias("nearest_m"), meters(threshold).alias("threshold_m"))
-    return gaz.select("id").join(found, "id", "left").select("id", F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("nearest_m", F.lit(0)).alias("nearest_m"), F.coalesce("threshold_m", F.lit(0)).alias("threshold_m"))
+    return gaz.select("id").hint("merge").join(found, "id", "left").select("id", F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("nearest_m", F.lit(0)).alias("nearest_m"), F.coalesce("threshold_m", F.lit(0)).alias("threshold_m"))
 
 
 def _house_id() -> Column:

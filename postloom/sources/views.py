@@ -75,7 +75,8 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned addresses: scan_id, tour_id, seq, photo_id, mode, raw, status, createdAt, custkey."""
     o = F.col("o_orderkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    own = spread(orders).join(places(spark, sf_dir), F.col("o_custkey") == F.col("custkey"))
+    # the file of the places is small beside what it holds, so they are told to shuffle
+    own = spread(orders).join(places(spark, sf_dir).hint("merge"), F.col("o_custkey") == F.col("custkey"))
     street = (
         F.when(o % 17 == 0, "Nirgendwoweg")
         .when(o % 13 == 0, F.concat(F.lit("X"), F.col("street")))
@@ -125,7 +126,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery points: a row for each tour and place, without coordinates for every 23rd place."""
     own = items(spark, sf_dir).groupBy("tour_id", F.col("point_id").alias("id"), "custkey").agg(F.min("addedAt").alias("createdAt"), F.bool_or(F.col("type") == "parcel").alias("has_parcel"), F.bool_and(F.col("status").isin("delivered", "failed")).alias("done"))
-    own = own.join(places(spark, sf_dir), "custkey")
+    own = own.join(places(spark, sf_dir).hint("merge"), "custkey")
     lookup, match = keys(F.col("street"), F.col("houseNumber"), F.lit(""), F.col("postcode"))
     seen = F.col("custkey") % 23 != 0
     return own.select("tour_id", "id", "custkey", "street", "houseNumber", "postcode", "city", lookup.alias("lookupKey"), match.alias("matchKey"), F.concat(F.lit("index:node/"), F.col("custkey").cast("string")).alias("canonicalId"), F.when(seen, F.col("lat")).alias("lat"), F.when(seen, F.col("lng")).alias("lng"), "createdAt", "has_parcel", "done")
