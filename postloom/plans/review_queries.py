@@ -63,7 +63,7 @@ def p30_committable(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j16_attach_quality(spark: SparkSession, d: str) -> DataFrame:
     gaz = V.gazetteer(spark, d)
-    out = res.attach_quality(res.resolve(_parsed(spark, d), gaz), res.outliers(gaz))
+    out = res.resolve_with_quality(_parsed(spark, d, True), gaz, res.outliers(gaz))
     return out.select("scan_id", "outcome", "record_id", "suspicious", "distance_m", "original_lat", "original_lng")
 
 
