@@ -65,8 +65,7 @@ def j18_apply_corrections(spark: SparkSession, d: str) -> DataFrame:
 def j17_apply_choices(spark: SparkSession, d: str) -> DataFrame:
     """Every ambiguous scan closed by its first candidate."""
     own, gaz = _parsed(spark, d, True), V.gazetteer(spark, d)
-    found = res.resolve(own, gaz)
-    choices = found.filter("outcome = 'ambiguous'").groupBy("scan_id").agg(F.min("record_id").alias("record_id"))
+    choices = res.first_candidates(own, gaz)
     return res.apply_choices(own.select("scan_id", "lookupKey"), choices, gaz, res.outliers(gaz)).select("scan_id", "canonicalId", "postcode", "city", "matchKey", "confidence")
 
 
