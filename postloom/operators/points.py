@@ -132,7 +132,10 @@ def match_points(scans: DataFrame, points: DataFrame, key: str = "scan_id") -> D
     """(key, point_id): the point by canonicalId, else by matchKey; the lowest id of several."""
     by_id = points.filter("canonicalId <> ''").groupBy("canonicalId").agg(F.min("id").alias("p1"))
     by_key = points.filter("matchKey <> ''").groupBy("matchKey").agg(F.min("id").alias("p2"))
-    return scans.select(key, "canonicalId", "matchKey").join(by_id, "canonicalId", "left").join(by_key, "matchKey", "left").select(key, F.coalesce("p1", "p2").alias("point_id"))
+    # scans without a value are dealt out by their own keys; scans may be many, so nothing is broadcast
+    own = scans.select(key, *[F.when(F.col(c) != "", F.struct(F.col(c).alias("value"), F.lit("").alias("none"))).otherwise(F.struct(F.lit("").alias("value"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("none"))).alias(c) for c in ("canonicalId", "matchKey")])
+    whole = lambda df, c: df.withColumn(c, F.struct(F.col(c).alias("value"), F.lit("").alias("none")))
+    return own.hint("merge").join(whole(by_id, "canonicalId"), "canonicalId", "left").hint("merge").join(whole(by_key, "matchKey"), "matchKey", "left").select(key, F.coalesce("p1", "p2").alias("point_id"))
 
 
 def new_point_id() -> Column:
@@ -154,7 +157,7 @@ def add_items(scans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame
     locality of its point unless those were set by hand; other scans only fill empty coordinates.
     """
     found = match_points(scans, points)
-    own = scans.join(found, "scan_id")
+    own = scans.hint("merge").join(found, "scan_id")
     own = own.withColumn("_id", F.coalesce("point_id", new_point_id())).withColumn("_point", F.struct("lat", "lng"))
     first = F.struct("canonicalId", "resolved", "matchKey", "lookupKey", "postcode", "city", "createdAt")
     has = F.col("lat").isNotNull() & F.col("lng").isNotNull()
@@ -163,14 +166,14 @@ def add_items(scans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame
         F.min_by(F.when(has, F.col("_point")), F.when(has, F.col("seq"))).alias("any"),
         F.max_by(F.when(has & F.col("resolved"), F.struct("lat", "lng", "canonicalId", "matchKey", "postcode", "city")), F.when(has & F.col("resolved"), F.col("seq"))).alias("sure"),
     )
-    old = points.join(per, F.col("id") == F.col("_id"), "left")
+    old = points.hint("merge").join(per, F.col("id") == F.col("_id"), "left")
     manual = F.coalesce(F.col("coordinateManual"), F.lit(False)) if "coordinateManual" in points.columns else F.lit(False)
     fresh = F.col("sure").isNotNull() & ~manual
     pick = lambda c: F.when(fresh & (F.coalesce(F.col(f"sure.{c}"), F.lit("")) != ""), F.col(f"sure.{c}")).otherwise(F.col(c))
     at = lambda c: F.when(fresh, F.col(f"sure.{c}")).when(F.col(c).isNull() & ~manual, F.col(f"any.{c}")).otherwise(F.col(c))
     changed = {c: pick(c) for c in ("canonicalId", "matchKey", "postcode", "city")} | {c: at(c) for c in ("lat", "lng")}
     kept = old.select(*[(changed[c] if c in changed else F.col(c)).alias(c) for c in points.columns])
-    new = per.join(points.select(F.col("id").alias("_id")), "_id", "left_anti")
+    new = per.hint("merge").join(points.select(F.col("id").alias("_id")), "_id", "left_anti")
     made = {"id": F.col("_id"), "createdAt": F.col("f.createdAt"), "lat": F.coalesce(F.col("sure.lat"), F.col("any.lat")), "lng": F.coalesce(F.col("sure.lng"), F.col("any.lng"))}
     made |= {c: F.coalesce(F.col(f"sure.{c}"), F.col(f"f.{c}")) for c in ("canonicalId", "matchKey", "postcode", "city")} | {"lookupKey": F.col("f.lookupKey")}
     kinds = dict(points.dtypes)

@@ -171,7 +171,7 @@ def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def t1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The scans through the stream; the items of every point."""
     points, placed = _streamed(spark, d)
-    return placed.groupBy(F.col("point_id").alias("id")).agg(F.count("*").alias("n_items"), F.min("scan_id").alias("first_scan")).join(points.select("id", "canonicalId"), "id")
+    return placed.groupBy(F.col("point_id").alias("id")).agg(F.count("*").alias("n_items"), F.min("scan_id").alias("first_scan")).hint("merge").join(points.select("id", "canonicalId"), "id")
 
 
 @query
@@ -179,8 +179,8 @@ def t1_ingest_checks(spark: SparkSession, d: str) -> DataFrame:
     """What holds of the ingest stream however the batches fall: of each tour, the items placed by type, scans placed more than once, and scans whose point is not there."""
     points, placed = _streamed(spark, d)
     per = placed.groupBy("scan_id").agg(F.count("*").alias("times"), F.max("point_id").alias("id"))
-    per = per.join(points.select("id", F.lit(True).alias("known")), "id", "left")
-    own = V.items(spark, d).select("tour_id", "type", F.col("item_id").alias("scan_id")).join(per, "scan_id", "left")
+    per = per.hint("merge").join(points.select("id", F.lit(True).alias("known")), "id", "left")
+    own = V.items(spark, d).select("tour_id", "type", F.col("item_id").alias("scan_id")).hint("merge").join(per, "scan_id", "left")
     kinds = [F.count_if((F.col("type") == k) & F.col("times").isNotNull()).alias(k) for k in ("parcel", "magazine", "letter")]
     return own.groupBy("tour_id").agg(*kinds, F.count_if(F.col("times") != 1).alias("n_twice"), F.count_if(~F.coalesce("known", F.lit(False))).alias("n_lost"))
 

@@ -26,4 +26,4 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType, key: str, b
         return own.drop(BUCKET)
     keys = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     mine = [r[0] for r in keys.select(bucket_of(F.col(key), buckets)).distinct().collect()]  # at most one for each folder
-    return own.filter(F.col(BUCKET).isin(mine)).drop(BUCKET).join(keys, key, "left_semi")
+    return own.filter(F.col(BUCKET).isin(mine)).drop(BUCKET).join(keys.hint("merge"), key, "left_semi")

@@ -107,7 +107,7 @@ class PointStore:
     def _overlaid(self, base: DataFrame, changes: DataFrame | None) -> DataFrame:
         if changes is None:
             return base
-        return base.join(changes.select("id"), "id", "left_anti").select(self.schema.names).unionByName(changes.filter(~F.col(GONE)).select(self.schema.names))
+        return base.hint("merge").join(changes.select("id"), "id", "left_anti").select(self.schema.names).unionByName(changes.filter(~F.col(GONE)).select(self.schema.names))
 
     def read(self, version: int | None = None) -> DataFrame:
         """All points of a snapshot."""
@@ -119,7 +119,7 @@ class PointStore:
         s = self.snapshot(version)
         ids = ids.select("id").distinct()
         changes = self._changes(s)
-        changes = changes.join(ids, "id", "left_semi") if changes is not None else None
+        changes = changes.hint("merge").join(ids, "id", "left_semi") if changes is not None else None
         return self._overlaid(self._base(s, ids), changes)
 
     def find(self, values: DataFrame, version: int | None = None) -> DataFrame:
@@ -131,10 +131,10 @@ class PointStore:
         if s.base is not None:
             ids = read_keyed(self.spark, f"{self.root}/{s.base}/keys", KEYS, "value", self.buckets, values).select("id")
         if changes is not None:
-            ids = ids.unionByName(self._key_rows(changes.filter(~F.col(GONE))).join(values, "value", "left_semi").select("id"))
+            ids = ids.unionByName(self._key_rows(changes.filter(~F.col(GONE))).hint("merge").join(values, "value", "left_semi").select("id"))
         own = self.get(ids, s.version)
         for c in self.lookups:  # a point may have lost the value by which it was found
-            own = own.join(values.select(F.col("value").alias(c), F.lit(True).alias(f"_by_{c}")), c, "left")
+            own = own.hint("merge").join(values.select(F.col("value").alias(c), F.lit(True).alias(f"_by_{c}")), c, "left")
         hit = F.coalesce(*[F.col(f"_by_{c}") for c in self.lookups])
         return own.filter(hit).select(self.schema.names)
 

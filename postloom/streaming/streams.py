@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.parse import parse_address
+from ..operators.parse import parse_once
 from ..operators.points import add_items, aggregate_counts, dedupe_key, new_point_id
 from ..operators.resolve import collapse_geometry, once_among
 from ..operators.rounds import checkpointed
@@ -64,6 +64,10 @@ def live_counts(points: DataFrame, items: DataFrame, latest: DataFrame) -> DataF
     return aggregate_counts(points, now.withColumn("status", F.coalesce("_new", "_old")))
 
 
+# The files of a batch are small beside what they hold, so whatever meets a batch is told to shuffle:
+# the driver would have to hold what is broadcast.
+
+
 class Index:
     """A gazetteer collapsed once and dealt over folders by lookupKey: a batch opens those of its own keys."""
 
@@ -79,9 +83,9 @@ class Index:
 
 def resolved_batch(batch: DataFrame, index: Index) -> DataFrame:
     """The parsed scans with canonicalId, resolved, lat and lng."""
-    own = checkpointed(parse_address(batch))
+    own = checkpointed(parse_once(batch))
     found = once_among(own, index.of(own))
-    return own.join(found.select("scan_id", "canonicalId", (F.col("outcome") == "resolved").alias("resolved"), "lat", "lng"), "scan_id")
+    return own.hint("merge").join(found.select("scan_id", "canonicalId", (F.col("outcome") == "resolved").alias("resolved"), "lat", "lng"), "scan_id")
 
 
 def touched(scans: DataFrame, store: PointStore) -> DataFrame:
