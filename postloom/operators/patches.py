@@ -19,7 +19,7 @@ def _cells(df: DataFrame, group: list[str]) -> DataFrame:
     # the same scale for a whole group; its widest row makes cells narrower elsewhere, never wider
     scale = df.groupBy(group).agg(F.cos(F.radians(F.min(F.abs("lat")))).alias("_wide"), F.cos(F.radians(F.max(F.abs("lat")))).alias("_narrow"))
     across = lambda c, k: F.floor(F.col(c) * KM_PER_DEGREE * k / SIDE_KM).cast("long")
-    own = df.join(scale, group).withColumn("x", across("lat", F.lit(1.0))).withColumn("y", across("lng", F.col("_wide")))
+    own = df.hint("merge").join(scale, group).withColumn("x", across("lat", F.lit(1.0))).withColumn("y", across("lng", F.col("_wide")))
     # the farther from the equator, the fewer kilometres a cell spans, so twins may be more cells apart
     return own.withColumn("reach", F.ceil(F.lit(P.DUPLICATE_KM * 1.01 / SIDE_KM) * F.col("_wide") / F.greatest(F.col("_narrow"), F.lit(0.01))).cast("int")).drop("_wide", "_narrow")
 
@@ -45,6 +45,7 @@ def keep_first_of_patches(records: DataFrame, group: list[str]) -> DataFrame:
     """
     placed = has_coords(F.col("lat"), F.col("lng"))
     columns = records.columns
+    # a round's tables are small as files and hold a row for each cell around, so none is broadcast
     done = [records.filter(~placed)]
     open_ = checkpointed(_cells(records.filter(placed), group))
     cell = [*group, "x", "y"]
@@ -52,12 +53,12 @@ def keep_first_of_patches(records: DataFrame, group: list[str]) -> DataFrame:
         first = open_.groupBy(*cell).agg(F.min_by(F.struct("id", "lat", "lng", "reach"), "id").alias("o"))
         first = first.select(*cell, F.col("o.id").alias("o_id"), F.col("o.lat").alias("o_lat"), F.col("o.lng").alias("o_lng"), F.col("o.reach").alias("reach"))
         around = _near(first)
-        lower = open_.join(around.drop("reach"), cell).filter((F.col("id") < F.col("o_id")) & _twins()).select(F.col("o_id").alias("_late")).distinct()
-        kept = checkpointed(open_.join(first.select(F.col("o_id").alias("id")), "id", "left_semi").join(lower, F.col("id") == F.col("_late"), "left_anti"))
+        lower = open_.hint("merge").join(around.drop("reach"), cell).filter((F.col("id") < F.col("o_id")) & _twins()).select(F.col("o_id").alias("_late")).distinct()
+        kept = checkpointed(open_.hint("merge").join(first.select(F.col("o_id").alias("id")), "id", "left_semi").hint("merge").join(lower, F.col("id") == F.col("_late"), "left_anti"))
         done.append(kept.select(columns))
         takers = _near(kept.select(*cell, F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), "reach")).drop("reach")
-        gone = open_.join(takers, cell).filter(_twins()).select("id").distinct()
-        open_ = checkpointed(open_.join(gone, "id", "left_anti"))
+        gone = open_.hint("merge").join(takers, cell).filter(_twins()).select("id").distinct()
+        open_ = checkpointed(open_.hint("merge").join(gone, "id", "left_anti"))
     out = done[0]
     for own in done[1:]:
         out = out.unionByName(own)
