@@ -47,6 +47,15 @@ def fill_matrix(pairs: DataFrame, roads: DataFrame) -> DataFrame:
     return pairs.join(roads, ["tour_id", "i", "j"], "left").withColumn("meters", F.coalesce("road", "meters")).drop("road")
 
 
+def filled_matrices(lists: DataFrame, roads: DataFrame, base_lat: float, base_lng: float) -> DataFrame:
+    """``straight_matrices`` with the road distance where there is one.  ``roads``: tour_id, road, a flat matrix as mat is, null where there is none.
+
+    Roads that are dealt by tour, as the lists are, meet them without a shuffle; the lists, which are small, are held, and no matrix is sorted.
+    """
+    own = straight_matrices(lists.hint("shuffle_hash").join(roads.select("tour_id", "road"), "tour_id", "left"), base_lat, base_lng)
+    return own.withColumn("mat", F.transform("mat", lambda m, x: F.coalesce(F.get("road", x), m)))
+
+
 def matrices(pairs: DataFrame) -> DataFrame:
     """(tour_id, n, mat) from the pairs."""
     cell = F.struct(F.col("i"), F.col("j"), F.col("meters"))
