@@ -77,14 +77,14 @@ def s10_geocode_cache(spark: SparkSession, d: str) -> DataFrame:
 def s11_road_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Road distances of all tours written by range, and read for the tours of every second range; pairs without a road take the straight way."""
     stops = V.points(spark, d).filter("lat is not null").select("tour_id", "id", "lat", "lng")
-    pairs = checkpointed(tours.stop_pairs(stops, BASE_LAT, BASE_LNG))
-    factor = F.lit(1.2).cast("double") + ((F.col("i") * 31 + F.col("j") * 17) % 10) * F.lit(0.03).cast("double")
+    lists = checkpointed(tours.stop_lists(stops))
     path = new_path(spark, "roads")
-    lookups.write_roads(pairs.select("tour_id", "i", "j", F.when((F.col("i") + F.col("j")) % 23 != 0, F.col("meters") * factor).alias("road")), path)
-    some = pairs.select("tour_id").distinct().filter(lookups.tour_range(F.col("tour_id")) % 2 == 0)
-    roads = lookups.read_roads(spark, path, some)
-    own = tours.fill_matrix(pairs.join(some, "tour_id", "left_semi"), roads).join(roads.select("tour_id", "i", "j", F.col("road").isNull().alias("cut")), ["tour_id", "i", "j"], "left")
-    return own.groupBy("tour_id").agg(F.count("*").alias("n_pairs"), F.count_if("cut").alias("n_cut"), F.round(F.sum("meters") / 1000).cast("long").alias("km"))
+    roads = V.roads(tours.straight_matrices(lookups.by_range(lists), BASE_LAT, BASE_LNG), "tour_range")
+    lookups.write_road_matrices(roads, path)
+    some = lists.filter(lookups.tour_range(F.col("tour_id")) % 2 == 0)
+    own = tours.filled_matrices(some, lookups.read_road_matrices(spark, path, some), BASE_LAT, BASE_LNG)
+    cut = F.size(F.filter("road", lambda x: x.isNull())).cast("long")
+    return own.select("tour_id", F.size("mat").cast("long").alias("n_pairs"), cut.alias("n_cut"), F.round(F.aggregate("mat", F.lit(0.0), lambda a, m: a + m) / 1000).cast("long").alias("km"))
 
 
 @query

@@ -47,6 +47,29 @@ def write_roads(edges: DataFrame, path: str) -> None:
     own.repartitionByRange("tour_range", "tour_id").sortWithinPartitions("tour_range", "tour_id", "i", "j").write.partitionBy("tour_range").parquet(path)
 
 
+def by_range(tours: DataFrame) -> DataFrame:
+    """Rows of tours with their tour_range, dealt so that a range lies in one task or two."""
+    own = tours.withColumn("tour_range", tour_range(F.col("tour_id")))
+    return own.repartitionByRange("tour_range", "tour_id").sortWithinPartitions("tour_range", "tour_id")
+
+
+def write_road_matrices(roads: DataFrame, path: str) -> None:
+    """Road matrices (tour_id, road, tour_range) in a folder for each range of tours.
+
+    They are written where they are: what they are made from is dealt by ``by_range``, not the matrices.
+    """
+    roads.select("tour_id", "road", "tour_range").write.partitionBy("tour_range").parquet(path)
+
+
+def read_road_matrices(spark: SparkSession, path: str, tours: DataFrame | None = None) -> DataFrame:
+    """(tour_id, road) of all tours or of the given ones (column tour_id), whose folders alone are opened."""
+    own = spark.read.schema("tour_id bigint, road array<double>, tour_range bigint").parquet(path)
+    if tours is None:
+        return own.drop("tour_range")
+    some = tours.select("tour_id", tour_range(F.col("tour_id")).alias("tour_range")).distinct()
+    return own.join(F.broadcast(some.select("tour_range").distinct()), "tour_range", "left_semi").join(some.select("tour_id").hint("shuffle_hash"), "tour_id", "left_semi").drop("tour_range")
+
+
 def read_roads(spark: SparkSession, path: str, tours: DataFrame | None = None) -> DataFrame:
     """(tour_id, i, j, road) of all tours or of the given ones (column tour_id), whose folders alone are opened."""
     edges = spark.read.schema("tour_id bigint, i bigint, j bigint, road double, tour_range bigint").parquet(path)

@@ -132,15 +132,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("tour_id", "id", "custkey", "street", "houseNumber", "postcode", "city", lookup.alias("lookupKey"), match.alias("matchKey"), F.concat(F.lit("index:node/"), F.col("custkey").cast("string")).alias("canonicalId"), F.when(seen, F.col("lat")).alias("lat"), F.when(seen, F.col("lng")).alias("lng"), "createdAt", "has_parcel", "done")
 
 
-def roads(matrices: DataFrame) -> DataFrame:
-    """(tour_id, road): road distances from straight ones, a flat matrix a tour; every 23rd sum of nodes has none."""
+def roads(matrices: DataFrame, *more: str) -> DataFrame:
+    """(tour_id, road) and ``more``: road distances from straight ones, a flat matrix a tour; every 23rd sum of nodes has none."""
     n = F.col("n")
 
     def road(m: Column, x: Column) -> Column:
         i, j = F.floor(x / n), x % n
         return F.when((i + j) % 23 != 0, m * (F.lit(1.2).cast("double") + ((i * 31 + j * 17) % 10) * F.lit(0.03).cast("double")))
 
-    return matrices.select("tour_id", F.transform("mat", road).alias("road"))
+    return matrices.select("tour_id", F.transform("mat", road).alias("road"), *more)
 
 
 def saved_order(spark: SparkSession, sf_dir: str) -> DataFrame:
